@@ -11,8 +11,13 @@ number follows the document's length, which keeps the combinations few; partners
 length step, so each document is indexed under its own and the next one.
 
 Documents that share a signature are first compared with the smallest of them.  Only documents that are then
-still in different components are compared with each other, so groups of copies stay linear.  All comparisons
-are made on whole texts.
+still in different components are compared with each other, so groups of copies stay linear.  Pairs whose set
+sketches (the least hash in each of 64 hash ranges) differ in most places are set aside; all others are compared on
+their whole texts.
+
+The sketch of counts has a fixed size, so its noise grows with the corpus.  Passes over all documents therefore count
+exactly how many prefixes each single signature stands in; crowded ones are moved into the frequent classes, which
+changes the prefixes of the documents that hold them only.
 
 Defined cases: a null or empty text has an empty set and links with nothing; null ids are kept, unlinked, with a
 null component; rows that repeat an id are one node; equal sets are linked without comparison.
@@ -26,11 +31,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.llm import blocksum
-from narrascope.llm.textbatch import U, mix, shingle_sets
+from narrascope.llm.textbatch import U, mix, raw, shingle_sets
 from narrascope.operators.clusters import connected_components
 from narrascope.session import Scratch
 
 SKETCH_BITS = 20
+FINE_BITS = 22
+#: Rare shingles that stand in this many prefixes are made frequent, at 16 times that very frequent.
+CROWDED = 8
+#: Passes that look for such shingles.
+PASSES = 2
+#: Bins of a set's sketch, and the share of them (percent) that linked sets never fall below: at the threshold
+#: 85 % of 64 bins are expected to agree, and under half of them with a probability of about 1e-11.
+BINS = 64
+AGREE = 45
 #: A shingle is frequent if it is counted this often above its cell's expected noise, and very frequent at 16 times that.
 FREQUENT = 64
 #: Prefix entries that a sub-class of a frequent class holds on average.
@@ -51,17 +65,30 @@ def units(n: int, threshold: int) -> int:
 
 
 class Signer:
-    """Signatures of a set under fixed frequency levels."""
+    """Signatures of a set under fixed frequency levels.
+
+    ``coarse`` has a level for each cell of the sketch, ``fine`` the class (or 0) of each cell that holds a shingle
+    known to stand in many prefixes.
+    """
+
+    def __init__(self, coarse: np.ndarray, fine: np.ndarray, threshold: int):
+        self.coarse, self.fine, self.threshold, self.steps = coarse, fine, threshold, length_steps(threshold)
+
+    def level(self, u: np.ndarray) -> np.ndarray:
+        return np.maximum(self.coarse[u >> U(64 - SKETCH_BITS)], self.fine[u >> U(64 - FINE_BITS)])
 
-    def __init__(self, levels: np.ndarray, threshold: int):
-        self.levels, self.threshold, self.steps = levels, threshold, length_steps(threshold)
+    def singles(self, u: np.ndarray) -> np.ndarray:
+        """The rare entries of the prefix."""
+        level = self.level(u)
+        order = np.argsort(level, kind="stable")
+        return u[order[: min(units(len(u), self.threshold), int(np.count_nonzero(level < 250)))]]
 
     def __call__(self, u: np.ndarray) -> np.ndarray:
         n = len(u)
         need = units(n, self.threshold)
         if n - 3 < need:  # too small to link with any other set, or for classes: all entries are indexed
             return u if n * 100 >= self.threshold * (n + 1) else u[:0]
-        level = self.levels[u >> U(64 - SKETCH_BITS)]
+        level = self.level(u)
         order = np.argsort(level, kind="stable")
         rare = int(np.count_nonzero(level < 250))
         if rare >= need:
@@ -102,6 +129,21 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < base + FREQUENT, rare, np.where(counts < base + 16 * FREQUENT, 250, 251)).astype(np.uint8)
 
 
+def _classes(crowded: DataFrame) -> np.ndarray:
+    """Class levels by cell of the crowded single signatures (sig, c)."""
+
+    def mark(batches):
+        cells = np.zeros(1 << FINE_BITS, np.uint32)
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(U) >> U(64 - FINE_BITS)).astype(np.int64)
+            np.add.at(cells, at, np.where(batch.column(1).to_numpy() >= 16 * CROWDED, 1 << 16, 1).astype(np.uint32))
+        numbers, blocks_ = blocksum.to_rows(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blocks_, pa.binary())], ["block", "cells"])
+
+    total = blocksum.summed(crowded.coalesce(8).mapInArrow(mark, blocksum.SCHEMA), 1 << FINE_BITS, np.uint32)
+    return np.where(total >= 1 << 16, 251, np.where(total > 0, 250, 0)).astype(np.uint8)
+
+
 def _overlaps(k: int, threshold: int):
     def compare(batches):
         for batch in batches:
@@ -116,11 +158,43 @@ def _overlaps(k: int, threshold: int):
     return compare
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets link.  ``texts`` is (id, text)."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(k, threshold), "a long, b long").distinct()
+def _alike(batches):
+    for batch in batches:
+        x, y = _bins(batch.column(2)), _bins(batch.column(3))
+        both = ((x == y) & (x > 0)).reshape(-1, BINS).sum(axis=1)
+        either = ((x > 0) | (y > 0)).reshape(-1, BINS).sum(axis=1)
+        keep = pa.array(both * 100 >= AGREE * either)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+
+def _bins(col: pa.Array) -> np.ndarray:
+    data, off = raw(col)
+    return np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint16)
+
+
+def _sketch(u: np.ndarray) -> bytes:
+    edges = np.arange(BINS, dtype=U) << U(64 - BINS.bit_length() + 1)
+    at = np.searchsorted(u, edges)
+    value = u[np.minimum(at, len(u) - 1)] if len(u) else edges
+    full = np.diff(np.append(at, len(u))) > 0
+    return np.where(full, (mix(value) >> U(48)) | U(1), U(0)).astype(np.uint16).tobytes()
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, threshold: int, work: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets link, as a written table.  ``texts`` is (id, text)."""
+    x = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near = (F.col("na") * threshold <= F.col("nb") * 100) & (F.col("nb") * threshold <= F.col("na") * 100)
+    alike = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+    alike = work.save(alike.distinct(), f"{name}-alike")
+    ids = alike.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = work.save(texts.join(ids, "id", "left_semi"), f"{name}-texts")
+    left = alike.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    out = work.save(both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(k, threshold), "a long, b long").distinct(), name)
+    work.drop(f"{name}-texts")
+    work.release()
+    return out
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, threshold: int = 85) -> DataFrame:
@@ -134,60 +208,69 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def statistics(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        names = ["id", "n", "h1", "h2", "sketch", "block", "cells"]
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             h = np.zeros((2, batch.num_rows), U)
+            sketches = []
             for i, u in shingle_sets(batch.column(1), k):
                 n[i] = len(u)
                 h[0, i], h[1, i] = u.sum(dtype=U), mix(u + U(5)).sum(dtype=U)
-                np.add.at(sketch, (u >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                sketches.append(_sketch(u))
+                np.add.at(counts, (u >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["id", "n", "h1", "h2", "block", "cells"],
-            )
-        numbers, cells = blocksum.to_rows(sketch)
+            columns = [batch.column(0), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, none.cast(pa.int32()), none.cast(pa.binary())], names)
+        numbers, cells = blocksum.to_rows(counts)
         if len(numbers):
-            none = pa.nulls(len(numbers)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(numbers), pa.array(cells, pa.binary())], ["id", "n", "h1", "h2", "block", "cells"])
-
-    found = work.save(texts.mapInArrow(statistics, "id long, n long, h1 long, h2 long, block int, cells binary"), "statistics")
-    stats = found.where("block is null").select("id", "n", "h1", "h2")
-    levels = _levels(blocksum.summed(found.where("block is not null"), 1 << SKETCH_BITS, np.uint32))
-    shared = spark.sparkContext.broadcast(levels)  # 1 MB, whatever the input
-
-    def sign(batches):
-        signer = Signer(shared.value, threshold)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            held: list = []
-            size = 0
-            for i, u in shingle_sets(batch.column(1), k):
-                s = signer(u)
-                if len(s):
-                    held.append((ids[i], s))
-                    size += len(s)
-                if size > 1 << 18:
+            none = pa.nulls(len(numbers))
+            yield pa.RecordBatch.from_arrays([*[none.cast(pa.int64())] * 4, none.cast(pa.binary()), pa.array(numbers), pa.array(cells, pa.binary())], names)
+
+    found = work.save(texts.mapInArrow(statistics, "id long, n long, h1 long, h2 long, sketch binary, block int, cells binary"), "statistics")
+    stats = found.where("block is null").select("id", "n", "h1", "h2", "sketch")
+    coarse = _levels(blocksum.summed(found.where("block is not null"), 1 << SKETCH_BITS, np.uint32))
+    fine = np.zeros(1 << FINE_BITS, np.uint8)
+
+    def rows(only_singles: bool):
+        shared = spark.sparkContext.broadcast((coarse, fine))  # 5 MB, whatever the input
+
+        def sign(batches):
+            signer = Signer(*shared.value, threshold)
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                held: list = []
+                size = 0
+                for i, u in shingle_sets(batch.column(1), k):
+                    s = signer.singles(u) if only_singles else signer(u)
+                    if len(s):
+                        held.append((ids[i], s))
+                        size += len(s)
+                    if size > 1 << 18:
+                        yield _signed(held)
+                        held, size = [], 0
+                if held:
                     yield _signed(held)
-                    held, size = [], 0
-            if held:
-                yield _signed(held)
 
-    signed = texts.where("id is not null").mapInArrow(sign, "sig long, id long")
+        return texts.where("id is not null").mapInArrow(sign, "sig long, id long")
+
+    for turn in range(PASSES):
+        crowded = rows(True).groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED)
+        fine = np.maximum(fine, _classes(work.save(crowded, f"crowded{turn}")))
+        work.release()
+    signed = rows(False)
     over = Window.partitionBy("sig")
     groups = signed.select("sig", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi")).where("lo <> hi").select("sig", "id")
     whole = stats.where("n > 0 and id is not null")
     first = whole.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    same = work.save(whole.join(first, ["h1", "h2", "n"]).where("id <> rep").select("id", "rep"), "same")
+    same = work.save(whole.select("id", "n", "h1", "h2").join(first, ["h1", "h2", "n"]).where("id <> rep").select("id", "rep"), "same")
     groups = groups.join(same, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"))
     groups = work.save(groups.distinct(), "groups")
 
     least = groups.groupBy("sig").agg(F.min("id").alias("b"), F.max("id").alias("c")).where("b <> c")
     stars = groups.join(least, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    stars = work.save(verified(stars, texts, k, threshold), "stars")
-    parts = work.save(connected_components(stars, "a", "b"), "parts")
-    work.release()
+    stars = verified(stars, stats, texts, k, threshold, work, "stars")
+    parts = connected_components(stars, "a", "b")
 
     named = groups.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
     named = work.save(named, "named")
@@ -197,12 +280,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = (F.col("x.low") * threshold <= F.col("y.high") * 100) & (F.col("y.low") * threshold <= F.col("x.high") * 100)
     cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") < F.col("y.part")) & near)
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    cross = work.save(verified(cross, texts, k, threshold), "cross")
+    cross = verified(cross, stats, texts, k, threshold, work, "cross")
 
     links = stars.unionAll(cross)
     edges = links.unionAll(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    parts = work.save(connected_components(edges, "a", "b"), "final")
-    work.release()
+    parts = connected_components(edges, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     out = stats.join(parts.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
     return out.select(
