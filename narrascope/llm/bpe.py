@@ -31,7 +31,7 @@ from narrascope.llm.textbatch import U, blocks, span_hashes
 LANE = 256
 SLOTS_BITS = 19
 #: Slices kept as merged before; beyond it the table starts anew.
-MOST_SLICES = 400_000
+MOST_SLICES = 600_000
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, LONE = range(8)
 #: States: what kind of slice the last character belongs to, and what it expects.
@@ -160,12 +160,32 @@ def slices(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return at[_automaton[0].boundaries(kind)]
 
 
+_NONE = 1 << 40
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+    while pairs and (low := min(pairs)) != _NONE:
+        i = pairs.index(low)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], _NONE)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+    return [ranks[x] for x in parts]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Tokens of one slice: adjacent parts are joined, the lowest rank first, the leftmost among equals."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n <= 64:
+        return _merge_short(piece, ranks)
     ends = list(range(1, n + 1))  # of the part that starts here
     prior = list(range(-1, n - 1))
     alive = [True] * n

@@ -1,7 +1,7 @@
 """Quality classifier from supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed features: its words and the byte n-grams of its text,
-lower-cased.  A softmax layer turns the average into class probabilities.  Vectors and layer are trained together by
+A document is the average of learned vectors of its hashed features: its words, pairs of adjacent words (all
+pairs of equal words share one bucket) and the byte n-grams of its text, lower-cased.  A softmax layer turns the average into class probabilities.  Vectors and layer are trained together by
 stochastic gradient descent in numpy, on at most ``SAMPLE`` labelled documents, drawn by the hash of their ids.  As
 the score of an average is the average of its features' scores, a trained model is applied as one number for each
 bucket: scoring reads a text once and looks its features up.
@@ -27,6 +27,8 @@ from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, mix, span_hashes,
 SAMPLE = 6000
 BITS = 18
 GRAMS = (3, 5)
+#: The bucket of a word that repeats the one before it.
+_AGAIN = U(1)
 DIM = 12
 EPOCHS = 6
 RATE = 0.4
@@ -48,7 +50,10 @@ def _grams(low: np.ndarray, n: int) -> np.ndarray:
 def features(low: np.ndarray, bounds: np.ndarray):
     """Yield ``(buckets, bounds of each text's buckets)`` for words and each n-gram size."""
     starts, ends, per = word_spans(low, bounds, SPACED)
-    yield (mix(span_hashes(low, starts, ends) + U(9)) >> U(64 - BITS)).astype(np.int64), per[:-1], per[1:]
+    h = mix(span_hashes(low, starts, ends) + U(9))
+    yield (h >> U(64 - BITS)).astype(np.int64), per[:-1], per[1:]
+    pairs = np.where(h[1:] == h[:-1], _AGAIN, mix(h[1:] + h[:-1] * U(3)) >> U(64 - BITS)).astype(np.int64)
+    yield pairs, per[:-1], np.maximum(per[1:] - 1, per[:-1])
     for n in GRAMS:
         stop = np.maximum(bounds[1:] - n + 1, bounds[:-1])
         yield _grams(low, n), bounds[:-1], stop
