@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm import bpe, quality
+from narrascope.llm import bpe, hmm, quality
 from narrascope.llm.decontaminate import decontaminate, n_hit
 from narrascope.llm.ngram_join import ngram_jaccard_join
 
@@ -37,6 +37,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
 
 
+def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -95,5 +99,6 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_hmm_score": op8_hmm_score,
     "op10_quality": op10_quality,
 }
