@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from narrascope.llm import bpe, hmm, quality
 from narrascope.llm.decontaminate import decontaminate, n_hit
+from narrascope.llm.line_dedup import dedup_lines
 from narrascope.llm.ngram_join import ngram_jaccard_join
 
 
@@ -41,6 +42,11 @@ def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = dedup_lines(_table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -95,10 +101,42 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+SQL["op9_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS i
+  FROM documents WHERE text IS NOT NULL),
+counted AS (
+  SELECT doc_id, i, s, len(list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM lines),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM counted),
+framed AS (
+  SELECT *, max(i) OVER a AS i_to, max(c) OVER a AS c_to, min(i) OVER b AS i_from, min(c - w) OVER b AS e_from
+  FROM (SELECT *, c - w AS e FROM summed)
+  WINDOW a AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+         b AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+runs AS (
+  SELECT doc_id, i AS i1, i_to AS i2 FROM framed WHERE c_to - e >= 50
+  UNION SELECT doc_id, i_from, i FROM framed WHERE c - e_from >= 50),
+content AS (
+  SELECT r.doc_id, r.i1, r.i2, array_to_string(string_split(d.text, chr(10))[r.i1 + 1:r.i2 + 1], chr(10)) AS g
+  FROM runs r JOIN documents d ON d.doc_id = r.doc_id),
+later AS (
+  SELECT doc_id, i1, i2 FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i1) AS k FROM content) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i1, i2 + 1)) AS i FROM later),
+kept AS (
+  SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.i) AS t, count(*) AS n
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i WHERE g.i IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+  CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(k.n, 0) END AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE length(coalesce(k.t, '')) END AS n_chars_kept,
+  CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(k.t, '')) END AS text_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_hmm_score": op8_hmm_score,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
