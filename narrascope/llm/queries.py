@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm import bpe, hmm, quality
+from narrascope.llm import bpe, chat, hmm, quality
 from narrascope.llm.decontaminate import decontaminate, n_hit
 from narrascope.llm.line_dedup import dedup_lines
 from narrascope.llm.ngram_join import ngram_jaccard_join
+from narrascope.llm.sharding import shard_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,23 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_paths(chat.paths(chat.threads(rows.unionByName(extra)))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_table(spark, sf_dir, "documents"))
+
+
 def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"))
 
@@ -132,10 +150,43 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, c
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+SQL["op4_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, x.turn, x.role, '</s>[INST] ok [/INST]', x.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role)),
+long AS (
+  SELECT *, length(role) + length(role) - length(replace(role, '\', '')) + length(text) + length(text) - length(replace(text, '\', ''))
+    + len(regexp_extract_all(role, '</?s>|\[/?(INST|ROLE)\]')) + len(regexp_extract_all(text, '</?s>|\[/?(INST|ROLE)\]'))
+    + 20 + CASE WHEN role = 'assistant' THEN 0 ELSE 15 END AS n
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM long GROUP BY conv_id
+"""
+
+SQL["op7_sharding"] = r"""
+WITH hashed AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n,
+    (md5(coalesce('=' || CAST(doc_id AS VARCHAR), ''))[1:15] || md5(coalesce('=' || text, ''))[1:15]) AS h FROM documents),
+digits AS (
+  SELECT doc_id, n, array_to_string(list_transform(range(1, 31), lambda i: right('000' || bin(CAST(strpos('0123456789abcdef', h[i:i]) - 1 AS BIGINT)), 4)), '') AS bits
+  FROM hashed),
+deep AS (SELECT doc_id, n, bits, d, bits[1:d] AS shard FROM (SELECT *, unnest(range(0, 121)) AS d FROM digits)),
+sized AS (SELECT shard, sum(n) AS bytes, count(*) AS r, min(bits) AS lo, max(bits) AS hi FROM deep GROUP BY shard),
+fit AS (SELECT shard, bytes, r FROM sized WHERE bytes <= 1048576 OR r = 1 OR lo = hi),
+found AS (SELECT d.doc_id, d.n, d.shard, d.d, fit.bytes, fit.r, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.d) AS k FROM deep d JOIN fit ON fit.shard = d.shard)
+SELECT doc_id, n AS n_bytes, shard, CAST(d AS BIGINT) AS depth, CAST(bytes AS BIGINT) AS shard_bytes, r AS shard_rows FROM found WHERE k = 1
+"""
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_decontaminate": op3_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
+    "op4_chat_format": op4_chat_format,
+    "op7_sharding": op7_sharding,
     "op8_hmm_score": op8_hmm_score,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
