@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm import bpe, chat, hmm, quality
+from narrascope.llm import ann, bpe, chat, hmm, quality, warc
 from narrascope.llm.decontaminate import decontaminate, n_hit
 from narrascope.llm.line_dedup import dedup_lines
 from narrascope.llm.ngram_join import ngram_jaccard_join
@@ -20,6 +20,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -52,6 +56,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"))
 
@@ -96,6 +104,20 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low
 FROM sized d LEFT JOIN low ON low.a = d.doc_id
 """
 
+SQL["op2_warc"] = r"""
+WITH hashed AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+digits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(CAST(strpos('0123456789abcdef', h[i:i]) - 1 AS BIGINT)), 4)), '') AS b FROM hashed),
+named AS (
+  SELECT page_id, n, h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * CAST(b[5 * i + 1] AS INT) + 8 * CAST(b[5 * i + 2] AS INT) + 4 * CAST(b[5 * i + 3] AS INT) + 2 * CAST(b[5 * i + 4] AS INT) + CAST(b[5 * i + 5] AS INT), 1)), '') AS d
+  FROM digits),
+tops AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM named)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM tops
+"""
+
 SQL["op3_decontaminate"] = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -183,9 +205,11 @@ SELECT doc_id, n AS n_bytes, shard, CAST(d AS BIGINT) AS depth, CAST(bytes AS BI
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
     "op4_chat_format": op4_chat_format,
+    "op6_nearest": op6_nearest,
     "op7_sharding": op7_sharding,
     "op8_hmm_score": op8_hmm_score,
     "op9_line_dedup": op9_line_dedup,
