@@ -5,10 +5,10 @@ ones first, frequent ones last.  A document's prefix is as long as the number of
 plus one, so two linked documents share an entry of the shorter prefix (by the order), which the other holds too.
 If that prefix has rare shingles only, they are single signatures.  A document without so many rare shingles
 extends its prefix over all of its frequent ones; it is indexed by its rare shingles and, for partners that are as
-dense, by combinations of ``K`` shingles: one token alone or a pair would bring all such documents together.  All
-combinations would be too many, so ``DRAWS`` are drawn, each shingle of a combination being the least of the set under one
-random order: the sets agree in one with the probability of their similarity, in a whole combination at 0.85 with
-0.27, and miss all 64 with 2e-9.
+dense, by combinations of k shingles (eight at 0.85): one alone or a pair would bring all such documents together.
+All combinations would be too many, so ``DRAWS`` are drawn, each shingle of a combination being the least of the set
+under one random order: sets agree in one with the probability of their similarity, in a whole combination at 0.85
+with 0.27, and miss all 64 with 2e-9.
 
 Documents that share a signature are first compared with the smallest of them.  Only documents that are then
 still in different components are compared with each other, so groups of copies stay linear.  Pairs whose set
@@ -47,10 +47,8 @@ BINS = 64
 AGREE = 45
 #: A shingle is frequent if it is counted this often above its cell's expected noise.
 FREQUENT = 64
-K = 8
 DRAWS = 64
-_FACTORS = mix(np.arange(1, DRAWS * K + 1, dtype=U)) | U(1)
-_PLACES = _FACTORS[:K]
+_FACTORS = mix(np.arange(1, DRAWS * 64 + 1, dtype=U)) | U(1)
 
 
 def units(n: int, threshold: int) -> int:
@@ -82,15 +80,21 @@ class Signer:
         if n * 100 < self.threshold * (n + 1):  # too small to link with any other set
             return u[:0]
         single = self.singles(u)
-        return single if len(single) >= units(n, self.threshold) else np.concatenate([single, combinations(u)])
+        return single if len(single) >= units(n, self.threshold) else np.concatenate([single, combinations(u, combination_size(self.threshold))])
 
 
-def combinations(u: np.ndarray) -> np.ndarray:
-    """Hashes of ``DRAWS`` combinations of ``K`` entries each."""
-    low = np.full(DRAWS * K, ~U(0))
+def combination_size(threshold: int) -> int:
+    """Entries of a combination, so that sets at the threshold agree in one with a probability of a quarter or more."""
+    return int(min(64, max(1, np.log(0.25) // np.log(min(99, threshold) / 100))))
+
+
+def combinations(u: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of ``DRAWS`` combinations of k entries each."""
+    factors = _FACTORS[: DRAWS * k]
+    low = np.full(DRAWS * k, ~U(0))
     for at in range(0, len(u), 2048):
-        np.minimum(low, (u[at : at + 2048, None] * _FACTORS).min(axis=0), out=low)
-    return mix((mix(low).reshape(DRAWS, K) * _PLACES).sum(axis=1, dtype=U))
+        np.minimum(low, (u[at : at + 2048, None] * factors).min(axis=0), out=low)
+    return mix((mix(low).reshape(DRAWS, k) * factors[:k]).sum(axis=1, dtype=U))
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
