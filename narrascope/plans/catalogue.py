@@ -1,4 +1,7 @@
-"""Queries over the driver's tables, and the same in DuckDB SQL."""
+"""All queries over the driver's tables, and the same in DuckDB SQL."""
 
-QUERIES = {}
-SQL = {}
+from narrascope.plans import vector_queries
+
+_PARTS = [vector_queries.query]
+QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}
