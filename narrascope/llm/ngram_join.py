@@ -11,9 +11,11 @@ under one random order: sets agree in one with the probability of their similari
 with 0.27, and miss all 64 with 2e-9.
 
 Documents that share a signature are first compared with the smallest of them.  Only documents that are then
-still in different components are compared with each other, so groups of copies stay linear.  Pairs whose set
-sketches (the least hash in each of 64 hash ranges) differ in most places are set aside; all others are compared on
-their whole texts.
+still in different components are compared with each other, so groups of copies stay linear.  Few share a rare
+shingle; these pairs are joined, those whose set sketches show that they can't link are set aside, and all others are
+compared on their whole texts.  Dense documents come in clusters that combinations chain together.  A cluster is dealt
+into blocks of bounded size; each pair of blocks is one task, which goes through the draws, skips what is joined
+already, and hands on only links that join parts.
 
 The sketch of counts has a fixed size, so its noise grows with the corpus.  Passes over all documents therefore count
 exactly how many prefixes each single signature stands in; crowded ones become frequent, which
@@ -41,10 +43,12 @@ FINE_BITS = 22
 CROWDED = 8
 #: Passes that look for such shingles.
 PASSES = 2
-#: Bins of a set's sketch, and the share of them (percent) that linked sets never fall below: at the threshold
-#: 85 % of 64 bins are expected to agree, and under half of them with a probability of about 1e-11.
-BINS = 64
-AGREE = 45
+#: Bins of a set's sketch, and the summed sizes beyond which the share of equal bins is looked at.
+BINS = 256
+LARGE = 4096
+#: Ids that may be broadcast (8 MB), and documents of one block of a cluster.
+FEW = 1_000_000
+PART = 4096
 #: A shingle is frequent if it is counted this often above its cell's expected noise.
 FREQUENT = 64
 DRAWS = 64
@@ -75,12 +79,15 @@ class Signer:
         order = np.argsort(level, kind="stable")
         return u[order[: min(units(len(u), self.threshold), int(np.count_nonzero(level < 250)))]]
 
-    def __call__(self, u: np.ndarray) -> np.ndarray:
+    def __call__(self, u: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+        """Signatures, and whether they are drawn combinations."""
         n = len(u)
         if n * 100 < self.threshold * (n + 1):  # too small to link with any other set
-            return u[:0]
+            return []
         single = self.singles(u)
-        return single if len(single) >= units(n, self.threshold) else np.concatenate([single, combinations(u, combination_size(self.threshold))])
+        if len(single) >= units(n, self.threshold):
+            return [(single, False)]
+        return [(single, False), (combinations(u, combination_size(self.threshold)), True)]
 
 
 def combination_size(threshold: int) -> int:
@@ -122,47 +129,131 @@ def _overlaps(k: int, threshold: int):
     def compare(batches):
         for batch in batches:
             left, right = shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k)
-            ok = np.zeros(batch.num_rows, bool)
-            for (i, x), (_, y) in zip(left, right):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
-            keep = pa.array(ok)
+            keep = pa.array([_linked(x, y, threshold) for (_, x), (_, y) in zip(left, right)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return compare
 
 
-def _alike(batches):
-    for batch in batches:
-        x, y = _bins(batch.column(2)), _bins(batch.column(3))
-        both = ((x == y) & (x > 0)).reshape(-1, BINS).sum(axis=1)
-        either = ((x > 0) | (y > 0)).reshape(-1, BINS).sum(axis=1)
-        keep = pa.array(both * 100 >= AGREE * either)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+def sketch(u: np.ndarray) -> np.ndarray:
+    """A byte for each of ``BINS`` hash ranges: a mark of the least entry in it, 0 without one."""
+    edges = np.arange(BINS, dtype=U) << U(64 - BINS.bit_length() + 1)
+    at = np.searchsorted(u, edges)
+    if not len(u):
+        return np.zeros(BINS, np.uint8)
+    full = np.diff(np.append(at, len(u))) > 0
+    return np.where(full, mix(u[np.minimum(at, len(u) - 1)]) >> U(56) | U(1), U(0)).astype(np.uint8)
 
 
-def _bins(col: pa.Array) -> np.ndarray:
-    data, off = raw(col)
-    return np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint16)
+def may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets with these sketches and sizes, row by row, can link.
 
+    A bin differs only if an entry of just one of the sets lies in it, and linked sets have at most
+    (100 - t) / (100 + t) of their summed sizes of those.  Beyond ``LARGE`` entries this says little; there, the share
+    of equal bins follows the similarity, and for linked sets is below the threshold less 12 percent with a
+    probability of about 1e-7 at the threshold itself.
+    """
+    differ = (x != y).sum(axis=1)
+    both = nx + ny
+    ok = (differ * (100 + threshold) <= both * (100 - threshold)) & (nx * threshold <= ny * 100) & (ny * threshold <= nx * 100)
+    used = ((x > 0) | (y > 0)).sum(axis=1)
+    return ok & ((both <= LARGE) | ((used - differ) * 100 >= (threshold - 12) * used))
 
-def _sketch(u: np.ndarray) -> bytes:
-    edges = np.arange(BINS, dtype=U) << U(64 - BINS.bit_length() + 1)
-    at = np.searchsorted(u, edges)
-    value = u[np.minimum(at, len(u) - 1)] if len(u) else edges
-    full = np.diff(np.append(at, len(u))) > 0
-    return np.where(full, (mix(value) >> U(48)) | U(1), U(0)).astype(np.uint16).tobytes()
+
+def _alike(threshold: int):
+    def compare(batches):
+        for batch in batches:
+            x, y = (_bins(batch.column(k)).reshape(-1, BINS) for k in (2, 4))
+            keep = pa.array(may_link(x, batch.column(3).to_numpy(), y, batch.column(5).to_numpy(), threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return compare
+
+
+def _bins(col: pa.Array) -> np.ndarray:
+    data, off = raw(col)
+    return data[off[0] : off[-1]]
+
+
+class Parts:
+    """Union-find over rows."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.up = np.unique(labels, return_inverse=True)
+        first = np.full(self.up.max(initial=0) + 1, len(labels))
+        np.minimum.at(first, self.up, np.arange(len(labels)))
+        self.up = first[self.up]
+
+    def roots(self) -> np.ndarray:
+        while True:
+            nxt = self.up[self.up]
+            if (nxt == self.up).all():
+                return nxt
+            self.up = nxt
+
+    def join(self, i: int, j: int) -> bool:
+        while self.up[i] != i:
+            i = self.up[i]
+        while self.up[j] != j:
+            j = self.up[j]
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _dense_links(k: int, threshold: int):
+    """Links that join the parts of one block pair of a cluster of dense documents; within a part none is looked for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, part = table["id"].to_numpy(), table["part"].to_numpy()
+        sets = [u for _, u in shingle_sets(table["text"], k)]
+        n = np.array([len(u) for u in sets])
+        bins = np.stack([sketch(u) for u in sets])
+        size = combination_size(threshold)
+        drawn = np.stack([combinations(u, size) for u in sets])
+        parts, out = Parts(part), []
+        for r in range(DRAWS):
+            order = np.argsort(drawn[:, r], kind="stable")
+            key = drawn[order, r]
+            end = np.searchsorted(key, key, side="right")
+            for lo in range(0, len(order), 256):
+                count = end[lo : lo + 256] - np.arange(lo, min(lo + 256, len(order))) - 1
+                i = np.repeat(np.arange(lo, lo + len(count)), count)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+                i, j = order[i], order[j]
+                root = parts.roots()
+                for on in (root[i] != root[j], None):
+                    if on is None:  # earlier draws have brought the pair up already
+                        on = ~(drawn[i, :r] == drawn[j, :r]).any(axis=1)
+                    i, j = i[on], j[on]
+                for at in range(0, len(i), 1 << 15):
+                    p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                    ok = may_link(bins[p], n[p], bins[q], n[q], threshold)
+                    for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+                        if _linked(sets[x], sets[y], threshold) and parts.join(x, y):
+                            out.append((ids[x], ids[y]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` joined to those of ``ids`` by id; ids are broadcast if they are few."""
+    return texts.join(F.broadcast(ids) if ids.count() <= FEW else ids, "id")
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, threshold: int, work: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) whose texts' sets link, as a written table.  ``texts`` is (id, text)."""
-    x = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = (F.col("na") * threshold <= F.col("nb") * 100) & (F.col("nb") * threshold <= F.col("na") * 100)
-    alike = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+    x = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    y = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    alike = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(_alike(threshold), "a long, b long")
     alike = work.save(alike.distinct(), f"{name}-alike")
-    ids = alike.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = work.save(texts.join(ids, "id", "left_semi"), f"{name}-texts")
+    ids = work.save(alike.select(F.col("a").alias("id")).unionAll(alike.select("b")).distinct(), f"{name}-ids")
+    some = work.save(_texts_of(texts, ids), f"{name}-texts")
     left = alike.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     out = work.save(both.select("a", "b", "ta", "tb").mapInArrow(_overlaps(k, threshold), "a long, b long").distinct(), name)
@@ -191,7 +282,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for i, u in shingle_sets(batch.column(1), k):
                 n[i] = len(u)
                 h[0, i], h[1, i] = u.sum(dtype=U), mix(u + U(5)).sum(dtype=U)
-                sketches.append(_sketch(u))
+                sketches.append(sketch(u).tobytes())
                 np.add.at(counts, (u >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(batch.num_rows)
             columns = [batch.column(0), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(sketches, pa.binary())]
@@ -216,17 +307,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 held: list = []
                 size = 0
                 for i, u in shingle_sets(batch.column(1), k):
-                    s = signer.singles(u) if only_singles else signer(u)
-                    if len(s):
-                        held.append((ids[i], s))
-                        size += len(s)
+                    for s, drawn in ((signer.singles(u), False),) if only_singles else signer(u):
+                        if len(s):
+                            held.append((ids[i], s, drawn))
+                            size += len(s)
                     if size > 1 << 18:
                         yield _signed(held)
                         held, size = [], 0
                 if held:
                     yield _signed(held)
 
-        return texts.where("id is not null").mapInArrow(sign, "sig long, id long")
+        return texts.where("id is not null").mapInArrow(sign, "sig long, id long, drawn boolean")
 
     for turn in range(PASSES):
         crowded = rows(True).groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED)
@@ -234,11 +325,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         work.release()
     signed = rows(False)
     over = Window.partitionBy("sig")
-    groups = signed.select("sig", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi")).where("lo <> hi").select("sig", "id")
+    groups = signed.select("sig", "id", "drawn", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi")).where("lo <> hi").drop("lo", "hi")
     whole = stats.where("n > 0 and id is not null")
     first = whole.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     same = work.save(whole.select("id", "n", "h1", "h2").join(first, ["h1", "h2", "n"]).where("id <> rep").select("id", "rep"), "same")
-    groups = groups.join(same, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"))
+    groups = groups.join(same, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"), "drawn")
     groups = work.save(groups.distinct(), "groups")
 
     least = groups.groupBy("sig").agg(F.min("id").alias("b"), F.max("id").alias("c")).where("b <> c")
@@ -246,7 +337,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = verified(stars, stats, texts, k, threshold, work, "stars")
     parts = connected_components(stars, "a", "b")
 
-    named = groups.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
+    part_of = parts.withColumnRenamed("node", "id").withColumnRenamed("component", "part")
+    named = groups.where("not drawn").join(part_of, "id", "left").select("sig", "id", F.coalesce("part", "id").alias("part"))
     named = work.save(named, "named")
     mixed = named.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("sig")
     rest = named.join(mixed, "sig").join(whole.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high")), "id")
@@ -256,10 +348,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     cross = verified(cross, stats, texts, k, threshold, work, "cross")
 
-    links = stars.unionAll(cross)
+    # clusters of dense documents that drawn combinations chain together, where they still have several parts
+    chained = groups.where("drawn").join(least.drop("c"), "sig").where("id <> b").select("id", "b").distinct()
+    clusters = connected_components(chained, "id", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    clusters = clusters.join(part_of, "id", "left").select("id", "cluster", F.coalesce("part", "id").alias("part"))
+    clusters = work.save(clusters, "clusters")
+    split = clusters.groupBy("cluster").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q")
+    split = split.select("cluster", F.ceil(F.col("size") / PART).cast("int").alias("blocks"))
+    members = work.save(clusters.join(split, "cluster"), "members")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = _texts_of(texts, members).withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("cluster", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "id", "part", "text")
+    dense = placed.groupBy("cluster", "x", "y").applyInArrow(_dense_links(k, threshold), "a long, b long")
+    dense = work.save(dense.distinct(), "dense")
+    work.release()
+
+    links = stars.unionAll(cross).unionAll(dense)
     edges = links.unionAll(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     parts = connected_components(edges, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    degree = links.select(F.col("a").alias("id")).unionAll(links.select("b")).groupBy("id").agg(F.count("*").alias("links"))
     out = stats.join(parts.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
@@ -268,6 +375,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _signed(held: list) -> pa.RecordBatch:
-    sizes = [len(s) for _, s in held]
-    sig = np.concatenate([s for _, s in held]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array([i for i, _ in held], np.int64), sizes))], ["sig", "id"])
+    sizes = [len(s) for _, s, _ in held]
+    sig = np.concatenate([s for _, s, _ in held]).view(np.int64)
+    ids, drawn = np.array([i for i, _, _ in held], np.int64), np.array([d for _, _, d in held], bool)
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(drawn, sizes))], ["sig", "id", "drawn"])
