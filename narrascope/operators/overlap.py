@@ -21,7 +21,11 @@ def rouge(pairs: DataFrame, keys: list[str], n: int, a: str = "a_tokens", b: str
 
     Pairs are dealt by their keys once; counting n-grams and summing them up then needs no further exchange.
     """
-    both = F.concat(*[F.transform(text.ngrams(F.col(c), n), lambda g, s=s: F.struct(g.alias("g"), F.lit(s).alias("side"))) for s, c in enumerate((a, b))])
+
+    def side(column: str, number: int):
+        return F.transform(text.ngrams(F.col(column), n), lambda g: F.struct(g.alias("g"), F.lit(number).alias("side")))
+
+    both = F.concat(side(a, 0), side(b, 1))
     grams = pairs.repartition(*keys).select(*keys, F.explode(both).alias("x"))
     counts = grams.groupBy(*keys, "x.g").agg(F.count_if(F.col("x.side") == 0).alias("ca"), F.count_if(F.col("x.side") == 1).alias("cb"))
     f1 = F.coalesce(F.try_divide(2.0 * F.sum(F.least("ca", "cb")), F.sum(F.col("ca") + F.col("cb"))), F.lit(0.0))

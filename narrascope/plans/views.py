@@ -53,18 +53,18 @@ def text_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("i.doc_id").alias("i"), F.col("i.text").alias("anchor_text"), F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b"), F.col("gold").alias("text_a_is_closer"))
 
 
-VT = """n AS (SELECT count(*) AS n FROM embeddings),
+VT = """vi AS (SELECT *, (7 * vec_id + 1) % (SELECT count(*) FROM embeddings) AS ka, (13 * vec_id + 5) % (SELECT count(*) FROM embeddings) AS kb FROM embeddings),
 vt AS (
   SELECT ei.vec_id AS i, ea.vec_id AS a, eb.vec_id AS b, CAST(ei.embedding AS DOUBLE[]) AS vi, CAST(ea.embedding AS DOUBLE[]) AS va,
     CAST(eb.embedding AS DOUBLE[]) AS vb, ea.label = ei.label AS gold
-  FROM embeddings ei JOIN n ON true JOIN embeddings ea ON ea.vec_id = (7 * ei.vec_id + 1) % n.n JOIN embeddings eb ON eb.vec_id = (13 * ei.vec_id + 5) % n.n
+  FROM vi ei JOIN embeddings ea ON ea.vec_id = ei.ka JOIN embeddings eb ON eb.vec_id = ei.kb
   WHERE (ea.label = ei.label) <> (eb.label = ei.label) AND ei.vec_id <> ea.vec_id AND ei.vec_id <> eb.vec_id AND ea.vec_id <> eb.vec_id),
 vs AS (SELECT *, list_cosine_similarity(vi, va) AS sim_a, list_cosine_similarity(vi, vb) AS sim_b FROM vt)"""
 
-TT = """n AS (SELECT count(*) AS n FROM documents),
+TT = """di AS (SELECT *, (7 * doc_id + 1) % (SELECT count(*) FROM documents) AS ka, (13 * doc_id + 5) % (SELECT count(*) FROM documents) AS kb FROM documents),
 tt AS (
   SELECT di.doc_id AS i, di.text AS anchor_text, da.text AS text_a, db.text AS text_b, da.lang = di.lang AS gold
-  FROM documents di JOIN n ON true JOIN documents da ON da.doc_id = (7 * di.doc_id + 1) % n.n JOIN documents db ON db.doc_id = (13 * di.doc_id + 5) % n.n
+  FROM di JOIN documents da ON da.doc_id = di.ka JOIN documents db ON db.doc_id = di.kb
   WHERE (da.lang = di.lang) <> (db.lang = di.lang) AND di.doc_id <> da.doc_id AND di.doc_id <> db.doc_id AND da.doc_id <> db.doc_id)"""
 
 #: All ordered pairs of different vectors with their cosine and whether their labels agree.
