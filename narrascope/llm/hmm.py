@@ -226,10 +226,10 @@ def _count_words(batches):
         for _, _, h, shapes, _ in _words(batch.column(0)):
             held.append(merged([(h, shapes, np.ones(len(h)))]))
             size += len(held[-1][0])
-            if size > 1_500_000:
+            if size > 600_000:
                 held = [merged(held)]
                 size = len(held[0][0])
-                if size > 750_000:
+                if size > 300_000:
                     yield out(held)
                     held, size = [], 0
     if held:

@@ -189,7 +189,7 @@ class WarcReader(DataSourceReader):
                 held = 0
             groups[-1].append(f"{root}/{name}")
             held += size
-        return [Archive(g) for g in groups]
+        return [Archive(g) for g in groups or [[]]]
 
     def read(self, partition: Archive):
         system, _ = fs.FileSystem.from_uri(self.root)
@@ -277,12 +277,12 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     """
 
     @F.pandas_udf("string")
-    def digest(payload):
-        return payload.map(lambda x: base32_sha1(bytes(x)))
+    def base32(digest):
+        return digest.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
 
     payload = F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_digest", digest("payload"))
+    rows = rows.withColumn("payload_digest", base32(F.sha1("payload")))
     top = rows.where(F.octet_length("payload") >= at_least).groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
     refers = F.when((F.col("page_id") != F.col("top")) & (F.octet_length("payload") >= at_least), F.col("top"))
     return rows.join(top.drop("n"), "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
