@@ -71,15 +71,18 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     cur = work.save(up, "up-0")
     leaves = nodes.select("key", "tree", "node").join(nodes.select("key", F.col("parent").alias("node")), ["key", "node"], "left_anti")
     most, jumps = nodes.count(), []
-    while (1 << len(jumps)) <= 2 * most and not cur.where("up is not null").isEmpty():
-        jumps.append(cur.where("up is not null").select("key", "node", "up"))
-        above = cur.select("key", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("n").alias("steps"))
-        nxt = cur.join(above, ["key", "up"], "left").select(
+    done, open_ = cur.where("up is null"), cur.where("up is not null")
+    while (1 << len(jumps)) <= 2 * most and not open_.isEmpty():
+        jumps.append(open_.select("key", "node", "up"))
+        # only messages that haven't reached their root take part
+        above = open_.unionAll(done).select("key", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("n").alias("steps"))
+        nxt = open_.join(above, ["key", "up"], "left").select(
             "key", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("steps", F.lit(0))).alias("n")
         )
         cur = work.save(nxt, f"up-{len(jumps)}")
+        done, open_ = done.unionAll(cur.where("up is null")), cur.where("up is not null")
     order = Window.partitionBy("key").orderBy(F.desc("mean"), "node")
-    chosen = leaves.join(cur.where("up is null"), ["key", "node"]).select("key", "tree", "node", (F.col("score") / F.col("n")).alias("mean"))
+    chosen = leaves.join(done, ["key", "node"]).select("key", "tree", "node", (F.col("score") / F.col("n")).alias("mean"))
     chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     at = work.save(chosen.select("key", "tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("back")), "path-0")
     for k, jump in enumerate(jumps):
