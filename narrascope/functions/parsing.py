@@ -43,7 +43,7 @@ def decision(c) -> Column:
     field = lambda path: F.get_json_object(obj, path)
     named = [field(f"$.{k}") for k in CLOSER] + [field(f"$.{o}.{k}") for o in ("result", "output") for k in CLOSER]
     letter = lambda x: F.nullif(F.regexp_extract(F.upper(F.trim(x)), r"^(?:TEXT[ _]?|STORY[ _]?)?([AB])$", 1), F.lit(""))
-    in_text = F.nullif(F.upper(F.regexp_extract(c, r"(?i)\b(?:closer|answer|choice)\b[^A-Za-z]{0,5}(?:is\s+)?(?:text\s*|story\s*)?([AB])\b", 1)), F.lit(""))
+    in_text = F.nullif(F.upper(F.regexp_extract(c, r"(?i)\b(?:closer|answer|choice)\b[^A-Za-z]{0,5}(?:is[^A-Za-z]{1,3})?(?:text\s*|story\s*)?([AB])\b", 1)), F.lit(""))
     closer = F.coalesce(*[letter(x) for x in named], in_text, F.lit("A"))
     aspects = field("$.aspects")
     listed = F.from_json(aspects, "array<string>")

@@ -63,7 +63,7 @@ def correlations(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     Ranks are those of distinct values with their counts, so no window holds the rows of a group.
     """
     both = average_rank(average_rank(df, by, x, "__rx"), by, y, "__ry")
-    corr = lambda a, b: F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0))
+    corr = lambda a, b: F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
     aggs = [corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), corr(F.col("__rx"), F.col("__ry")).alias("spearman"), F.count("*").alias("n")]
     return both.groupBy(*by).agg(*aggs) if by else both.agg(*aggs)
 

@@ -43,4 +43,5 @@ def maintain_index(stream: DataFrame, index: str, checkpoint: str, key: str = "v
 
 def event_windows(stream: DataFrame, time: str = "ts", width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Counts and sums of event types in tumbling windows; an extra beyond the domain's own batch operators."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, delay).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
