@@ -105,7 +105,9 @@ def tab_columns(spark: SparkSession, path: str, picks: dict[str, int], header: b
 
 def two_classes(spark: SparkSession, positive: str, negative: str) -> DataFrame:
     """``(text, label)`` of one file of positive and one of negative lines."""
-    a, b = (spark.read.option("encoding", "ISO-8859-1").text(p) for p in (positive, negative))
+    # Spark's text reader knows UTF-8 only; a separator that no line holds makes the CSV reader one for lines
+    reader = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", "ISO-8859-1")
+    a, b = (reader.csv(p) for p in (positive, negative))
     return a.select(F.col("value").alias("text"), F.lit(1).alias("label")).unionByName(b.select(F.col("value").alias("text"), F.lit(0).alias("label")))
 
 
