@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrascope.llm.rows import bound_batches
 from narrascope.session import Scratch
 
 SHARD = 3000
@@ -156,6 +157,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     """``(query_id, rank, vec_id, score)``: the k nearest found for each row for which the condition ``is_query`` holds."""
     spark = vectors.sparkSession
     work = Scratch(spark, "ann")
+    bound_batches(spark)
     v = F.col(f"`{vector_col}`")
     usable = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("asks"))

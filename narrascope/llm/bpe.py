@@ -29,9 +29,9 @@ from narrascope.llm.rows import map_texts
 from narrascope.llm.textbatch import U, blocks, span_hashes
 
 LANE = 256
-SLOTS_BITS = 19
+SLOTS_BITS = 18
 #: Slices kept as merged before; beyond it the table starts anew.
-MOST_SLICES = 600_000
+MOST_SLICES = 400_000
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, LONE = range(8)
 #: States: what kind of slice the last character belongs to, and what it expects.

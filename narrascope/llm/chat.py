@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrascope.llm.rows import bound_batches
 from narrascope.session import Scratch
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
@@ -63,6 +64,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     ``messages`` has tree, node, parent, role, text and score; nodes are unique in their tree.
     """
     work = Scratch(messages.sparkSession, "chat")
+    bound_batches(messages.sparkSession)
     key = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")).alias("key")
     nodes = work.save(messages.select(key, "tree", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
     known = nodes.select("key", F.col("node").alias("parent"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm import blocksum
+from narrascope.llm.rows import bound_batches
 from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, mix, span_hashes, word_spans
 from narrascope.session import Scratch
 
@@ -242,6 +243,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
     work = Scratch(spark, "hmm")
+    bound_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     learned = texts.where(~held_out("id")).select("text")
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.llm import blocksum
+from narrascope.llm.rows import bound_batches
 from narrascope.llm.textbatch import U, mix, raw, shingle_sets
 from narrascope.operators.clusters import connected_components
 from narrascope.session import Scratch
@@ -270,6 +271,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     work = Scratch(spark, "ngram")
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def statistics(batches):

@@ -24,7 +24,7 @@ from narrascope.llm.rows import map_texts
 from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, mix, span_hashes, word_spans
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 3000
 BITS = 18
 GRAMS = (3, 5)
 #: The bucket of a word that repeats the one before it.

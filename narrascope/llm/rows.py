@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, which otherwise hold up to 10,000 rows or 64 MB on either side, several at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, text_col: str, keep: list[str] | None, fields: list[T.StructField], fn: Callable[[pa.Array], Iterator[list[pa.Array]] | list[pa.Array]]) -> DataFrame:
     """``keep`` columns (all by default) of every row, followed by the columns ``fields`` that ``fn`` makes of its text.
 
     A kept column with the name of a new one is replaced by it, as ``withColumn`` does.  ``fn`` is called with
     one Arrow string array for each batch and returns one array for each field, in row order.
     """
+    bound_batches(df.sparkSession)
     made = [f.name for f in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in made]
     quoted = [F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]

@@ -10,7 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
+
+# Workers are reused for many tasks: what Arrow frees goes back to the system at once.
+pa.set_memory_pool(pa.system_memory_pool())
 
 U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from narrascope.llm.rows import bound_batches
 from narrascope.session import Scratch
 
 SCHEMA = "page_id long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -292,6 +293,7 @@ def archive(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Write the pages as archives into the shared folder, read them back and give every page's record without its payload."""
     spark = pages.sparkSession
     register(spark)
+    bound_batches(spark)
     path = Scratch(spark, "warc").path + "/archive"
     revisits(pages, at_least=at_least).write.format("warc").mode("append").option("path", path).save()
     back = spark.read.format("warc").option("path", path)
