@@ -6,18 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0)).cast("double")
+def share(part: Column, whole: Column) -> Column:
+    """part / whole, 0 if the whole is."""
+    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct tokens; 0 if both are empty."""
-    return _share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+    return share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """The same for lists without repeats, which saves building their union."""
+    shared = F.size(F.array_intersect(a, b))
+    return share(shared, F.size(a) + F.size(b) - shared)
 
 
 def coverage(a: Column, b: Column) -> Column:
     """Share of the distinct tokens of ``a`` that ``b`` has; 0 if ``a`` is empty."""
-    return _share(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)))
+    return share(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)))
 
 
 def dot(a: Column, b: Column) -> Column:

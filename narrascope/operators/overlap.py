@@ -16,37 +16,43 @@ def to_pairs(triplets: DataFrame, keys: list[str]) -> DataFrame:
     return triplets.select(*keys, F.col("anchor_text").alias("anchor"), rows)
 
 
-def rouge(pairs: DataFrame, keys: list[str], n: int, a: str = "a_tokens", b: str = "b_tokens") -> DataFrame:
-    """``keys`` and ``rouge_<n>_f1``: F1 of n-grams counted as a multiset, 0 if nothing is shared.
+def rouge(pairs: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1, 2), a: str = "a_tokens", b: str = "b_tokens") -> DataFrame:
+    """``keys`` and ``rouge_<n>_f1`` for each n: F1 of n-grams counted as a multiset, 0 if nothing is shared.
 
-    Pairs are dealt by their keys once; counting n-grams and summing them up then needs no further exchange.
+    Pairs are dealt by their keys once, with the n-grams of all sizes; counting and summing up then needs no further
+    exchange.
     """
 
-    def side(column: str, number: int):
-        return F.transform(text.ngrams(F.col(column), n), lambda g: F.struct(g.alias("g"), F.lit(number).alias("side")))
+    def side(column: str, number: int, n: int):
+        return F.transform(text.ngrams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(number).alias("side")))
 
-    both = F.concat(side(a, 0), side(b, 1))
+    both = F.concat(*[side(c, number, n) for n in sizes for number, c in enumerate((a, b))])
     grams = pairs.repartition(*keys).select(*keys, F.explode(both).alias("x"))
-    counts = grams.groupBy(*keys, "x.g").agg(F.count_if(F.col("x.side") == 0).alias("ca"), F.count_if(F.col("x.side") == 1).alias("cb"))
-    f1 = F.coalesce(F.try_divide(2.0 * F.sum(F.least("ca", "cb")), F.sum(F.col("ca") + F.col("cb"))), F.lit(0.0))
-    return counts.groupBy(*keys).agg(f1.alias(f"rouge_{n}_f1"))
+    counts = grams.groupBy(*keys, "x.n", "x.g").agg(F.count_if(F.col("x.side") == 0).alias("ca"), F.count_if(F.col("x.side") == 1).alias("cb"))
+
+    def f1(n: int):
+        own = F.col("n") == n
+        return F.coalesce(F.try_divide(2.0 * F.sum(F.when(own, F.least("ca", "cb"))), F.sum(F.when(own, F.col("ca") + F.col("cb")))), F.lit(0.0)).alias(f"rouge_{n}_f1")
+
+    return counts.groupBy(*keys).agg(*[f1(n) for n in sizes])
 
 
 def pair_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and the eight overlap metrics of (anchor, candidate) pairs; tokens are made once.
+    """``keys`` and the eight overlap metrics of (anchor, candidate) pairs.
 
-    The overlap of content lemmas is 0 where no tagger is plugged in.
+    Tokens and n-grams are made once and kept as sets.  The overlap of content lemmas is 0 where no tagger is plugged in.
     """
     tokens = pairs.select(*keys, text.ascii_words(F.col("anchor")).alias("a_tokens"), text.ascii_words(F.col("candidate")).alias("b_tokens"))
-    a, b = F.col("a_tokens"), F.col("b_tokens")
-    sets = tokens.select(
-        *keys, similarity.jaccard(a, b).alias("jaccard"), similarity.coverage(a, b).alias("anchor_overlap"), similarity.coverage(b, a).alias("candidate_overlap"),
-        similarity.jaccard(text.ngrams(a, 2), text.ngrams(b, 2)).alias("2gram_jaccard"), similarity.jaccard(text.ngrams(a, 3), text.ngrams(b, 3)).alias("3gram_jaccard"),
+    distinct = [F.array_distinct(text.ngrams(F.col(f"{s}_tokens"), n)).alias(f"{s}{n}") for s in "ab" for n in (1, 2, 3)]
+    a, b = F.col("a1"), F.col("b1")
+    shared = F.size(F.array_intersect(a, b)).alias("shared")
+    sets = tokens.select(*keys, *distinct).select("*", shared).select(
+        *keys, similarity.share(F.col("shared"), F.size(a) + F.size(b) - F.col("shared")).alias("jaccard"), similarity.share(F.col("shared"), F.size(a)).alias("anchor_overlap"),
+        similarity.share(F.col("shared"), F.size(b)).alias("candidate_overlap"), *[similarity.set_jaccard(F.col(f"a{n}"), F.col(f"b{n}")).alias(f"{n}gram_jaccard") for n in (2, 3)],
     )
-    for n in (1, 2):
-        sets = sets.join(rouge(tokens, keys, n), keys, "left")
+    found = sets.join(rouge(tokens, keys), keys, "left")
     zero = [F.coalesce(f"rouge_{n}_f1", F.lit(0.0)).alias(f"rouge_{n}_f1") for n in (1, 2)]
-    return sets.select(*keys, *METRICS[:5], *zero, F.lit(0.0).alias("pos_overlap"))
+    return found.select(*keys, *METRICS[:5], *zero, F.lit(0.0).alias("pos_overlap"))
 
 
 def melted(metrics: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,11 +60,17 @@ def melted(metrics: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.unpivot(keys, list(METRICS), "metric", "value")
 
 
-def hard_negatives(candidates: DataFrame, bonus: float = 0.05) -> DataFrame:
-    """The candidate of each anchor with the highest word Jaccard; contradictions get a bonus, empty hypotheses are
-    skipped, and of equals the first by ``pos`` wins."""
-    kept = candidates.where(F.trim(F.coalesce("hypothesis", F.lit(""))) != "")
-    score = similarity.jaccard(text.ascii_words(F.col("anchor")), text.ascii_words(F.col("hypothesis"))) + F.when(F.col("label") == "contradiction", bonus).otherwise(0.0)
-    scored = kept.select("anchor_id", "pos", "hypothesis", "label", score.alias("score"))
+def hard_negatives(anchors: DataFrame, hypotheses: DataFrame, on: str, bonus: float = 0.05) -> DataFrame:
+    """The hypothesis of each anchor with the highest word Jaccard among those with the same value of ``on``.
+
+    ``anchors`` has (anchor_id, anchor, on), ``hypotheses`` (pos, hypothesis, label, on).  Contradictions get a bonus,
+    empty hypotheses are skipped, and of equals the first by ``pos`` wins.  Words are made once for each text, before
+    the join.
+    """
+    words = lambda c: F.array_distinct(text.ascii_words(F.col(c)))
+    left = anchors.select("anchor_id", on, words("anchor").alias("a"))
+    right = hypotheses.where(F.trim(F.coalesce("hypothesis", F.lit(""))) != "").select("pos", "hypothesis", "label", on, words("hypothesis").alias("b"))
+    score = similarity.set_jaccard(F.col("a"), F.col("b")) + F.when(F.col("label") == "contradiction", bonus).otherwise(0.0)
+    scored = left.join(right, on).select("anchor_id", "pos", "hypothesis", "label", score.alias("score"))
     best = F.max_by(F.struct("pos", "hypothesis", "label", "score"), F.struct(F.col("score"), -F.col("pos")))
     return scored.groupBy("anchor_id").agg(best.alias("b")).select("anchor_id", "b.*")

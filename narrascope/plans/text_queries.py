@@ -130,8 +130,8 @@ def _(spark, d):
 def _(spark, d):
     a, b = text.ascii_words(F.col("anchor")), text.ascii_words(F.col("candidate"))
     tokens = text_pairs(spark, d).select("doc_id", a.alias("a"), b.alias("b"))
-    pair = lambda n: r6(similarity.jaccard(text.ngrams(F.col("a"), n), text.ngrams(F.col("b"), n)))
-    return tokens.select("doc_id", pair(2).alias("jaccard2"), pair(3).alias("jaccard3"))
+    sets = tokens.select("doc_id", *[F.array_distinct(text.ngrams(F.col(c), n)).alias(f"{c}{n}") for c in "ab" for n in (2, 3)])
+    return sets.select("doc_id", *[r6(similarity.set_jaccard(F.col(f"a{n}"), F.col(f"b{n}"))).alias(f"jaccard{n}") for n in (2, 3)])
 
 
 def _rouge_sql(n: int, source: str, keys: str) -> str:
@@ -297,10 +297,10 @@ def _(spark, d):
 s AS (SELECT *, {jaccard('a', 'h')} + CASE WHEN label = 'contradiction' THEN 0.05 ELSE 0 END AS score FROM c)
 SELECT anchor_id, pos, hypothesis, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, pos) AS k FROM s) WHERE k = 1""")
 def _(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    pairs = docs.join(items.withColumnRenamed("text", "hypothesis"), F.col("item_id") % 20 == F.col("doc_id") % 20)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("anchor_id"), F.col("text").alias("anchor"), (F.col("doc_id") % 20).alias("part"))
     label = F.when(F.col("item_id") % 3 == 0, "contradiction").otherwise("neutral")
-    out = overlap.hard_negatives(pairs.select(F.col("doc_id").alias("anchor_id"), F.col("item_id").alias("pos"), F.col("text").alias("anchor"), "hypothesis", label.alias("label")))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("hypothesis"), label.alias("label"), (F.col("item_id") % 20).alias("part"))
+    out = overlap.hard_negatives(docs, items, "part")
     return out.select("anchor_id", "pos", "hypothesis", "label", r6("score").alias("score"))
 
 

@@ -64,8 +64,9 @@ def test_rouge_counts_multisets(spark):
 
 
 def test_first_of_equal_hard_negatives(spark):
-    rows = [(1, 0, "a b", "", "neutral"), (1, 1, "a b", "a", "neutral"), (1, 2, "a b", "b", "neutral"), (2, 0, "a b", "a", "neutral"), (2, 1, "a b", "b", "contradiction")]
-    out = overlap.hard_negatives(spark.createDataFrame(rows, "anchor_id int, pos int, anchor string, hypothesis string, label string"))
+    anchors = spark.createDataFrame([(1, "a b", 7), (2, "a b", 8)], "anchor_id int, anchor string, k int")
+    rows = [(0, "", "neutral", 7), (1, "a", "neutral", 7), (2, "b", "neutral", 7), (0, "a", "neutral", 8), (1, "b", "contradiction", 8)]
+    out = overlap.hard_negatives(anchors, spark.createDataFrame(rows, "pos int, hypothesis string, label string, k int"), "k")
     assert {r.anchor_id: (r.pos, round(r.score, 3)) for r in out.collect()} == {1: (1, 0.5), 2: (1, 0.55)}
 
 
