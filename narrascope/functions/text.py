@@ -119,12 +119,12 @@ def file_stem(path) -> Column:
 
 
 #: Blocks of a page that are kept, and what stands before them.
-_BLOCK = r"(?is)<(h2|h3|p|dl|dd)\b[^>]*>(.*?)</\1>"
+BLOCK = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in ("h2", "h3", "p", "dl", "dd"))
 
 
 def html_to_plain(c) -> Column:
     """Headings of the second and third order marked by ``# `` and ``## ``, paragraphs and lists as lines; all else goes."""
-    found = F.regexp_extract_all(c, F.lit(_BLOCK), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(BLOCK), F.lit(0))
 
     def line(block):
         bare = F.regexp_replace(block, "(?s)<[^>]*>", "")

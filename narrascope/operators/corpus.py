@@ -93,8 +93,9 @@ def inverse_cdf(weights: DataFrame, by: str, item: str, weight: str, draws: Data
 
 
 def bucket(key: Column, n: int, seed: int = 42) -> Column:
-    """A number below n by the hash of a key."""
-    return F.pmod(F.crc32(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), F.lit(n))
+    """A number below n by the hash of a key: the first 32 bits of an MD5, which every engine has."""
+    digest = F.md5(F.encode(F.concat_ws(":", key.cast("string"), F.lit(str(seed))), "UTF-8"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(n)
 
 
 def split_column(key: Column, train: int = 80, dev: int = 10, forced_test: Column | None = None, seed: int = 42) -> Column:
@@ -122,6 +123,16 @@ def negative_pairs(stories: DataFrame, key: str, text: str, seed: int = 42) -> D
     return near.where("b_id is not null").withColumn("label", F.lit(-1))
 
 
+def interleaved(a: DataFrame, b: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Both frames with ``at`` in 0..1: each one's rows, in hash order, spread evenly, so any stretch holds them in proportion."""
+    parts = []
+    for side, df in enumerate((a, b)):
+        order = Window.partitionBy(F.lit(0)).orderBy(bucket(F.col(key), 1 << 30, seed), key)
+        n = max(1, df.count())
+        parts.append(df.withColumn("side", F.lit(side)).withColumn("at", (F.row_number().over(order) - 0.5) / F.lit(float(n))))
+    return parts[0].unionByName(parts[1])
+
+
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't finished yet."""
     return todo.join(done.select(key).distinct(), key, "left_anti")

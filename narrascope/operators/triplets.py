@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions.text import strip as stripped
+from narrascope.operators.corpus import bucket
 
 TEXTS = ("anchor_text", "text_a", "text_b")
 LABEL = "text_a_is_closer"
@@ -46,7 +47,7 @@ def label_says_a(label: Column) -> Column:
 
 def flipped(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:
     """Half of the rows, drawn by the hash of a key, with both texts swapped and the label turned over."""
-    flip = F.pmod(F.crc32(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), F.lit(2)) == 1
+    flip = bucket(key, 2, seed) == 1
     a, b, label = F.col("text_a"), F.col("text_b"), F.col(LABEL)
     return df.withColumns({"text_a": F.when(flip, b).otherwise(a), "text_b": F.when(flip, a).otherwise(b), LABEL: F.when(flip, ~label).otherwise(label)})
 

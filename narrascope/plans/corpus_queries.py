@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions import parsing, text
 from narrascope.operators import clusters, corpus, stats, vectors
-from narrascope.plans.views import Catalogue, ascii_tokens, table, word_tokens
+from narrascope.plans.views import Catalogue, ascii_tokens, bucket, table, word_tokens
 
 query = Catalogue()
 
@@ -139,14 +139,21 @@ def _(spark, d):
     return corpus.inverse_cdf(weights, "g", "item", "w", draws).select("g", "draw", "item")
 
 
-@query("split_80_10_10")
+@query("split_80_10_10", f"WITH b AS (SELECT doc_id, {bucket('doc_id', 100)} AS b FROM documents) SELECT CASE WHEN doc_id % 50 = 0 THEN 'test' WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM b GROUP BY 1")
 def _(spark, d):
     forced = F.col("doc_id") % 50 == 0
     rows = table(spark, d, "documents").select("doc_id", corpus.split_column(F.col("doc_id"), forced_test=forced).alias("split"))
     return rows.groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("stratified_folds")
+@query("interleaved", f"WITH p AS (SELECT doc_id, CAST(quality = 1 AS INT) AS side, row_number() OVER (PARTITION BY quality = 1 ORDER BY {bucket('doc_id', 1 << 30)}, doc_id) AS k, count(*) OVER (PARTITION BY quality = 1) AS n FROM labels) SELECT doc_id, side, round((k - 0.5) / n, 9) AS at FROM p")
+def _(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", "quality")
+    out = corpus.interleaved(rows.where("quality <> 1").drop("quality"), rows.where("quality = 1").drop("quality"), "doc_id")
+    return out.select("doc_id", "side", F.round("at", 9).alias("at"))
+
+
+@query("stratified_folds", f"SELECT quality, fold, count(*) AS n FROM (SELECT quality, (row_number() OVER (PARTITION BY quality ORDER BY {bucket('doc_id', 1 << 30)}, doc_id) - 1) % 5 AS fold FROM labels) GROUP BY 1, 2")
 def _(spark, d):
     return corpus.stratified_folds(table(spark, d, "labels"), "quality", "doc_id", 5).groupBy("quality", "fold").agg(F.count("*").alias("n"))
 

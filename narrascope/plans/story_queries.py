@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from narrascope.operators import stories
 from narrascope.plans import tasks
 from narrascope.plans.vector_queries import labelled_pairs, sts
-from narrascope.plans.views import Catalogue, PAIRS, table
+from narrascope.plans.vector_queries import query as vector_query
+from narrascope.plans.views import PAIRS, Catalogue, bucket, table
 
 query = Catalogue()
 
@@ -100,26 +101,26 @@ def _(spark, d):
     return stories.longest_mention(table(spark, d, "conversations"), ["conv_id"], "text")
 
 
-@query("contrastive_candidates")
+@query("contrastive_candidates", "SELECT vec_id, CAST(30 AS BIGINT) AS n, CAST(0 AS BIGINT) AS own_batch FROM embeddings")
 def _(spark, d):
     rows = stories.contrastive_candidates(table(spark, d, "embeddings").select("vec_id"), "vec_id", 50, 30)
     return rows.groupBy("vec_id").agg(F.count("*").alias("n"), F.count_if(F.floor(F.col("other") / 50) == F.floor(F.col("vec_id") / 50)).alias("own_batch"))
 
 
-@query("scaled_negatives")
+@query("scaled_negatives", f"WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label = y.label AS same FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1), n AS (SELECT count(*) FILTER (same) AS pos, count(*) FILTER (NOT same) AS neg FROM p) SELECT CASE WHEN same THEN 1 ELSE -1 END AS label, count(*) AS n FROM p, n WHERE same OR {bucket("a || '|' || b", 1000000)} / 1e6 < 2.0 * pos / greatest(neg, 1) GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "embeddings")
     near = e.alias("x").join(e.alias("y"), F.col("y.vec_id") == F.col("x.vec_id") + 1).select(F.col("x.vec_id").alias("a_id"), F.col("y.vec_id").alias("b_id"), (F.col("x.label") == F.col("y.label")).alias("same"))
     return stories.labelled_pairs(near.where("same"), near.where("not same"), 2.0).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("quota_clusters")
+@query("quota_clusters", f"WITH c AS (SELECT conv_id AS cluster, count(*) AS size, conv_id % 3 = 0 AS in_test FROM conversations GROUP BY conv_id), w AS (SELECT *, CASE size WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 4 THEN 3 WHEN 5 THEN 1 END AS want, row_number() OVER (PARTITION BY size, in_test ORDER BY {bucket('cluster', 1 << 30)}, cluster) AS k FROM c) SELECT cluster, size, in_test FROM w WHERE k <= CASE WHEN in_test THEN round(want * 0.8) ELSE want - round(want * 0.8) END")
 def _(spark, d):
     c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("cluster")).agg(F.count("*").alias("size")).withColumn("in_test", F.col("cluster") % 3 == 0)
     return stories.quota_sample(c, {2: 5, 3: 5, 4: 3, 5: 1})
 
 
-@query("sample_with_replacement")
+@query("sample_with_replacement", f"WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY {bucket('doc_id', 1 << 30)}, doc_id) - 1 AS at, count(*) OVER () AS n FROM labels), d AS (SELECT range AS draw FROM range(0, 100)) SELECT doc_id, draw FROM d JOIN p ON p.at = {bucket('draw', 1, 43).replace('% 1)', '% n)')}")
 def _(spark, d):
     return stories.with_replacement(table(spark, d, "labels").select("doc_id"), "doc_id", 100)
 
@@ -130,14 +131,15 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", stories.masked_tokens(tokens, F.col("item_id")).alias("tokens"))
 
 
-@query("random_baselines")
+@query("random_baselines", f"SELECT doc_id, {bucket('doc_id', 2)} = 1 AS label, list_transform(range(0, 8), lambda i: {bucket("doc_id || '|' || i", 1 << 30)} / 1073741824) AS vec FROM labels")
 def _(spark, d):
     return table(spark, d, "labels").select("doc_id", stories.random_baseline(F.col("doc_id")).alias("label"), stories.random_vector(F.col("doc_id"), 8).alias("vec"))
 
 
-@query("task_suite_sts")
+@query("task_suite_sts", vector_query.sql["sts_all_mean_wmean"])
 def _(spark, d):
-    return tasks.evaluate("STS12", sts(spark, d).withColumnRenamed("sim", "predicted"))
+    out = tasks.evaluate("STS12", sts(spark, d).withColumnRenamed("sim", "predicted"))
+    return out.select("dataset", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), "n")
 
 
 @query("task_mrpc", "WITH x AS (SELECT quality AS g, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS p FROM labels) SELECT round(100 * avg(CAST(g = p AS DOUBLE)), 2) AS acc, round(200.0 * count(*) FILTER (g = 1 AND p = 1) / (count(*) FILTER (g = 1) + count(*) FILTER (p = 1)), 2) AS f1, count(*) AS n FROM x")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions import parsing, similarity, text
 from narrascope.operators import corpus, overlap, stats, triplets
-from narrascope.plans.views import TT, Catalogue, ascii_tokens, coverage, grams, jaccard, table, text_triplets, word_tokens
+from narrascope.plans.views import TT, Catalogue, ascii_tokens, bucket, coverage, grams, jaccard, table, text_triplets, word_tokens
 
 query = Catalogue()
 
@@ -49,7 +49,7 @@ def _(spark, d):
     return text_triplets(spark, d).select("i", F.when(says, a).otherwise(b).alias("closer"), F.when(says, b).otherwise(a).alias("farther"))
 
 
-@query("random_flip")
+@query("random_flip", f"WITH {TT}, f AS (SELECT *, {bucket('i', 2)} = 1 AS flip FROM tt) SELECT i, CASE WHEN flip THEN text_b ELSE text_a END AS text_a, CASE WHEN flip THEN text_a ELSE text_b END AS text_b, gold <> flip AS text_a_is_closer FROM f")
 def _(spark, d):
     return triplets.flipped(text_triplets(spark, d), F.col("i")).select("i", "text_a", "text_b", "text_a_is_closer")
 
@@ -287,7 +287,9 @@ def _(spark, d):
     return rows.select("conv_id", joined.alias("joined"), F.size(text.split_events(joined)).cast("long").alias("n"))
 
 
-@query("html_to_plain")
+@query("html_to_plain", f"""WITH b AS (SELECT page_id, list_transform(regexp_extract_all(html, '{text.BLOCK}'), lambda x: CASE WHEN lower(x[1:3]) = '<h2' THEN '# ' WHEN lower(x[1:3]) = '<h3' THEN '## ' ELSE '' END
+  || replace(replace(replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || chr(10)) AS l FROM pages)
+SELECT page_id, array_to_string(l, '') AS plain FROM b""")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_to_plain(F.col("html")).alias("plain"))
 
@@ -304,6 +306,6 @@ def _(spark, d):
     return out.select("anchor_id", "pos", "hypothesis", "label", r6("score").alias("score"))
 
 
-@query("negative_pairs")
+@query("negative_pairs", f"SELECT a_id, b_id, -1 AS label FROM (SELECT doc_id AS a_id, lead(doc_id) OVER (PARTITION BY {bucket('doc_id', 64, 43)} ORDER BY {bucket('doc_id', 1 << 30)}, doc_id) AS b_id FROM documents) WHERE b_id IS NOT NULL")
 def _(spark, d):
     return corpus.negative_pairs(table(spark, d, "documents"), "doc_id", "text").select("a_id", "b_id", "label")

@@ -96,3 +96,7 @@ def coverage(a: str, b: str) -> str:
 
 def grams(t: str, n: int) -> str:
     return f"(CASE WHEN len({t}) < {n} THEN CAST([] AS VARCHAR[]) ELSE list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], chr(1))) END)"
+
+
+def bucket(x: str, n: int, seed: int = 42) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', CAST({x} AS VARCHAR), '{seed}')), 1, 8) AS BIGINT) % {n})"
