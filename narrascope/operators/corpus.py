@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrascope.operators.ordering import numbered, numbered_within
+
 
 def vocabulary(tokens: DataFrame, token: str, least: int = 1, specials: tuple[str, ...] = ()) -> DataFrame:
     """``(token, count, token_id)``: special tokens first, then tokens by falling count, ties by the token.
-
-    Numbers come from counts of counts, so no window holds the whole vocabulary: a token's number is the number of
-    tokens with a higher count plus its place among those of its own count.
     """
     counts = tokens.groupBy(F.col(token).alias("token")).agg(F.count("*").alias("count")).where(F.col("count") >= least)
-    sizes = counts.groupBy("count").agg(F.count("*").alias("n"))
-    before = sizes.select("count", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("count").orderBy("token"))
-    numbered = counts.withColumn("place", place).join(before, "count")
-    out = numbered.select("token", "count", (F.col("before") + F.col("place") - 1 + len(specials)).cast("long").alias("token_id"))
+    out = numbered(counts, [F.desc("count"), "token"], "place").select("token", "count", (F.col("place") - 1 + len(specials)).cast("long").alias("token_id"))
     if not specials:
         return out
     fixed = tokens.sparkSession.createDataFrame([(t, 0, k) for k, t in enumerate(specials)], "token string, count long, token_id long")
@@ -107,8 +102,8 @@ def split_column(key: Column, train: int = 80, dev: int = 10, forced_test: Colum
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """With ``fold``: the rows of each label in hash order are dealt round."""
-    order = Window.partitionBy(label).orderBy(bucket(F.col(key), 1 << 30, seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("long"))
+    placed = numbered_within(df.withColumn("__hash", bucket(F.col(key), 1 << 30, seed)), [label], ["__hash", key], "__r")
+    return placed.withColumn("fold", F.pmod(F.col("__r") - 1, F.lit(k)).cast("long")).drop("__hash", "__r")
 
 
 def quota(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
@@ -127,9 +122,9 @@ def interleaved(a: DataFrame, b: DataFrame, key: str, seed: int = 42) -> DataFra
     """Both frames with ``at`` in 0..1: each one's rows, in hash order, spread evenly, so any stretch holds them in proportion."""
     parts = []
     for side, df in enumerate((a, b)):
-        order = Window.partitionBy(F.lit(0)).orderBy(bucket(F.col(key), 1 << 30, seed), key)
-        n = max(1, df.count())
-        parts.append(df.withColumn("side", F.lit(side)).withColumn("at", (F.row_number().over(order) - 0.5) / F.lit(float(n))))
+        placed = numbered(df.withColumn("__hash", bucket(F.col(key), 1 << 30, seed)), ["__hash", key], "__r")
+        at = (F.col("__r") - 0.5) / F.lit(float(max(1, df.count())))
+        parts.append(placed.withColumn("side", F.lit(side)).withColumn("at", at).drop("__hash", "__r"))
     return parts[0].unionByName(parts[1])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrascope.operators.ordering import running_sum
+
 
 def summary(df: DataFrame, by: list[str], value: str, extremes: bool = False) -> DataFrame:
     """mean, median, population std, p10, p90 and n of each group; quantiles interpolate linearly."""
@@ -51,16 +53,19 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Ranks by value; equal values share the mean of their ranks."""
     sizes = df.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    order = Window.partitionBy(*by).orderBy(value) if by else Window.partitionBy(F.lit(0)).orderBy(value)
-    before = F.coalesce(F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = sizes.select(*by, value, (before + (F.col("__c") + 1) / 2).alias(out))
+    upto = running_sum(sizes, [*by, value], F.col("__c"), "__upto")
+    if by:
+        upto = upto.join(upto.groupBy(*by).agg(F.min(F.col("__upto") - F.col("__c")).alias("__base")), by)
+    else:
+        upto = upto.withColumn("__base", F.lit(0))
+    ranks = upto.select(*by, value, (F.col("__upto") - F.col("__base") - F.col("__c") + (F.col("__c") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 
 def correlations(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman of each group and its size; a correlation that isn't defined is 0.
 
-    Ranks are those of distinct values with their counts, so no window holds the rows of a group.
+    Ranks come from running sums over distinct values, spread over tasks however large a group is.
     """
     both = average_rank(average_rank(df, by, x, "__rx"), by, y, "__ry")
     corr = lambda a, b: F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))

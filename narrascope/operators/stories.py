@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.operators.corpus import bucket
+from narrascope.operators.corpus import bucket, runs
+from narrascope.operators.ordering import numbered
 
 #: Languages from the best to the poorest translation.
 LANGUAGE_ORDER = ("en", "de", "fr", "es", "it")
@@ -47,12 +48,7 @@ def has_links(sitelinks: Column, *wanted: str) -> Column:
 def summary_rows(stories: DataFrame, summaries: str = "summaries_translated", key: str = "wikidata_id", least: int = 2) -> DataFrame:
     """``(label, key, lang, summary)`` of stories with at least so many summaries; labels number the stories by key."""
     kept = stories.where(F.size(summaries) >= least).select(key, summaries)
-    ids = kept.select(key).distinct()
-    numbered = ids.withColumn("__b", bucket(F.col(key), 1024))
-    sizes = numbered.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(key))
-    labels = numbered.withColumn("__p", place).join(F.broadcast(before), "__b").select(key, (F.col("__before") + F.col("__p") - 1).alias("label"))
+    labels = numbered(kept.select(key).distinct(), [key], "place").select(key, (F.col("place") - 1).alias("label"))
     return kept.join(labels, key).select("label", key, F.explode(summaries).alias("lang", "summary"))
 
 
@@ -96,8 +92,6 @@ def gender_of_span(tokens: DataFrame, names: DataFrame, by: list[str], token: st
 
 def name_table(rows: DataFrame, order: str) -> DataFrame:
     """``(name, sex, percent)`` of stretches of equal names: the modal sex, the first of equals, and the summed share."""
-    from narrascope.operators.corpus import runs
-
     r = runs(rows.withColumn("__all", F.lit(0)), ["__all"], order, "name")
     totals = r.groupBy("run").agg(F.first("name").alias("name"), F.sum("percent").alias("percent"))
     sexes = r.groupBy("run", "sex").agg(F.count("*").alias("c"), F.min(order).alias("first")).groupBy("run").agg(F.max_by("sex", F.struct("c", -F.col("first"))).alias("sex"))
@@ -128,12 +122,12 @@ def quota_sample(clusters: DataFrame, sizes: dict[int, int], in_test: float = 0.
 
 def with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows drawn with replacement: draw k takes the row at the k-th hashed place in the order of the key's hash."""
-    order = Window.partitionBy(F.lit(0)).orderBy(bucket(F.col(key), 1 << 30, seed), key)
     total = df.count()
     if not total:
         return df.limit(0).withColumn("draw", F.lit(0).cast("long"))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), bucket(F.col("id"), total, seed + 1).alias("__at"))
-    return df.withColumn("__at", F.row_number().over(order) - 1).join(F.broadcast(draws), "__at").drop("__at")
+    placed = numbered(df.withColumn("__hash", bucket(F.col(key), 1 << 30, seed)), ["__hash", key], "__r")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (bucket(F.col("id"), total, seed + 1) + 1).alias("__r"))
+    return placed.join(draws, "__r").drop("__r", "__hash")
 
 
 def contrastive_candidates(rows: DataFrame, key: str, batch: int, n: int = 30, seed: int = 42) -> DataFrame:

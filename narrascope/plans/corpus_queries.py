@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions import parsing, text
 from narrascope.operators import clusters, corpus, stats, vectors
+from narrascope.operators.ordering import numbered
 from narrascope.plans.views import Catalogue, ascii_tokens, bucket, table, word_tokens
 
 query = Catalogue()
@@ -305,14 +306,8 @@ def _(spark, d):
 
 @query("length_sorted_batches", "SELECT doc_id, (row_number() OVER (ORDER BY length(text), doc_id) - 1) // 64 AS batch FROM documents")
 def _(spark, d):
-    # row numbers over a total order without gathering it: places within a length, plus all rows of shorter ones
-    from pyspark.sql import Window
-
     docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
-    sizes = docs.groupBy("n").agg(F.count("*").alias("c"))
-    before = sizes.select("n", F.coalesce(F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = docs.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy("doc_id"))).join(before, "n")
-    return place.select("doc_id", F.floor((F.col("before") + F.col("k") - 1) / 64).alias("batch"))
+    return numbered(docs, ["n", "doc_id"], "place").select("doc_id", F.floor((F.col("place") - 1) / 64).alias("batch"))
 
 
 @query("lineitem_tied_spearman", "WITH r AS (SELECT l_returnflag AS flag, avg(x) OVER (PARTITION BY l_returnflag, l_quantity) AS rx, avg(y) OVER (PARTITION BY l_returnflag, l_discount) AS ry FROM (SELECT l_returnflag, l_quantity, l_discount, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_discount) AS y FROM lineitem)) SELECT flag, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM r GROUP BY flag")

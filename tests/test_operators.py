@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from narrascope.operators import clusters, corpus, losses, overlap, retrieval, stats, triplets, vectors
+from narrascope.operators import clusters, corpus, losses, ordering, overlap, retrieval, stats, triplets, vectors
 
 
 def triplet_rows(spark):
@@ -211,3 +211,14 @@ def test_losses(spark):
     assert got == pytest.approx(math.log(math.e + 1 + math.exp(0.6)) - 1)
     r = spark.range(1).select(losses.hinge(F.lit(0.9), F.lit(0.1)).alias("a"), losses.cosine_embedding(F.lit(-0.3), F.lit(-1)).alias("b"), losses.cosine_embedding(F.lit(0.4), F.lit(1)).alias("c")).first()
     assert (r.a, r.b, r.c) == (0.0, 0.0, 0.6)
+
+
+def test_places_in_an_order_and_in_groups(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(3), rnd.random()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    assert [r.v for r in ordering.numbered(df, [F.desc("v")], "n").orderBy("n").collect()] == sorted((v for _, v in rows), reverse=True)
+    for g in range(3):
+        got = ordering.numbered_within(df, ["g"], ["v"], "n").where(F.col("g") == g).orderBy("n").collect()
+        assert [(r.n, r.v) for r in got] == list(enumerate(sorted(v for h, v in rows if h == g), 1))
+    assert ordering.numbered(df.limit(0), ["v"], "n").count() == 0
