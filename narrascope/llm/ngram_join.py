@@ -49,7 +49,7 @@ BINS = 256
 LARGE = 4096
 #: Ids that may be broadcast (8 MB), and documents of one block of a cluster.
 FEW = 1_000_000
-PART = 4096
+PART = 1024
 #: A shingle is frequent if it is counted this often above its cell's expected noise.
 FREQUENT = 64
 DRAWS = 64
