@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrascope.session import share_code
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -50,6 +52,7 @@ def encode(load: Callable[[], Encoder], c: Column, batch: int = 64, normalise: b
 
 def encode_distinct(rows: DataFrame, columns: list[str], load: Callable[[], Encoder], **options) -> DataFrame:
     """A lookup ``(text, embedding)``: every different text of the columns is encoded once."""
+    share_code(rows.sparkSession)
     texts = rows.select(F.explode(F.array(*columns)).alias("text")).where("text is not null").distinct()
     return texts.select("text", encode(load, F.col("text"), **options).alias("embedding"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions.similarity import cosine
+from narrascope.session import share_code
 
 #: Vectors in one block of a block product.
 BLOCK = 1024
@@ -49,6 +50,7 @@ def pair_scores(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id
     the ``top`` best for each query, so what leaves a block is bounded by the result and not by all pairs.
     Zero vectors have no cosine and are in no pair.
     """
+    share_code(queries.sparkSession)
     q, c = _pack(queries, id_col, vector, block, "q"), _pack(candidates, id_col, vector, block, "c")
     tasks = q.crossJoin(c)  # of blocks: one row for each product
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package where they see the driver's folders; elsewhere it is shipped with the job."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; one is set only where the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +55,7 @@ class Scratch:
     """Written intermediate tables of one call, below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        share_code(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/narrascope/{name}-{uuid.uuid4().hex}"
         atexit.register(_forget, spark, self.path)
