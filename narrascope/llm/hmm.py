@@ -35,6 +35,8 @@ from narrascope.session import Scratch
 STATES = 6
 HEAD = 16000
 ROUNDS = 3
+#: Probability of staying in a state before training.
+STAY = 0.99
 SEGMENT = 256
 SHAPES = 64
 END = np.int64(-(1 << 62))
@@ -96,9 +98,11 @@ class Hmm:
 
     @classmethod
     def initial(cls, unigram: np.ndarray) -> Hmm:
+        """Uneven emissions and states that are rarely left, so that a text's words settle on its state together."""
         rng = np.random.default_rng(5)
-        emit = unigram[:, None] * rng.gamma(4.0, 0.25, (len(unigram), STATES))
-        move = rng.dirichlet(np.full(STATES, 2.0), STATES)
+        emit = unigram[:, None] * rng.gamma(1.0, 1.0, (len(unigram), STATES))
+        move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1))
+        np.fill_diagonal(move, STAY)
         return cls(np.full(STATES, 1 / STATES), np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
     def refit(self, counts: np.ndarray, unigram: np.ndarray) -> Hmm:

@@ -300,3 +300,9 @@ def test_quality_of_odd_texts_and_without_labels(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows.values())
     none = quality.train(df.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, quality int"))
     assert {round(r.score, 9) for r in quality.score(df, none).collect() if r.doc_id in (1, 2)} == {0.5}
+
+
+def test_the_model_beats_its_base_on_held_out_texts(spark):
+    out = hmm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    r = out.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert r.s - r.b > 0.1 * r.n
