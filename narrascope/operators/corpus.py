@@ -35,7 +35,7 @@ def mean_vectors(tokens: DataFrame, vectors: DataFrame, doc: str, token: str, di
     parts = counts.join(vectors.select(F.col("word").alias(token), "vec"), token).select(doc, "c", F.posexplode("vec").alias("i", "x"))
     means = parts.groupBy(doc, "i").agg((F.sum(F.col("c") * F.col("x").cast("double")) / F.sum("c")).alias("m"))
     rows = means.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vec"))
-    return tokens.select(doc).distinct().join(rows, doc, "left").select(doc, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
+    return counts.select(doc).distinct().join(rows, doc, "left").select(doc, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
 def best_match(pairs: DataFrame) -> DataFrame:

@@ -68,9 +68,13 @@ def hard_negatives(anchors: DataFrame, hypotheses: DataFrame, on: str, bonus: fl
     the join.
     """
     words = lambda c: F.array_distinct(text.ascii_words(F.col(c)))
-    left = anchors.select("anchor_id", on, words("anchor").alias("a"))
-    right = hypotheses.where(F.trim(F.coalesce("hypothesis", F.lit(""))) != "").select("pos", "hypothesis", "label", on, words("hypothesis").alias("b"))
-    score = similarity.set_jaccard(F.col("a"), F.col("b")) + F.when(F.col("label") == "contradiction", bonus).otherwise(0.0)
-    scored = left.join(right, on).select("anchor_id", "pos", "hypothesis", "label", score.alias("score"))
+    kept = hypotheses.where(F.trim(F.coalesce("hypothesis", F.lit(""))) != "")
+    each = lambda rows, key, c, n: rows.select(key, on, words(c).alias("w")).select(key, on, F.size("w").alias(n), F.explode("w").alias("w"))
+    # shared words by a join on the words, so no pair of word lists is ever compared; pairs without any score 0
+    both = each(anchors, "anchor_id", "anchor", "na").join(each(kept, "pos", "hypothesis", "nb"), [on, "w"])
+    shared = both.groupBy("anchor_id", "pos").agg(similarity.share(F.count("*"), F.first("na") + F.first("nb") - F.count("*")).alias("s"))
+    pairs = anchors.select("anchor_id", on).join(kept.select("pos", "hypothesis", "label", on), on)
+    score = F.coalesce("s", F.lit(0.0)) + F.when(F.col("label") == "contradiction", bonus).otherwise(0.0)
+    scored = pairs.join(shared, ["anchor_id", "pos"], "left").select("anchor_id", "pos", "hypothesis", "label", score.alias("score"))
     best = F.max_by(F.struct("pos", "hypothesis", "label", "score"), F.struct(F.col("score"), -F.col("pos")))
     return scored.groupBy("anchor_id").agg(best.alias("b")).select("anchor_id", "b.*")
