@@ -244,7 +244,7 @@ def _(spark, d):
     return rows.select("vec_id", F.when(later, 1).otherwise(0).alias("chosen"), F.when(later, 2).otherwise(1).alias("exported"))
 
 
-@query("aspect_vote", "SELECT vec_id, round(0.35 * t + 0.45 * a + 0.20 * o, 6) AS weighted, t + a + o >= 2 AS majority FROM (SELECT vec_id, vec_id % 2 AS t, vec_id // 2 % 2 AS a, vec_id // 4 % 2 AS o FROM embeddings)")
+@query("aspect_vote", "SELECT vec_id, round(CAST(0.35 * t + 0.45 * a + 0.20 * o AS DOUBLE), 6) AS weighted, t + a + o >= 2 AS majority FROM (SELECT vec_id, vec_id % 2 AS t, vec_id // 2 % 2 AS a, vec_id // 4 % 2 AS o FROM embeddings)")
 def _(spark, d):
     flag = lambda k: F.floor(F.col("vec_id") / k) % 2 == 1
     args = (flag(1), flag(2), flag(4))
