@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from narrascope.llm.rows import bound_batches
+from narrascope.llm.rows import BATCH_BYTES, bound_batches
 from narrascope.session import Scratch
 
 SCHEMA = "page_id long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -156,6 +156,15 @@ def read_records(source, predicates: list[tuple[str, set[str]]], payload: bool,
         )
 
 
+_ARROW = pa.schema(
+    [("page_id", pa.int64()), *[(c, pa.string()) for c in ("record_type", "record_id", "target_uri", "refers_to", "payload_digest")], ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+
+
 @dataclass
 class Archive(InputPartition):
     paths: list[str]
@@ -164,8 +173,9 @@ class Archive(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
-        self.payload = options.get("payload", "true") == "true"
-        self.verify = options.get("verify", "false") == "true"
+        wanted = options.get("payload", "true")
+        self.payload, self.decode = wanted == "true", wanted in ("true", "checked")
+        self.verify = wanted == "checked" or options.get("verify", "false") == "true"
         self.group = int(options.get("groupbytes", 32 << 20))
         self.predicates: list[tuple[str, set[str]]] = []
 
@@ -196,7 +206,15 @@ class WarcReader(DataSourceReader):
         system, _ = fs.FileSystem.from_uri(self.root)
         for path in partition.paths:
             with system.open_input_stream(path, compression=None) as source:
-                yield from read_records(source, self.predicates, self.payload, self.verify)
+                rows, size = [], 0
+                for row in read_records(source, self.predicates, self.decode, self.verify):
+                    rows.append(row if self.payload else (*row[:-1], None))
+                    size += 300 + (len(row[-1]) if self.payload and row[-1] else 0)
+                    if size > BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
 
 
 @dataclass
@@ -248,7 +266,10 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Format ``warc``; options ``path``, ``payload``, ``verify``, ``groupbytes``, ``level``, ``filebytes``."""
+    """Format ``warc``; options ``path``, ``payload``, ``verify``, ``groupbytes``, ``level``, ``filebytes``.
+
+    ``payload`` is true, false (skipped) or ``checked``: decoded, measured and held against its digest, but not handed on.
+    """
 
     @classmethod
     def name(cls):
@@ -265,6 +286,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    bound_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
@@ -293,12 +315,11 @@ def archive(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Write the pages as archives into the shared folder, read them back and give every page's record without its payload."""
     spark = pages.sparkSession
     register(spark)
-    bound_batches(spark)
     path = Scratch(spark, "warc").path + "/archive"
     revisits(pages, at_least=at_least).write.format("warc").mode("append").option("path", path).save()
     back = spark.read.format("warc").option("path", path)
-    responses = back.option("verify", "true").load().where("record_type = 'response'")
-    repeats = back.option("payload", "false").option("verify", "false").load().where("record_type = 'revisit'")
+    responses = back.option("payload", "checked").load().where("record_type = 'response'")
+    repeats = back.option("payload", "false").load().where("record_type = 'revisit'")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     named = responses.select("record_id", F.col("page_id").alias("refers_to")).distinct()
     own = responses.select(*columns, F.lit(None).cast("long").alias("refers_to"))
