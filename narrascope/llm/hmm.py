@@ -1,18 +1,20 @@
 """Language model scoring by a hidden Markov model.
 
-Tokens are lower-cased words and an end token.  The model walks over ``STATES`` latent states; each emits a symbol:
-one of the ``HEAD`` most counted words, the end, or one of ``SHAPES`` word shapes that stand for all other words.  A
-word behind a shape has the probability of its own count among the words of that shape, with one place for all
-words never seen.  So the model is a distribution over all texts.
-
-Baum-Welch: in each round every partition runs the scaled forward and backward recursions over segments of its
-training texts, side by side as numpy arrays, and hands on expected counts; their sum, of fixed size, gives the next
-model.  Scoring is exact for whole texts: the first segment of a text runs forward from the model's start; for later
-ones all ``STATES`` start vectors run forward, which gives the segment's transition product, and the products are
-applied in order.
-
-Counts of words are exact and stay distributed: those of the head (a fixed number) are sent to the executors, all
-others are joined to the scored texts' words by their hash.
+Tokens are lower-cased words and an end token.  The model walks over ``STATES`` latent states; each emits every word of
+the training texts with a probability of its own, the end, or a word never seen.
+
+The ``HEAD`` most counted words have a fixed place in an array that is sent to the executors.  All others are emitted
+through one of ``SHAPES`` word shapes: a state's probability of the shape times the word's share in the shape under
+that state.  The shares come from the word's own expected counts in each state, which are kept for every word in a
+distributed table and joined to the texts' words by hash; ``PRIOR`` tokens of the shape's division over states are
+added to a word's.  A shape has one place for all words never seen.  So the model is a distribution over all texts.
+
+Texts are coded once, in blocks: symbols, and the block's distinct words outside the head.  Baum-Welch: in each round
+the blocks meet their words' rows of the table, every partition runs the scaled forward and backward recursions over
+segments of its training texts, side by side as numpy arrays, and hands on expected counts.  Those of fixed size are
+summed to the next model, those of the words outside the head to the next table.  Scoring is exact for whole texts:
+the first segment of a text runs forward from the model's start; for later ones all ``STATES`` start vectors run
+forward, which gives the segment's transition product, and the products are applied in order.
 
 Defined cases: a null or empty text is the end token alone; without training texts all words are unseen; a null id
 counts as the empty text when texts are dealt into learned and held out; rows that repeat an id are rows of their own.
@@ -42,6 +44,11 @@ SHAPES = 64
 END = np.int64(-(1 << 62))
 #: Weight of the unigram distribution in every state's emissions.
 FLOOR = 0.05
+#: Tokens of its shape's division over states that are added to the counts of a word outside the head.
+PRIOR = 10.0
+#: Expected counts of a word in each state.
+PARTS = [f"n{j}" for j in range(STATES)]
+LOOKUP = ["key", "c", *PARTS]
 
 
 def _shapes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,7 +77,6 @@ class Vocabulary:
     total: int
     distinct: int
     shape_mass: np.ndarray
-    shape_types: np.ndarray
 
     @property
     def size(self) -> int:
@@ -115,6 +121,44 @@ class Hmm:
         return Hmm(start / start.sum(), go_on / go_on.sum(), move / move.sum(axis=1, keepdims=True), emit)
 
 
+@dataclass
+class Shares:
+    """Shares of the words outside the head in their shapes, by state."""
+
+    divided: np.ndarray  # shape x state: the shape's division over states
+    mass: np.ndarray  # shape x state: counts of the shape's words and the one place for words never seen
+    prior: float
+
+    @classmethod
+    def of(cls, emit: np.ndarray, table: DataFrame) -> Shares:
+        """From expected counts of the shapes (shape x state) and the table of words (key, shape, c, ``PARTS``)."""
+        divided = emit + 0.1
+        divided /= divided.sum(axis=1, keepdims=True)
+        mass = 0.5 * divided
+        g = (F.col("c") + 0.5) / (F.col("c") + PRIOR)
+        sums = table.groupBy("shape").agg(F.sum(g).alias("g"), *[F.sum(g * F.col(n).cast("double")).alias(n) for n in PARTS])
+        for r in sums.collect():
+            mass[r["shape"]] += PRIOR * divided[r["shape"]] * r["g"] + [r[n] for n in PARTS]
+        return cls(divided, mass, PRIOR)
+
+    def __call__(self, keys: np.ndarray, shapes: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """word x state; words never seen have zero counts."""
+        d = self.divided[shapes]
+        return ((c + 0.5) / (c + self.prior))[:, None] * (n + self.prior * d) / self.mass[shapes]
+
+
+def uneven(keys: np.ndarray, shapes: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first round's factors of words outside the head: drawn by hash, as uneven as those of the head."""
+    u = np.stack([mix(keys.view(U) + U(97 + j)) >> U(11) for j in range(STATES)], axis=1)
+    return -np.log((u + 0.5) / 2.0**53)
+
+
+def with_words(model: Hmm, ratio: np.ndarray, shapes: np.ndarray) -> Hmm:
+    """The model with a block's words outside the head as further symbols."""
+    at = len(model.emit) - SHAPES + shapes
+    return Hmm(model.start, model.go_on, model.move, np.vstack([model.emit, model.emit[at] * ratio]))
+
+
 def _cut(per: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, number in its text) of segments of at most ``size`` entries, text by text."""
     n = np.maximum(1, -(-np.diff(per) // size))
@@ -243,6 +287,59 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([0], pa.int32()), pa.array([texts], pa.int64())], names)
 
 
+def _code(words):
+    """Blocks of texts as symbols; words outside the head are numbered in the order of the block's ``keys``."""
+
+    def run(batches):
+        v = words.value
+        for batch in batches:
+            for lo, hi, h, shapes, per in _words(batch.column(1)):
+                symbols, head = v.symbols(h, shapes)
+                keys, first, back = np.unique(h[~head], return_index=True, return_inverse=True)
+                symbols[~head] = v.size + back
+                symbols, per = _with_end(symbols, per)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays(
+                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(keys)), *[pa.array([x.tobytes()], pa.binary()) for x in (per, symbols.astype(np.int32), shapes[~head][first].astype(np.int8))]],
+                    ["ids", "keys", "per", "symbols", "shapes"],
+                )
+
+    return run
+
+
+def _arrays(data: pa.StructArray, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, per, shapes) of a coded block."""
+    get = lambda name, kind: np.frombuffer(data.field(name)[i].as_buffer(), kind).astype(np.int64)
+    return get("symbols", np.int32), get("per", np.int64), get("shapes", np.int8)
+
+
+def _meet(coded: DataFrame, table: DataFrame | None) -> DataFrame:
+    """Each block behind the table's rows of its words, in the order of their keys; without a table the blocks alone."""
+    data = F.struct("ids", "keys", "per", "symbols", "shapes")
+    if table is None:
+        return coded.select("block", *[F.lit(None).cast("double").alias(n) for n in LOOKUP], data.alias("data"))
+    own = coded.select("block", F.explode("keys").alias("key"))
+    found = own.join(table.select(*LOOKUP), "key", "left").select("block", *LOOKUP)
+    blank = F.struct(*[F.col(n) for n in ("ids", "per", "symbols", "shapes")]).alias("data")
+    rows = found.unionByName(coded.select("block", blank), allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", F.col("data").isNotNull(), "key")
+
+
+def _met(batches):
+    """Yield ``(data, i, keys, c, n)`` of the blocks that ``_meet`` has lined up."""
+    held = []
+    for batch in batches:
+        data = batch.column(batch.num_columns - 1)
+        cols = [batch.column(1 + j).fill_null(0).to_numpy(zero_copy_only=False) for j in range(len(LOOKUP))]
+        start = 0
+        for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
+            held.append([x[start:i] for x in cols])
+            key, c, *n = [np.concatenate(x) for x in zip(*held)]
+            yield data, int(i), key, c.astype(float), np.stack(n, axis=1).astype(float)
+            held, start = [], i + 1
+        held.append([x[start:] for x in cols])
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
@@ -256,82 +353,78 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     size = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.expr(f"if(key = {END}, c, 0)")).alias("ends")).first()
     words = counted.where(F.col("key") != int(END))
     top = words.orderBy(F.desc("c"), "key").limit(HEAD).select("key", "c").toPandas().sort_values("key")
-    shape_mass, shape_types = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
-    head_shape = words.join(F.broadcast(spark.createDataFrame(top[["key"]], "key long")), "key", "left_anti") if len(top) else words
-    for r in head_shape.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("t")).collect():
-        shape_mass[r["shape"]], shape_types[r["shape"]] = r["c"], r["t"]
-    vocabulary = Vocabulary(top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(size["ends"] or 0), int(size["n"] or 0), int(size["v"]), shape_mass, shape_types)
+    shape_mass = np.zeros(SHAPES, np.int64)
+    outside = words.join(F.broadcast(spark.createDataFrame(top[["key"]], "key long")), "key", "left_anti") if len(top) else words
+    for r in outside.groupBy("shape").agg(F.sum("c").alias("c")).collect():
+        shape_mass[r["shape"]] = r["c"]
+    vocabulary = Vocabulary(top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(size["ends"] or 0), int(size["n"] or 0), int(size["v"]), shape_mass)
+    work.drop("counts")
 
     unigram = vocabulary.unigram()
     model = Hmm.initial(unigram)
     shared_words = spark.sparkContext.broadcast(vocabulary)
-    length = 2 * STATES + STATES * STATES + vocabulary.size * STATES
+    id_type = texts.schema["id"].dataType.simpleString()
+    coded_schema = f"ids array<{id_type}>, keys array<bigint>, per binary, symbols binary, shapes binary"
+    parts = [texts.where(w).mapInArrow(_code(shared_words), coded_schema).withColumn("held", F.lit(h)) for h, w in ((False, ~held_out("id")), (True, held_out("id")))]
+    coded = work.save(parts[0].unionByName(parts[1]).withColumn("block", F.monotonically_increasing_id()), "coded")
+    k, n_symbols = STATES, vocabulary.size
+    fixed = 2 * k + k * k
+    length = fixed + n_symbols * k
+    names = ["block", "cells", "key", "shape", "c", *PARTS]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), *[pa.float32()] * k]
 
     def round_of(shared):
         def run(batches):
+            m, ratio = shared.value
             total = np.zeros(length)
-            for batch in batches:
-                for _, _, h, shapes, per in _words(batch.column(0)):
-                    total += expectations(shared.value, *_with_end(shared_words.value.symbols(h, shapes)[0], per))
+            for data, i, keys, c, n in _met(batches):
+                symbols, per, shapes = _arrays(data, i)
+                if ratio is uneven:
+                    keys = data.field("keys")[i].values.to_numpy()
+                counts = expectations(with_words(m, ratio(keys, shapes, c, n), shapes), symbols, per)
+                emit = counts[fixed:].reshape(-1, k)
+                outside = emit[n_symbols:]
+                total += counts[:length]
+                np.add.at(total[fixed:].reshape(-1, k), n_symbols - SHAPES + shapes, outside)
+                times = np.bincount(symbols[symbols >= n_symbols] - n_symbols, minlength=len(keys))
+                none = [pa.nulls(len(keys), t) for t in types[:2]]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(keys), pa.array(shapes, pa.int32()), pa.array(times, pa.int64()), *[pa.array(x.astype(np.float32)) for x in outside.T]], names)
             numbers, cells = blocksum.to_rows(total)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(cells, pa.binary())], ["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(cells, pa.binary()), *[pa.nulls(len(cells), t) for t in types[2:]]], names)
 
         return run
 
-    for _ in range(ROUNDS):
-        counts = blocksum.summed(learned.mapInArrow(round_of(spark.sparkContext.broadcast(model)), blocksum.SCHEMA), length, np.float64)
+    table, ratio = None, uneven
+    row = "block int, cells binary, key long, shape int, c long, " + ", ".join(f"{n} float" for n in PARTS)
+    for nth in range(ROUNDS):
+        lined_up = _meet(coded.where("not held"), table)
+        expected = work.save(lined_up.mapInArrow(round_of(spark.sparkContext.broadcast((model, ratio))), row), f"expected-{nth}")
+        counts = blocksum.summed(expected.where("cells is not null"), length, np.float64)
+        sums = expected.where("key is not null").groupBy("key").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"), *[F.sum(n).cast("float").alias(n) for n in PARTS])
+        table = work.save(sums, f"words-{nth}")
+        work.drop(f"expected-{nth}")
+        work.drop(f"words-{nth - 1}")
+        work.release()
         model = model.refit(counts, unigram)
-    shared = spark.sparkContext.broadcast(model)
-    id_type = texts.schema["id"].dataType.simpleString()
+        ratio = Shares.of(counts[fixed:].reshape(-1, k)[-SHAPES:], table)
+    shared = spark.sparkContext.broadcast((model, ratio))
     denominator = vocabulary.total + 0.5 * (vocabulary.distinct + 1)
 
     def measure(batches):
-        """A row for each text, and a row for each of its distinct words outside the head."""
-        v, m = shared_words.value, shared.value
-        names = ["row", "id", "n_tokens", "n_known", "base", "hmm", "key", "shape", "c"]
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for lo, hi, h, shapes, per in _words(batch.column(2)):
-                symbols, head = v.symbols(h, shapes)
-                text = np.repeat(np.arange(hi - lo), np.diff(per))
-                count = np.zeros(len(h))
-                count[head] = v.counts[symbols[head] - 1]
-                base = np.bincount(text[head], np.log10((count[head] + 0.5) / denominator), hi - lo) + np.log10((v.end_count + 0.5) / denominator)
-                hmm = log_likelihoods(m, *_with_end(symbols, per)) / np.log(10)
-                known = np.bincount(text[head], minlength=hi - lo) + (v.end_count > 0)
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(per) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(hmm), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())],
-                    names,
-                )
-                tail = ~head
-                if tail.any():
-                    pair = np.lexsort((h[tail], text[tail]))
-                    key, owner, shape = h[tail][pair], text[tail][pair], shapes[tail][pair]
-                    new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-                    at = np.flatnonzero(new)
-                    k = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[lo + owner[at]]), pa.nulls(k, batch.column(1).type), *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], pa.array(key[at]), pa.array(shape[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(key))))],
-                        names,
-                    )
-
-    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    measured = numbered.mapInArrow(measure, f"row long, id {id_type}, n_tokens long, n_known long, base double, hmm double, key long, shape int, c long")
-    measured = work.save(measured, "measured")
-    tail = measured.where("key is not null").select("row", "key", "shape", F.col("c").alias("times"))
-    shapes = spark.createDataFrame([(k, float(shape_mass[k] + 0.5 * (shape_types[k] + 1))) for k in range(SHAPES)], "shape int, mass double")
-    joined = tail.join(counted.select("key", "c"), "key", "left").join(F.broadcast(shapes), "shape")
-    c = F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5)
-    sums = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10(c / F.lit(float(denominator)))).alias("tail_base"),
-        F.sum(F.col("times") * F.log10(c / F.col("mass"))).alias("within"),
-    )
-    zero = F.lit(0.0)
-    out = measured.where("key is null").join(sums, "row", "left")
-    return out.select(
-        F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", zero)).alias("base_score"),
-        (F.col("hmm") + F.coalesce("within", zero)).alias("score"),
+        m, ratio = shared.value
+        v = shared_words.value
+        head = np.concatenate([[v.end_count], v.counts, np.zeros(SHAPES)])
+        for data, i, keys, c, n in _met(batches):
+            symbols, per, shapes = _arrays(data, i)
+            hmm = log_likelihoods(with_words(m, ratio(keys, shapes, c, n), shapes), symbols, per) / np.log(10)
+            count = np.concatenate([head, c])[symbols]
+            text = np.repeat(np.arange(len(per) - 1), np.diff(per))
+            known = np.bincount(text, count > 0, len(per) - 1).astype(np.int64)
+            base = np.bincount(text, np.log10((count + 0.5) / denominator), len(per) - 1)
+            yield pa.RecordBatch.from_arrays([data.field("ids")[i].values, pa.array(np.diff(per)), pa.array(known), pa.array(base), pa.array(hmm)], ["id", "n_tokens", "n_known", "base", "hmm"])
+
+    measured = _meet(coded, table).mapInArrow(measure, f"id {id_type}, n_tokens long, n_known long, base double, hmm double")
+    return measured.select(
+        F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), F.col("hmm").alias("score"),
     )

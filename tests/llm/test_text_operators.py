@@ -209,6 +209,33 @@ def test_base_scores_are_those_of_brute_force(spark, monkeypatch, head):
     assert all(math.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def test_words_outside_the_head_have_emissions_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 0)
+    rnd = random.Random(3)
+    pools = [[f"{p}{i:02d}" for i in range(40)] for p in "ab"]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, " ".join(rnd.sample(pools[i % 2], 40) * 3)) for i in range(400) if i not in held]
+    mixed = [w for pair in zip(*pools) for w in pair][:40]
+    rows += [(held[0], " ".join(pools[0])), (held[1], " ".join(pools[1])), (held[2], " ".join(mixed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in hmm.score(df).where("held_out").collect()}
+    assert min(score[held[0]], score[held[1]]) > score[held[2]] + 1
+
+
+def test_shares_of_the_words_of_a_shape_sum_to_one(spark):
+    rng = np.random.default_rng(6)
+    c = rng.integers(1, 50, 30)
+    n = (rng.dirichlet(np.ones(hmm.STATES), 30) * c[:, None]).astype(np.float32)
+    shapes = np.arange(30) % 3
+    table = spark.createDataFrame([(i, int(s), int(x), *map(float, y)) for i, (s, x, y) in enumerate(zip(shapes, c, n))], "key long, shape int, c long, " + ", ".join(f"{p} float" for p in hmm.PARTS))
+    emit = np.zeros((hmm.SHAPES, hmm.STATES))
+    np.add.at(emit, shapes, n)
+    shares = hmm.Shares.of(emit, table)
+    got = shares(np.arange(33), np.append(shapes, [0, 1, 2]), np.append(c, [0] * 3).astype(float), np.vstack([n, np.zeros((3, hmm.STATES))]))
+    for s in range(3):
+        assert np.allclose(got[:30][shapes == s].sum(axis=0) + got[30 + s], 1)
+
+
 def test_scores_of_an_empty_table_and_of_held_out_rows_only(spark):
     df = spark.createDataFrame([(i, "some words here") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     rows = hmm.score(df).collect()
