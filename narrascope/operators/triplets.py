@@ -77,10 +77,10 @@ def distinct_texts(df: DataFrame, strip: bool = True) -> DataFrame:
 def choices_to_triplets(df: DataFrame, kinds: tuple[str, ...] = ("random", "noun")) -> DataFrame:
     """One row for each distractor of a multiple-choice example of the wanted kinds; examples that don't fit together are skipped."""
     fits = (F.size("choices") == F.size("types")) & (F.col("answer") >= 0) & (F.col("answer") < F.size("choices"))
-    each = df.where(fits).select("ex_id", "source", "choices", "answer", F.posexplode(F.arrays_zip("choices", "types")).alias("b_index", "other"))
+    each = df.where(fits).select("ex_id", "source", F.get("choices", F.col("answer")).alias("text_a"), "answer", F.posexplode(F.arrays_zip("choices", "types")).alias("b_index", "other"))
     each = each.where((F.col("b_index") != F.col("answer")) & F.col("other.types").isin(*kinds))
     return each.select(
-        F.col("source").alias("anchor_text"), F.get("choices", F.col("answer")).alias("text_a"), F.col("other.choices").alias("text_b"),
+        F.col("source").alias("anchor_text"), "text_a", F.col("other.choices").alias("text_b"),
         F.lit(True).alias(LABEL), F.col("other.types").alias("type"), "ex_id", "b_index",
     )
 

@@ -76,7 +76,7 @@ def choices(spark, d):
     """Multiple-choice examples from conversations: the first turn and all others, every third as a noun."""
     c = table(spark, d, "conversations")
     per = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    rest = F.slice(F.col("t"), 2, 1000)
+    rest = F.slice(F.col("t"), F.lit(2), F.size("t"))
     kind = F.transform(rest, lambda x: F.when(x["turn"] % 3 == 0, "noun").when(x["turn"] % 3 == 1, "random").otherwise("verb"))
     return per.select(F.col("conv_id").alias("ex_id"), F.get("t", F.lit(0))["text"].alias("source"), F.transform(rest, lambda x: x["text"]).alias("choices"), (F.col("conv_id") % 4).cast("int").alias("answer"), kind.alias("types"))
 

@@ -38,6 +38,19 @@ def test_five_variants_of_each(spark):
     assert out == [(7, 0, "A", "B", "C"), (7, 1, "pa", "pb", "pc"), (7, 2, "pa", "B", "C"), (7, 3, "A", "pb", "C"), (7, 4, "A", "B", "pc")]
 
 
+def test_long_conversations_keep_all_their_choices(spark, tmp_path):
+    from narrascope.plans import catalogue
+
+    rows = [(8, t, f"text {t}") for t in range(3000)] + [(9, 0, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    flat = catalogue.QUERIES["mc_flatten"](spark, str(tmp_path)).collect()
+    assert sorted(r.b_index for r in flat) == [t - 1 for t in range(2, 3000) if t % 3 != 2]
+    assert all((r.anchor_text, r.text_a, r.text_b) == ("text 0", "text 1", f"text {r.b_index + 1}") for r in flat)
+    nouns = catalogue.QUERIES["noun_filter"](spark, str(tmp_path)).collect()
+    assert sorted(r.b_index for r in nouns) == [t - 1 for t in range(3, 3000, 3)]
+    assert catalogue.QUERIES["mc_skipped"](spark, str(tmp_path)).first().asDict() == {"n": 2, "kept": 1, "skipped": 1}
+
+
 def test_choices_that_do_not_fit_are_skipped(spark):
     rows = [(1, "s", ["a", "b", "c"], 0, ["x", "noun", "random"]), (2, "s", ["a"], 3, ["noun"]), (3, "s", ["a", "b"], 0, ["noun"])]
     df = spark.createDataFrame(rows, "ex_id int, source string, choices array<string>, answer int, types array<string>")
