@@ -7,8 +7,8 @@ are composed by doubling, and every position's state follows from both.  States
 slices are those of the usual pattern for such vocabularies: contractions, runs of letters, of digits and of other
 signs with one leading space, and white space.
 
-Slices are looked up by their 64-bit hash in a table of slices merged before; new ones go through pair merging by
-rank.  Token lengths give each token's byte offset, by which decoding puts the tokens' bytes in place.
+Slices are looked up by their 64-bit hash in a table of slices merged before and held against its bytes; new ones go
+through pair merging by rank.  Token lengths give each token's byte offset, by which decoding puts the tokens' bytes in place.
 
 Defined cases: null and empty texts have no tokens; special tokens don't exist, their strings are ordinary text.
 """
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from narrascope.llm.rows import map_texts
-from narrascope.llm.textbatch import U, blocks, span_hashes
+from narrascope.llm.textbatch import U, blocks, eights, same_spans, span_hashes
 
 LANE = 256
 SLOTS_BITS = 18
-#: Slices kept as merged before; beyond it the table starts anew.
+#: Slices kept as merged before, and their bytes; beyond either the table starts anew.
 MOST_SLICES = 400_000
+MOST_BYTES = 16 << 20
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, LONE = range(8)
 #: States: what kind of slice the last character belongs to, and what it expects.
@@ -241,44 +242,64 @@ class Encoder:
     def _reset(self) -> None:
         self.slot_key = np.zeros(1 << SLOTS_BITS, U)
         self.slot_no = np.full(1 << SLOTS_BITS, -1, np.int32)
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
-
-    def _add(self, piece: bytes, key: int) -> int:
+        self.text = np.zeros(1 << 20, np.uint8)
+        self.text_at = np.zeros(1 << 14, np.int64)
+        self.text_used = 0
+
+    def _number(self, piece: bytes) -> int:
+        """The number of a slice in the table, which it joins if it is new."""
+        k = self.known.get(piece)
+        if k is not None:
+            return k
         ids = merge(piece, self.ranks)
         k = len(self.known)
-        if k == len(self.at):
-            self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
+        if k + 1 == len(self.at):
+            self.at, self.count, self.text_at = (np.concatenate([x, x]) for x in (self.at, self.count, self.text_at))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
+        while self.text_used + len(piece) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, self.text])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.at[k], self.count[k] = self.used, len(ids)
+        self.text[self.text_used : self.text_used + len(piece)] = np.frombuffer(piece, np.uint8)
+        self.at[k], self.count[k], self.text_at[k] = self.used, len(ids), self.text_used
         self.used += len(ids)
-        self.known[key] = k
+        self.text_used += len(piece)
+        self.text_at[k + 1] = self.text_used
+        self.known[piece] = k
         return k
 
+    def _differ(self, no: np.ndarray, ahead: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Slices whose bytes aren't those of the number that their hash has led to."""
+        own = self.text_at[no]
+        bad = self.text_at[no + 1] - own != size
+        more = np.flatnonzero(~bad & (size > 8))  # up to eight bytes, equal hashes and lengths mean equal bytes
+        kept = np.ndarray(len(self.text) - 7, "<u8", self.text, strides=(1,))
+        bad[more] = ~same_spans(ahead, starts[more], kept, own[more], size[more])
+        return np.flatnonzero(bad)
+
     def encode_block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds of each text's ids) of the texts in ``data``."""
-        if len(self.known) > MOST_SLICES:
+        if len(self.known) > MOST_SLICES or self.text_used > MOST_BYTES:
             self._reset()
         starts = slices(data, bounds)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        h = span_hashes(data, starts, ends)
+        ahead = eights(data)
+        h = span_hashes(data, starts, ends, ahead)
         slot = (h >> U(64 - SLOTS_BITS)).astype(np.int64)
-        no = np.where(self.slot_key[slot] == h, self.slot_no[slot], -1)
+        no = np.where(self.slot_key[slot] == h, self.slot_no[slot], -1).astype(np.int64)
         miss = np.flatnonzero(no < 0)
         if len(miss):
-            keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            got = np.empty(len(keys), np.int64)
-            for k, (key, i) in enumerate(zip(keys.tolist(), miss[first].tolist())):
-                have = self.known.get(key)
-                got[k] = self._add(data[starts[i] : ends[i]].tobytes(), key) if have is None else have
-            no[miss] = got[back]
+            _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            no[miss] = np.array([self._number(data[starts[i] : ends[i]].tobytes()) for i in miss[first].tolist()])[back]
             self.slot_key[slot[miss]] = h[miss]
             self.slot_no[slot[miss]] = no[miss]
+        for i in self._differ(no, ahead, starts, ends - starts).tolist():
+            no[i] = self._number(data[starts[i] : ends[i]].tobytes())
         count = self.count[no]
         ids = _gather(self.flat, self.at[no], count)
         total = np.concatenate([[0], np.cumsum(count)])

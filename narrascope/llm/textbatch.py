@@ -6,6 +6,8 @@ longest single text, never the Arrow batch.  Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,21 +36,11 @@ def _constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(_GOLD) + U(seed)) | U(1)
 
 
-_BYTE = _constants(256, 11)
 _PLACE = _constants(64, 23)
-_BASE = int(_constants(1, 37)[0])
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK + 1)
-        full = np.full(size, base & _ONES, dtype=U)
-        full[0] = 1
-        have = _powers[base] = np.cumprod(full)
-    return have[:n]
+_START, _SIDE, _TWIST = (U(x) for x in _constants(3, 37).tolist())
+#: Spans beyond this many bytes are hashed and compared one by one.
+LONG = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 
 
 #: Maps A-Z to a-z and leaves every other byte.
@@ -113,21 +105,67 @@ def word_spans(low: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span: a prefix sum of byte constants by place, shifted back to the span."""
-    n = len(data)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The little-endian 64-bit number that starts at each byte, and one more; bytes beyond the end are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ahead: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte span; ``ahead`` is ``eights(data)`` if it is at hand.
+
+    Spans of up to eight bytes and one length never collide.  Longer ones run eight bytes at a time through two chained
+    states of 64 bits, which each step scrambles without any linear relation between bytes; those beyond ``LONG``
+    bytes through BLAKE2b.  So two given spans collide with a probability of about 2^-64.
+    """
     if not len(starts):
         return np.zeros(0, U)
-    h = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * _power(_BASE, n), out=h[1:])
-    h = (h[ends] - h[starts]) * _power(_UNBASE, n)[starts]
-    return mix(h + (ends - starts).astype(U) * U(_GOLD))
+    ahead = eights(data) if ahead is None else ahead
+    size = ends - starts
+    x = ahead[starts] & _MASK[np.minimum(size, 8)]
+    h = mix(x + _START)
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    if len(more):
+        a, b = h[more], mix(x[more] * _TWIST + _SIDE)
+        at, left = starts[more] + 8, size[more] - 8
+        live = np.arange(len(more))
+        while len(live):
+            x = ahead[at[live]] & _MASK[np.minimum(left[live], 8)]
+            one = mix(a[live] ^ x)
+            b[live] = mix(b[live] + x * _TWIST) ^ one
+            a[live] = one
+            at[live] += 8
+            left[live] -= 8
+            live = live[left[live] > 0]
+        h[more] = mix(a ^ (b << U(32) | b >> U(32)))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h + size.astype(U) * U(_GOLD))
+
+
+def same_spans(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes at ``xs`` and ``ys`` are equal, row by row; ``x`` and ``y`` are ``eights`` of the bytes."""
+    same = np.ones(len(size), bool)
+    live = np.flatnonzero(size <= LONG)
+    for j in range(0, LONG, 8):
+        live = live[size[live] > j]
+        if not len(live):
+            break
+        differ = (x[xs[live] + j] ^ y[ys[live] + j]) & _MASK[np.minimum(size[live] - j, 8)]
+        same[live[differ != 0]] = False
+        live = live[differ == 0]
+    for i in np.flatnonzero(size > LONG).tolist():
+        at = np.append(np.arange(0, size[i] - 8, 8), size[i] - 8)
+        same[i] = np.array_equal(x[xs[i] + at], y[ys[i] + at])
+    return same
 
 
 def sequence_hash(h: np.ndarray) -> int:
     """One hash for a whole sequence of hashes."""
-    x = int((h * _power(_BASE, len(h))).sum(dtype=U)) + len(h) * 0xA24BAED4963EE407
-    return int(mix(np.array([x & _ONES], U))[0])
+    x = np.array([len(h)], U)
+    for k in range(len(h)):
+        x = mix(x * _TWIST + h[k : k + 1])
+    return int(x[0])
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

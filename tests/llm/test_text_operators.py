@@ -14,12 +14,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from narrascope.llm import bpe, decontaminate, hmm, line_dedup, ngram_join, quality, sharding
-from narrascope.llm.textbatch import shingle_sets
+from narrascope.llm.textbatch import eights, same_spans, shingle_sets, span_hashes
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and cat dog sun moon tree ÉTÉ größe x1 y2 zz. Run, sky sea".split()
 
 
+def thue_morse(n: int) -> list[str]:
+    """The word of n letters a and b and its complement, which sums of byte values by place can't tell apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
 def sample(seed: int, n: int = 120) -> list[tuple]:
     """Random texts, near copies, exact copies, nulls, empties, blanks and one long text."""
     rnd = random.Random(seed)
@@ -30,7 +36,7 @@ def sample(seed: int, n: int = 120) -> list[tuple]:
         for _ in range(rnd.randrange(0, 3)):
             copy[rnd.randrange(60)] = f"e{rnd.randrange(5)}"
         texts.append(" ".join(copy))
-    texts += [texts[0]] * 5 + [None, "", "   ", "one", "Two words", "two WORDS", " ".join(f"v{i}" for i in range(6000))]
+    texts += [texts[0]] * 5 + [None, "", "   ", "one", "Two words", "two WORDS", *thue_morse(1024), *(f"{w} is the same" for w in thue_morse(4096)), " ".join(f"v{i}" for i in range(6000))]
     return list(enumerate(texts))
 
 
@@ -58,6 +64,19 @@ def links(rows, k=4, threshold=85):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+def test_words_that_differ_have_other_hashes():
+    words = [w for n in (8, 16, 64, 256, 1024, 4096) for w in thue_morse(n)] + ["a", "a\0", "aaaaaaaa", "aaaaaaaaa", "größe", "x" * 257, "x" * 256]
+    flat = [w.encode() for w in words * 2]
+    ends = np.cumsum([len(w) for w in flat])
+    h = span_hashes(np.frombuffer(b"".join(flat), np.uint8), ends - [len(w) for w in flat], ends).reshape(2, -1)
+    assert (h[0] == h[1]).all() and len(set(h[0].tolist())) == len(words)
+    x, at = eights(np.frombuffer(b"".join(flat), np.uint8)), ends - [len(w) for w in flat]
+    size = np.array([len(w) for w in words])
+    assert same_spans(x, at[: len(words)], x, at[len(words) :], size).all()
+    for a, b in zip(range(0, 12, 2), range(1, 12, 2)):
+        assert not same_spans(x, at[[a]], x, at[[b]], size[[a]])[0]
+
+
 def test_shingle_sets_are_those_of_plain_python():
     rows = sample(1)
     got = {i: len(u) for i, u in shingle_sets(pa.array([t for _, t in rows], pa.string()), 4)}
@@ -144,7 +163,8 @@ def test_bpe_is_that_of_the_library_and_decodes_to_the_text(spark):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rnd = random.Random(7)
     marks = ["'", "s", "re", "ll", "d", "a", "Z", "é", "1", "²", " ", "  ", "\n", "\t", " ", "!", "漢", "😀", "́", "\r\n", "'ve", "<|endoftext|>", "R"]
-    texts = ["".join(rnd.choices(marks, k=rnd.randrange(40))) for _ in range(1500)] + [None, "", " ", "'" * 70, "x" * 3000, "ab " * 2000]
+    texts = ["".join(rnd.choices(marks, k=rnd.randrange(40))) for _ in range(1500)] + [None, "", " ", "'" * 70, "x" * 3000, "ab " * 2000, *thue_morse(1024), *thue_morse(4096), " ".join(thue_morse(1024))]
+    texts += texts[:40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     encoded = bpe.encode(df, path)
     rows = bpe.decode(encoded, path).collect()
