@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from narrascope.llm.rows import map_texts
-from narrascope.llm.textbatch import U, blocks, eights, same_spans, span_hashes
+from narrascope.llm.textbatch import U, blocks, codepoints, eights, same_spans, span_hashes
 
 LANE = 256
 SLOTS_BITS = 18
@@ -115,22 +115,6 @@ def _kind_table() -> np.ndarray:
     return _kinds[0]
 
 
-def codepoints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codepoints, byte positions) of UTF-8 bytes."""
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    c = data[at].astype(np.int32)
-    if len(at) == len(data):
-        return c, at
-    wide = np.flatnonzero(c >= 0xC0)
-    lead, p = c[wide], at[wide]
-    tail = [data[np.minimum(p + k, len(data) - 1)].astype(np.int32) & 0x3F for k in (1, 2, 3)]
-    two = (lead & 0x1F) << 6 | tail[0]
-    three = (lead & 0x0F) << 12 | tail[0] << 6 | tail[1]
-    four = (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
-    c[wide] = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
-    return c, at
-
-
 def slices(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Byte offsets at which the slices of the texts start; every text that isn't empty starts one."""
     if not len(data):

@@ -1,17 +1,24 @@
 """Quality classifier from supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed features: its words, pairs of adjacent words (all
-pairs of equal words share one bucket) and the byte n-grams of its text, lower-cased.  A softmax layer turns the average into class probabilities.  Vectors and layer are trained together by
-stochastic gradient descent in numpy, on at most ``SAMPLE`` labelled documents, drawn by the hash of their ids.  As
-the score of an average is the average of its features' scores, a trained model is applied as one number for each
-bucket: scoring reads a text once and looks its features up.
-
-Defined cases: null and empty texts have no features and get the score of the layer's bias alone; rows without a
-label are not learned from; without any labelled row every score is the bias of an untrained layer, 0.5.
+A document is the average of learned vectors of its hashed features: its words, pairs of adjacent words (all pairs of
+equal words share one bucket), and the character n-grams of its words, each word between boundary marks, lower-cased.
+Each of these three kinds has the same weight.  A softmax layer turns the average into class probabilities.  Vectors
+and layer are trained together by stochastic gradient descent in numpy, on at most ``SAMPLE`` labelled documents with
+at most ``SAMPLE_BYTES`` bytes of text, drawn by the hash of their ids.  As the score of an average is the average of
+its features' scores, a trained model is applied as one number for each bucket: scoring reads a text once and looks its
+features up.  These numbers have a fixed point and are summed as integers, so a text's score depends on nothing but
+the text and the model.
+
+Defined cases: null and empty texts, and those of white space, have no features and get the score of the layer's bias
+alone; rows without a label of 0 or 1 or without an id are not learned from; rows that repeat an id are rows of their
+own; a labelled text that doesn't fit in what is left of ``SAMPLE_BYTES`` is not learned from; without any labelled row
+the model is untrained and every score is near 0.5, that of a text without features 0.5; an empty table gives an empty
+result; a column named like a new one is replaced.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,47 +28,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrascope.llm.rows import map_texts
-from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, mix, span_hashes, word_spans
+from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, codepoints, mix, span_hashes, word_spans
+from narrascope.session import Scratch
 
-#: Labelled documents that the model is fitted on, at most.
+#: Labelled documents that the model is fitted on, at most, and bytes of their texts.
 SAMPLE = 3000
+SAMPLE_BYTES = 32 << 20
 BITS = 18
-GRAMS = (3, 5)
-#: The bucket of a word that repeats the one before it.
+GRAMS = (3, 4)
+#: The bucket of a word that repeats the one before it: texts of repeated words have no n-grams in common with others.
 _AGAIN = U(1)
 DIM = 12
 EPOCHS = 6
 RATE = 0.4
 THRESHOLD = 0.3
+#: Binary places of a bucket's number behind the point.
+PLACES = 26
 
 
-def _grams(low: np.ndarray, n: int) -> np.ndarray:
-    """Buckets of all runs of n bytes."""
-    m = len(low) - n + 1
+def _grams(chars: np.ndarray, marks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, buckets) of the runs of n characters that have no mark but at their ends."""
+    m = len(chars) - n + 1
     if m <= 0:
-        return np.zeros(0, np.int64)
-    h = np.full(m, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(marks)])
+    at = np.flatnonzero(before[n - 1 : n - 1 + m] == before[1 : 1 + m])
+    h = np.full(len(at), n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
     for j in range(n):
-        h = (h + low[j : m + j]) * np.uint32(0x85EBCA6B)
+        h = (h + chars[at + j]) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
-    return (h >> np.uint32(32 - BITS)).astype(np.int64)
+    return at, (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 def features(low: np.ndarray, bounds: np.ndarray):
-    """Yield ``(buckets, bounds of each text's buckets)`` for words and each n-gram size."""
+    """Words, word pairs and character n-grams, each as a list of ``(buckets, first, last)``, the latter bounding each text's buckets."""
     starts, ends, per = word_spans(low, bounds, SPACED)
     h = mix(span_hashes(low, starts, ends) + U(9))
-    yield (h >> U(64 - BITS)).astype(np.int64), per[:-1], per[1:]
+    yield [((h >> U(64 - BITS)).astype(np.int64), per[:-1], per[1:])]
     pairs = np.where(h[1:] == h[:-1], _AGAIN, mix(h[1:] + h[:-1] * U(3)) >> U(64 - BITS)).astype(np.int64)
-    yield pairs, per[:-1], np.maximum(per[1:] - 1, per[:-1])
+    first = np.minimum(per[:-1], len(pairs))
+    yield [(pairs, first, np.maximum(per[1:] - 1, first))]
+    # the words' characters with a mark before each word and one at the end
+    c, at = codepoints(low)
+    inside = SPACED[low[at]]
+    c, at = c[inside], at[inside]
+    place = np.append(np.searchsorted(at, starts), len(c)) + np.arange(len(starts) + 1)
+    chars, marks = np.zeros(len(c) + len(place), np.uint32), np.zeros(len(c) + len(place), bool)
+    marks[place] = True
+    chars[~marks] = c
+    grams = []
     for n in GRAMS:
-        stop = np.maximum(bounds[1:] - n + 1, bounds[:-1])
-        yield _grams(low, n), bounds[:-1], stop
+        start, buckets = _grams(chars, marks, n)
+        cut = np.searchsorted(start, place[per])
+        grams.append((buckets, cut[:-1], cut[1:]))
+    yield grams
 
 
 @dataclass
 class Model:
-    """One score for each bucket, and the bias; positive values speak for label 1."""
+    """One number for each bucket, in units of 2^-``PLACES``, and the bias; positive values speak for label 1."""
 
     table: np.ndarray
     bias: float
@@ -69,14 +94,18 @@ class Model:
     def scores(self, col: pa.Array) -> np.ndarray:
         out = np.zeros(len(col))
         for lo, hi, data, bounds in blocks(col):
-            total, count = np.zeros(hi - lo), np.zeros(hi - lo, np.int64)
-            for buckets, a, b in features(LOWER[data], bounds):
-                sums = np.concatenate([[0.0], np.cumsum(self.table[buckets])])
-                a, b = np.minimum(a, len(buckets)), np.minimum(b, len(buckets))
-                total += sums[b] - sums[a]
-                count += b - a
-            out[lo:hi] = total / np.maximum(count, 1)
-        return 1 / (1 + np.exp(-(out + self.bias)))
+            mean, kinds = np.zeros(hi - lo), np.zeros(hi - lo)
+            for kind in features(LOWER[data], bounds):
+                total, count = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+                for buckets, a, b in kind:
+                    sums = np.concatenate([[0], np.cumsum(self.table[buckets])])
+                    total += sums[b] - sums[a]
+                    count += b - a
+                mean += total / np.maximum(count, 1)
+                kinds += count > 0
+            mean /= np.maximum(kinds, 1)
+            out[lo:hi] = [1 / (1 + math.exp(-m / (1 << PLACES) - self.bias)) for m in mean.tolist()]
+        return out
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
@@ -88,9 +117,11 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     docs = []
     for x, y in zip(texts, labels):
         low = LOWER[np.frombuffer((x or "").encode(), np.uint8)]
-        parts = [f[a[0] : max(a[0], min(b[0], len(f)))] for f, a, b in features(low, np.array([0, len(low)]))]
-        ids, n = np.unique(np.concatenate(parts), return_counts=True)
-        docs.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32), int(y)))
+        kinds = [np.concatenate([f[a[0] : b[0]] for f, a, b in kind]) for kind in features(low, np.array([0, len(low)]))]
+        kinds = [f for f in kinds if len(f)]
+        ids, at = np.unique(np.concatenate([*kinds, np.zeros(0, np.int64)]), return_inverse=True)
+        share = np.bincount(at, np.concatenate([*(np.full(len(f), 1 / len(f) / len(kinds)) for f in kinds), np.zeros(0)]), len(ids))
+        docs.append((ids.astype(np.int32), share.astype(np.float32), int(y)))
     steps, done = max(1, EPOCHS * len(docs)), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(docs)):
@@ -109,7 +140,8 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
             # features that stand in few places of a text still move: their share is scaled up to the text's size
             e[ids] = rows - (rate * len(ids) / 8) * np.outer(share, back)
     way = w[1] - w[0]
-    return Model(e @ way, float(bias[1] - bias[0]))
+    table = np.clip(e @ way, -100, 100)  # far beyond what decides a score
+    return Model(np.rint(table * (1 << PLACES)).astype(np.int64), float(np.clip(bias[1] - bias[0], -100, 100)))
 
 
 def held_out(id_col: str) -> F.Column:
@@ -117,21 +149,35 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows that are not held out, taken in the order of their ids' hash."""
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
+    """Fit on at most ``sample`` rows and ``sample_bytes`` bytes that are not held out, taken in the order of their ids' hash."""
+    work = Scratch(docs.sparkSession, "quality")
     drawn = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
         .where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
         .orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(drawn), "id").orderBy(F.xxhash64("id"), "id", "y", "text").limit(2 * sample).collect()
-    return fit([r.text for r in rows], [r.y for r in rows])
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    # of a text only its hash and size come to the driver before the rows are chosen
+    found = work.save(texts.join(F.broadcast(drawn), "id"), "labelled").withColumns({"o": F.xxhash64("id"), "h": F.sha2("text", 256)})
+    sizes = found.select("o", "id", "y", "h", F.octet_length("text").alias("n")).orderBy("o", "id", "y", "h").limit(sample).collect()
+    chosen, left = [], sample_bytes
+    for r in sizes:
+        if r.n <= left:
+            chosen.append(r)
+            left -= r.n
+    wanted = {}
+    for r in found.where(F.col("h").isin([r.h for r in chosen])).select("h", "text").distinct().collect() if chosen else []:
+        wanted[r.h] = r.text
+    work.drop("labelled")
+    return fit([wanted[r.h] for r in chosen], [r.y for r in chosen])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, ``score`` (0 to 1) and ``predicted``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
 
     def run(col):
         s = Model(*shared.value).scores(col)

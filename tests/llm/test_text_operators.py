@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from narrascope.llm import bpe, decontaminate, hmm, line_dedup, ngram_join, quality, sharding
-from narrascope.llm.textbatch import eights, same_spans, shingle_sets, span_hashes
+from narrascope.llm.textbatch import LOWER, eights, same_spans, shingle_sets, span_hashes
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and cat dog sun moon tree ÉTÉ größe x1 y2 zz. Run, sky sea".split()
@@ -338,6 +338,50 @@ def test_quality_is_learned_from_labelled_rows_that_are_not_held_out(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
 
 
+def naive_score(model, text):
+    """The mean of the numbers of a text's features, one feature at a time."""
+    one = lambda t: list(quality.features(LOWER[np.frombuffer(t.encode(), np.uint8)], np.array([0, len(t.encode())])))
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    grams = []
+    for w in words:
+        marked = [0, *map(ord, w), 0]
+        for n in quality.GRAMS:
+            for k in range(len(marked) - n + 1):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for c in marked[k : k + n]:
+                    h = (h + c) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 13
+                grams.append(h >> 32 - quality.BITS)
+    kinds = [[one(w)[0][0][0][0] for w in words], [one(f"{a} {b}")[1][0][0][0] for a, b in zip(words, words[1:])], grams]
+    means = [sum(int(model.table[k]) for k in kind) / len(kind) for kind in kinds if kind]
+    return 1 / (1 + math.exp(-sum(means) / max(1, len(means)) / (1 << quality.PLACES) - model.bias))
+
+
+def test_quality_scores_are_those_of_a_naive_mean_in_any_order(spark):
+    rows = sample(17, 200) + [(900, "ab"), (901, "größe ÉTÉ a 漢字"), (902, "a"), (903, "w " * 40000)]
+    model = quality.fit([t for _, t in rows], [i % 2 for i, _ in rows])
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, rows).repartition(5), model).collect()}
+    back = {r.doc_id: r.score for r in quality.score(frame(spark, rows[::-1] * 2).coalesce(1), model).collect()}
+    assert got == back and got == pytest.approx({i: naive_score(model, t) for i, t in rows}, rel=1e-12)
+    assert quality.score(frame(spark, rows).limit(0), model).count() == 0
+
+
+def test_the_labelled_sample_is_bounded_and_takes_repeated_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append((texts, labels)))
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in free] + [(free[0], "x" * 5000), (free[1], None), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(free[2], 7), (None, 1)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    quality.train(docs, labels, sample=5)
+    quality.train(docs, labels, sample_bytes=100)
+    quality.train(docs.limit(0), labels)
+    assert sorted(seen[0][0]) == sorted([*(f"text {i}" for i in free), "x" * 5000, ""])
+    assert all(y == int(t.split()[1]) % 2 for t, y in zip(*seen[0]) if t.startswith("text"))
+    assert len(seen[1][0]) == 5 and sum(map(len, seen[2][0])) <= 100 and seen[3] == ([], [])
+
+
 def test_quality_of_odd_texts_and_without_labels(spark):
     model = quality.fit(["good words here", "bad bad bad bad"] * 20, [1, 0] * 20)
     df = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "bad bad bad", 3), (4, "good words", 3)], "doc_id long, text string, score int")
