@@ -21,7 +21,6 @@ def to_rows(counts: np.ndarray):
 
 def summed(df: DataFrame, size: int, dtype) -> np.ndarray:
     """The sum over all rows of ``df`` (block, cells) as one array of ``size`` cells on the driver.
-
     Rows are dealt by block; each task adds what it reads batch by batch, so it holds one copy of its blocks
     however many tasks have counted.  The result's size is fixed by ``size``.
     """
@@ -44,5 +43,6 @@ def summed(df: DataFrame, size: int, dtype) -> np.ndarray:
     out = np.zeros(-(-size // CELLS) * CELLS, dtype)
     parts = max(1, min(16, -(-size // (4 * CELLS))))
     for row in df.select("block", "cells").repartition(parts, "block").mapInArrow(add, SCHEMA).collect():
-        out[row.block * CELLS : (row.block + 1) * CELLS] += np.frombuffer(row.cells, dtype)
+        cells = np.frombuffer(row.cells, dtype)
+        out[row.block * CELLS : row.block * CELLS + len(cells)] += cells
     return out[:size]

@@ -5,14 +5,18 @@ is shorter.  Patterns of one length are searched together.  A table holds, for e
 search may move on when the block stands at the end of the place it looks at; most blocks of a text are in no
 pattern and let it skip nearly a window.  Where the table says 0, the patterns whose last block has the same hash are
 compared with the text, first word by word as hashes and then as the words' bytes.  Texts are cut into lanes of
-``LANE`` start positions whose searches advance together as numpy arrays.
+``LANE`` start positions whose searches advance together as numpy arrays.  Windows are places in the items' words, kept
+in flat arrays, so the tables take about ten times the bytes of the benchmark's text; a worker makes them once.
 
 Defined cases: null and empty texts have no words and no hits; items without words, with null text or a null id have
-no windows; items that repeat an id count once; a document word inside any occurrence is hit once.
+no windows; items that repeat an id count once; a document word inside any occurrence is hit once; documents without an id and
+those that repeat one are rows of their own; an empty benchmark hits nothing; columns named like new ones are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,48 +24,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrascope.llm.rows import map_texts
-from narrascope.llm.textbatch import _PLACE, ALNUM, LOWER, U, blocks, mix, span_hashes, word_spans
+from narrascope.llm.textbatch import _PLACE, ALNUM, LOWER, U, blocks, eights, mix, same_spans, span_hashes, word_spans
 
 LANE = 512
-TABLE_BITS = 18
+#: Bits of a shift table: at least, at most, and beyond those that number the blocks of words.
+TABLE_BITS = (14, 24, 2)
 #: Bytes of benchmark text that one search table is made of; more items are searched in several rounds.
-ROUND_BYTES = 32 << 20
+ROUND_BYTES = 16 << 20
 
 
 class Patterns:
-    """Wu-Manber tables for patterns of one length."""
+    """Wu-Manber tables for patterns of one length: windows of ``words`` (hashes) that begin at ``first``."""
 
-    def __init__(self, rows: np.ndarray):
-        self.rows, self.m = rows, rows.shape[1]
-        self.b = min(2, self.m)
-        most = self.m - self.b + 1
-        self.shift = np.full(1 << TABLE_BITS, min(255, most), np.uint8)
+    def __init__(self, words: np.ndarray, first: np.ndarray, m: int):
+        self.words, self.first, self.m, self.b = words, first, m, min(2, m)
+        most = m - self.b + 1
+        least, top, more = TABLE_BITS
+        self.bits = min(top, max(least, int(len(first)).bit_length() + more))
+        self.shift = np.full(1 << self.bits, min(255, most), np.uint8)
         for j in range(most):
-            key = self._block(rows[:, j], rows[:, j + self.b - 1])
-            np.minimum.at(self.shift, (key >> U(64 - TABLE_BITS)).astype(np.int64), np.uint8(min(255, most - 1 - j)))
-        suffix = self._block(rows[:, self.m - self.b], rows[:, -1])
-        self.order = np.argsort(suffix, kind="stable")
-        self.suffixes = suffix[self.order]
+            np.minimum.at(self.shift, self._cell(self._block(words[first + j], words[first + (j + self.b - 1)])), np.uint8(min(255, most - 1 - j)))
+        self.suffixes = self._block(words[first + (m - self.b)], words[first + (m - 1)])
+        self.order = np.argsort(self.suffixes).astype(np.int32)
+        self.suffixes = self.suffixes[self.order]
 
     @staticmethod
     def _block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return mix(x * _PLACE[40] + y * _PLACE[41])
 
+    def _cell(self, key: np.ndarray) -> np.ndarray:
+        return (key >> U(64 - self.bits)).astype(np.int64)
+
     def search(self, h: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of all places in the texts where all words' hashes agree."""
         m, b = self.m, self.b
         stop = np.maximum(per[1:] - m + 1, per[:-1])
         lanes = -(-(stop - per[:-1]) // LANE)
         total = int(lanes.sum())
+        none = np.zeros(0, np.int64)
         if not total:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none
         nth = np.arange(total) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at = np.repeat(per[:-1], lanes) + nth * LANE
         end = np.minimum(at + LANE, np.repeat(stop, lanes))
-        places, keys = [], []
+        places, keys = [none], [np.zeros(0, U)]
         while len(at):
             key = self._block(h[at + (m - b)], h[at + (m - 1)])
-            move = self.shift[(key >> U(64 - TABLE_BITS)).astype(np.int64)].astype(np.int64)
+            move = self.shift[self._cell(key)].astype(np.int64)
             hit = move == 0
             if hit.any():
                 places.append(at[hit])
@@ -71,58 +80,99 @@ class Patterns:
             on = at < end
             if not on.all():
                 at, end = at[on], end[on]
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         place, key = np.concatenate(places), np.concatenate(keys)
-        lo, hi = np.searchsorted(self.suffixes, key), np.searchsorted(self.suffixes, key, side="right")
-        found_at, found = [], []
-        step = max(1, (1 << 20) // max(1, int((hi - lo).max(initial=0))))
-        for k in range(0, len(place), step):
-            n = (hi - lo)[k : k + step]
-            p = np.repeat(place[k : k + step], n)
-            q = self.order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[k : k + step], n)]
+        lo, n = np.searchsorted(self.suffixes, key), np.searchsorted(self.suffixes, key, side="right")
+        n = n - lo
+        found_at, found = [none], [none]
+        for k in _parts(n, 1 << 18):
+            p, q = np.repeat(place[k], n[k]), self.order[_ranges(lo[k], n[k])].astype(np.int64)
             for j in range(m):
-                same = h[p + j] == self.rows[q, j]
+                same = h[p + j] == self.words[self.first[q] + j]
                 p, q = p[same], q[same]
             found_at.append(p)
             found.append(q)
         return np.concatenate(found_at), np.concatenate(found)
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers start..start+count, one range after the other."""
+    to = np.cumsum(count)
+    return np.repeat(start - (to - count), count) + np.arange(to[-1] if len(to) else 0)
+
+
+def _parts(count: np.ndarray, most: int):
+    """Slices over which ``count`` sums to about ``most``, or that hold one entry."""
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most)))
+        yield slice(lo, hi)
+        lo = hi
+
+
 class Searcher:
-    """All windows of a set of (item id, text), ready for searching."""
+    """All windows of a set of (item id, text) as flat arrays: word hashes, places of distinct windows, and the items that have each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        windows: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
-            low = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            starts, ends, _ = word_spans(low, np.array([0, len(low)]), ALNUM)
-            words = [low[a:b].tobytes() for a, b in zip(starts, ends)]
-            for k in range(max(min(1, len(words)), len(words) - window + 1)):
-                windows.setdefault(tuple(words[k : k + window]), set()).add(name)
+        texts = [(text or "").encode() for _, text in items]
+        low = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        starts, ends, per = word_spans(low, np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64), ALNUM)
+        del texts
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        named = np.array([number[name] for name, _ in items], np.int32)
+        self.ahead = eights(low)
+        words = span_hashes(low, starts, ends, self.ahead)
+        self.starts, self.sizes = starts.astype(np.int32), (ends - starts).astype(np.int32)
+        del starts, ends
+        length = np.minimum(np.diff(per), window)
         self.tables = []
-        for m in sorted({len(w) for w in windows}):
-            own = [w for w in windows if len(w) == m]
-            flat = b"".join(b"".join(w) for w in own)
-            sizes = np.array([len(x) for w in own for x in w], np.int64)
-            ends = np.cumsum(sizes)
-            rows = span_hashes(np.frombuffer(flat, np.uint8), ends - sizes, ends).reshape(len(own), m)
-            self.tables.append((Patterns(rows), own, [windows[w] for w in own]))
-
-    def find(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """Which words are hit, and the items found in each text that has any."""
-        h = span_hashes(low, starts, ends)
-        change = np.zeros(len(starts) + 1, np.int32)
-        items: dict[int, set[str]] = {}
-        for table, words, names in self.tables:
+        for m in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == m)
+            count = np.diff(per)[own] - m + 1
+            at, item = _ranges(per[:-1][own], count).astype(np.int32), np.repeat(named[own], count)
+            g = np.zeros(len(at), U)
+            for j in range(m):
+                g = mix(g * _PLACE[42] + words[at + j])
+            order = np.argsort(g, kind="stable").astype(np.int32)
+            g, at, item = g[order], at[order], item[order]
+            new = np.ones(len(at), bool)
+            again = np.flatnonzero(g[1:] == g[:-1]) + 1
+            new[again] = ~self._same(self.ahead, self.starts, self.sizes, at[again - 1].astype(np.int64), at[again].astype(np.int64), m)
+            del g, order
+            head = np.flatnonzero(new)
+            self.tables.append((Patterns(words, at[head], m), np.append(head, len(at)), item))
+
+    def _same(self, ahead: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: np.ndarray, q: np.ndarray, m: int) -> np.ndarray:
+        """Whether m words from p on (of the given bytes) are the words of the items from q on, byte by byte."""
+        same = np.ones(len(p), bool)
+        for j in range(m):
+            live = np.flatnonzero(same)
+            x, y = p[live] + j, q[live] + j
+            ok = sizes[x] == self.sizes[y]
+            ok[ok] = same_spans(ahead, starts[x[ok]].astype(np.int64), self.ahead, self.starts[y[ok]].astype(np.int64), self.sizes[y[ok]].astype(np.int64))
+            same[live] = ok
+        return same
+
+    def find(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are hit, and the (text, item number) pairs found, in order."""
+        ahead = eights(low)
+        h = span_hashes(low, starts, ends, ahead)
+        change = np.zeros(len(starts) + 1, np.int64)
+        pairs = [np.zeros(0, np.int64)]
+        for table, bounds, item in self.tables:
             place, which = table.search(h, per)
+            same = self._same(ahead, starts, ends - starts, place, table.first[which].astype(np.int64), table.m)
+            place, which = place[same], which[same]
+            np.add.at(change, place, 1)
+            np.add.at(change, place + table.m, -1)
             texts = np.searchsorted(per, place, side="right") - 1
-            for p, q, t in zip(place.tolist(), which.tolist(), texts.tolist()):
-                if all(low[starts[p + j] : ends[p + j]].tobytes() == w for j, w in enumerate(words[q])):
-                    change[p] += 1
-                    change[p + table.m] -= 1
-                    items.setdefault(t, set()).update(names[q])
-        return np.cumsum(change[:-1]) > 0, items
+            seen = np.unique(texts * len(table.first) + which)
+            texts, which = seen // len(table.first), seen % len(table.first)
+            count = bounds[which + 1] - bounds[which]
+            pairs.append(np.unique(np.repeat(texts, count) * len(self.names) + item[_ranges(bounds[which], count)]))
+        found = np.unique(np.concatenate(pairs))
+        return np.cumsum(change[:-1]) > 0, found // max(1, len(self.names)), found % max(1, len(self.names))
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -151,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         if k:
             out = out.withColumnsRenamed({"hit_spans": f"spans{k}", "hit_items": f"items{k}"})
             cols = [*cols, f"spans{k}", f"items{k}"]
-        out = map_texts(out, text_col, cols, _FIELDS, _search(shared, window))
+        out = map_texts(out, text_col, cols, _FIELDS, _search(shared, window, uuid.uuid4().hex))
         if k:
             out = out.withColumns({"hit_spans": _united(F.concat("hit_spans", f"spans{k}")), "hit_items": F.array_union("hit_items", f"items{k}")}).drop(f"spans{k}", f"items{k}")
     return out.select(*carried, "n_words", "hit_spans", F.array_sort("hit_items").alias("hit_items"))
@@ -174,12 +224,16 @@ def _united(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def _search(shared, window: int):
-    made: list[Searcher] = []
+#: The searcher that this worker has made last, by its name.
+_made: dict[str, Searcher] = {}
+
 
+def _search(shared, window: int, name: str):
     def run(col: pa.Array) -> list[pa.Array]:
-        if not made:
-            made.append(Searcher(shared.value, window))
+        if name not in _made:
+            _made.clear()
+            _made[name] = Searcher(shared.value, window)
+        searcher = _made[name]
         counts = np.zeros(len(col), np.int64)
         n_spans = np.zeros(len(col) + 1, np.int64)
         n_items = np.zeros(len(col) + 1, np.int64)
@@ -188,8 +242,8 @@ def _search(shared, window: int):
             low = LOWER[data]
             starts, ends, per = word_spans(low, bounds, ALNUM)
             counts[lo:hi] = np.diff(per)
-            hit, items = made[0].find(low, starts, ends, per)
-            if not items:
+            hit, texts, items = searcher.find(low, starts, ends, per)
+            if not len(items):
                 continue
             first, last = hit.copy(), hit.copy()
             first[1:] &= ~hit[:-1]
@@ -203,9 +257,8 @@ def _search(shared, window: int):
             np.add.at(n_spans, lo + text + 1, 1)
             at.append(first - per[text])
             to.append(last - per[text])
-            for t in sorted(items):
-                n_items[lo + t + 1] = len(items[t])
-                names += sorted(items[t])
+            np.add.at(n_items, lo + texts + 1, 1)
+            names += [searcher.names[k] for k in items.tolist()]
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)) for x in (at, to)], fields=list(_ARROW_SPAN))
         spans = pa.ListArray.from_arrays(pa.array(np.cumsum(n_spans), pa.int32()), flat)
         return [pa.array(counts), spans, pa.ListArray.from_arrays(pa.array(np.cumsum(n_items), pa.int32()), pa.array(names, pa.string()))]

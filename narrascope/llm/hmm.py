@@ -3,19 +3,22 @@
 Tokens are lower-cased words and an end token.  The model walks over ``STATES`` latent states; each emits every word of
 the training texts with a probability of its own, the end, or a word never seen.
 
-The ``HEAD`` most counted words have a fixed place in an array that is sent to the executors.  All others are emitted
+The ``HEAD`` most counted words, if counted ``OFTEN`` times, have a fixed place in an array that is sent to the executors.  All others are emitted
 through one of ``SHAPES`` word shapes: a state's probability of the shape times the word's share in the shape under
 that state.  The shares come from the word's own expected counts in each state, which are kept for every word in a
 distributed table and joined to the texts' words by hash; ``PRIOR`` tokens of the shape's division over states are
 added to a word's.  A shape has one place for all words never seen.  So the model is a distribution over all texts.
 
 Texts are coded once, in blocks: symbols, and the block's distinct words outside the head.  Baum-Welch: in each round
-the blocks meet their words' rows of the table, every partition runs the scaled forward and backward recursions over
-segments of its training texts, side by side as numpy arrays, and hands on expected counts.  Those of fixed size are
-summed to the next model, those of the words outside the head to the next table.  Scoring is exact for whole texts:
+every partition runs the scaled forward and backward recursions over segments of its training texts, side by side as
+numpy arrays, and hands on expected counts of starts, moves and emissions, which are summed to the next model; words
+outside the head have factors drawn by hash, so that they tell states apart from the first, and count for their shape.  Under the last model the recursions run once more for the expected counts of
+every word outside the head.  A word's division over states travels as six bytes.  Scoring is exact for whole texts:
 the first segment of a text runs forward from the model's start; for later ones all ``STATES`` start vectors run
 forward, which gives the segment's transition product, and the products are applied in order.
 
+Expected counts are summed with a fixed point, as integers, so sums don't depend on the order of tasks.
+
 Defined cases: a null or empty text is the end token alone; without training texts all words are unseen; a null id
 counts as the empty text when texts are dealt into learned and held out; rows that repeat an id are rows of their own.
 """
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,9 @@ from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, mix, span_hashes,
 from narrascope.session import Scratch
 
 STATES = 6
-HEAD = 16000
+HEAD = 65536
+#: Rarer words are left outside the head.
+OFTEN = 12
 ROUNDS = 3
 #: Probability of staying in a state before training.
 STAY = 0.99
@@ -46,9 +52,12 @@ END = np.int64(-(1 << 62))
 FLOOR = 0.05
 #: Tokens of its shape's division over states that are added to the counts of a word outside the head.
 PRIOR = 10.0
-#: Expected counts of a word in each state.
-PARTS = [f"n{j}" for j in range(STATES)]
-LOOKUP = ["key", "c", *PARTS]
+#: How uneven the factors of words outside the head are in training; their logarithms are scaled by this.
+SPREAD = 0.25
+#: Binary places of expected counts behind the point.
+PLACES = 16
+#: Bytes of text in a coded block.
+BLOCK = 1 << 21
 
 
 def _shapes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -60,7 +69,7 @@ def _shapes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def _words(col: pa.Array):
     """Yield ``(lo, hi, hashes, shapes, bounds)`` of the words of blocks of texts."""
-    for lo, hi, data, bounds in blocks(col):
+    for lo, hi, data, bounds in blocks(col, BLOCK):
         low = LOWER[data]
         starts, ends, per = word_spans(low, bounds, SPACED)
         h = mix(span_hashes(low, starts, ends) + U(3)).view(np.int64)
@@ -121,6 +130,18 @@ class Hmm:
         return Hmm(start / start.sum(), go_on / go_on.sum(), move / move.sum(axis=1, keepdims=True), emit)
 
 
+def packed(n: np.ndarray) -> np.ndarray:
+    """Each row's division over states as bytes of one number, the largest part being 255."""
+    part = np.rint(n * (255 / np.maximum(n.max(axis=1, keepdims=True), 1e-300))).astype(np.int64)
+    return (part << 8 * np.arange(STATES)).sum(axis=1)
+
+
+def unpacked(q: np.ndarray) -> np.ndarray:
+    """Rows of shares that sum to 1, or of zeros."""
+    part = (q[:, None] >> 8 * np.arange(STATES) & 255).astype(float)
+    return part / np.maximum(part.sum(axis=1, keepdims=True), 1)
+
+
 @dataclass
 class Shares:
     """Shares of the words outside the head in their shapes, by state."""
@@ -131,26 +152,38 @@ class Shares:
 
     @classmethod
     def of(cls, emit: np.ndarray, table: DataFrame) -> Shares:
-        """From expected counts of the shapes (shape x state) and the table of words (key, shape, c, ``PARTS``)."""
+        """From expected counts of the shapes (shape x state) and the table of words (shape, c, q)."""
         divided = emit + 0.1
         divided /= divided.sum(axis=1, keepdims=True)
-        mass = 0.5 * divided
-        g = (F.col("c") + 0.5) / (F.col("c") + PRIOR)
-        sums = table.groupBy("shape").agg(F.sum(g).alias("g"), *[F.sum(g * F.col(n).cast("double")).alias(n) for n in PARTS])
-        for r in sums.collect():
-            mass[r["shape"]] += PRIOR * divided[r["shape"]] * r["g"] + [r[n] for n in PARTS]
-        return cls(divided, mass, PRIOR)
+        prior = PRIOR
+
+        def add(batches):
+            total = np.zeros((SHAPES, STATES), np.int64)
+            for batch in batches:
+                shapes, c, q = (batch.column(j).to_numpy() for j in range(3))
+                np.add.at(total, shapes, _fixed(_weights(divided[shapes], c, q, prior)))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "cells"])
+
+        total = blocksum.summed(table.select("shape", "c", "q").mapInArrow(add, blocksum.SCHEMA), SHAPES * STATES, np.int64)
+        return cls(divided, 0.5 * divided + total.reshape(SHAPES, STATES) / (1 << PLACES), prior)
+
+    def __call__(self, shapes: np.ndarray, c: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """word x state; words never seen have c = 0 and q = 0."""
+        return _weights(self.divided[shapes], c, q, self.prior) / self.mass[shapes]
 
-    def __call__(self, keys: np.ndarray, shapes: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """word x state; words never seen have zero counts."""
-        d = self.divided[shapes]
-        return ((c + 0.5) / (c + self.prior))[:, None] * (n + self.prior * d) / self.mass[shapes]
 
+def _weights(d: np.ndarray, c: np.ndarray, q: np.ndarray, prior: float) -> np.ndarray:
+    return ((c + 0.5) / (c + prior))[:, None] * (c[:, None] * unpacked(q) + prior * d)
 
-def uneven(keys: np.ndarray, shapes: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The first round's factors of words outside the head: drawn by hash, as uneven as those of the head."""
+
+def _fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * (1 << PLACES)).astype(np.int64)
+
+
+def uneven(keys: np.ndarray) -> np.ndarray:
+    """Factors of words outside the head before they have counts: drawn by hash, less uneven than those of the head."""
     u = np.stack([mix(keys.view(U) + U(97 + j)) >> U(11) for j in range(STATES)], axis=1)
-    return -np.log((u + 0.5) / 2.0**53)
+    return (-np.log((u + 0.5) / 2.0**53)) ** SPREAD
 
 
 def with_words(model: Hmm, ratio: np.ndarray, shapes: np.ndarray) -> Hmm:
@@ -289,20 +322,20 @@ def _count_words(batches):
 
 def _code(words):
     """Blocks of texts as symbols; words outside the head are numbered in the order of the block's ``keys``."""
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def run(batches):
         v = words.value
         for batch in batches:
-            for lo, hi, h, shapes, per in _words(batch.column(1)):
-                symbols, head = v.symbols(h, shapes)
-                keys, first, back = np.unique(h[~head], return_index=True, return_inverse=True)
-                symbols[~head] = v.size + back
-                symbols, per = _with_end(symbols, per)
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays(
-                    [one(batch.column(0).slice(lo, hi - lo)), one(pa.array(keys)), *[pa.array([x.tobytes()], pa.binary()) for x in (per, symbols.astype(np.int32), shapes[~head][first].astype(np.int8))]],
-                    ["ids", "keys", "per", "symbols", "shapes"],
-                )
+            for held in (False, True):
+                part = batch.filter(pc.equal(batch.column(2), held))
+                for lo, hi, h, shapes, per in _words(part.column(1)):
+                    symbols, head = v.symbols(h, shapes)
+                    keys, first, back = np.unique(h[~head], return_index=True, return_inverse=True)
+                    symbols[~head] = v.size + back
+                    symbols, per = _with_end(symbols, per)
+                    packs = [pa.array([x.tobytes()], pa.binary()) for x in (per, symbols.astype(np.int32), shapes[~head][first].astype(np.int8))]
+                    yield pa.RecordBatch.from_arrays([pa.array([held]), one(part.column(0).slice(lo, hi - lo)), one(pa.array(keys)), *packs], ["held", "ids", "keys", "per", "symbols", "shapes"])
 
     return run
 
@@ -313,29 +346,27 @@ def _arrays(data: pa.StructArray, i: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return get("symbols", np.int32), get("per", np.int64), get("shapes", np.int8)
 
 
-def _meet(coded: DataFrame, table: DataFrame | None) -> DataFrame:
-    """Each block behind the table's rows of its words, in the order of their keys; without a table the blocks alone."""
-    data = F.struct("ids", "keys", "per", "symbols", "shapes")
-    if table is None:
-        return coded.select("block", *[F.lit(None).cast("double").alias(n) for n in LOOKUP], data.alias("data"))
-    own = coded.select("block", F.explode("keys").alias("key"))
-    found = own.join(table.select(*LOOKUP), "key", "left").select("block", *LOOKUP)
-    blank = F.struct(*[F.col(n) for n in ("ids", "per", "symbols", "shapes")]).alias("data")
-    rows = found.unionByName(coded.select("block", blank), allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", F.col("data").isNotNull(), "key")
+def _meet(coded: DataFrame, table: DataFrame) -> DataFrame:
+    """Each block behind (place, c, q) of those of its words that the table has."""
+    own = coded.select("block", F.posexplode("keys").alias("place", "key"))
+    found = own.join(table.select("key", "c", "q"), "key").select("block", "place", "c", "q")
+    rows = found.unionByName(coded.select("block", F.struct("ids", "per", "symbols", "shapes").alias("data")), allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", F.col("data").isNotNull())
 
 
 def _met(batches):
-    """Yield ``(data, i, keys, c, n)`` of the blocks that ``_meet`` has lined up."""
+    """Yield ``(data, i, c, q)`` of the blocks that ``_meet`` has lined up; c and q follow the block's words."""
     held = []
     for batch in batches:
-        data = batch.column(batch.num_columns - 1)
-        cols = [batch.column(1 + j).fill_null(0).to_numpy(zero_copy_only=False) for j in range(len(LOOKUP))]
+        data = batch.column(4)
+        cols = [batch.column(1 + j).fill_null(0).to_numpy(zero_copy_only=False) for j in range(3)]
         start = 0
         for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
             held.append([x[start:i] for x in cols])
-            key, c, *n = [np.concatenate(x) for x in zip(*held)]
-            yield data, int(i), key, c.astype(float), np.stack(n, axis=1).astype(float)
+            place, *found = [np.concatenate(x) for x in zip(*held)]
+            c, q = np.zeros((2, len(data.field("shapes")[i].as_buffer())), np.int64)
+            c[place], q[place] = found
+            yield data, int(i), c, q
             held, start = [], i + 1
         held.append([x[start:] for x in cols])
 
@@ -352,71 +383,81 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counted = work.save(counted, "counts")
     size = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.expr(f"if(key = {END}, c, 0)")).alias("ends")).first()
     words = counted.where(F.col("key") != int(END))
-    top = words.orderBy(F.desc("c"), "key").limit(HEAD).select("key", "c").toPandas().sort_values("key")
+    top = words.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "key").limit(HEAD).select("key", "c").toPandas().sort_values("key")
     shape_mass = np.zeros(SHAPES, np.int64)
     outside = words.join(F.broadcast(spark.createDataFrame(top[["key"]], "key long")), "key", "left_anti") if len(top) else words
     for r in outside.groupBy("shape").agg(F.sum("c").alias("c")).collect():
         shape_mass[r["shape"]] = r["c"]
     vocabulary = Vocabulary(top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(size["ends"] or 0), int(size["n"] or 0), int(size["v"]), shape_mass)
     work.drop("counts")
+    work.release()
 
     unigram = vocabulary.unigram()
     model = Hmm.initial(unigram)
     shared_words = spark.sparkContext.broadcast(vocabulary)
     id_type = texts.schema["id"].dataType.simpleString()
-    coded_schema = f"ids array<{id_type}>, keys array<bigint>, per binary, symbols binary, shapes binary"
-    parts = [texts.where(w).mapInArrow(_code(shared_words), coded_schema).withColumn("held", F.lit(h)) for h, w in ((False, ~held_out("id")), (True, held_out("id")))]
-    coded = work.save(parts[0].unionByName(parts[1]).withColumn("block", F.monotonically_increasing_id()), "coded")
+    coded_schema = f"held boolean, ids array<{id_type}>, keys array<bigint>, per binary, symbols binary, shapes binary"
+    coded = texts.withColumn("held", held_out("id")).mapInArrow(_code(shared_words), coded_schema)
+    coded = work.save(coded.withColumn("block", F.monotonically_increasing_id()), "coded")
     k, n_symbols = STATES, vocabulary.size
+    learned = coded.where("not held").select("keys", F.struct("per", "symbols", "shapes").alias("data"))
+    length = 2 * k + k * k + n_symbols * k
+
     fixed = 2 * k + k * k
-    length = fixed + n_symbols * k
-    names = ["block", "cells", "key", "shape", "c", *PARTS]
-    types = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), *[pa.float32()] * k]
+
+    def block_counts(m, row, i):
+        """(shapes, times, expected counts) of a coded block and its words."""
+        numbers, per, shapes = _arrays(row.column(1), i)
+        counts = expectations(with_words(m, uneven(row.column(0)[i].values.to_numpy()), shapes), numbers, per)
+        return shapes, np.bincount(numbers[numbers >= n_symbols] - n_symbols, minlength=len(shapes)), counts
 
     def round_of(shared):
         def run(batches):
-            m, ratio = shared.value
-            total = np.zeros(length)
-            for data, i, keys, c, n in _met(batches):
-                symbols, per, shapes = _arrays(data, i)
-                if ratio is uneven:
-                    keys = data.field("keys")[i].values.to_numpy()
-                counts = expectations(with_words(m, ratio(keys, shapes, c, n), shapes), symbols, per)
-                emit = counts[fixed:].reshape(-1, k)
-                outside = emit[n_symbols:]
-                total += counts[:length]
-                np.add.at(total[fixed:].reshape(-1, k), n_symbols - SHAPES + shapes, outside)
-                times = np.bincount(symbols[symbols >= n_symbols] - n_symbols, minlength=len(keys))
-                none = [pa.nulls(len(keys), t) for t in types[:2]]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(keys), pa.array(shapes, pa.int32()), pa.array(times, pa.int64()), *[pa.array(x.astype(np.float32)) for x in outside.T]], names)
+            total = np.zeros(length, np.int64)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    shapes, _, counts = block_counts(shared.value, batch, i)
+                    emit = counts[fixed:].reshape(-1, k)
+                    np.add.at(emit, n_symbols - SHAPES + shapes, emit[n_symbols:])
+                    total += _fixed(counts[:length])
             numbers, cells = blocksum.to_rows(total)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(cells, pa.binary()), *[pa.nulls(len(cells), t) for t in types[2:]]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(cells, pa.binary())], ["block", "cells"])
 
         return run
 
-    table, ratio = None, uneven
-    row = "block int, cells binary, key long, shape int, c long, " + ", ".join(f"{n} float" for n in PARTS)
-    for nth in range(ROUNDS):
-        lined_up = _meet(coded.where("not held"), table)
-        expected = work.save(lined_up.mapInArrow(round_of(spark.sparkContext.broadcast((model, ratio))), row), f"expected-{nth}")
-        counts = blocksum.summed(expected.where("cells is not null"), length, np.float64)
-        sums = expected.where("key is not null").groupBy("key").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"), *[F.sum(n).cast("float").alias(n) for n in PARTS])
-        table = work.save(sums, f"words-{nth}")
-        work.drop(f"expected-{nth}")
-        work.drop(f"words-{nth - 1}")
-        work.release()
+    for _ in range(ROUNDS):
+        counts = learned.mapInArrow(round_of(spark.sparkContext.broadcast(model)), blocksum.SCHEMA)
+        counts = blocksum.summed(counts, length, np.int64) / (1 << PLACES)
         model = model.refit(counts, unigram)
-        ratio = Shares.of(counts[fixed:].reshape(-1, k)[-SHAPES:], table)
+    shared_model = spark.sparkContext.broadcast(model)
+
+    def expected(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shapes, times, counts = block_counts(shared_model.value, batch, i)
+                n = counts[fixed:].reshape(-1, k)[n_symbols:]
+                columns = [batch.column(0)[i].values, pa.array(shapes, pa.int32()), pa.array(times, pa.int64()), pa.array(packed(n))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "shape", "c", "q"])
+
+    found = learned.mapInArrow(expected, "key long, shape int, c long, q long")
+    parts = [F.shiftright("q", 8 * j).bitwiseAND(255) for j in range(k)]
+    whole = sum(parts[1:], parts[0])
+    sums = found.groupBy("key").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"), *[F.sum(F.floor(F.col("c") * p * 4096 / whole)).alias(f"n{j}") for j, p in enumerate(parts)])
+    most = F.greatest(*[F.col(f"n{j}") for j in range(k)])
+    q = sum((F.shiftleft(F.floor(F.col(f"n{j}") * 255 / most + 0.5), 8 * j) for j in range(1, k)), F.floor(F.col("n0") * 255 / most + 0.5))
+    table = work.save(sums.select("key", "shape", "c", q.cast("long").alias("q")), "words")
+    work.release()
+    ratio = Shares.of(counts[fixed:].reshape(-1, k)[-SHAPES:], table)
     shared = spark.sparkContext.broadcast((model, ratio))
     denominator = vocabulary.total + 0.5 * (vocabulary.distinct + 1)
 
     def measure(batches):
-        m, ratio = shared.value
+        m, share = shared.value
         v = shared_words.value
         head = np.concatenate([[v.end_count], v.counts, np.zeros(SHAPES)])
-        for data, i, keys, c, n in _met(batches):
+        for data, i, c, q in _met(batches):
             symbols, per, shapes = _arrays(data, i)
-            hmm = log_likelihoods(with_words(m, ratio(keys, shapes, c, n), shapes), symbols, per) / np.log(10)
+            hmm = log_likelihoods(with_words(m, share(shapes, c, q), shapes), symbols, per) / np.log(10)
             count = np.concatenate([head, c])[symbols]
             text = np.repeat(np.arange(len(per) - 1), np.diff(per))
             known = np.bincount(text, count > 0, len(per) - 1).astype(np.int64)

@@ -245,15 +245,25 @@ def test_words_outside_the_head_have_emissions_of_their_own(spark, monkeypatch):
 def test_shares_of_the_words_of_a_shape_sum_to_one(spark):
     rng = np.random.default_rng(6)
     c = rng.integers(1, 50, 30)
-    n = (rng.dirichlet(np.ones(hmm.STATES), 30) * c[:, None]).astype(np.float32)
+    n = rng.dirichlet(np.ones(hmm.STATES), 30) * c[:, None]
+    q = hmm.packed(n)
+    assert np.allclose(hmm.unpacked(q), n / c[:, None], atol=0.01)
     shapes = np.arange(30) % 3
-    table = spark.createDataFrame([(i, int(s), int(x), *map(float, y)) for i, (s, x, y) in enumerate(zip(shapes, c, n))], "key long, shape int, c long, " + ", ".join(f"{p} float" for p in hmm.PARTS))
+    table = spark.createDataFrame([(i, int(s), int(x), int(y)) for i, (s, x, y) in enumerate(zip(shapes, c, q))], "key long, shape int, c long, q long")
     emit = np.zeros((hmm.SHAPES, hmm.STATES))
     np.add.at(emit, shapes, n)
     shares = hmm.Shares.of(emit, table)
-    got = shares(np.arange(33), np.append(shapes, [0, 1, 2]), np.append(c, [0] * 3).astype(float), np.vstack([n, np.zeros((3, hmm.STATES))]))
+    got = shares(np.append(shapes, [0, 1, 2]), np.append(c, [0] * 3), np.append(q, [0] * 3))
     for s in range(3):
-        assert np.allclose(got[:30][shapes == s].sum(axis=0) + got[30 + s], 1)
+        assert np.allclose(got[:30][shapes == s].sum(axis=0) + got[30 + s], 1, atol=1e-4)
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    rows = sample(19, 80)
+    one = {r.doc_id: r.score for r in hmm.score(frame(spark, rows).coalesce(1)).collect()}
+    assert {r.doc_id: r.score for r in hmm.score(frame(spark, rows * 1).coalesce(1)).collect()} == one
+    twice = hmm.score(frame(spark, rows[::-1]).repartition(5)).collect()
+    assert {r.doc_id: r.score for r in twice} == pytest.approx(one, rel=1e-3)
 
 
 def test_scores_of_an_empty_table_and_of_held_out_rows_only(spark):
