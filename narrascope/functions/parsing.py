@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names under which answers give the closer text and the reason.
-CLOSER = ("closer", "answer", "decision", "choice", "label")
-WHY = ("why", "reason", "rationale", "explanation")
-ASPECTS = ("abstract_theme", "course_of_action", "outcomes")
+#: Keys that may name the closer text, the aspects and the reason, the default reason, and the aspects with their short names.
+CLOSER = ("closer", "chosen_story", "answer", "choice", "winner")
+GIVEN = ("aspects", "similarity_aspects")
+WHY = ("why", "reason", "explanation")
+NO_REASON = "Decision based on narrative aspects."
+ASPECTS = {"abstract_theme": "theme", "course_of_action": "action", "outcomes": "outcome"}
 
 
 def strip_fences(c) -> Column:
@@ -33,26 +37,68 @@ def first_object(c) -> Column:
     return F.when((begin > 0) & (end > 0), F.substring(bare, begin, end))
 
 
+def _letter(c: Column) -> Column:
+    """A or B if the text holds just one of the two letters in either case."""
+    upper = F.upper(c)
+    a, b = F.contains(upper, F.lit("A")), F.contains(upper, F.lit("B"))
+    return F.when(a & ~b, "A").when(b & ~a, "B")
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _as_text(v: Column) -> Column:
+    """The text of a variant that is one, else null."""
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _holds(v: Column) -> Column:
+    """Whether a JSON value counts as true: not null, false, zero or empty."""
+    return F.coalesce(~F.to_json(v).rlike(r'^(null|false|-?0+(\.0+)?|""|\[\]|\{\})$'), F.lit(False))
+
+
 def decision(c) -> Column:
-    """``(closer, aspects, why)``: A or B, which aspects agree, and the reason; an answer that says nothing is A.
+    """``(closer, aspects, why)`` of an answer, whatever its spelling.
 
-    The closer text is looked for under several names, at the top and one level down, then as a word of the text.
-    Aspects are read from an object of truth values or a list of their names.
+    ``closer`` comes from the first of the keys ``CLOSER`` whose text holds just one of the letters; then from the last
+    nested object that has such a text, of which the first counts; then from a lone word A or B in the JSON text; else it
+    is A.  Aspects are an object of values that count as true or not, or a list of names, long or short.  The reason is the
+    first that isn't empty; one that isn't a text is written as JSON.  An answer without an object that can be read is
+    an empty object.
     """
-    obj = F.coalesce(first_object(c), F.lit("{}"))
-    field = lambda path: F.get_json_object(obj, path)
-    named = [field(f"$.{k}") for k in CLOSER] + [field(f"$.{o}.{k}") for o in ("result", "output") for k in CLOSER]
-    letter = lambda x: F.nullif(F.regexp_extract(F.upper(F.trim(x)), r"^(?:TEXT[ _]?|STORY[ _]?)?([AB])$", 1), F.lit(""))
-    in_text = F.nullif(F.upper(F.regexp_extract(c, r"(?i)\b(?:closer|answer|choice)\b[^A-Za-z]{0,5}(?:is[^A-Za-z]{1,3})?(?:text\s*|story\s*)?([AB])\b", 1)), F.lit(""))
-    closer = F.coalesce(*[letter(x) for x in named], in_text, F.lit("A"))
-    aspects = field("$.aspects")
-    listed = F.from_json(aspects, "array<string>")
-    flag = lambda k: F.coalesce(
-        F.when(aspects.startswith("["), F.array_contains(listed, k)), F.lower(F.get_json_object(aspects, f"$.{k}")).isin("true", "yes", "1"), F.lit(False)
-    )
-    return F.struct(
-        closer.alias("closer"), F.struct(*[flag(k).alias(k) for k in ASPECTS]).alias("aspects"), F.coalesce(*[field(f"$.{k}") for k in WHY], F.lit("")).alias("why")
+    found = first_object(c)
+    root = F.coalesce(F.try_parse_json(found), F.parse_json(F.lit("{}")))
+    whole = F.try_variant_get(root, "$", "map<string,variant>")
+    field = lambda k: F.try_element_at(whole, F.lit(k))
+    nested = F.transform(
+        F.coalesce(F.json_object_keys(found), F.array().cast("array<string>")),
+        lambda k: F.array_compact(F.transform(
+            F.coalesce(F.json_object_keys(F.to_json(F.try_element_at(whole, k))), F.array().cast("array<string>")),
+            lambda j: _letter(_as_text(F.try_element_at(F.try_variant_get(F.try_element_at(whole, k), "$", "map<string,variant>"), j))),
+        )),
     )
+    nested = F.filter(nested, lambda x: F.size(x) > 0)
+    text = F.to_json(root)
+    a, b = text.rlike(r"(?U)\bA\b"), text.rlike(r"(?U)\bB\b")
+    lone = F.when(a & ~b, "A").when(b & ~a, "B")
+    closer = F.coalesce(*[_letter(_as_text(field(k))) for k in CLOSER], F.get(F.try_element_at(nested, F.lit(-1)), F.lit(0)), lone, F.lit("A"))
+    given = F.coalesce(*[F.when(_holds(field(k)), field(k)) for k in GIVEN])
+    listed = F.transform(F.try_variant_get(given, "$", "array<variant>"), lambda x: F.lower(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))))
+    flags = F.try_variant_get(given, "$", "map<string,variant>")
+
+    def flag(name: str, short: str) -> Column:
+        named = F.arrays_overlap(listed, F.array(F.lit(name), F.lit(short)))
+        return F.when(_kind(given).startswith("OBJECT"), _holds(F.try_element_at(flags, F.lit(name)))).when(_kind(given).startswith("ARRAY"), named).otherwise(False)
+
+    aspects = F.struct(*[F.coalesce(flag(k, short), F.lit(False)).alias(k) for k, short in ASPECTS.items()])
+    why = F.coalesce(*[F.when(_holds(field(k)), F.coalesce(_as_text(field(k)), F.to_json(field(k)))) for k in WHY], F.lit(NO_REASON))
+    return F.struct(closer.alias("closer"), aspects.alias("aspects"), why.alias("why"))
+
+
+def repaired(c, repair: Callable[[Column], Column]) -> Column:
+    """The answer, or what ``repair`` makes of it where it holds no object that can be read; ``repair`` is a model's hook."""
+    return F.when(F.try_parse_json(first_object(c)).isNotNull(), c).otherwise(repair(c))
 
 
 def weighted_decision(theme: Column, action: Column, outcome: Column) -> Column:
@@ -76,7 +122,7 @@ def normal_label(c: Column, kind: str) -> Column:
     return F.when(text.isNull() | (text == ""), "missing").otherwise(text)
 
 
-def discovered_label(columns: list[str], candidates: tuple[str, ...] = ("text_a_is_closer", "label", "gold", "answer", "target")) -> str | None:
+def discovered_label(columns: list[str], candidates: tuple[str, ...] = ("text_a_is_closer", "label", "gold_label", "y", "target")) -> str | None:
     """The first candidate that is a column."""
     return next((c for c in candidates if c in columns), None)
 

@@ -70,6 +70,24 @@ def first_long_section(*sections, least: int = 100) -> Column:
     return F.coalesce(*[F.when(F.length(s) > least, s) for s in sections])
 
 
+#: Names of the sections that summarise a story, the best first, by language.
+SUMMARY_SECTIONS = {
+    "de": ("Plot", "Handlung", "Zusammenfassung", "Synopsis", "Inhalt", "Handlungsübersicht", "Zusammenfassung der Handlung"),
+    "en": ("Plot", "Summary", "Synopsis", "Plot summary", "Plot Summary", "Story", "Storyline", "Content"),
+    "fr": ("Synopsis", "Résumé de l'œuvre", "Résumé", "Le roman", "Synopsis détaillé", "Histoire"),
+    "es": ("Trama", "Sinopsis", "Argumento", "Argument"),
+    "it": ("Trama", "Contenuto", "Tema"),
+}
+
+
+def summary_section(sections, lang, least: int = 100) -> Column:
+    """``(name, text)`` of the first section in the language's order with more than ``least`` characters; ``sections`` is a map."""
+    names = F.coalesce(*[F.when(lang == k, F.array(*[F.lit(n) for n in names])) for k, names in SUMMARY_SECTIONS.items()])
+    long = F.filter(names, lambda n: F.length(F.try_element_at(sections, n)) > least)
+    first = F.get(long, F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first.alias("name"), F.try_element_at(sections, first).alias("text")))
+
+
 def mask_entities(c, entities) -> Column:
     """Every occurrence of each entity's ``text`` replaced by its ``tag``, in the order of the array."""
     return F.aggregate(entities, c, lambda done, e: F.replace(done, e["text"], e["tag"]))
@@ -78,7 +96,7 @@ def mask_entities(c, entities) -> Column:
 def replace_spans(c, spans, replacement="text") -> Column:
     """Non-overlapping spans (start, end, text) replaced from left to right; a span that overlaps an earlier one is left alone.
 
-    Offsets count characters from 0; the end is excluded.
+    Offsets count characters from 0; the end is excluded.  A span with a null replacement keeps its text.
     """
     ordered = F.array_sort(spans)
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
@@ -86,7 +104,8 @@ def replace_spans(c, spans, replacement="text") -> Column:
     def put(state, s):
         head = F.substring(c, state["at"] + 1, s["start"] - state["at"])
         made = F.struct(F.concat(state["done"], head, s[replacement]).alias("done"), s["end"].cast("int").alias("at"))
-        return F.when(s["start"] >= state["at"], made).otherwise(state)
+        kept = F.struct(F.concat(state["done"], F.substring(c, state["at"] + 1, F.greatest(s["end"] - state["at"], F.lit(0)))).alias("done"), s["end"].cast("int").alias("at"))
+        return F.when(s[replacement].isNull(), kept).when(s["start"] >= state["at"], made).otherwise(state)
 
     return F.aggregate(ordered, start, put, lambda state: F.concat(state["done"], F.substring(c, state["at"] + 1, F.length(c))))
 
@@ -119,6 +138,7 @@ def file_stem(path) -> Column:
 
 
 #: Blocks of a page that are kept, and what stands before them.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"))
 BLOCK = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in ("h2", "h3", "p", "dl", "dd"))
 
 
@@ -128,8 +148,11 @@ def html_to_plain(c) -> Column:
 
     def line(block):
         bare = F.regexp_replace(block, "(?s)<[^>]*>", "")
-        plain = F.replace(F.replace(F.replace(bare, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+        plain = bare
+        for name, sign in (*ENTITIES, ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(name), F.lit(sign))
+        plain = strip(plain)
         mark = F.when(F.lower(F.substring(block, 1, 3)) == "<h2", "# ").when(F.lower(F.substring(block, 1, 3)) == "<h3", "## ").otherwise("")
         return F.concat(mark, plain, F.lit("\n"))
 
-    return F.array_join(F.transform(found, line), "")
+    return strip(F.array_join(F.transform(found, line), ""))

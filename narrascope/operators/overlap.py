@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import similarity, text
@@ -37,22 +39,24 @@ def rouge(pairs: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1, 2), a:
     return counts.groupBy(*keys).agg(*[f1(n) for n in sizes])
 
 
-def pair_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def pair_metrics(pairs: DataFrame, keys: list[str], lemmas: Callable[[Column], Column] | None = None) -> DataFrame:
     """``keys`` and the eight overlap metrics of (anchor, candidate) pairs.
 
-    Tokens and n-grams are made once and kept as sets.  The overlap of content lemmas is 0 where no tagger is plugged in.
+    Tokens and n-grams are made once and kept as sets.  ``lemmas`` is a tagger's hook: the content lemmas of a text as
+    an array; ``pos_overlap`` is their Jaccard similarity, and 0 where no tagger is plugged in.
     """
-    tokens = pairs.select(*keys, text.ascii_words(F.col("anchor")).alias("a_tokens"), text.ascii_words(F.col("candidate")).alias("b_tokens"))
+    pos = F.lit(0.0) if lemmas is None else similarity.set_jaccard(F.array_distinct(lemmas(F.col("anchor"))), F.array_distinct(lemmas(F.col("candidate"))))
+    tokens = pairs.select(*keys, text.ascii_words(F.col("anchor")).alias("a_tokens"), text.ascii_words(F.col("candidate")).alias("b_tokens"), pos.alias("pos_overlap"))
     distinct = [F.array_distinct(text.ngrams(F.col(f"{s}_tokens"), n)).alias(f"{s}{n}") for s in "ab" for n in (1, 2, 3)]
     a, b = F.col("a1"), F.col("b1")
     shared = F.size(F.array_intersect(a, b)).alias("shared")
-    sets = tokens.select(*keys, *distinct).select("*", shared).select(
-        *keys, similarity.share(F.col("shared"), F.size(a) + F.size(b) - F.col("shared")).alias("jaccard"), similarity.share(F.col("shared"), F.size(a)).alias("anchor_overlap"),
+    sets = tokens.select(*keys, "pos_overlap", *distinct).select("*", shared).select(
+        *keys, "pos_overlap", similarity.share(F.col("shared"), F.size(a) + F.size(b) - F.col("shared")).alias("jaccard"), similarity.share(F.col("shared"), F.size(a)).alias("anchor_overlap"),
         similarity.share(F.col("shared"), F.size(b)).alias("candidate_overlap"), *[similarity.set_jaccard(F.col(f"a{n}"), F.col(f"b{n}")).alias(f"{n}gram_jaccard") for n in (2, 3)],
     )
     found = sets.join(rouge(tokens, keys), keys, "left")
     zero = [F.coalesce(f"rouge_{n}_f1", F.lit(0.0)).alias(f"rouge_{n}_f1") for n in (1, 2)]
-    return found.select(*keys, *METRICS[:5], *zero, F.lit(0.0).alias("pos_overlap"))
+    return found.select(*keys, *METRICS[:5], *zero, "pos_overlap")
 
 
 def melted(metrics: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,18 +67,20 @@ def melted(metrics: DataFrame, keys: list[str]) -> DataFrame:
 def hard_negatives(anchors: DataFrame, hypotheses: DataFrame, on: str, bonus: float = 0.05) -> DataFrame:
     """The hypothesis of each anchor with the highest word Jaccard among those with the same value of ``on``.
 
-    ``anchors`` has (anchor_id, anchor, on), ``hypotheses`` (pos, hypothesis, label, on).  Contradictions get a bonus,
-    empty hypotheses are skipped, and of equals the first by ``pos`` wins.  Words are made once for each text, before
-    the join.
+    ``anchors`` has (anchor_id, anchor, on), ``hypotheses`` (pos, hypothesis, label, on).  Contradictions, in any case,
+    get a bonus, empty hypotheses are skipped, and of equals the first by ``pos`` wins.  Words are made once for each text, before the
+    join.  Only pairs that share a word are made; of those that share none only the first contradiction and the first of
+    a value of ``on`` can win, and these two stand in for all.
     """
     words = lambda c: F.array_distinct(text.ascii_words(F.col(c)))
-    kept = hypotheses.where(F.trim(F.coalesce("hypothesis", F.lit(""))) != "")
+    kept = hypotheses.where(F.coalesce("hypothesis", F.lit("")) != "")
+    extra = F.when(F.lower("label") == "contradiction", bonus).otherwise(0.0)
     each = lambda rows, key, c, n: rows.select(key, on, words(c).alias("w")).select(key, on, F.size("w").alias(n), F.explode("w").alias("w"))
-    # shared words by a join on the words, so no pair of word lists is ever compared; pairs without any score 0
     both = each(anchors, "anchor_id", "anchor", "na").join(each(kept, "pos", "hypothesis", "nb"), [on, "w"])
-    shared = both.groupBy("anchor_id", "pos").agg(similarity.share(F.count("*"), F.first("na") + F.first("nb") - F.count("*")).alias("s"))
-    pairs = anchors.select("anchor_id", on).join(kept.select("pos", "hypothesis", "label", on), on)
-    score = F.coalesce("s", F.lit(0.0)) + F.when(F.col("label") == "contradiction", bonus).otherwise(0.0)
-    scored = pairs.join(shared, ["anchor_id", "pos"], "left").select("anchor_id", "pos", "hypothesis", "label", score.alias("score"))
-    best = F.max_by(F.struct("pos", "hypothesis", "label", "score"), F.struct(F.col("score"), -F.col("pos")))
-    return scored.groupBy("anchor_id").agg(best.alias("b")).select("anchor_id", "b.*")
+    shared = both.groupBy("anchor_id", on, "pos").agg(similarity.share(F.count("*"), F.first("na") + F.first("nb") - F.count("*")).alias("s"))
+    scored = shared.join(kept.select("pos", on, extra.alias("extra")), ["pos", on]).select("anchor_id", on, "pos", (F.col("s") + F.col("extra")).alias("score"))
+    firsts = kept.groupBy(on, extra.alias("score")).agg(F.min("pos").alias("pos"))
+    scored = scored.unionByName(anchors.select("anchor_id", on).join(firsts, on))
+    best = scored.groupBy("anchor_id", on).agg(F.max_by(F.struct("pos", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b"))
+    found = best.select("anchor_id", on, "b.*").join(kept.select("pos", on, "hypothesis", "label"), ["pos", on])
+    return found.select("anchor_id", "pos", "hypothesis", "label", "score")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.operators.corpus import bucket, runs
-from narrascope.operators.ordering import numbered
+from narrascope.operators.corpus import bucket
+from narrascope.operators.ordering import numbered, running_sum
 
 #: Languages from the best to the poorest translation.
-LANGUAGE_ORDER = ("en", "de", "fr", "es", "it")
+LANGUAGE_ORDER = ("en", "fr", "de", "it", "es")
 STORY = (
     "wikidata_id string, title string, titles map<string,string>, summaries_original map<string,string>, summaries_translated map<string,string>, "
     "sentences map<string,array<string>>, num_sentences map<string,int>, genres array<string>, years array<int>"
@@ -72,9 +72,10 @@ def translation_order(lang: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in LANGUAGE_ORDER]), lang), F.lit(0).cast("long")), F.lit(len(LANGUAGE_ORDER) + 1).cast("long"))
 
 
-def metadata_counts(df: DataFrame, book: Column, movie: Column) -> DataFrame:
-    """Books, movies, both and neither."""
-    return df.agg(F.count_if(book & ~movie).alias("books"), F.count_if(movie & ~book).alias("movies"), F.count_if(book & movie).alias("both"), F.count_if(~book & ~movie).alias("neither"), F.count("*").alias("n"))
+def metadata_counts(df: DataFrame, book: Column, movie: Column, **flags: Column) -> DataFrame:
+    """Books, movies, both and neither; titles that are both count in each.  Further flags are counted under their names."""
+    more = [F.count_if(c).alias(name) for name, c in flags.items()]
+    return df.agg(F.count_if(book).alias("books"), F.count_if(movie).alias("movies"), F.count_if(book & movie).alias("both"), F.count_if(~book & ~movie).alias("neither"), F.count("*").alias("n"), *more)
 
 
 def genre_counts(df: DataFrame, genres: str) -> DataFrame:
@@ -91,13 +92,44 @@ def gender_of_span(tokens: DataFrame, names: DataFrame, by: list[str], token: st
 
 
 def name_table(rows: DataFrame, order: str) -> DataFrame:
-    """``(name, sex, percent)`` of stretches of equal names: the modal sex, the first of equals, and the summed share."""
-    r = runs(rows.withColumn("__all", F.lit(0)), ["__all"], order, "name")
+    """``(name, sex, percent)`` of stretches of equal names: the modal sex, the first of equals, and the summed share.
+
+    A row is compared with the one before it by a join on its place, and stretches are numbered by a running sum, so no
+    task sees all rows.
+    """
+    placed = numbered(rows.select(order, "name", "sex", "percent"), [order], "__n")
+    before = placed.select((F.col("__n") + 1).alias("__n"), F.col("name").alias("__before"), F.lit(True).alias("__has"))
+    new = F.when(F.col("__has") & F.col("name").eqNullSafe(F.col("__before")), 0).otherwise(1)
+    r = running_sum(placed.join(before, "__n", "left"), ["__n"], new, "run")
     totals = r.groupBy("run").agg(F.first("name").alias("name"), F.sum("percent").alias("percent"))
     sexes = r.groupBy("run", "sex").agg(F.count("*").alias("c"), F.min(order).alias("first")).groupBy("run").agg(F.max_by("sex", F.struct("c", -F.col("first"))).alias("sex"))
     return totals.join(sexes, "run").select("name", "sex", "percent")
 
 
+#: English possessives, and the pronouns that a recent mention keeps.
+POSSESSIVES = ("my", "our", "your", "his", "her", "its", "their", "whose")
+PRONOUNS = ("I", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", *POSSESSIVES)
+
+
+def mention_replacements(mentions: DataFrame, by: list[str], token: str = "token", text: str = "text", name: str = "name", near: int = 8) -> DataFrame:
+    """``replacement`` of every mention of a coreference cluster (``by``) by the cluster's name.
+
+    A pronoun that begins at most ``near`` tokens after the mention before it stays as it is; a possessive, or a text
+    that ends in 's, becomes the name's possessive; all others become the name, which may be null.
+    """
+    order = Window.partitionBy(*by).orderBy(token)
+    plain, low = F.col(text), F.lower(F.col(text))
+    recent = F.coalesce(F.lag(token).over(order) + near >= F.col(token), F.lit(False)) & F.trim(low).isin(*PRONOUNS)
+    owns = (plain.endswith("'s") | low.isin(*POSSESSIVES)) & F.col(name).isNotNull()
+    return mentions.withColumn("replacement", F.when(recent, plain).when(owns, F.concat(F.col(name), F.lit("'s"))).otherwise(F.col(name)))
+
+
+def recent_mentions(mentions: DataFrame, by: list[str], token: str, near: int = 8) -> DataFrame:
+    """``recent``: whether the mention begins at most ``near`` tokens after the one before it in its cluster."""
+    order = Window.partitionBy(*by).orderBy(token)
+    return mentions.withColumn("recent", F.coalesce(F.lag(token).over(order) + near >= F.col(token), F.lit(False)))
+
+
 def longest_mention(mentions: DataFrame, by: list[str], text: str) -> DataFrame:
     """The longest text of each group, the smallest of equals."""
     return mentions.groupBy(*by).agg(F.min_by(F.col(text), F.struct(-F.length(text), F.col(text))).alias(text))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrascope.functions.text import file_stem
+
 from narrascope.functions.text import strip as stripped
 from narrascope.operators.corpus import bucket
 
@@ -95,9 +97,13 @@ def triplet_tokens(s0: Column, s1: Column, hard: Column) -> Column:
     return F.array(*[F.coalesce(c, F.lit(" ")) for c in (s0, s1, hard)])
 
 
+#: Splits in the order in which they are looked for.
+SPLITS = ("sample", "train", "dev", "test")
+
+
 def source_tags(path: Column) -> tuple[Column, Column]:
-    """(split, track) from a file name; the rule for track b overrides that for a."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    split = F.when(name.contains("train"), "train").when(name.contains("dev"), "dev").when(name.contains("test"), "test").otherwise("unknown")
-    track = F.when(name.contains("track_b") | name.contains("track-b"), "track_b").when(name.contains("track_a") | name.contains("track-a"), "track_a").otherwise("unknown")
-    return split, track
+    """(split, track) from a file's stem: a split at its beginning, between underscores or at its end; the rule for track b overrides that for a."""
+    name = F.lower(file_stem(path))
+    split = F.coalesce(*[F.when(name.startswith(s) | name.contains(f"_{s}_") | name.endswith(f"_{s}"), s) for s in SPLITS], F.lit("unknown"))
+    is_track = lambda x: name.contains(f"track_{x}") | name.contains(f"track-{x}") | name.endswith(x)
+    return split, F.when(is_track("b"), "track_b").when(is_track("a"), "track_a").otherwise("unknown")

@@ -17,10 +17,10 @@ def json_stream(spark: SparkSession, path: str, schema: str, files: int = 1) ->
 
 
 def augment(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Append what ``step`` makes of every micro-batch; a restart goes on after the last finished one."""
+    """Write what ``step`` makes of every micro-batch; a restart goes on after the last finished one, and a repeated one replaces its rows."""
 
     def put(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("append").json(f"{out}/batch={number}")
+        step(batch).write.mode("overwrite").json(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
