@@ -52,8 +52,6 @@ END = np.int64(-(1 << 62))
 FLOOR = 0.05
 #: Tokens of its shape's division over states that are added to the counts of a word outside the head.
 PRIOR = 10.0
-#: How uneven the factors of words outside the head are in training; their logarithms are scaled by this.
-SPREAD = 0.25
 #: Binary places of expected counts behind the point.
 PLACES = 16
 #: Bytes of text in a coded block.
@@ -180,10 +178,10 @@ def _fixed(x: np.ndarray) -> np.ndarray:
     return np.rint(x * (1 << PLACES)).astype(np.int64)
 
 
-def uneven(keys: np.ndarray) -> np.ndarray:
-    """Factors of words outside the head before they have counts: drawn by hash, less uneven than those of the head."""
+def uneven(keys: np.ndarray, spread: float) -> np.ndarray:
+    """Factors of words outside the head before they have counts: drawn by hash, their logarithms scaled by ``spread``."""
     u = np.stack([mix(keys.view(U) + U(97 + j)) >> U(11) for j in range(STATES)], axis=1)
-    return (-np.log((u + 0.5) / 2.0**53)) ** SPREAD
+    return (-np.log((u + 0.5) / 2.0**53)) ** spread
 
 
 def with_words(model: Hmm, ratio: np.ndarray, shapes: np.ndarray) -> Hmm:
@@ -404,11 +402,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     length = 2 * k + k * k + n_symbols * k
 
     fixed = 2 * k + k * k
+    spread = float(shape_mass.sum() / max(1, vocabulary.total))  # the less the head holds, the more the others must tell states apart
 
     def block_counts(m, row, i):
         """(shapes, times, expected counts) of a coded block and its words."""
         numbers, per, shapes = _arrays(row.column(1), i)
-        counts = expectations(with_words(m, uneven(row.column(0)[i].values.to_numpy()), shapes), numbers, per)
+        counts = expectations(with_words(m, uneven(row.column(0)[i].values.to_numpy(), spread), shapes), numbers, per)
         return shapes, np.bincount(numbers[numbers >= n_symbols] - n_symbols, minlength=len(shapes)), counts
 
     def round_of(shared):
