@@ -13,6 +13,10 @@ the order of suffixes decides nothing.  A run of m lines with 2^k <= m < 2^(k+1)
 whose common prefix has at least m lines; its ranks at 2^k lines, at its head and its tail, name that interval.  All
 members of an interval but the first are later copies.
 
+Lines are told apart by two 64-bit hashes with different seeds, and texts of one id by one, so that lines of a given
+pair are taken for equal with a probability of about 2^-128.  A line that a large part of the corpus repeats, such as
+the empty one, meets its rank by a broadcast (``hot_join``).
+
 Defined cases: null texts stay null and have no lines; an empty text is one empty line; null ids come first in the
 order; rows that repeat both id and text are one document and get the same result; lines without words count as
 parts of a run; a document whose lines are all later copies becomes an empty text.
@@ -25,6 +29,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrascope.llm.skew import hot_join
 from narrascope.session import Scratch
 
 MIN_WORDS = 50
@@ -43,14 +48,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Later copies ``(id, th, line, n_lines)``: ``th`` is the text's xxhash64, ``line`` counts from 0."""
     work = Scratch(docs.sparkSession, "lines")
     text = F.col(f"`{text_col}`")
+    words = F.size(F.filter(F.split("s", "[ \t\x0b\f\r]+"), lambda x: x != ""))
     lines = docs.where(text.isNotNull()).select(
         F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("line", "s")
     )
-    named = lines.select("id", "th", "line", F.xxhash64("s").alias("h"), F.length("s").alias("n"), "s")
-    often = named.groupBy("h", "n").agg(F.count("*").alias("c")).where("c > 1").select("h", "n")
-    ranks = _ranked(often, ["h", "n"], work, "0")
-    words = F.size(F.filter(F.split("s", "[ \t\x0b\f\r]+"), lambda x: x != ""))
-    first = named.join(ranks, ["h", "n"]).select(*_KEY, "rank", words.alias("w")).distinct()
+    named = lines.select("id", "th", "line", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(7), "s").alias("g"), words.alias("w"))
+    often = lines.select(F.xxhash64("s").alias("h"), F.xxhash64(F.lit(7), "s").alias("g")).groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1")
+    ranks = _ranked(often, ["h", "g"], work, "0")
+    first = _with_rank(named, ranks, ["h", "g"]).select(*_KEY, "rank", "w").distinct()
     first = work.save(first, "positions-0")
 
     # contiguous stretches of repeated lines; e and c are the words before a line and up to its end
@@ -77,20 +82,27 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         step = 1 << k
         tail = cur.select("id", "th", (F.col("line") - step).alias("line"), F.col("rank").alias("rank2"))
         pair = _matched(cur, tail, _KEY).select(*_KEY, "rank", "rank2")
-        often = pair.groupBy("rank", "rank2").agg(F.count("*").alias("n")).where("n > 1").select("rank", "rank2")
+        pair = work.save(pair, f"pairs-{k}")
+        often = pair.groupBy("rank", "rank2").agg(F.count("*").alias("c")).where("c > 1")
         ranks = _ranked(often, ["rank", "rank2"], work, str(k + 1), "next")
-        cur = work.save(pair.join(ranks, ["rank", "rank2"]).select(*_KEY, F.col("next").alias("rank")), f"positions-{k + 1}")
+        cur = work.save(_with_rank(pair, ranks, ["rank", "rank2"]).select(*_KEY, F.col("next").alias("rank")), f"positions-{k + 1}")
         levels = levels.unionAll(cur.select(F.lit(k + 1).alias("level"), *_KEY, "rank"))
 
     head = _matched(runs, levels, ["level", *_KEY]).withColumn("at", F.expr("line + m - shiftleft(1, level)"))
     tail = levels.select("level", "id", "th", F.col("line").alias("at"), F.col("rank").alias("rank2"))
     placed = work.save(_matched(head, tail, ["level", "id", "th", "at"]).select(*_KEY, "m", "rank", "rank2"), "placed")
     at = F.struct("id", "th", "line")
-    firsts = placed.groupBy("m", "rank", "rank2").agg(F.min(at).alias("first"))
-    later = placed.join(firsts, ["m", "rank", "rank2"]).where(~at.eqNullSafe(F.col("first")))
+    firsts = placed.groupBy("m", "rank", "rank2").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1")
+    later = _with_rank(placed, work.save(firsts, "firsts"), ["m", "rank", "rank2"]).where(~at.eqNullSafe(F.col("first")))
     return later.select(*_KEY, F.col("m").alias("n_lines"))
 
 
+def _with_rank(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the groups (a written table with the sizes ``c``) with the groups' columns."""
+    total = groups.agg(F.sum("c")).first()[0] or 0
+    return hot_join(rows, groups, keys, "c", total, ["th", "line"])
+
+
 def _matched(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     """An inner join on keys of which the id may be null; the keys are kept once."""
     other = y.withColumnsRenamed({c: f"other_{c}" for c in keys})

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from narrascope.llm import bpe, decontaminate, hmm, line_dedup, ngram_join, quality, sharding
+from narrascope.llm import bpe, decontaminate, hmm, line_dedup, ngram_join, quality, sharding, skew
 from narrascope.llm.textbatch import LOWER, eights, same_spans, shingle_sets, span_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -292,11 +292,13 @@ def cleaned(rows, least=50):
     return {i: (None if ls is None else "\n".join(x for k, x in enumerate(ls) if k not in gone[i]), len(gone[i])) for i, ls in lines.items()}
 
 
-def test_line_dedup_removes_what_brute_force_removes(spark):
+@pytest.mark.parametrize("least", [256, 3])
+def test_line_dedup_removes_what_brute_force_removes(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "LEAST", least)
     rnd = random.Random(11)
     pool = [" ".join(rnd.choices(WORDS, k=rnd.choice([0, 3, 8, 20, 55]))) for _ in range(14)]
     rows = [(i, "\n".join(rnd.choices(pool, k=rnd.randrange(0, 14)))) for i in range(25)]
-    rows += [(100, "\n".join(pool)), (101, "\n".join(pool)), (102, "\n".join(pool[2:9] + ["own"] + pool[5:])), (103, None), (104, ""), (105, (pool[0] + "\n") * 40)]
+    rows += [(100, "\n".join(pool)), (101, "\n".join(pool)), (102, "\n".join(pool[2:9] + ["own"] + pool[5:])), (103, None), (104, ""), (105, (pool[0] + "\n") * 40), (106, "long " * 30000 + "\n" + pool[3]), (107, "long " * 30000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, line string")
     out = line_dedup.dedup_lines(df)
     assert {r.doc_id: (r.text, r.n_removed) for r in out.collect()} == cleaned(rows)
