@@ -6,7 +6,8 @@ pushes down are decided on them, and the payload of a record that they reject, o
 ``payload`` = false), is skipped without being decoded or copied.  Every archive member is compressed on its own.
 
 The writer is a data source too.  Each task writes archives of a bounded size under names of its own attempt; the commit
-lists the files that count in a manifest, so files of lost or repeated attempts are never read.
+lists the files that count in a manifest, so files of lost or repeated attempts are never read.  A folder without a
+manifest, as a crawl leaves it, is read by listing its ``.warc`` and ``.warc.gz`` files; a single file can be read too.
 
 Files are opened by pyarrow's file systems, by the scheme of their path.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from narrascope.llm.rows import BATCH_BYTES, bound_batches
+from narrascope.llm.skew import hot_join
 from narrascope.session import Scratch
 
 SCHEMA = "page_id long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -42,6 +44,9 @@ _HEADERS = {
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+_WITH_PAYLOAD = ("response", "resource", "conversion")
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -105,18 +110,24 @@ class _Members:
         return True
 
     def until(self, mark: bytes) -> bytes | None:
-        while (end := self.buffer.find(mark, self.at)) < 0:
+        seen = self.at
+        while (end := self.buffer.find(mark, seen)) < 0:
+            left = len(self.buffer) - self.at
             if not self._more():
                 return None
+            seen = max(0, left - len(mark) + 1)
         out, self.at = self.buffer[self.at : end], end + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) - self.at < n:
-            if not self._more():
+        parts = []
+        while n:
+            if self.at == len(self.buffer) and not self._more():
                 raise EOFError("a record ends early")
-        out, self.at = self.buffer[self.at : self.at + n], self.at + n
-        return out
+            parts.append(self.buffer[self.at : self.at + n])
+            self.at += len(parts[-1])
+            n -= len(parts[-1])
+        return b"".join(parts)
 
     def skip(self, n: int) -> None:
         while len(self.buffer) - self.at < n:
@@ -134,24 +145,26 @@ def read_records(source, predicates: list[tuple[str, set[str]]], payload: bool,
         lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        length = int(headers["Content-Length"])
-        if any(headers.get(name) not in values for name, values in predicates):
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        get, kind = headers.get, headers.get("warc-type", "")
+        length = int(headers["content-length"])
+        if any(get(name.lower()) not in values for name, values in predicates):
             stream.skip(length + 4)
             continue
-        digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+        digest = get("warc-payload-digest", "").removeprefix("sha1:") or None
         body = None
-        if payload and headers["WARC-Type"] == "response":
-            block = stream.take(length)
-            body = block[block.find(b"\r\n\r\n") + 4 :]
-            if verify and digest != base32_sha1(body):
-                raise ValueError(f"the payload of {headers.get('WARC-Record-ID')} doesn't have its digest")
+        if payload and kind in _WITH_PAYLOAD:
+            body = stream.take(length)
+            if get("content-type", "").startswith("application/http"):
+                body = body[body.find(b"\r\n\r\n") + 4 :]
+            if verify and digest is not None and digest != base32_sha1(body):
+                raise ValueError(f"the payload of {get('warc-record-id')} doesn't have its digest")
             stream.skip(4)
         else:
             stream.skip(length + 4)
-        page, size, refers = headers.get("X-Page-ID"), headers.get("X-Payload-Length"), headers.get("WARC-Refers-To")
+        page, size = get("x-page-id"), get("x-payload-length")
         yield (
-            int(page) if page is not None else None, headers["WARC-Type"], headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), refers, digest,
+            int(page) if page is not None else None, kind, get("warc-record-id"), get("warc-target-uri"), get("warc-refers-to"), digest,
             len(body) if body is not None else int(size) if size is not None else None, body,
         )
 
@@ -188,17 +201,25 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self):
+    def files(self) -> list[tuple[str, int]]:
+        """(path, size) of the archives: those of the manifest, else those that the folder holds, else the file itself."""
         system, root = fs.FileSystem.from_uri(self.root)
-        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            files = json.loads(f.read())["files"]
+        if system.get_file_info(root).type == fs.FileType.File:
+            return [(root, system.get_file_info(root).size)]
+        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
+            with system.open_input_stream(f"{root}/{MANIFEST}") as f:
+                return [(f"{root}/{name}", size) for name, size in json.loads(f.read())["files"]]
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+        return [(f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith((".warc", ".warc.gz"))]
+
+    def partitions(self):
         groups: list[list[str]] = []
         held = self.group
-        for name, size in sorted(files):
+        for path, size in sorted(self.files()):
             if held + size > self.group:
                 groups.append([])
                 held = 0
-            groups[-1].append(f"{root}/{name}")
+            groups[-1].append(path)
             held += size
         return [Archive(g) for g in groups or [[]]]
 
@@ -306,21 +327,30 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     payload = F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", base32(F.sha1("payload")))
+    work = Scratch(pages.sparkSession, "revisits")
     top = rows.where(F.octet_length("payload") >= at_least).groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    top = work.save(top, "top")
+    total = top.agg(F.sum("n")).first()[0] or 0
     refers = F.when((F.col("page_id") != F.col("top")) & (F.octet_length("payload") >= at_least), F.col("top"))
-    return rows.join(top.drop("n"), "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
+    return hot_join(rows, top, ["payload_digest"], "n", total, ["page_id", "url"], "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
 
 
 def archive(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Write the pages as archives into the shared folder, read them back and give every page's record without its payload."""
     spark = pages.sparkSession
     register(spark)
-    path = Scratch(spark, "warc").path + "/archive"
+    work = Scratch(spark, "warc")
+    path = work.path + "/archive"
     revisits(pages, at_least=at_least).write.format("warc").mode("append").option("path", path).save()
     back = spark.read.format("warc").option("path", path)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     responses = back.option("payload", "checked").load().where("record_type = 'response'")
+    responses = work.save(responses.select("record_id", *columns), "responses")
     repeats = back.option("payload", "false").load().where("record_type = 'revisit'")
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
-    named = responses.select("record_id", F.col("page_id").alias("refers_to")).distinct()
+    repeats = work.save(repeats.select(*columns, F.col("refers_to").alias("record_id")), "revisits")
+    # revisits name a record; its page is that of the response
+    named = responses.groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
+    named = work.save(repeats.groupBy("record_id").agg(F.count("*").alias("n")).join(named, "record_id"), "named")
+    total = named.agg(F.sum("n")).first()[0] or 0
     own = responses.select(*columns, F.lit(None).cast("long").alias("refers_to"))
-    return own.unionByName(repeats.select(*columns, F.col("refers_to").alias("record_id")).join(named, "record_id", "left").drop("record_id"))
+    return own.unionByName(hot_join(repeats, named, ["record_id"], "n", total, ["page_id"], "left").drop("record_id"))

@@ -1,5 +1,6 @@
 """Archives, chat formatting, graph search and the pipeline."""
 
+import gzip
 import hashlib
 import io
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from narrascope.llm import ann, chat, warc
+from narrascope.llm import ann, chat, skew, warc
 from narrascope.session import Scratch
 
 
@@ -53,6 +54,41 @@ def test_predicates_are_decided_on_headers_and_payloads_are_checked(spark):
         list(warc.read_records(io.BytesIO(good + bad), [], True, True))
 
 
+def test_folders_without_a_manifest_and_single_files_are_read(spark, tmp_path):
+    warc.register(spark)
+    body = b"x" * 3_000_000
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    foreign = b"WARC/1.0\r\nwarc-type: response\r\nWARC-TARGET-URI: http://q\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(http + body) + http + body + b"\r\n\r\n"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.warc").write_bytes(info + foreign)
+    (tmp_path / "2.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(warc.record(4, "u", b"own", warc.base32_sha1(b"own"), None)))
+    (tmp_path / "notes.txt").write_text("no archive")
+    rows = spark.read.format("warc").option("path", str(tmp_path)).load().collect()
+    assert sorted((r.record_type, r.target_uri, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in rows if r.record_type == "response") == [("response", "http://q", 3_000_000, body), ("response", "u", 3, b"own")]
+    assert sum(r.record_type == "warcinfo" for r in rows) == 2
+    one = spark.read.format("warc").option("path", str(tmp_path / "2.warc.gz")).load().where("record_type = 'response'")
+    assert [r.page_id for r in one.collect()] == [4]
+
+
+def test_repeated_pages_and_very_long_payloads(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 2)
+    rows = [(1, "a", "same")] * 2 + [(k, "b", "same") for k in range(2, 9)] + [(9, "c", "y" * 5_000_000), (9, "c", "y" * 5_000_000)]
+    out = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in out) == sorted(
+        [(1, "revisit", 8, 4)] * 2 + [(k, "revisit", 8, 4) for k in range(2, 8)] + [(8, "response", 0, 4)] + [(9, "response", 0, 5_000_000)] * 2
+    )
+
+
+def test_hot_groups_are_joined_like_all_others(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 3)
+    rows = spark.createDataFrame([(k % 7 if k < 20 else 1, k) for k in range(60)], "g int, k int")
+    groups = rows.where("g <> 6").groupBy("g").agg(F.max("k").alias("top"), F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(groups.drop("n"), "g", "left").select("g", "k", "top").collect()), key=str)
+    assert sorted(map(tuple, skew.hot_join(rows, groups, ["g"], "n", 60, ["k"], "left").collect()), key=str) == want
+    assert sorted(map(tuple, skew.hot_join(rows, groups, ["g"], "n", 60, ["k"]).collect()), key=str) == [w for w in want if w[2] is not None]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", "[/ROLE]", ""]), st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "[", "/s>", " ", "x", "\n", "é"])).map("".join)), max_size=6))
 def test_formatting_can_be_undone(turns):
