@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from narrascope.llm import ann, chat, skew, warc
+from narrascope.llm import ann, blocksum, chat, skew, warc
 from narrascope.session import Scratch
 
 
@@ -142,6 +143,28 @@ def test_search_finds_the_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_copies_of_a_query_and_queries_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 2)
+    monkeypatch.setattr(ann, "PASS_BYTES", 200)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)).round(1)
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:10], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("vec_id") % 2 == 0, 5, shard=25).collect()
+    for q in range(0, 60, 2):
+        exact = np.array([math.fsum(a * b for a, b in zip(x[q], y)) for y in x]).round(9)
+        want = [int(v) for v in np.lexsort((np.arange(60), -exact)) if v != q][:5]
+        assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_sums_of_many_tasks(spark):
+    rows = [(k % 3, np.arange(4, dtype=np.int64).tobytes()) for k in range(400)]
+    df = spark.createDataFrame(rows, "block int, cells binary").repartition(300)
+    got = blocksum.summed(df, 3 * blocksum.CELLS, np.int64).reshape(3, -1)
+    assert got[:, :4].tolist() == [[0, n, 2 * n, 3 * n] for n in (134, 133, 133)] and not got[:, 4:].any()
+
+
 def test_few_candidates_are_all_returned(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     out = ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
