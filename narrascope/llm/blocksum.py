@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Cells in one block.
 CELLS = 16384
+#: Tasks whose rows are summed in one step.
+FAN_IN = 64
 SCHEMA = "block int, cells binary"
 
 
@@ -22,7 +25,8 @@ def to_rows(counts: np.ndarray):
 def summed(df: DataFrame, size: int, dtype) -> np.ndarray:
     """The sum over all rows of ``df`` (block, cells) as one array of ``size`` cells on the driver.
     Rows are dealt by block; each task adds what it reads batch by batch, so it holds one copy of its blocks
-    however many tasks have counted.  The result's size is fixed by ``size``.
+    however many tasks have counted.  Beyond ``FAN_IN`` tasks their rows are summed in groups of about as many first, so
+    that no task reads what all have written.  The result's size is fixed by ``size``.
     """
     dtype = np.dtype(dtype)
 
@@ -42,7 +46,11 @@ def summed(df: DataFrame, size: int, dtype) -> np.ndarray:
 
     out = np.zeros(-(-size // CELLS) * CELLS, dtype)
     parts = max(1, min(16, -(-size // (4 * CELLS))))
-    for row in df.select("block", "cells").repartition(parts, "block").mapInArrow(add, SCHEMA).collect():
+    rows = df.select("block", "cells")
+    groups = rows.rdd.getNumPartitions() // FAN_IN
+    if groups > 1:
+        rows = rows.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(parts * groups, "block", "group").mapInArrow(add, SCHEMA)
+    for row in rows.repartition(parts, "block").mapInArrow(add, SCHEMA).collect():
         cells = np.frombuffer(row.cells, dtype)
         out[row.block * CELLS : row.block * CELLS + len(cells)] += cells
     return out[:size]

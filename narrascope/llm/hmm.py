@@ -39,7 +39,7 @@ from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, mix, span_hashes,
 from narrascope.session import Scratch
 
 STATES = 6
-HEAD = 65536
+HEAD = 131072
 #: Rarer words are left outside the head.
 OFTEN = 12
 ROUNDS = 3
