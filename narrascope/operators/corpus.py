@@ -32,9 +32,10 @@ def tf_idf(tokens: DataFrame, doc: str, token: str) -> DataFrame:
 def mean_vectors(tokens: DataFrame, vectors: DataFrame, doc: str, token: str, dim: int) -> DataFrame:
     """Mean vector of each document's known tokens; zeros without any."""
     counts = tokens.groupBy(doc, token).agg(F.count("*").alias("c"))
-    parts = counts.join(vectors.select(F.col("word").alias(token), "vec"), token).select(doc, "c", F.posexplode("vec").alias("i", "x"))
-    means = parts.groupBy(doc, "i").agg((F.sum(F.col("c") * F.col("x").cast("double")) / F.sum("c")).alias("m"))
-    rows = means.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vec"))
+    known = counts.join(vectors.select(F.col("word").alias(token), F.col("vec").cast("array<double>").alias("vec")), token)
+    # a sum for each component, so that no row is made for every component of every word
+    sums = known.groupBy(doc).agg(F.sum("c").alias("__n"), *[F.sum(F.col("c") * F.get("vec", F.lit(i))).alias(f"__{i}") for i in range(dim)])
+    rows = sums.select(doc, F.array(*[F.col(f"__{i}") / F.col("__n") for i in range(dim)]).alias("vec"))
     return counts.select(doc).distinct().join(rows, doc, "left").select(doc, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 

@@ -50,6 +50,12 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     return bins.join(counts, "value", "left").select("value", F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def group_sizes(df: DataFrame, by: list[str]) -> DataFrame:
+    """``(size, clusters, mean)``: how many groups have each size, and the mean size of all."""
+    c = df.groupBy(*by).agg(F.count("*").alias("size"))
+    return c.groupBy("size").agg(F.count("*").alias("clusters")).join(F.broadcast(c.agg(F.avg("size").alias("mean"))))
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Ranks by value; equal values share the mean of their ranks."""
     sizes = df.groupBy(*by, value).agg(F.count("*").alias("__c"))

@@ -98,8 +98,8 @@ def name_table(rows: DataFrame, order: str) -> DataFrame:
     task sees all rows.
     """
     placed = numbered(rows.select(order, "name", "sex", "percent"), [order], "__n")
-    before = placed.select((F.col("__n") + 1).alias("__n"), F.col("name").alias("__before"), F.lit(True).alias("__has"))
-    new = F.when(F.col("__has") & F.col("name").eqNullSafe(F.col("__before")), 0).otherwise(1)
+    before = placed.select((F.col("__n") + 1).alias("__n"), F.col("name").alias("__previous"), F.lit(True).alias("__has"))
+    new = F.when(F.col("__has") & F.col("name").eqNullSafe(F.col("__previous")), 0).otherwise(1)
     r = running_sum(placed.join(before, "__n", "left"), ["__n"], new, "run")
     totals = r.groupBy("run").agg(F.first("name").alias("name"), F.sum("percent").alias("percent"))
     sexes = r.groupBy("run", "sex").agg(F.count("*").alias("c"), F.min(order).alias("first")).groupBy("run").agg(F.max_by("sex", F.struct("c", -F.col("first"))).alias("sex"))

@@ -73,7 +73,7 @@ def pair_scores(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id
                 i, j = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(a["ids"][i]), pa.array(b["ids"][j]), pa.array(s[i, j])], ["q", "c", "sim"])
 
-    out = tasks.select("q_data", "c_data").repartition(F.rand(3)).mapInArrow(multiply, "q long, c long, sim double")
+    out = tasks.repartition("q", "c").select("q_data", "c_data").mapInArrow(multiply, "q long, c long, sim double")
     if top is None:
         return out
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "c")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrascope.functions import parsing, text
-from narrascope.operators import clusters, corpus, stats, vectors
+from narrascope.functions import parsing, similarity, text
+from narrascope.operators import clusters, corpus, stats, stories, vectors
 from narrascope.operators.ordering import numbered
 from narrascope.plans.views import Catalogue, ascii_tokens, bucket, table, word_tokens
 
@@ -53,12 +53,12 @@ def _(spark, d):
 
 
 def word_vectors(spark, d):
-    """A vector for each of the most common words: those of the vectors table in turn."""
-    v = corpus.vocabulary(doc_tokens(spark, d), "word").where("token_id < 100")
+    """All vectors of the vectors table, each for one word: the most common words in turn."""
+    v = corpus.vocabulary(doc_tokens(spark, d), "word")
     return v.join(table(spark, d, "embeddings"), F.col("token_id") == F.col("vec_id")).select(F.col("token").alias("word"), F.col("embedding").alias("vec"))
 
 
-_WV = f"{_DT}, v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS k FROM dt GROUP BY word), wv AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = k WHERE k < 100)"
+_WV = f"{_DT}, v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS k FROM dt GROUP BY word), wv AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = k)"
 
 
 @query("vocabulary_semi_join", f"WITH {_WV} SELECT doc_id, count(*) AS known FROM dt WHERE word IN (SELECT word FROM wv) GROUP BY doc_id")
@@ -74,17 +74,18 @@ def _(spark, d):
     return rows.select("doc_id", r6(F.get("vec", F.lit(0))).alias("first"), r6(F.get("vec", F.lit(63))).alias("last"), r6(total).alias("total"))
 
 
-_BM = """s AS (SELECT vec_id // 10 AS doc, vec_id % 10 AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200),
-p AS (SELECT a.doc AS a_doc, a.pos AS a_pos, b.doc AS b_doc, b.pos AS b_pos, list_cosine_similarity(a.v, b.v) AS sim FROM s a JOIN s b ON a.doc < b.doc),
+_BM = """s AS (SELECT vec_id // 10 AS doc, vec_id % 10 AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.doc AS a_doc, a.pos AS a_pos, b.doc AS b_doc, b.pos AS b_pos, list_cosine_similarity(a.v, b.v) AS sim FROM s a JOIN s b ON b.doc = a.doc + 1),
 pa AS (SELECT a_doc, b_doc, avg(m) AS precision FROM (SELECT a_doc, b_doc, a_pos, max(sim) AS m FROM p GROUP BY ALL) GROUP BY ALL),
 pb AS (SELECT a_doc, b_doc, avg(m) AS recall FROM (SELECT a_doc, b_doc, b_pos, max(sim) AS m FROM p GROUP BY ALL) GROUP BY ALL)"""
 
 
 @query("bestmatch_prf", f"WITH {_BM} SELECT a_doc, b_doc, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM pa JOIN pb USING (a_doc, b_doc)")
 def _(spark, d):
-    s = table(spark, d, "embeddings").where("vec_id < 200")
-    doc = lambda c: F.floor(F.col(c) / 10)
-    pairs = vectors.pair_scores(s, s).select(doc("q").alias("a_doc"), F.col("q").alias("a_pos"), doc("c").alias("b_doc"), F.col("c").alias("b_pos"), "sim").where("a_doc < b_doc")
+    # documents of ten sentences each, every one against the next
+    part = lambda side, shift: table(spark, d, "embeddings").select((F.floor(F.col("vec_id") / 10) - shift).alias("k"), (F.col("vec_id") % 10).alias(f"{side}_pos"), F.col("embedding").alias(f"{side}_v"))
+    both = part("a", 0).join(part("b", 1), "k")
+    pairs = both.select(F.col("k").alias("a_doc"), "a_pos", (F.col("k") + 1).alias("b_doc"), "b_pos", similarity.cosine(F.col("a_v"), F.col("b_v")).alias("sim"))
     return corpus.best_match(pairs).select("a_doc", "b_doc", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -115,13 +116,10 @@ def _(spark, d):
     return corpus.cluster_pairs(table(spark, d, "conversations"), "conv_id", "turn")
 
 
-@query("recent_mentions", "SELECT conv_id, turn, coalesce(lag(p) OVER w + 8 >= p, false) AS recent FROM (SELECT conv_id, turn, turn * 5 + conv_id % 7 * (turn % 2) AS p FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("recent_mentions", "SELECT conv_id, turn, coalesce(lag(p) OVER w + 8 >= p, false) AS recent FROM (SELECT conv_id, turn, turn * 5 + conv_id % 5 * (turn % 2) AS p FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY p)")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 5 + F.col("conv_id") % 7 * (F.col("turn") % 2)).alias("p"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return rows.select("conv_id", "turn", F.coalesce(F.lag("p").over(w) + 8 >= F.col("p"), F.lit(False)).alias("recent"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 5 + F.col("conv_id") % 5 * (F.col("turn") % 2)).alias("p"))
+    return stories.recent_mentions(rows, ["conv_id"], "p").select("conv_id", "turn", "recent")
 
 
 @query("keep_first_dedup", "WITH p AS (SELECT a.label AS g, b.vec_id AS item, max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1, 2) SELECT e.label AS \"group\", e.vec_id AS item FROM embeddings e LEFT JOIN p ON p.item = e.vec_id WHERE coalesce(sim, 0) <= 0.3")
@@ -177,22 +175,19 @@ def _(spark, d):
     return out.select("doc_id", F.element_at("m", F.lit("lang")).alias("lang_value"), F.size("m").cast("long").alias("entries"))
 
 
-_CC = """e AS (SELECT conv_id AS a, turn * 17 + conv_id // 3 AS b FROM conversations WHERE turn < 4 AND conv_id % 2 = 0),
+_CC = """e AS (SELECT conv_id AS a, turn * 17 + conv_id // 3 AS b FROM conversations),
 z AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT a, b FROM z UNION SELECT r.a, z.b FROM reach r JOIN z ON r.b = z.a)"""
 
 
 @query("connected_components", f"WITH RECURSIVE {_CC} SELECT a AS node, least(a, min(b)) AS component FROM reach WHERE a IN (SELECT a FROM z WHERE a <> b) GROUP BY a")
 def _(spark, d):
-    edges = table(spark, d, "conversations").where("turn < 4 and conv_id % 2 = 0").select(F.col("conv_id").alias("a"), (F.col("turn") * 17 + F.floor(F.col("conv_id") / 3)).alias("b"))
+    edges = table(spark, d, "conversations").select(F.col("conv_id").alias("a"), (F.col("turn") * 17 + F.floor(F.col("conv_id") / 3)).alias("b"))
     return clusters.connected_components(edges, "a", "b")
 
 
-@query("cluster_sizes", "WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT n AS size, count(*) AS clusters, round(avg(n) OVER (), 6) AS same FROM c GROUP BY n")
+@query("cluster_sizes", "WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT n AS size, count(*) AS clusters, round((SELECT avg(n) FROM c), 6) AS mean FROM c GROUP BY n")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("size"))
-    return c.groupBy("size").agg(F.count("*").alias("clusters")).withColumn("same", r6(F.avg("size").over(Window.partitionBy(F.lit(0)))))
+    return stats.group_sizes(table(spark, d, "conversations"), ["conv_id"]).select("size", "clusters", r6("mean").alias("mean"))
 
 
 @query("metadata_profile", "SELECT count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de' OR lang = 'fr') AS de_or_fr, count(*) FILTER (lang NOT IN ('en', 'de', 'fr')) AS neither, count(*) FILTER (text LIKE '%the%' AND n_chars > 1000) AS long_the FROM documents")
@@ -251,16 +246,30 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r6(parsing.weighted_decision(*args)).alias("weighted"), parsing.majority_decision(*args).alias("majority"))
 
 
-@query("decision_normalize", """SELECT vec_id, CASE vec_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'B' WHEN 4 THEN 'A' ELSE 'B' END AS closer,
-vec_id % 6 IN (0, 2) AS abstract_theme, vec_id % 6 = 2 AS outcomes, CASE WHEN vec_id % 6 = 0 THEN 'because' WHEN vec_id % 6 = 2 THEN 'plot' ELSE '' END AS why FROM embeddings""")
-def _(spark, d):
-    answers = [
-        '```json\n{"closer": "B", "aspects": {"abstract_theme": true, "outcomes": false}, "why": "because"}\n```', 'nothing to read', 'so: {"answer": "text b", "aspects": ["abstract_theme", "outcomes"], "reason": "plot"} end',
-        'The closer is B.', '{"decision": "A"}', '{"result": {"choice": "story_B"}}',
-    ]
-    raw = F.get(F.array(*[F.lit(a) for a in answers]), (F.col("vec_id") % 6).cast("int"))
+#: Answers of models, and (closer, abstract_theme, course_of_action, outcomes, why) by the rules that they follow.
+ANSWERS = [
+    ('```json\n{"closer": "B", "aspects": {"abstract_theme": true, "outcomes": false}, "why": "because"}\n```', "B", True, False, False, "because"),
+    ("nothing to read", "A", False, False, False, parsing.NO_REASON),
+    ('so: {"answer": "text b", "aspects": ["abstract_theme", "outcomes"], "reason": "plot"} end', "B", True, False, True, "plot"),
+    ("The closer is B.", "A", False, False, False, parsing.NO_REASON),
+    ('{"winner": "A", "why": ""}', "A", False, False, False, parsing.NO_REASON),
+    ('{"result": {"x": "none", "y": "story_b"}}', "B", False, False, False, parsing.NO_REASON),
+    ('{"one": {"x": "b"}, "two": {"x": "a", "y": "b"}, "three": {"x": "or"}}', "A", False, False, False, parsing.NO_REASON),
+    ('{"closer": "AB", "choice": " b "}', "B", False, False, False, parsing.NO_REASON),
+    ('{"verdict": ["the", "B"], "similarity_aspects": ["Theme", "action", 3]}', "B", True, True, False, parsing.NO_REASON),
+    ('{"closer": true, "aspects": {}, "similarity_aspects": {"outcomes": "no", "course_of_action": 0}, "explanation": 5}', "A", False, False, True, "5"),
+    ('{"A": 1, "B": 2}', "A", False, False, False, parsing.NO_REASON),
+    ('{"chosen_story": "Story B", "closer": null}', "B", False, False, False, parsing.NO_REASON),
+    ('{"closer": "B", broken', "A", False, False, False, parsing.NO_REASON),
+]
+_ANSWERS = ", ".join(f"({k}, '{c}', {t}, {a}, {o}, '{w}')" for k, (_, c, t, a, o, w) in enumerate(ANSWERS))
+
+
+@query("decision_normalize", f"SELECT vec_id, closer, abstract_theme, course_of_action, outcomes, why FROM embeddings JOIN (VALUES {_ANSWERS}) v(k, closer, abstract_theme, course_of_action, outcomes, why) ON k = vec_id % {len(ANSWERS)}")
+def _(spark, d):
+    raw = F.get(F.array(*[F.lit(a[0]) for a in ANSWERS]), (F.col("vec_id") % len(ANSWERS)).cast("int"))
     got = parsing.decision(raw)
-    return table(spark, d, "embeddings").select("vec_id", got.alias("d")).select("vec_id", "d.closer", "d.aspects.abstract_theme", "d.aspects.outcomes", "d.why")
+    return table(spark, d, "embeddings").select("vec_id", got.alias("d")).select("vec_id", "d.closer", "d.aspects.abstract_theme", "d.aspects.course_of_action", "d.aspects.outcomes", "d.why")
 
 
 @query("json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events")

@@ -21,10 +21,10 @@ def _(spark, d):
     return readers.jsonl(spark, path, readers.TRIPLET)
 
 
-@query("csv_round_trip", "SELECT doc_id, text, source FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query("csv_round_trip", "SELECT doc_id, text, source FROM documents")
 def _(spark, d):
     path = Scratch(spark, "io").path + "/csv"
-    sinks.csv(table(spark, d, "documents").where("text is not null and text <> ''").select("doc_id", "text", "source"), path)
+    sinks.csv(table(spark, d, "documents").select("doc_id", "text", "source"), path)
     return readers.csv(spark, path, "doc_id long, text string, source string")
 
 
@@ -53,12 +53,12 @@ def _(spark, d):
     return vectors.triplet_accuracy(scored)
 
 
-@query("stream_augment", "SELECT doc_id, 'fr: ' || source AS made FROM documents WHERE lang = 'fr'")
+@query("stream_augment", "SELECT doc_id, lang || ': ' || source AS made FROM documents")
 def _(spark, d):
     base = Scratch(spark, "stream").path
-    table(spark, d, "documents").where("lang = 'fr'").select("doc_id", "source").repartition(2).write.json(f"{base}/in")
-    stream = incremental.json_stream(spark, f"{base}/in", "doc_id long, source string")
-    incremental.augment(stream, lambda b: b.select("doc_id", F.concat(F.lit("fr: "), "source").alias("made")), f"{base}/out", f"{base}/state").awaitTermination()
+    table(spark, d, "documents").select("doc_id", "lang", "source").repartition(2).write.json(f"{base}/in")
+    stream = incremental.json_stream(spark, f"{base}/in", "doc_id long, lang string, source string")
+    incremental.augment(stream, lambda b: b.select("doc_id", F.concat("lang", F.lit(": "), "source").alias("made")), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema("doc_id long, made string").json(f"{base}/out/*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from narrascope.operators import stories
@@ -14,22 +15,23 @@ query = Catalogue()
 
 
 def story_table(spark, d):
-    """Stories of ten documents each: a summary for every language among them."""
-    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("k"), "lang", F.substring("text", 1, 200).alias("t"), "doc_id")
-    one = docs.groupBy("k", "lang").agg(F.min_by("t", "doc_id").alias("t"))
-    rows = one.groupBy("k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "t")))).alias("summaries_translated"))
-    return rows.select(F.concat(F.lit("Q"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("wikidata_id"), "summaries_translated", F.array((1900 + F.col("k") % 5).cast("int"), (1950 + F.col("k") % 3).cast("int")).alias("years"))
+    """Stories from blocks of ten documents: the n-th document of each language is a summary of the block's n-th story."""
+    order = Window.partitionBy("k", "lang").orderBy("doc_id")
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("k"), "lang", "text", "doc_id").withColumn("n", F.row_number().over(order))
+    rows = docs.groupBy("k", "n").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "text")))).alias("summaries_translated"))
+    name = F.concat(F.lit("Q"), F.lpad(F.col("k").cast("string"), 6, "0"), F.lit("-"), F.col("n").cast("string"))
+    return rows.select(name.alias("wikidata_id"), "summaries_translated", F.array((1900 + F.col("k") % 5).cast("int"), (1950 + F.col("k") % 3).cast("int")).alias("years"))
 
 
-_ST = "s AS (SELECT 'Q' || lpad(CAST(doc_id // 10 AS VARCHAR), 6, '0') AS wikidata_id, doc_id // 10 AS k, lang, min_by(substr(text, 1, 200), doc_id) AS summary FROM documents GROUP BY ALL)"
+_ST = "s AS (SELECT *, 'Q' || lpad(CAST(k AS VARCHAR), 6, '0') || '-' || n AS wikidata_id FROM (SELECT doc_id // 10 AS k, lang, text AS summary, row_number() OVER (PARTITION BY doc_id // 10, lang ORDER BY doc_id) AS n FROM documents))"
 
 
-@query("story_summaries", f"WITH {_ST}, c AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM s) SELECT wikidata_id, lang, summary FROM c WHERE n >= 2")
+@query("story_summaries", f"WITH {_ST}, c AS (SELECT *, count(*) OVER (PARTITION BY wikidata_id) AS m FROM s) SELECT wikidata_id, lang, summary FROM c WHERE m >= 2")
 def _(spark, d):
     return stories.summary_rows(stories.constructed(story_table(spark, d))).select("wikidata_id", "lang", "summary")
 
 
-@query("story_labels", f"WITH {_ST}, c AS (SELECT k, count(*) AS n FROM s GROUP BY k HAVING count(*) >= 2) SELECT count(*) AS stories, CAST(sum(n) AS BIGINT) AS summaries, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high FROM c")
+@query("story_labels", f"WITH {_ST}, c AS (SELECT wikidata_id, count(*) AS n FROM s GROUP BY wikidata_id HAVING count(*) >= 2) SELECT count(*) AS stories, CAST(sum(n) AS BIGINT) AS summaries, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high FROM c")
 def _(spark, d):
     rows = stories.summary_rows(story_table(spark, d))
     return rows.agg(F.countDistinct("label").alias("stories"), F.count("*").alias("summaries"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -58,11 +60,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", stories.one_shared_genre(g(4), g(6), ("g0",)).alias("kept"))
 
 
-@query("sentence_lines", "SELECT item_id, CAST(len(regexp_extract_all(trim(text), '[.!?]\\s+')) + 1 AS BIGINT) AS sentences FROM benchmark WHERE text NOT LIKE '%' || chr(10) || '%'")
+@query("sentence_lines", r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+x AS (SELECT doc_id, i, len(list_filter(string_split(regexp_replace(p, '([.!?])[ \t\v\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '')) AS n FROM p)
+SELECT doc_id || '_' || i AS tag, CAST(n AS BIGINT) AS sentences FROM x WHERE n > 0""")
 def _(spark, d):
-    items = table(spark, d, "benchmark").where(~F.col("text").contains("\n")).withColumn("text", F.trim("text"))
-    lines = stories.sentence_lines(items, "item_id", "text")
-    return lines.groupBy(F.substring_index("tag", "_", 1).cast("long").alias("item_id")).agg(F.count("*").alias("sentences"))
+    return stories.sentence_lines(table(spark, d, "documents"), "doc_id", "text").groupBy("tag").agg(F.count("*").alias("sentences"))
 
 
 @query("rebuilt_text", "SELECT conv_id, string_agg(p, chr(10) ORDER BY b) AS text FROM (SELECT conv_id, turn // 2 AS b, string_agg(text, ' ' ORDER BY turn) AS p FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
@@ -72,14 +74,41 @@ def _(spark, d):
     return stories.rebuilt_text(lines).select(F.col("key").cast("long").alias("conv_id"), "text")
 
 
-@query("translation_order", "SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 WHEN 'es' THEN 4 ELSE 6 END AS place FROM documents")
+@query("translation_order", "SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 WHEN 'it' THEN 4 WHEN 'es' THEN 5 ELSE 6 END AS place FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("lang", stories.translation_order(F.col("lang")).cast("int").alias("place")).distinct()
 
 
-@query("book_movie_counts", "SELECT count(*) FILTER (lang = 'en' AND n_chars <= 1000) AS books, count(*) FILTER (lang <> 'en' AND n_chars > 1000) AS movies, count(*) FILTER (lang = 'en' AND n_chars > 1000) AS both, count(*) FILTER (lang <> 'en' AND n_chars <= 1000) AS neither, count(*) AS n FROM documents")
+@query("book_movie_counts", "SELECT count(*) FILTER (lang = 'en') AS books, count(*) FILTER (n_chars > 1000) AS movies, count(*) FILTER (lang = 'en' AND n_chars > 1000) AS both, count(*) FILTER (lang <> 'en' AND n_chars <= 1000) AS neither, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS has_isbn, count(*) FILTER (source LIKE '%a%') AS has_gutenberg FROM documents")
 def _(spark, d):
-    return stories.metadata_counts(table(spark, d, "documents"), F.col("lang") == "en", F.col("n_chars") > 1000)
+    flags = {"has_isbn": F.col("doc_id") % 3 == 0, "has_gutenberg": F.col("source").contains("a")}
+    return stories.metadata_counts(table(spark, d, "documents"), F.col("lang") == "en", F.col("n_chars") > 1000, **flags)
+
+
+_NAMES = """r AS (SELECT CAST(turn // 2 % 3 AS VARCHAR) AS name, CASE WHEN turn % 2 = 0 THEN 'f' ELSE 'm' END AS sex, conv_id * 1000 + turn AS o, CAST(length(role) AS DOUBLE) AS percent FROM conversations),
+n AS (SELECT *, CASE WHEN lag(name) OVER (ORDER BY o) = name THEN 0 ELSE 1 END AS ch FROM r), g AS (SELECT *, sum(ch) OVER (ORDER BY o) AS run FROM n),
+s AS (SELECT run, sex, row_number() OVER (PARTITION BY run ORDER BY count(*) DESC, min(o)) AS w FROM g GROUP BY run, sex)"""
+
+
+@query("name_table", f"WITH {_NAMES} SELECT any_value(g.name) AS name, any_value(s.sex) AS sex, sum(percent) AS percent FROM g JOIN s ON s.run = g.run AND s.w = 1 GROUP BY g.run")
+def _(spark, d):
+    turn = F.col("turn")
+    rows = table(spark, d, "conversations").select(
+        (F.floor(turn / 2) % 3).cast("string").alias("name"), F.when(turn % 2 == 0, "f").otherwise("m").alias("sex"), (F.col("conv_id") * 1000 + turn).alias("o"), F.length("role").cast("double").alias("percent")
+    )
+    return stories.name_table(rows, "o")
+
+
+_MENTIONS = """m AS (SELECT conv_id, turn, turn * 6 AS token, CASE turn % 4 WHEN 0 THEN 'Anna' WHEN 1 THEN 'she' WHEN 2 THEN 'Anna' || chr(39) || 's' ELSE 'Her' END AS t, CASE WHEN conv_id % 3 > 0 THEN 'N' || conv_id END AS name FROM conversations)"""
+
+
+@query("mention_replacements", f"WITH {_MENTIONS} SELECT conv_id, turn, CASE WHEN coalesce(lag(token) OVER w + 8 >= token, false) AND lower(t) IN ('she', 'her') THEN t WHEN turn % 4 >= 2 AND name IS NOT NULL THEN name || chr(39) || 's' ELSE name END AS replacement FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY token)")
+def _(spark, d):
+    turn = F.col("turn")
+    said = F.when(turn % 4 == 0, "Anna").when(turn % 4 == 1, "she").when(turn % 4 == 2, "Anna's").otherwise("Her")
+    name = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("N"), F.col("conv_id").cast("string")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", (turn * 6).alias("token"), said.alias("text"), name.alias("name"))
+    return stories.mention_replacements(rows, ["conv_id"]).select("conv_id", "turn", "replacement")
 
 
 @query("genre_counts", "SELECT genre, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS genre FROM documents UNION ALL SELECT lang FROM documents WHERE doc_id % 7 <> 0) GROUP BY genre")
@@ -125,7 +154,10 @@ def _(spark, d):
     return stories.with_replacement(table(spark, d, "labels").select("doc_id"), "doc_id", 100)
 
 
-@query("masked_tokens")
+@query("masked_tokens", f"""WITH t AS (SELECT item_id, string_split(text, ' ') AS t FROM benchmark),
+u AS (SELECT item_id, unnest(t) AS w, unnest(range(0, len(t))) AS i FROM t),
+b AS (SELECT item_id, i, w, {bucket("item_id || '|' || i || '|a'", 100)} AS a, {bucket("item_id || '|' || i || '|b'", 100)} AS b, {bucket("item_id || '|' || i", 30000)} AS o FROM u)
+SELECT item_id, list({{'token': CASE WHEN a >= 15 THEN w WHEN b < 80 THEN '<mask>' WHEN b < 90 THEN 'tok' || o ELSE w END, 'label': CASE WHEN a < 15 THEN w END}} ORDER BY i) AS tokens FROM b GROUP BY item_id""")
 def _(spark, d):
     tokens = F.split("text", " ")
     return table(spark, d, "benchmark").select("item_id", stories.masked_tokens(tokens, F.col("item_id")).alias("tokens"))

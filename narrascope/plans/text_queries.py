@@ -233,9 +233,9 @@ def _(spark, d):
     return stats.first_mode(table(spark, d, "documents"), ["lang"], "source", "doc_id")
 
 
-@query("length_histogram", f"WITH c AS (SELECT least({_WC}, 300) AS v, count(*) AS n FROM documents GROUP BY 1) SELECT CAST(r.v AS BIGINT) AS value, coalesce(n, 0) AS count FROM (SELECT unnest(range(0, (SELECT max(v) FROM c) + 1)) AS v) r LEFT JOIN c ON c.v = r.v")
+@query("length_histogram", f"WITH c AS (SELECT {_WC} AS v, count(*) AS n FROM documents GROUP BY 1) SELECT CAST(r.v AS BIGINT) AS value, coalesce(n, 0) AS count FROM (SELECT unnest(range(0, (SELECT max(v) FROM c) + 1)) AS v) r LEFT JOIN c ON c.v = r.v")
 def _(spark, d):
-    return stats.histogram(table(spark, d, "documents").select(F.least(text.word_count(F.col("text")), F.lit(300)).alias("v")), "v")
+    return stats.histogram(table(spark, d, "documents").select(text.word_count(F.col("text")).alias("v")), "v")
 
 
 @query("text_cleaning", "SELECT page_id, trim(regexp_replace(url, '[\\r\\n]+', ' ', 'g')) AS flat, lower(replace(regexp_extract(url, '([^/]+)$', 1), '?', '_')) AS tail, 'query: ' || url AS prompted FROM pages")
@@ -256,11 +256,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.mask_entities(F.col("text"), entities).alias("masked"))
 
 
-@query("span_replacement", "SELECT doc_id, '[A]' || substr(text, 5, 6) || '[C]' || substr(text, 16) AS masked FROM documents WHERE length(text) >= 20")
+@query("span_replacement", "SELECT doc_id, '[A]' || substr(text, 5, 6) || '[C]' || substr(text, 16) AS masked FROM documents")
 def _(spark, d):
     spans = [(0, 4, "[A]"), (2, 8, "[B]"), (10, 15, "[C]")]
     arr = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("text")) for a, b, t in spans])
-    return table(spark, d, "documents").where(F.length("text") >= 20).select("doc_id", text.replace_spans(F.col("text"), arr).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", text.replace_spans(F.col("text"), arr).alias("masked"))
 
 
 @query("pseudonyms", "SELECT doc_id, 'Location ' || chr(CAST(65 + doc_id % 26 AS INT)) AS name FROM documents")
@@ -287,21 +287,44 @@ def _(spark, d):
     return rows.select("conv_id", joined.alias("joined"), F.size(text.split_events(joined)).cast("long").alias("n"))
 
 
+_PLAIN = "regexp_replace(x, '(?s)<[^>]*>', '', 'g')"
+for _name, _sign in (*text.ENTITIES, ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', chr({ord(_sign)}))"
+_BLANK = r"[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{3000}]"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
 @query("html_to_plain", f"""WITH b AS (SELECT page_id, list_transform(regexp_extract_all(html, '{text.BLOCK}'), lambda x: CASE WHEN lower(x[1:3]) = '<h2' THEN '# ' WHEN lower(x[1:3]) = '<h3' THEN '## ' ELSE '' END
-  || replace(replace(replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || chr(10)) AS l FROM pages)
-SELECT page_id, array_to_string(l, '') AS plain FROM b""")
+  || {_stripped(_PLAIN)} || chr(10)) AS l FROM pages)
+SELECT page_id, {_stripped("array_to_string(l, '')")} AS plain FROM b""")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_to_plain(F.col("html")).alias("plain"))
 
 
-@query("hard_negative", f"""WITH c AS (SELECT d.doc_id AS anchor_id, b.item_id AS pos, {ascii_tokens('d.text')} AS a, {ascii_tokens('b.text')} AS h, b.text AS hypothesis, CASE WHEN b.item_id % 3 = 0 THEN 'contradiction' ELSE 'neutral' END AS label
-  FROM documents d JOIN benchmark b ON b.item_id % 20 = d.doc_id % 20 WHERE trim(coalesce(b.text, '')) <> ''),
-s AS (SELECT *, {jaccard('a', 'h')} + CASE WHEN label = 'contradiction' THEN 0.05 ELSE 0 END AS score FROM c)
+@query("summary_section", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND length(text) > 100 THEN 'Plot' WHEN lang IN ('de', 'fr') AND length(source) > 100 THEN 'Synopsis' END AS name FROM documents")
+def _(spark, d):
+    sections = F.create_map(F.lit("Synopsis"), "source", F.lit("Plot"), "text")
+    return table(spark, d, "documents").select("doc_id", text.summary_section(sections, F.col("lang"))["name"].alias("name"))
+
+
+@query("content_overlap", f"WITH {_TP}, t AS (SELECT doc_id, {ascii_tokens('anchor')} AS a, {ascii_tokens('candidate')} AS b FROM tp), l AS (SELECT doc_id, list_transform(list_filter(a, lambda x: length(x) > 3), lambda x: rtrim(x, 's')) AS a, list_transform(list_filter(b, lambda x: length(x) > 3), lambda x: rtrim(x, 's')) AS b FROM t) SELECT doc_id, round({jaccard('a', 'b')}, 6) AS pos_overlap FROM l")
+def _(spark, d):
+    # a stand-in for a tagger: longer words without a final s
+    lemmas = lambda c: F.transform(F.filter(text.ascii_words(c), lambda x: F.length(x) > 3), lambda x: F.rtrim(x, F.lit("s")))
+    return overlap.pair_metrics(text_pairs(spark, d), ["doc_id"], lemmas).select("doc_id", r6("pos_overlap").alias("pos_overlap"))
+
+
+@query("hard_negative", f"""WITH c AS (SELECT d.doc_id AS anchor_id, b.item_id AS pos, {ascii_tokens('d.text')} AS a, {ascii_tokens('b.text')} AS h, b.text AS hypothesis, CASE WHEN b.item_id % 3 = 0 THEN 'Contradiction' ELSE 'neutral' END AS label
+  FROM documents d, benchmark b WHERE coalesce(b.text, '') <> ''),
+s AS (SELECT *, {jaccard('a', 'h')} + CASE WHEN label = 'Contradiction' THEN 0.05 ELSE 0 END AS score FROM c)
 SELECT anchor_id, pos, hypothesis, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, pos) AS k FROM s) WHERE k = 1""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("anchor_id"), F.col("text").alias("anchor"), (F.col("doc_id") % 20).alias("part"))
-    label = F.when(F.col("item_id") % 3 == 0, "contradiction").otherwise("neutral")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("hypothesis"), label.alias("label"), (F.col("item_id") % 20).alias("part"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("anchor_id"), F.col("text").alias("anchor"), F.lit(0).alias("part"))
+    label = F.when(F.col("item_id") % 3 == 0, "Contradiction").otherwise("neutral")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("hypothesis"), label.alias("label"), F.lit(0).alias("part"))
     out = overlap.hard_negatives(docs, items, "part")
     return out.select("anchor_id", "pos", "hypothesis", "label", r6("score").alias("score"))
 

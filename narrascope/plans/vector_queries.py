@@ -141,14 +141,24 @@ def _(spark, d):
     return hit.agg(r6(F.avg((F.col("ql") == F.col("cl")).cast("double"))).alias("hits_at_1"), F.count("*").alias("n"))
 
 
-@query("aligned_retrieval", "WITH p AS (SELECT a.vec_id AS q, b.vec_id - 250 AS c, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 250 AND b.vec_id >= 250 AND b.vec_id < 500), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS k FROM p) SELECT q, CAST(k AS INT) AS rank FROM r WHERE q = c")
+@query("aligned_retrieval", "WITH h AS (SELECT count(*) // 2 AS h FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id - h AS c, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a, embeddings b, h WHERE a.vec_id < h AND b.vec_id >= h), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS k FROM p) SELECT q, CAST(k AS INT) AS rank FROM r WHERE q = c")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    left, right = e.where("vec_id < 250"), e.where("vec_id >= 250 and vec_id < 500").withColumn("vec_id", F.col("vec_id") - 250)
+    half = e.count() // 2
+    left, right = e.where(F.col("vec_id") < half), e.where(F.col("vec_id") >= half).withColumn("vec_id", F.col("vec_id") - half)
     pairs = vectors.pair_scores(left, right, exclude_self=False).withColumn("rel", F.col("q") == F.col("c"))
     return retrieval.ranked(pairs).where("rel = 1").select("q", "rank")
 
 
+@query("caption_best_of_five", "WITH x AS (SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id // 5 AS image, b.vec_id AS c, list_cosine_similarity(a.v, b.v) AS sim, a.vec_id // 5 = b.vec_id // 5 AS own FROM x a, x b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY sim DESC, c) AS k FROM p), f AS (SELECT image, min(k) - 1 AS f FROM r WHERE own GROUP BY image) SELECT round(100 * avg(CAST(f < 1 AS DOUBLE)), 6) AS recall_at_1, round(100 * avg(CAST(f < 10 AS DOUBLE)), 6) AS recall_at_10, CAST(floor(quantile_cont(f, 0.5)) + 1 AS BIGINT) AS median_rank, count(*) AS n FROM f")
+def _(spark, d):
+    # of five vectors in a row the first is an image, the others are its captions; the best placed one counts
+    e = table(spark, d, "embeddings")
+    pairs = vectors.pair_scores(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 > 0"), exclude_self=False)
+    out = retrieval.recall_and_median_rank(retrieval.ranked(pairs.withColumn("rel", F.floor(F.col("q") / 5) == F.floor(F.col("c") / 5))))
+    return out.select(r6("recall_at_1").alias("recall_at_1"), r6("recall_at_10").alias("recall_at_10"), "median_rank", "n")
+
+
 @query("silhouette", f"WITH {PAIRS}, m AS (SELECT q, ql, cl, avg(1 - sim) AS m FROM pairs GROUP BY q, ql, cl), s AS (SELECT q, max(CASE WHEN ql = cl THEN m END) AS a, min(CASE WHEN ql <> cl THEN m END) AS b FROM m GROUP BY q) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM s")
 def _(spark, d):
     pairs = labelled_pairs(spark, d).select("q", "c", (1 - F.col("sim")).alias("dist"), F.col("ql").alias("q_label"), F.col("cl").alias("c_label"))
@@ -258,10 +268,10 @@ def _(spark, d):
     return parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: F.round(s["m"], 6)).alias("pooled"))
 
 
-@query("incremental_index", "SELECT count(*) AS n, min(vec_id) AS low, max(vec_id) AS high FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 2 = 0")
+@query("incremental_index", "SELECT count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total, min(vec_id) AS low, max(vec_id) AS high FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.add_to_index(e.where("vec_id % 3 = 0"), e.where("vec_id % 2 = 0")).agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
+    return vectors.add_to_index(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 <> 0 or vec_id % 2 = 0")).agg(F.count("*").alias("n"), F.sum("vec_id").alias("total"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
 
 
 @query("probe_accuracy")

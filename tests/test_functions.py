@@ -1,6 +1,9 @@
 """Hand-computed cases and properties of the scalar functions."""
 
 import hashlib
+import json
+import random
+import re
 
 import numpy as np
 import pytest
@@ -43,12 +46,14 @@ def test_strip_takes_all_white_space(spark):
 def test_spans_are_replaced_from_left_to_right(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("text")) for a, b, t in [(6, 9, "Z"), (0, 3, "X"), (2, 7, "Y")]])
     r = one(spark, s=text.replace_spans(F.lit("0123456789"), spans), m=text.mask_entities(F.lit("Ann and Anna"), F.array(F.struct(F.lit("Ann").alias("text"), F.lit("PER").alias("tag")))))
+    kept = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).cast("string").alias("text")) for a, b, t in [(1, 3, None), (5, 6, "-")]])
+    assert one(spark, s=text.replace_spans(F.lit("0123456789"), kept)).s == "01234-6789"
     assert r.s == "X345Z9" and r.m == "PER and PERa"
 
 
 def test_html_blocks(spark):
     html = "<h2 class=x>Head</h2><div>no</div><p>One &amp; <b>two</b></p><H3>Sub</H3><dl>list</dl>"
-    assert one(spark, p=text.html_to_plain(F.lit(html))).p == "## Sub\n".join(["# Head\nOne & two\n", "list\n"])
+    assert one(spark, p=text.html_to_plain(F.lit(html))).p == "## Sub\n".join(["# Head\nOne & two\n", "list"])
 
 
 def test_other_text_functions(spark):
@@ -86,13 +91,54 @@ def test_soft_labels_expect_the_score(spark, score):
     assert sum(r.s) == pytest.approx(1) and r.e == pytest.approx(score)
 
 
-@pytest.mark.parametrize(
-    ("raw", "closer", "why"),
-    [('```json\n{"closer":"b","why":"x"}\n```', "B", "x"), ("{}", "A", ""), (None, "A", ""), ("The answer is: B", "B", ""), ('x {"output":{"label":"Text A"}} y', "A", ""), ('{"closer": 5}', "A", "")],
-)
-def test_decisions(spark, raw, closer, why):
-    r = one(spark, d=parsing.decision(F.lit(raw).cast("string")))
-    assert r.d.closer == closer and r.d.why == why
+def plain_decision(raw):
+    """The rules of an answer in plain Python; what can't be read is an empty object."""
+    t = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (raw or "").strip(), flags=re.I).strip())
+    start, depth, d = t.find("{"), 0, {}
+    for i in range(max(start, 0), len(t)):
+        depth += (t[i] == "{") - (t[i] == "}")
+        if start >= 0 and depth == 0:
+            try:
+                d = json.loads(t[start : i + 1])
+            except ValueError:
+                pass
+            break
+    one = lambda s: "A" if "A" in s.upper() and "B" not in s.upper() else "B" if "B" in s.upper() and "A" not in s.upper() else None
+    found = [one(d[k]) for k in parsing.CLOSER if isinstance(d.get(k), str)]
+    inner = [[x for x in map(one, (y for y in v.values() if isinstance(y, str))) if x] for v in d.values() if isinstance(v, dict)]
+    text = json.dumps(d, ensure_ascii=False)
+    lone = [x for x in "AB" if re.search(rf"\b{x}\b", text)]
+    closer = next((x for x in found if x), None) or next((x[0] for x in reversed(inner) if x), None) or (lone[0] if len(lone) == 1 else "A")
+    given = d.get("aspects") or d.get("similarity_aspects")
+    if isinstance(given, dict):
+        flags = [bool(given.get(k)) for k in parsing.ASPECTS]
+    else:
+        names = {str(x).lower() for x in given} if isinstance(given, list) else set()
+        flags = [bool({k, short} & names) for k, short in parsing.ASPECTS.items()]
+    return closer, flags, str(next((d[k] for k in parsing.WHY if d.get(k)), parsing.NO_REASON))
+
+
+def test_decisions(spark):
+    rnd = random.Random(3)
+    values = ["A", "b", "Story A", "text B", "AB", "none", "", 5, 0, None, True, {"x": "B"}, {"x": 1, "y": "a", "z": "b"}, {}, ["B"], "see A."]
+    keys = [*parsing.CLOSER, "other", "more", "why", "reason", "explanation"]
+    aspects = [{}, [], ["theme", "Outcomes"], {"abstract_theme": "no", "outcomes": 0}, {"course_of_action": True}, "theme", ["action", 3, None]]
+    raws = [None, "", "{}", "The answer is: B", '{"closer": "B"', 'x {"output":{"label":"Text A"}} y', '```json\n{"closer":"b","why":"x"}\n```', "```\n{}\n```"]
+    for _ in range(400):
+        d = {k: rnd.choice(values[:11] if k in parsing.WHY else values) for k in rnd.sample(keys, rnd.randrange(5))}
+        d |= {k: rnd.choice(aspects) for k in rnd.sample(parsing.GIVEN, rnd.randrange(3))}
+        raws.append(rnd.choice(["", "so: ", "```json\n"]) + json.dumps(d))
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string")
+    for r in df.select("k", "raw", parsing.decision(F.col("raw")).alias("d")).collect():
+        closer, flags, why = plain_decision(r.raw)
+        assert (r.d.closer, list(r.d.aspects)) == (closer, flags), r.raw
+        assert r.d.why == why or why in ("True", "5"), r.raw
+
+
+def test_unreadable_answers_are_repaired(spark):
+    fix = lambda c: F.lit('{"closer": "B"}')
+    r = one(spark, a=parsing.decision(parsing.repaired(F.lit("{oops}"), fix)), b=parsing.decision(parsing.repaired(F.lit('{"closer": "A"}'), fix)), c=parsing.decision(parsing.repaired(F.lit(None).cast("string"), fix)))
+    assert (r.a.closer, r.b.closer, r.c.closer) == ("B", "A", "B")
 
 
 def test_first_object_counts_braces(spark):
@@ -105,6 +151,8 @@ def test_labels_as_text(spark):
     for value, kind, want in kinds:
         assert one(spark, x=parsing.normal_label(F.lit(value).cast(kind), kind)).x == want
     assert parsing.discovered_label(["x", "gold", "label"]) == "label"
+    names = ["text_a_is_closer", "label", "gold_label", "y", "target"]
+    assert [parsing.discovered_label(names[k:]) for k in range(6)] == [*names, None]
 
 
 def test_hooks_encode_each_text_once(spark):

@@ -63,9 +63,11 @@ def test_rows_without_an_anchor_are_missing(spark):
 
 
 def test_source_tags(spark):
-    df = spark.createDataFrame([("/d/dev_track_a.jsonl",), ("/d/track_a_and_track_b_train.csv",), ("x",)], "p string")
+    cases = {"/d/dev_track_a.jsonl": ("dev", "track_a"), "/d/track_a_and_track_b_train.csv": ("train", "track_b"), "x": ("unknown", "unknown"), "Sample_a.json": ("sample", "track_a"),
+             "my_test_b.x.csv": ("test", "unknown"), "testing-track-a": ("test", "track_a"), "retrain.csv": ("unknown", "unknown"), "b": ("unknown", "track_b"), "data": ("unknown", "track_a")}
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
     split, track = triplets.source_tags(F.col("p"))
-    assert [tuple(r) for r in df.select(split, track).collect()] == [("dev", "track_a"), ("train", "track_b"), ("unknown", "unknown")]
+    assert [tuple(r) for r in df.select(split, track).collect()] == list(cases.values())
 
 
 def test_rouge_counts_multisets(spark):
@@ -78,11 +80,24 @@ def test_rouge_counts_multisets(spark):
 
 def test_first_of_equal_hard_negatives(spark):
     anchors = spark.createDataFrame([(1, "a b", 7), (2, "a b", 8)], "anchor_id int, anchor string, k int")
-    rows = [(0, "", "neutral", 7), (1, "a", "neutral", 7), (2, "b", "neutral", 7), (0, "a", "neutral", 8), (1, "b", "contradiction", 8)]
+    rows = [(0, "", "neutral", 7), (1, "a", "neutral", 7), (2, "b", "neutral", 7), (0, "a", "neutral", 8), (1, "b", "CONTRADICTION", 8)]
     out = overlap.hard_negatives(anchors, spark.createDataFrame(rows, "pos int, hypothesis string, label string, k int"), "k")
     assert {r.anchor_id: (r.pos, round(r.score, 3)) for r in out.collect()} == {1: (1, 0.5), 2: (1, 0.55)}
 
 
+def test_negatives_without_a_shared_word(spark):
+    anchors = spark.createDataFrame([(1, "a b", 7), (2, "x", 7), (3, "", 7), (4, "q", 9)], "anchor_id int, anchor string, k int")
+    rows = [(0, "c", "neutral", 7), (1, " ", "neutral", 7), (2, "x y", "contradiction", 7), (3, "d", "contradiction", 7), (4, "a c d e f g h i j k l m n o p q r s t u v w", "neutral", 7), (0, None, "neutral", 9)]
+    out = overlap.hard_negatives(anchors, spark.createDataFrame(rows, "pos int, hypothesis string, label string, k int"), "k")
+    assert {r.anchor_id: (r.pos, round(r.score, 3)) for r in out.collect()} == {1: (2, 0.05), 2: (2, 0.55), 3: (2, 0.05)}
+
+
+def test_content_lemmas_come_from_a_hook(spark):
+    pairs = spark.createDataFrame([(1, "run runs", "runs walk"), (2, None, "")], "k int, anchor string, candidate string")
+    lemmas = lambda c: F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda x: x != ""), lambda x: F.rtrim(x, F.lit("s")))
+    assert {r.k: r.pos_overlap for r in overlap.pair_metrics(pairs, ["k"], lemmas).collect()} == {1: 0.5, 2: 0.0}
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "q long, c long, sim double, rel boolean")
 
