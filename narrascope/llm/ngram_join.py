@@ -21,19 +21,25 @@ The sketch of counts has a fixed size, so its noise grows with the corpus.  Pass
 exactly how many prefixes each single signature stands in; crowded ones become frequent, which
 changes the prefixes of the documents that hold them only.
 
+A signature, or a set, that a large part of the documents shares meets its smallest document by a broadcast (``hot_join``).
+
 Defined cases: a null or empty text has an empty set and links with nothing; null ids are kept, unlinked, with a
 null component; rows that repeat an id are one node; equal sets are linked without comparison.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.llm import blocksum
 from narrascope.llm.rows import bound_batches
+from narrascope.llm.skew import hot_join
 from narrascope.llm.textbatch import U, mix, raw, shingle_sets
 from narrascope.operators.clusters import connected_components
 from narrascope.session import Scratch
@@ -42,11 +48,13 @@ SKETCH_BITS = 20
 FINE_BITS = 22
 #: Rare shingles that stand in this many prefixes are made frequent.
 CROWDED = 8
-#: Passes that look for such shingles.
-PASSES = 2
-#: Bins of a set's sketch, and the summed sizes beyond which the share of equal bins is looked at.
+#: Passes that look for such shingles, at most; they end when none is left.
+PASSES = 6
+#: Bins of a set's sketch, the summed sizes beyond which the share of equal bins is looked at, and the probability with
+#: which that test may fail a pair at the threshold.
 BINS = 256
 LARGE = 4096
+RISK = 1e-9
 #: Ids that may be broadcast (8 MB), and documents of one block of a cluster.
 FEW = 1_000_000
 PART = 1024
@@ -150,15 +158,24 @@ def may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, thres
     """Whether sets with these sketches and sizes, row by row, can link.
 
     A bin differs only if an entry of just one of the sets lies in it, and linked sets have at most
-    (100 - t) / (100 + t) of their summed sizes of those.  Beyond ``LARGE`` entries this says little; there, the share
-    of equal bins follows the similarity, and for linked sets is below the threshold less 12 percent with a
-    probability of about 1e-7 at the threshold itself.
+    (100 - t) / (100 + t) of their summed sizes of those.  Beyond ``LARGE`` entries this says little; there, a bin is equal
+    with the probability of the similarity, and a pair is set aside if so few bins are equal as a pair at the threshold
+    has with a probability of ``RISK`` or less.
     """
     differ = (x != y).sum(axis=1)
     both = nx + ny
     ok = (differ * (100 + threshold) <= both * (100 - threshold)) & (nx * threshold <= ny * 100) & (ny * threshold <= nx * 100)
     used = ((x > 0) | (y > 0)).sum(axis=1)
-    return ok & ((both <= LARGE) | ((used - differ) * 100 >= (threshold - 12) * used))
+    return ok & ((both <= LARGE) | ((used - differ) * BINS > _unlikely(threshold) * used))
+
+
+@functools.cache
+def _unlikely(threshold: int) -> int:
+    """The largest number of equal bins that a pair at the threshold doesn't exceed with a probability of ``RISK`` or less; -1 if there is none."""
+    p, total, k = threshold / 100, 0.0, -1
+    while k + 1 < BINS and (total := total + math.comb(BINS, k + 1) * p ** (k + 1) * (1 - p) ** (BINS - k - 1)) <= RISK:
+        k += 1
+    return k
 
 
 def _alike(threshold: int):
@@ -242,6 +259,12 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
 
 
+def _of_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the groups (a written table with the sizes ``c``) with the groups' columns; hot groups are split."""
+    total = groups.agg(F.sum("c")).first()[0] or 0
+    return hot_join(rows, groups, keys, "c", total, ["id"])
+
+
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``texts`` joined to those of ``ids`` by id; ids are broadcast if they are few."""
     return texts.join(F.broadcast(ids) if ids.count() <= FEW else ids, "id")
@@ -323,20 +346,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     for turn in range(PASSES):
         crowded = rows(True).groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED)
-        fine = np.maximum(fine, _crowded_cells(work.save(crowded, f"crowded{turn}")))
+        crowded = work.save(crowded, f"crowded{turn}")
+        if crowded.isEmpty():
+            break
+        fine = np.maximum(fine, _crowded_cells(crowded))
         work.release()
-    signed = rows(False)
-    over = Window.partitionBy("sig")
-    groups = signed.select("sig", "id", "drawn", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    signed = work.save(rows(False), "signed")
+    shared_by = signed.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    groups = _of_groups(signed, work.save(shared_by.select("sig", "c"), "shared"), ["sig"])
     whole = stats.where("n > 0 and id is not null")
-    first = whole.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    same = work.save(whole.select("id", "n", "h1", "h2").join(first, ["h1", "h2", "n"]).where("id <> rep").select("id", "rep"), "same")
+    first = whole.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    same = _of_groups(whole.select("id", "n", "h1", "h2"), work.save(first, "first"), ["h1", "h2", "n"])
+    same = work.save(same.where("id <> rep").select("id", "rep").distinct(), "same")
     groups = groups.join(same, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"), "drawn")
     groups = work.save(groups.distinct(), "groups")
+    work.drop("signed")
 
-    least = groups.groupBy("sig").agg(F.min("id").alias("b"), F.max("id").alias("c")).where("b <> c")
-    stars = groups.join(least, "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    stars = verified(stars, stats, texts, k, threshold, work, "stars")
+    least = groups.groupBy("sig").agg(F.min("id").alias("b"), F.max("id").alias("hi"), F.count("*").alias("c")).where("b <> hi")
+    starred = work.save(_of_groups(groups, work.save(least.select("sig", "b", "c"), "least"), ["sig"]).where("id <> b"), "starred")
+    stars = verified(starred.select(F.col("id").alias("a"), "b").distinct(), stats, texts, k, threshold, work, "stars")
     parts = connected_components(stars, "a", "b")
 
     part_of = parts.withColumnRenamed("node", "id").withColumnRenamed("component", "part")
@@ -351,7 +379,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = verified(cross, stats, texts, k, threshold, work, "cross")
 
     # clusters of dense documents that drawn combinations chain together, where they still have several parts
-    chained = groups.where("drawn").join(least.drop("c"), "sig").where("id <> b").select("id", "b").distinct()
+    chained = starred.where("drawn").select("id", "b").distinct()
     clusters = connected_components(chained, "id", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     clusters = clusters.join(part_of, "id", "left").select("id", "cluster", F.coalesce("part", "id").alias("part"))
     clusters = work.save(clusters, "clusters")
