@@ -68,6 +68,20 @@ def masked_mean(vectors: Column, mask: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.try_divide(F.aggregate(kept, F.lit(0.0), lambda s, v: s + F.get(v, i)), F.size(kept)))
 
 
+def pooled(layers: Column, mask: Column, mode: str, dim: int) -> Column:
+    """One vector of a model's layers (arrays of token vectors, the first layer first).
+
+    ``cls`` is the last layer's first token; ``avg`` the masked mean of the last layer, ``avg_top2`` of the mean of the
+    last two, ``avg_first_last`` of the mean of the first and the last.
+    """
+    last = F.element_at(layers, -1)
+    if mode == "cls":
+        return F.transform(F.get(last, F.lit(0)), lambda x: x.cast("double"))
+    other = {"avg": last, "avg_top2": F.element_at(layers, -2), "avg_first_last": F.element_at(layers, 1)}[mode]
+    a, b = masked_mean(last, mask, dim), masked_mean(other, mask, dim)
+    return F.zip_with(a, b, lambda x, y: (x + y) / 2)
+
+
 def max_pool(vectors: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.array_max(F.transform(vectors, lambda v: F.get(v, i).cast("double"))))
 

@@ -68,7 +68,11 @@ def nearest_label(pairs: DataFrame, zero_self: bool = False) -> DataFrame:
 
 def silhouette(distances: DataFrame) -> DataFrame:
     """Mean silhouette from ``(q, c, dist, q_label, c_label)`` pairs without self pairs; a singleton cluster's member counts 0."""
-    mean = distances.groupBy("q", "q_label", "c_label").agg(F.avg("dist").alias("m"))
+    return mean_silhouette(distances.groupBy("q", "q_label", "c_label").agg(F.avg("dist").alias("m")))
+
+
+def mean_silhouette(mean: DataFrame) -> DataFrame:
+    """The same from each query's mean distance ``m`` to each label."""
     per = mean.groupBy("q").agg(F.max(F.when(F.col("q_label") == F.col("c_label"), F.col("m"))).alias("a"), F.min(F.when(F.col("q_label") != F.col("c_label"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.agg(F.avg(s).alias("silhouette"), F.count("*").alias("n"))

@@ -8,19 +8,50 @@ from pyspark.sql import functions as F
 from narrascope.operators.ordering import running_sum
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: Column, names: dict[str, float]) -> DataFrame:
+    """``by`` and the named quantiles of each group, by linear interpolation between order statistics; nulls are left out.
+
+    Distinct values are counted and their counts summed up in order by ``running_sum``, so no task holds a group.
+    """
+    counts = df.select(*by, value.alias("__x")).where("__x is not null").groupBy(*by, "__x").agg(F.count("*").alias("__c"))
+    upto = running_sum(counts, [*by, "__x"], F.col("__c"), "__upto")
+    ends = upto.groupBy(*by).agg(F.min(F.col("__upto") - F.col("__c")).alias("__base"), F.max("__upto").alias("__end"))
+    keyed = ends.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    rows = upto.join(keyed, F.expr(" and ".join(f"`{c}` <=> `__by_{c}`" for c in by))) if by else upto.join(F.broadcast(ends))
+    first, last = F.col("__upto") - F.col("__c") - F.col("__base"), F.col("__upto") - F.col("__base") - 1  # places of the value, from 0
+    aggs = []
+    for name, q in names.items():
+        place = (F.col("__end") - F.col("__base") - 1) * F.lit(float(q))
+        low, high = (F.max(F.when((first <= at) & (at <= last), F.col("__x"))) for at in (F.floor(place), F.ceil(place)))
+        part = F.max(place - F.floor(place))
+        aggs.append((low + (high - low) * part).alias(name))
+    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+
+
+def _with_quantiles(df: DataFrame, by: list[str], x: Column, aggs: list[Column], names: dict[str, float]) -> DataFrame:
+    rest = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    found = exact_quantiles(df, by, x, names)
+    if not by:
+        return rest.join(F.broadcast(found))
+    found = found.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    return rest.join(found, F.expr(" and ".join(f"`{c}` <=> `__by_{c}`" for c in by)), "left").drop(*[f"__by_{c}" for c in by])
+
+
 def summary(df: DataFrame, by: list[str], value: str, extremes: bool = False) -> DataFrame:
     """mean, median, population std, p10, p90 and n of each group; quantiles interpolate linearly."""
     x = F.col(value).cast("double")
-    q = lambda p: F.percentile(x, F.lit(p))
     more = [F.min(x).alias("min"), F.max(x).alias("max")] if extremes else []
-    aggs = [F.avg(x).alias("mean"), q(0.5).alias("median"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("std"), q(0.1).alias("p10"), q(0.9).alias("p90"), *more, F.count(x).alias("n")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    aggs = [F.avg(x).alias("mean"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("std"), *more, F.count(x).alias("n")]
+    out = _with_quantiles(df, by, x, aggs, {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return out.select(*by, "mean", "median", "std", "p10", "p90", *(["min", "max"] if extremes else []), "n")
 
 
 def quantiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
     """mean, min, max, population std and the quantiles ``q<percent>`` of a column."""
     x = F.col(value).cast("double")
-    return df.agg(F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("std"), *[F.percentile(x, F.lit(s)).alias(f"q{round(100 * s)}") for s in shares])
+    names = {f"q{round(100 * s)}": s for s in shares}
+    aggs = [F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("std")]
+    return _with_quantiles(df, [], x, aggs, names).select("mean", "min", "max", "std", *names)
 
 
 def label_shares(df: DataFrame, by: list[str], label: str) -> DataFrame:

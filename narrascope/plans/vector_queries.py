@@ -21,10 +21,7 @@ def scored(spark, d):
 def labelled_pairs(spark, d):
     """All pairs of different vectors (q, c, sim, rel, ql, cl)."""
     e = table(spark, d, "embeddings")
-    own = e.select(F.col("vec_id").alias("q"), F.col("label").alias("ql"))
-    other = e.select(F.col("vec_id").alias("c"), F.col("label").alias("cl"))
-    pairs = vectors.pair_scores(e, e).join(own, "q").join(other, "c")
-    return pairs.withColumn("rel", F.col("ql") == F.col("cl"))
+    return vectors.pair_scores(e, e, label="label").withColumn("rel", F.col("ql") == F.col("cl"))
 
 
 def ranking(spark, d):
@@ -125,7 +122,9 @@ def _(spark, d):
 
 @query("chunked_recall", f"WITH {PAIRS}, chunked AS (SELECT q // 100 AS chunk, q, c, sim, rel, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rank FROM pairs WHERE q // 100 = c // 100), f AS (SELECT chunk, q, min(CASE WHEN rel = 1 THEN rank END) - 1 AS f FROM chunked GROUP BY chunk, q), per AS (SELECT chunk, 100 * avg(CAST(f < 5 AS DOUBLE)) AS r5, floor(quantile_cont(f, 0.5)) + 1 AS m FROM f WHERE f IS NOT NULL GROUP BY chunk) SELECT round(avg(r5), 6) AS recall_at_5, round(avg(m), 6) AS median_rank, count(*) AS chunks FROM per")
 def _(spark, d):
-    near = labelled_pairs(spark, d).where(F.floor(F.col("q") / 100) == F.floor(F.col("c") / 100))
+    # pairs are made inside chunks of a hundred only
+    side = lambda x: table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("chunk"), F.col("vec_id").alias(x), F.col("label").alias(f"{x}l"), F.col("embedding").alias(f"{x}v"))
+    near = side("q").join(side("c"), "chunk").where("q <> c").select("q", "c", similarity.cosine(F.col("qv"), F.col("cv")).alias("sim"), (F.col("ql") == F.col("cl")).alias("rel"))
     first = retrieval.ranked(near).groupBy("q").agg((F.min(F.when(F.col("rel") == 1, F.col("rank"))) - 1).alias("f")).where("f is not null")
     per = first.groupBy(F.floor(F.col("q") / 100).alias("chunk")).agg((100 * F.avg((F.col("f") < 5).cast("double"))).alias("r5"), (F.floor(F.percentile("f", F.lit(0.5))) + 1).alias("m"))
     return per.agg(r6(F.avg("r5")).alias("recall_at_5"), r6(F.avg("m")).alias("median_rank"), F.count("*").alias("chunks"))
@@ -161,8 +160,9 @@ def _(spark, d):
 
 @query("silhouette", f"WITH {PAIRS}, m AS (SELECT q, ql, cl, avg(1 - sim) AS m FROM pairs GROUP BY q, ql, cl), s AS (SELECT q, max(CASE WHEN ql = cl THEN m END) AS a, min(CASE WHEN ql <> cl THEN m END) AS b FROM m GROUP BY q) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM s")
 def _(spark, d):
-    pairs = labelled_pairs(spark, d).select("q", "c", (1 - F.col("sim")).alias("dist"), F.col("ql").alias("q_label"), F.col("cl").alias("c_label"))
-    return retrieval.silhouette(pairs).select(r6("silhouette").alias("silhouette"), "n")
+    sums = vectors.label_distances(table(spark, d, "embeddings"), "label")
+    mean = sums.select("q", F.col("ql").alias("q_label"), F.col("cl").alias("c_label"), (F.col("total") / F.col("n")).alias("m"))
+    return retrieval.mean_silhouette(mean).select(r6("silhouette").alias("silhouette"), "n")
 
 
 @query("sim_delta_top3", f"WITH {VT}, d AS (SELECT i, a, b, sim_a - sim_b AS delta FROM vs) (SELECT 'high' AS side, i, a, b, round(delta, 6) AS delta FROM d ORDER BY d.delta DESC, i LIMIT 3) UNION ALL (SELECT 'low', i, a, b, round(delta, 6) FROM d ORDER BY d.delta, i LIMIT 3)")

@@ -171,3 +171,9 @@ def word_vectors(spark: SparkSession, path: str, vocabulary: DataFrame | None =
 def first_captions(rows: DataFrame, n: int = 5) -> DataFrame:
     """``(image_id, caption_no, caption)``: the first n captions of images that have as many."""
     return rows.where(F.size("captions") >= n).select("image_id", F.posexplode(F.slice("captions", 1, n)).alias("caption_no", "caption"))
+
+
+def named_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, name)`` of a JSON object that names ids, in one or more files of one line or many."""
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name"))

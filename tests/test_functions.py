@@ -84,6 +84,13 @@ def test_pooling(spark):
     assert r.m == [1.0, 5.0] and r.x == [3.0, 5.0] and r.n == [None, None]
 
 
+def test_pooling_modes(spark):
+    layer = lambda *rows: F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
+    layers, mask = F.array(layer((0, 0), (2, 2)), layer((4, 0), (0, 4)), layer((1, 3), (3, 1))), F.array(F.lit(1), F.lit(1))
+    r = one(spark, **{m: similarity.pooled(layers, mask, m, 2) for m in ("cls", "avg", "avg_top2", "avg_first_last")})
+    assert (r.cls, r.avg, r.avg_top2, r.avg_first_last) == ([1.0, 3.0], [2.0, 2.0], [2.0, 2.0], [1.5, 1.5])
+
+
 @pytest.mark.parametrize("score", [1.0, 2.3, 4.99, 5.0])
 def test_soft_labels_expect_the_score(spark, score):
     s = similarity.soft_label(F.lit(score))

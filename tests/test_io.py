@@ -80,6 +80,14 @@ def test_entities_vectors_and_captions(spark, tmp_path):
     assert readers.first_captions(caps).count() == 5
 
 
+def test_ids_are_named_both_ways(spark, tmp_path):
+    (tmp_path / "genres.json").write_text('{"Q1": "novel",\n "Q2": "film"}')
+    names = readers.named_ids(spark, str(tmp_path / "genres.json"))
+    rows = spark.createDataFrame([("Q2",), ("Q9",)], "id string")
+    assert sorted(tuple(r) for r in rows.join(names, "id", "left").collect()) == [("Q2", "film"), ("Q9", None)]
+    assert [r.id for r in names.where("name = 'novel'").collect()] == ["Q1"]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'é "q"', 0.5), (2, None, 1 / 3)], "k long, s string, x double")
     sinks.csv_with_mark(df, str(tmp_path / "m"))

@@ -155,6 +155,20 @@ def test_summaries(spark):
     assert stats.summary(df.limit(0), [], "v").first().n == 0
 
 
+def test_quantiles_are_those_of_numpy(spark):
+    import numpy as np
+
+    rnd = random.Random(8)
+    rows = [(g, rnd.choice([None, float(rnd.randrange(9)), rnd.random()])) for g in ["a"] * 50 + ["b"] * 7 + [None] * 30 + ["c"]] + [("d", None)]
+    out = {r.g: r for r in stats.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], F.col("v"), {"x": 0.1, "y": 0.5, "z": 1.0}).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        mine = [v for h, v in rows if h == g and v is not None]
+        assert [out[g].x, out[g].y, out[g].z] == pytest.approx(np.quantile(mine, [0.1, 0.5, 1.0]).tolist())
+    assert "d" not in out
+    empty = stats.quantiles(spark.createDataFrame([], "v double"), "v", (0.5,)).first()
+    assert empty.q50 is None and empty.mean is None
+
+
 def test_spearman_ignores_monotone_maps_and_constants(spark):
     rnd = random.Random(2)
     rows = [(rnd.randrange(6), rnd.random()) for _ in range(60)]
