@@ -10,7 +10,9 @@ The template marks each turn as ``<s>[ROLE]role[/ROLE]`` + the text (of other ro
 backslash after its first character, so none is left, and any backslash can be undone with the character after it.
 
 Defined cases: null texts and roles are empty ones; a message whose parent is missing is a root; messages on a cycle
-of replies belong to no path; null tree ids are one tree; equal scores are ranked by the smaller leaf.
+of replies belong to no path; null tree ids are one tree; equal scores are ranked by the smaller leaf; null and NaN
+scores are 0; messages without a node take no part; of messages that repeat a node of a tree the least one by
+parent, role, text and score stands for all; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,12 +63,15 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``(tree, leaf, rank, turns)`` of the best ``branches`` paths of every tree; turns are (role, text) from the root on.
 
-    ``messages`` has tree, node, parent, role, text and score; nodes are unique in their tree.
+    ``messages`` has tree, node, parent, role, text and score.
     """
     work = Scratch(messages.sparkSession, "chat")
     bound_batches(messages.sparkSession)
     key = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")).alias("key")
-    nodes = work.save(messages.select(key, "tree", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
+    score = F.nanvl(F.coalesce(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("score")
+    rows = messages.where("node is not null").select(key, "tree", "node", F.struct("parent", "role", "text", score).alias("message"))
+    rows = rows.groupBy("key", "node").agg(F.first("tree").alias("tree"), F.min("message").alias("message"))
+    nodes = work.save(rows.select("key", "tree", "node", "message.*"), "nodes")
     known = nodes.select("key", F.col("node").alias("parent"))
     up = nodes.join(known.withColumn("found", F.lit(True)), ["key", "parent"], "left")
     up = up.select("key", "node", F.expr("if(found, parent, null)").alias("up"), "score", F.lit(1).cast("long").alias("n"))

@@ -113,6 +113,54 @@ def test_best_paths_of_reply_trees(spark):
     assert chat.paths(m.limit(0)).count() == 0
 
 
+def test_repeated_messages_and_odd_scores(spark):
+    rows = [(1, 1, None, "user", "b", 0.0, "x"), (1, 1, None, "user", "a", float("nan"), "y"), (1, 1, None, "user", "a", float("nan"), "y"), (1, 2, 1, "assistant", "one", float("nan"), "z"),
+            (1, 3, 1, "assistant", "two", None, "z"), (1, 4, 1, "assistant", "three", 0.5, "z"), (1, None, 1, "user", "no node", 9.0, "z")]
+    m = spark.createDataFrame(rows, "tree int, node int, parent int, role string, text string, score double, key string")
+    out = chat.paths(m, branches=5).collect()
+    assert [(r["rank"], r.leaf, [t.text for t in r.turns]) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 4, ["a", "three"]), (2, 2, ["a", "one"]), (3, 3, ["a", "two"])]
+
+
+def test_the_registered_vectors_are_found(spark):
+    from narrascope.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    out = queries.op6_nearest(spark, sf).collect()
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(e["embedding"].to_numpy()).astype(float), e["vec_id"].to_numpy()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        near = x @ x[q]
+        near[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.argsort(-near, kind="stable")[:20]].tolist()))
+    assert len(got) == (ids % 20 == 0).sum() and hits / (20 * len(got)) >= 0.97
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    long = " ".join(f"w{k}" for k in range(80))
+    odd = [(None, "no id at all", "en", "s", 3), (900, None, None, None, None), (901, "", "en", "s", 0), (902, " \n ", "en", "s", 3), (903, long, "en", "s", 9), (903, long, "en", "s", 9), (903, "another text of this id", "en", "s", 9)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit(c) for c in ("score", "n_lines", "n_words", "hit_items", "n_tokens", "id", "row", "text_sha256")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType, name
+        assert out.where("score <> 'score' or n_words <> 'n_words' or id <> 'id' or row <> 'row'").count() == 0, name
+    kept = {r.doc_id for r in p.run(spark, str(tmp_path)).collect()}
+    assert None in kept and {900, 901, 902} <= kept
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_long_chains_are_enumerated(spark):
     rows = [(1, k, "user", f"text {k}") for k in range(500)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
