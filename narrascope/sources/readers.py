@@ -175,5 +175,5 @@ def first_captions(rows: DataFrame, n: int = 5) -> DataFrame:
 
 def named_ids(spark: SparkSession, path: str) -> DataFrame:
     """``(id, name)`` of a JSON object that names ids, in one or more files of one line or many."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name"))
