@@ -45,3 +45,39 @@ def probe_accuracy(features: DataFrame, label: str, vector: str, fold: str, grid
             right = model.transform(data.where(F.col(fold) == f)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).select(F.lit(reg).alias("reg"), "accuracy")
             out = right if out is None else out.unionByName(right)
     return out.groupBy("reg").agg(F.round(100 * F.avg("accuracy"), 2).alias("dev"))
+
+
+def nested_probe(features: DataFrame, label: str, vector: str, fold: str, grid: tuple[float, ...] = (0.0, 0.01, 0.1), hidden: int = 0) -> DataFrame:
+    """``(fold, reg, accuracy)`` in percent of nested folds: each fold is tested once, with the penalty that does best, the
+    first of equals, in cross-validation over the other folds.
+
+    With ``hidden`` units the classifier is a network with one hidden layer, and ``grid`` holds its step sizes.
+    """
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.storagelevel import StorageLevel
+
+    names = features.select(F.col(label).alias("__name")).distinct().orderBy("__name")
+    ids = features.sparkSession.createDataFrame([(r[0], float(k)) for k, r in enumerate(names.collect())], names.schema.add("__label", "double"))  # labels are few
+    rows = features.join(F.broadcast(ids), F.col(label).eqNullSafe(F.col("__name")))
+    data = rows.select(F.col("__label").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(fold).alias("fold")).persist(StorageLevel.DISK_ONLY)
+    folds = [r[0] for r in data.select("fold").distinct().orderBy("fold").collect()]
+    classes, width = ids.count(), data.first().features.size if folds else 0
+
+    def accuracy(train: DataFrame, test: DataFrame, reg: float) -> float:
+        if hidden:
+            learner = MultilayerPerceptronClassifier(layers=[width, hidden, classes], stepSize=reg or 0.03, maxIter=60, seed=1)
+        else:
+            learner = LogisticRegression(regParam=reg, maxIter=30)
+        right = learner.fit(train).transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")))
+        return 100 * (right.first()[0] or 0.0)
+
+    out = []
+    for f in folds:
+        rest, inner = data.where(F.col("fold") != f), [g for g in folds if g != f]
+        mean = lambda reg: sum(accuracy(rest.where(F.col("fold") != g), rest.where(F.col("fold") == g), reg) for g in inner) / len(inner)  # noqa: B023, E731
+        best = max(grid, key=mean) if len(grid) > 1 else grid[0]
+        out.append((f, float(best), round(accuracy(rest, data.where(F.col("fold") == f), best), 2)))
+    schema = data.select("fold").schema.add("reg", "double").add("accuracy", "double")
+    data.unpersist()
+    return features.sparkSession.createDataFrame(out, schema)

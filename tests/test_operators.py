@@ -264,3 +264,38 @@ def test_places_in_an_order_and_in_groups(spark):
         got = ordering.numbered_within(df, ["g"], ["v"], "n").where(F.col("g") == g).orderBy("n").collect()
         assert [(r.n, r.v) for r in got] == list(enumerate(sorted(v for h, v in rows if h == g), 1))
     assert ordering.numbered(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_nested_folds_learn_what_can_be_learned(spark):
+    rnd = random.Random(6)
+    rows = [(k % 3, ("x", "y")[k % 2], [k % 2 + rnd.gauss(0, 0.1), rnd.gauss(0, 1)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "fold int, name string, v array<double>")
+    out = losses.nested_probe(df, "name", "v", "fold", (0.0, 5.0)).collect()
+    assert [r.fold for r in out] == [0, 1, 2] and all(r.accuracy >= 95 for r in out)
+    (r, *_) = losses.nested_probe(df.where("fold < 2"), "name", "v", "fold", (0.03,), hidden=3).collect()
+    assert r.accuracy >= 90
+
+
+def test_encoded_triplets_are_those_of_a_plain_loop(spark):
+    import duckdb
+    import numpy as np
+
+    from narrascope.functions import hooks
+    from narrascope.plans import catalogue
+    from narrascope.plans.views import TT
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = con.execute(f"WITH {TT} SELECT anchor_text, text_a, text_b, gold FROM tt").fetchall()
+    model = hooks.hashing_encoder()
+
+    def cosine(a, b):
+        x, y = model([a or " ", b or " "])
+        n = np.linalg.norm(x) * np.linalg.norm(y)
+        return None if n == 0 or a is None or b is None else float(x @ y) / n
+
+    sims = [(cosine(x, a), cosine(x, b), gold) for x, a, b, gold in rows]
+    right = [((sa is not None and sb is not None and sa > sb + 1e-12) == gold) for sa, sb, gold in sims]
+    got = catalogue.QUERIES["encoded_triplets"](spark, sf).first()
+    assert got.n == len(rows) and got.accuracy == pytest.approx(sum(right) / len(right), abs=0.02)
