@@ -39,7 +39,7 @@ from narrascope.llm.textbatch import LOWER, SPACED, U, blocks, mix, span_hashes,
 from narrascope.session import Scratch
 
 STATES = 6
-HEAD = 131072
+HEAD = 65536
 #: Rarer words are left outside the head.
 OFTEN = 12
 ROUNDS = 3
@@ -347,7 +347,7 @@ def _arrays(data: pa.StructArray, i: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _meet(coded: DataFrame, table: DataFrame) -> DataFrame:
     """Each block behind (place, c, q) of those of its words that the table has."""
     own = coded.select("block", F.posexplode("keys").alias("place", "key"))
-    found = own.join(table.select("key", "c", "q"), "key").select("block", "place", "c", "q")
+    found = own.join(table.select("key", "c", "q").hint("shuffle_hash"), "key").select("block", "place", "c", "q")  # the table's keys are unique
     rows = found.unionByName(coded.select("block", F.struct("ids", "per", "symbols", "shapes").alias("data")), allowMissingColumns=True)
     return rows.repartition("block").sortWithinPartitions("block", F.col("data").isNotNull())
 
