@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrascope.llm import ann, bpe, chat, hmm, quality, warc
+from narrascope.llm import ann, bpe, chat, chat_repair, hmm, quality, warc
 from narrascope.llm.decontaminate import decontaminate, n_hit
+from narrascope.llm.exact_dedup import exact_dedup
+from narrascope.llm.filter_audit import audit
 from narrascope.llm.line_dedup import dedup_lines
 from narrascope.llm.ngram_join import ngram_jaccard_join
 from narrascope.llm.sharding import shard_rows
@@ -80,6 +82,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 SQL: dict[str, str] = {}
 
 SQL["op1_ngram_join"] = r"""
@@ -203,6 +217,125 @@ found AS (SELECT d.doc_id, d.n, d.shard, d.d, fit.bytes, fit.r, row_number() OVE
 SELECT doc_id, n AS n_bytes, shard, CAST(d AS BIGINT) AS depth, CAST(bytes AS BIGINT) AS shard_bytes, r AS shard_rows FROM found WHERE k = 1
 """
 
+def _op11_sql() -> str:
+    """The chart as a recursive table: one row for each conversation and row, one item for each nonterminal.
+
+    An item is its cost in eight digits followed by the audit, which compare as one text, and the repaired lines.
+    """
+
+    def edited(item: str, cost: str, letter: str, line: str) -> str:
+        return f"{{'v': lpad(CAST(least(99999999, CAST({item}.v[1:8] AS BIGINT) + {cost}) AS VARCHAR), 8, '0') || {item}.v[9:] || {letter}, 't': {item}.t || {line}}}"
+
+    def deleted(item: str) -> str:
+        return edited(item, "2", "'D'", "''")
+
+    def taken(item: str, initial: str, role: str) -> str:
+        other = "50000000" if initial == "s" else "1 + more"
+        return edited(item, f"CASE WHEN gone THEN 50000000 WHEN i = '{initial}' THEN more ELSE {other} END", f"CASE WHEN i = '{initial}' THEN 'K' ELSE 'R' END",
+                      f"chr(10) || CASE WHEN i = '{initial}' THEN role ELSE '{role}' END || ':' || text")
+
+    def inserted(item: str, role: str) -> str:
+        return edited(item, "5", "'I'", f"'\n{role}:'")
+
+    never = "{'v': '99999999', 't': ''}"
+    return rf"""
+WITH RECURSIVE bits(n, c, k) AS (
+  SELECT n, n, 0 FROM (SELECT unnest(range(0, 256)) AS n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+lookup AS (SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+summed AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 20 AS kind
+  FROM named, lookup),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(0, CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM summed)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS again,
+    right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last, left(role, 1) AS i
+  FROM ordered),
+faults AS (
+  SELECT *, last = '' AS blank, last <> '' AND again > 1 AS dup, last <> '' AND again = 1 AND last NOT IN ('.', '!', '?') AS cut,
+    last = '' OR again > 1 AS gone, CASE WHEN last NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS j
+  FROM placed),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+counts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (k > 1 AND j || i NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM faults GROUP BY conv_id),
+chart(conv_id, k, p, told, q, answered) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'v': '00000000', 't': ''}}, {never}, {{'v': '00000005I', 't': '\nuser:'}},
+    {{'v': '00000010II', 't': '\nuser:\nassistant:'}} FROM ids
+  UNION ALL
+  SELECT conv_id, k, p, told, q, least(answered, {inserted("q", "assistant")}) FROM (
+    SELECT conv_id, k, p, told, least(q, {inserted("p", "user")}, {inserted("told", "user")}, {inserted("answered", "user")}) AS q, answered FROM (
+      SELECT c.conv_id, f.k, {deleted("c.p")} AS p, least({deleted("c.told")}, {taken("c.p", "s", "")}) AS told,
+        least({deleted("c.q")}, {taken("c.p", "u", "user")}, {taken("c.told", "u", "user")}, {taken("c.answered", "u", "user")}) AS q,
+        least({deleted("c.answered")}, {taken("c.q", "a", "assistant")}) AS answered
+      FROM chart c JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.k = c.k + 1))),
+ends AS (
+  SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, least(chart.p, chart.answered) AS best
+  FROM ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id
+    JOIN chart ON chart.conv_id IS NOT DISTINCT FROM ids.conv_id AND chart.k = coalesce(n, 0))
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, CAST(best.v[1:8] AS BIGINT) AS cost, best.v[9:] AS audit, sha256(best.t[2:]) AS repaired_sha256 FROM ends
+"""
+
+
+SQL["op11_chat_repair"] = _op11_sql()
+
+SQL["op12_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lows AS (SELECT t, min(doc_id) AS low FROM texts GROUP BY t),
+known AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (
+  SELECT d.part, coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 3 * length(d.t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > l.low THEN 16 ELSE 0 END AS mask
+  FROM texts d JOIN lows l ON l.t = d.t LEFT JOIN known k ON k.doc_id = d.doc_id),
+counted AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(f, bit)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before
+  FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+found AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & own) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0) AS removed,
+    coalesce(sum(n) FILTER ((mask & before) > 0 AND (mask & own) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM found
+"""
+
+SQL["op13_exact_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
+placed AS (
+  SELECT *, row_number() OVER own AS place, first(doc_id) OVER own AS keep_id, count(*) OVER (PARTITION BY t) AS size
+  FROM texts WINDOW own AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, size AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM placed
+"""
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -214,4 +347,7 @@ QUERIES = {
     "op8_hmm_score": op8_hmm_score,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_chat_repair": op11_chat_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_exact_dedup": op13_exact_dedup,
 }
