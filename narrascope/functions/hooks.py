@@ -6,10 +6,12 @@ A model is a plain function on lists of texts; it is loaded once for each Python
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +102,65 @@ def subword_counts(load: Callable[[], Callable[[str], int]], c: Column) -> Colum
             yield texts.fillna("").map(count).astype("int64")
 
     return run(c)
+
+
+#: A text's single entities (start, end, label), and its coreference clusters: a label and the mentions' (start, end).
+Annotated = tuple[list[tuple[int, int, str]], list[tuple[str, list[tuple[int, int]]]]]
+Annotator = Callable[[list[str]], list[Annotated]]
+
+ANNOTATED = (
+    "struct<entities:array<struct<start:int,end:int,label:string,text:string>>,"
+    "mentions:array<struct<cluster:int,label:string,start:int,end:int,token:int,text:string>>>"
+)
+_ENTITY = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string())])
+_MENTION = pa.struct([("cluster", pa.int32()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.int32()), ("text", pa.string())])
+_SPANS = pa.struct([("entities", pa.list_(_ENTITY)), ("mentions", pa.list_(_MENTION))])
+
+
+def annotate(load: Callable[[], Annotator], c: Column, batch: int = 64) -> Column:
+    """Entities and coreference mentions of texts as arrays of spans; a mention's ``token`` is the number of words before it.
+
+    Null texts have no spans; spans outside the text or without a character are left out.
+    """
+
+    def spans(text: str, found: Annotated) -> dict:
+        inside = lambda a, b: 0 <= a < b <= len(text)
+        words = [m.start() for m in re.finditer(r"\S+", text)]
+        entities = [{"start": a, "end": b, "label": label, "text": text[a:b]} for a, b, label in found[0] if inside(a, b)]
+        mentions = [
+            {"cluster": k, "label": label, "start": a, "end": b, "token": int(np.searchsorted(words, a)), "text": text[a:b]}
+            for k, (label, own) in enumerate(found[1]) for a, b in own if inside(a, b)
+        ]
+        return {"entities": entities, "mentions": mentions}
+
+    @F.arrow_udf(ANNOTATED)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load()
+        for column in parts:
+            texts = [t or "" for t in column.to_pylist()]
+            out = []
+            for k in range(0, len(texts), batch):
+                some = texts[k : k + batch]
+                out.extend(map(spans, some, model(some)))
+            yield pa.array(out, _SPANS)
+
+    return run(c)
+
+
+def capital_annotator(least: int = 3) -> Annotator:
+    """A deterministic stand-in for a tagger: runs of capitalised words are entities, labelled by the first letter; capitalised
+    words that stand at least ``least`` times, and the pronoun-like words after them, are clusters."""
+    labels = ("LOC", "ORG", "MISC", "PER")
+
+    def annotate(texts: list[str]) -> list[Annotated]:
+        out = []
+        for t in texts:
+            label = lambda w: labels[ord(w[0]) % 4]
+            entities = [(m.start(), m.end(), label(m[0])) for m in re.finditer(r"[A-Z]\w+(?: [A-Z]\w+)*", t)]
+            where: dict[str, list[tuple[int, int]]] = {}
+            for m in re.finditer(r"[A-Z]\w+", t):
+                where.setdefault(m[0], []).append((m.start(), m.end()))
+            out.append((entities, [(label(w), spans) for w, spans in where.items() if len(spans) >= least]))
+        return out
+
+    return annotate
