@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrascope.operators.blocks import LogSumExp, grid
+
 
 def info_nce(pairs: DataFrame, temperature: float = 0.05, hard_weight: float = 0.0) -> DataFrame:
     """``(anchor, loss)`` from ``(anchor, other, sim, kind)``: kind ``pos`` is the anchor's own positive, ``hard`` its own
@@ -17,6 +19,22 @@ def info_nce(pairs: DataFrame, temperature: float = 0.05, hard_weight: float = 0
     return rows.groupBy("anchor").agg((F.log(F.sum(F.exp(F.col("logit") - F.col("top")))) + F.max("top") - own).alias("loss"))
 
 
+def in_batch_loss(anchors: DataFrame, positives: DataFrame, hard: DataFrame | None = None, temperature: float = 0.05, hard_weight: float = 0.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``(anchor, loss)`` of anchors among all positives and hard negatives of the batch; rows of one id belong together.
+
+    Blocks hand on the largest logit of each anchor and the sum of the exponentials over it; such states add up, so no
+    pair leaves a task.
+    """
+    state = lambda side, weight: grid(anchors, side, lambda: LogSumExp(temperature, weight), id_col, vector)
+    parts = state(positives, 0.0).withColumn("pos", F.col("own"))
+    if hard is not None:
+        parts = parts.unionByName(state(hard, hard_weight).withColumn("pos", F.lit(None).cast("double")))
+    parts = parts.where("total > 0")
+    whole = parts.groupBy("q").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "total")).alias("s"), F.max("pos").alias("pos"))  # one for each group of blocks
+    total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x["total"] * F.exp(x["top"] - F.col("top")))
+    return whole.select(F.col("q").alias("anchor"), (F.log(total) + F.col("top") - F.col("pos")).alias("loss"))
+
+
 def scaled_squares(sim: Column, label: Column, negative_scale: Column) -> Column:
     """Mean squared error against 1 for positives and 0 for negatives, the latter scaled."""
     return F.avg(F.when(label == 1, (sim - 1) * (sim - 1)).otherwise(negative_scale * sim * sim))

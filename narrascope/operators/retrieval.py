@@ -34,6 +34,27 @@ def per_query(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     return out
 
 
+def per_query_ranks(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10), strict: bool = False) -> DataFrame:
+    """The same from ``(q, ranks)``, the ascending ranks of each query's relevant candidates (``vectors.relevant_ranks``).
+
+    Queries without one are left out; with ``strict`` they are an error, as mean average precision isn't defined for them.
+    """
+    r, ranks = F.size("ranks"), F.col("ranks")
+    if strict:
+        ranks = F.when(F.coalesce(r, F.lit(0)) > 0, ranks).otherwise(F.raise_error(F.concat(F.lit("no relevant candidate for query "), F.col("q").cast("string"))))
+        rows = rows.withColumn("ranks", ranks)
+    else:
+        rows = rows.where(r > 0)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    gain = total(F.transform("ranks", lambda x: 1 / F.log2(x + F.lit(1.0))))
+    ideal = total(F.transform(F.sequence(F.lit(1), r), lambda k: 1 / F.log2(k + F.lit(1.0))))
+    upto = lambda k: F.size(F.filter("ranks", lambda x: x <= k))
+    return rows.select(
+        "q", (total(F.transform("ranks", lambda x, i: (i + 1) / x)) / r).alias("ap"), (gain / ideal).alias("ndcg"), (upto(r) / r).alias("r_precision"),
+        F.get("ranks", F.lit(0)).cast("int").alias("first_hit"), r.cast("long").alias("r"), *[(upto(F.lit(k)) / F.lit(float(k))).alias(f"p_at_{k}") for k in ks],
+    )
+
+
 def mean_metrics(queries: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Means over queries: map, ndcg, r_precision, hits_at_1 and p_at_k."""
     return queries.agg(
@@ -50,7 +71,12 @@ def precision_at_own_size(rows: DataFrame) -> DataFrame:
 
 def recall_and_median_rank(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Share of queries (percent) with a relevant candidate among the first k, and the median rank: floor of the median of ranks from 0, plus 1."""
-    first = rows.groupBy("q").agg((F.min(F.when(F.col("rel") == 1, F.col("rank"))) - 1).alias("f")).where("f is not null")
+    return recall_of_first(rows.groupBy("q").agg(F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first")), ks)
+
+
+def recall_of_first(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """The same from each query's rank of its ``first`` relevant candidate; null ranks are left out."""
+    first = rows.where("first is not null").select((F.col("first") - 1).alias("f"))
     return first.agg(
         *[(100 * F.avg((F.col("f") < k).cast("double"))).alias(f"recall_at_{k}") for k in ks],
         (F.floor(F.percentile("f", F.lit(0.5))) + 1).cast("long").alias("median_rank"), F.count("*").alias("n"),

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions.similarity import cosine
-from narrascope.session import share_code
-
-#: Vectors in one block of a block product.
-BLOCK = 1024
+from narrascope.operators.blocks import BLOCK, Above, Best, LabelSums, Relevant, grid
+from narrascope.session import Scratch
 
 
 def lookup_embeddings(rows: DataFrame, table: DataFrame, keys: dict[str, str], key: str = "text", vector: str = "embedding") -> DataFrame:
@@ -29,89 +22,55 @@ def lookup_embeddings(rows: DataFrame, table: DataFrame, keys: dict[str, str], k
     return rows
 
 
-def _pack(df: DataFrame, id_col: str, vector: str, block: int, name: str, label: str | None = None) -> DataFrame:
-    """(block number, packed ids, vectors and labels) of at most about ``block`` vectors each."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        np.savez(out, ids=pdf["id"].to_numpy(), x=np.stack(pdf["v"].to_numpy()).astype(float), labels=pdf["label"].to_numpy())
-        return pd.DataFrame({name: [pdf["b"].iloc[0]], f"{name}_data": [out.getvalue()]})
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.lit(0) if label is None else F.col(label)).cast("long").alias("label"))
-    blocks = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return rows.groupBy("b").applyInPandas(pack, f"{name} int, {name}_data binary")
-
-
 def pair_scores(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vector: str = "embedding", top: int | None = None, least: float | None = None, exclude_self: bool = True, measure: str = "cosine", block: int = BLOCK, label: str | None = None) -> DataFrame:
     """``(q, c, sim)`` of queries against candidates by block products, with the labels ``ql`` and ``cl`` if ``label`` names whole numbers.
 
-    Each task multiplies one block of queries with one of candidates and hands on what is at least ``least``, and of that
-    the ``top`` best for each query, so what leaves a block is bounded by the result and not by all pairs.
-    Zero vectors have no cosine and are in no pair.
+    A cell of the grid hands on what is at least ``least``, and of that the ``top`` best for each query, so what leaves it is
+    bounded by the result and not by all pairs.  Zero vectors have no cosine and are in no pair.
     """
-    share_code(queries.sparkSession)
-    q, c = _pack(queries, id_col, vector, block, "q", label), _pack(candidates, id_col, vector, block, "c", label)
-    tasks = q.crossJoin(c)  # of blocks: one row for each product
-
-    def multiply(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                a, b = (dict(np.load(io.BytesIO(batch.column(k)[r].as_py()))) for k in (0, 1))
-                s = _product(a["x"], b["x"], measure)
-                keep = ~np.isnan(s)
-                if exclude_self:
-                    keep &= a["ids"][:, None] != b["ids"]
-                if least is not None:
-                    keep &= s >= least
-                if top is not None and top < s.shape[1]:
-                    cut = -np.partition(np.where(keep, -s, np.inf), top - 1, axis=1)[:, top - 1 : top]
-                    keep &= s >= cut
-                i, j = np.nonzero(keep)
-                more = [] if label is None else [pa.array(a["labels"][i]), pa.array(b["labels"][j])]
-                yield pa.RecordBatch.from_arrays([pa.array(a["ids"][i]), pa.array(b["ids"][j]), pa.array(s[i, j]), *more], ["q", "c", "sim", *(["ql", "cl"] if more else [])])
-
-    out = tasks.repartition("q", "c").select("q_data", "c_data").mapInArrow(multiply, "q long, c long, sim double" + ("" if label is None else ", ql long, cl long"))
+    out = grid(queries, candidates, lambda: Best(top, least, measure, exclude_self), id_col, vector, label, block)
+    out = out if label is not None else out.select("q", "c", "sim")
     if top is None:
         return out
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
     return out.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= top).drop("__r")
 
 
-def _product(x: np.ndarray, y: np.ndarray, measure: str) -> np.ndarray:
-    s = x @ y.T
-    if measure == "cosine":
-        with np.errstate(invalid="ignore", divide="ignore"):
-            s = s / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
-    return s
-
-
 def label_distances(rows: DataFrame, label: str, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """``(q, ql, cl, total, n)``: the sum of cosine distances of each vector to the others of each label, and their number.
 
-    Blocks hand on one row for each vector and label, never the pairs.
+    Cells hand on one row for each vector and label, never the pairs.
     """
-    share_code(rows.sparkSession)
-    tasks = _pack(rows, id_col, vector, block, "q", label).crossJoin(_pack(rows, id_col, vector, block, "c", label))
-
-    def sums(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                a, b = (dict(np.load(io.BytesIO(batch.column(k)[r].as_py()))) for k in (0, 1))
-                far = 1 - _product(a["x"], b["x"], "cosine")
-                ok = ~np.isnan(far) & (a["ids"][:, None] != b["ids"])
-                names, group = np.unique(b["labels"], return_inverse=True)
-                member = np.eye(len(names))[group]
-                total, n = np.where(ok, far, 0.0) @ member, ok.astype(float) @ member
-                i, j = np.nonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a["ids"][i]), pa.array(a["labels"][i]), pa.array(names[j]), pa.array(total[i, j]), pa.array(n[i, j].astype(np.int64))], ["q", "ql", "cl", "total", "n"]
-                )
-
-    parts = tasks.repartition("q", "c").select("q_data", "c_data").mapInArrow(sums, "q long, ql long, cl long, total double, n long")
+    parts = grid(rows, rows, LabelSums, id_col, vector, label, block)
     return parts.groupBy("q", "ql", "cl").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def relevant_ranks(queries: DataFrame, candidates: DataFrame, label: str | Column = "label", first: bool = False, exclude_self: bool = True, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``(q, ranks)``: the ascending ranks, among all candidates by cosine, of those with the query's label; with ``first``
+    of the best of them only.  Queries without such a candidate have no ranks (null).
+
+    Similarities of relevant candidates go to the blocks as thresholds, and a cell counts how many others are above each, so
+    what leaves it are relevant pairs.  Ties go to the smaller id.
+    """
+    spark = queries.sparkSession
+    work = Scratch(spark, "ranks")
+    known = grid(queries, candidates, lambda: Relevant(first, exclude_self), id_col, vector, label, block)
+    # of one query's relevant candidates only
+    found = known.groupBy("q").agg(F.flatten(F.collect_list(F.arrays_zip("cs", "sims"))).alias("z"))
+    if first:
+        found = found.withColumn("z", F.array(F.array_min(F.transform("z", lambda x: F.struct((-x["sims"]).alias("s"), x["cs"].alias("cs"), x["sims"].alias("sims"))))))
+    found = work.save(found.select("q", F.col("z.cs").alias("cs"), F.col("z.sims").alias("sims")), "relevant")
+    asked = queries.select(F.col(id_col).cast("long").alias("__id"), F.col(vector).alias("__v")).join(found, F.col("__id") == F.col("q"))
+    ask = asked.select(F.col("__id").alias(id_col), F.col("__v").alias(vector), F.lit(0).alias("__label"), "cs", "sims")
+    above = grid(ask, candidates.select(F.col(id_col), F.col(vector), F.lit(0).alias("__label")), lambda: Above(exclude_self), id_col, vector, "__label", block, ["cs", "sims"], found.count())
+    # as many arrays as there are groups of candidate blocks, each of the query's relevant candidates
+    total = above.groupBy("q").agg(F.collect_list("above").alias("a"))
+    zero = F.transform(F.get("a", F.lit(0)), lambda _: F.lit(0).cast("long"))
+    summed = F.aggregate("a", zero, lambda s, x: F.zip_with(s, x, lambda u, v: u + v))
+    ranks = total.select("q", F.array_sort(F.transform(summed, lambda x: x + 1)).alias("ranks"))
+    return queries.select(F.col(id_col).cast("long").alias("q")).join(ranks, "q", "left")
+
+
 def search(queries: DataFrame, index: DataFrame, top: int = 5, threshold: float = 0.6, **names) -> DataFrame:
     """``(q, c, sim, rank)``: the best ``top`` index entries of at least the threshold for each query."""
     found = pair_scores(queries, index, top=top, least=threshold, **names)

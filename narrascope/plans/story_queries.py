@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from narrascope.operators import stories
 from narrascope.plans import tasks
-from narrascope.plans.vector_queries import labelled_pairs, sts
+from narrascope.plans.vector_queries import first_ranks, sts
 from narrascope.plans.vector_queries import query as vector_query
 from narrascope.plans.views import PAIRS, Catalogue, bucket, table
 
@@ -182,5 +182,5 @@ def _(spark, d):
 
 @query("task_caption_ranks", f"WITH {PAIRS}, f AS (SELECT q, min(CASE WHEN rel = 1 THEN rank END) - 1 AS f FROM ranked GROUP BY q) SELECT round(100 * avg(CAST(f < 5 AS DOUBLE)), 6) AS recall_at_5, CAST(floor(quantile_cont(f, 0.5)) + 1 AS BIGINT) AS median_rank FROM f WHERE f IS NOT NULL")
 def _(spark, d):
-    out = tasks.evaluate("ImageCaptionRetrieval", labelled_pairs(spark, d))
+    out = tasks.evaluate("ImageCaptionRetrieval", first_ranks(spark, d))
     return out.select(F.round("recall_at_5", 6).alias("recall_at_5"), "median_rank")

@@ -39,12 +39,13 @@ METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "correlation": lambda df: stats.correlations(df, [], "predicted", "gold"),
     "classes": _classes,
     "binary": _binary,
-    "ranks": lambda df: retrieval.recall_and_median_rank(retrieval.ranked(df)),
+    "ranks": lambda df: retrieval.recall_of_first(df) if "first" in df.columns else retrieval.recall_and_median_rank(retrieval.ranked(df)),
 }
 
 
 def evaluate(task: str, scored: DataFrame) -> DataFrame:
-    """The metrics of a task over its scored rows: (gold, predicted[, dataset]), or (q, c, sim, rel) for ranks."""
+    """The metrics of a task over its scored rows: (gold, predicted[, dataset]), or for ranks (q, c, sim, rel), or (q, first) with the rank of the
+    first relevant candidate."""
     if task not in KINDS:
         raise ValueError(f"no task {task}")
     return METRICS[KINDS[task]](scored)

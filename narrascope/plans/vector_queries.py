@@ -18,14 +18,22 @@ def scored(spark, d):
     return vectors.triplet_similarities(rows, F.col("vi"), F.col("va"), F.col("vb"))
 
 
-def labelled_pairs(spark, d):
-    """All pairs of different vectors (q, c, sim, rel, ql, cl)."""
+def nearest(spark, d):
+    """Each vector's nearest other one (q, c, sim, ql, cl)."""
     e = table(spark, d, "embeddings")
-    return vectors.pair_scores(e, e, label="label").withColumn("rel", F.col("ql") == F.col("cl"))
+    return vectors.pair_scores(e, e, top=1, label="label")
 
 
-def ranking(spark, d):
-    return retrieval.ranked(labelled_pairs(spark, d))
+def per_query(spark, d, ks=(1, 5, 10)):
+    """Metrics of each vector as a query for those of its label."""
+    e = table(spark, d, "embeddings")
+    return retrieval.per_query_ranks(vectors.relevant_ranks(e, e), ks)
+
+
+def first_ranks(spark, d):
+    """Each vector's rank of the first other one of its label (q, first)."""
+    e = table(spark, d, "embeddings")
+    return vectors.relevant_ranks(e, e, first=True).select("q", F.get("ranks", F.lit(0)).alias("first"))
 
 
 def r6(c):
@@ -71,12 +79,14 @@ def _(spark, d):
 
 @query("p_at_1", f"WITH {PAIRS} SELECT round(avg(CAST(rel AS DOUBLE)), 6) AS p_at_1, count(*) AS n FROM ranked WHERE rank = 1")
 def _(spark, d):
-    return retrieval.nearest_label(labelled_pairs(spark, d)).agg(r6(F.avg(F.col("rel").cast("double"))).alias("p_at_1"), F.count("*").alias("n"))
+    return nearest(spark, d).agg(r6(F.avg((F.col("ql") == F.col("cl")).cast("double"))).alias("p_at_1"), F.count("*").alias("n"))
 
 
 @query("p_at_1_zero_self", f"WITH {PAIRS} SELECT round(avg(CAST(CASE WHEN sim > 0 THEN rel ELSE 1 END AS DOUBLE)), 6) AS p_at_1, count(*) AS n FROM ranked WHERE rank = 1")
 def _(spark, d):
-    return retrieval.nearest_label(labelled_pairs(spark, d), zero_self=True).agg(r6(F.avg(F.col("rel").cast("double"))).alias("p_at_1"), F.count("*").alias("n"))
+    # the query itself stands in with similarity 0, and is of its own label
+    right = (F.col("sim") <= 0) | (F.col("ql") == F.col("cl"))
+    return nearest(spark, d).agg(r6(F.avg(right.cast("double"))).alias("p_at_1"), F.count("*").alias("n"))
 
 
 _PER = f"""WITH {PAIRS},
@@ -90,33 +100,34 @@ per AS (
 
 @query("map_score", _PER + " SELECT round(avg(ap), 6) AS map, count(*) AS n FROM per")
 def _(spark, d):
-    return retrieval.mean_metrics(retrieval.per_query(ranking(spark, d))).select(r6("map").alias("map"), "n")
+    return retrieval.mean_metrics(per_query(spark, d)).select(r6("map").alias("map"), "n")
 
 
 @query("ndcg", _PER + " SELECT q, round(ndcg, 6) AS ndcg FROM per")
 def _(spark, d):
-    return retrieval.per_query(ranking(spark, d)).select("q", r6("ndcg").alias("ndcg"))
+    return per_query(spark, d).select("q", r6("ndcg").alias("ndcg"))
 
 
 @query("r_precision", _PER + " SELECT q, round(rp, 6) AS r_precision, CAST(f AS INT) AS first_hit FROM per")
 def _(spark, d):
-    return retrieval.per_query(ranking(spark, d)).select("q", r6("r_precision").alias("r_precision"), "first_hit")
+    return per_query(spark, d).select("q", r6("r_precision").alias("r_precision"), "first_hit")
 
 
 @query("p_at_k_n", _PER + " SELECT CAST(r AS BIGINT) AS k, round(avg(rp), 6) AS p_at_n, count(*) AS n FROM per GROUP BY r")
 def _(spark, d):
-    return retrieval.precision_at_own_size(ranking(spark, d)).select("k", r6("p_at_n").alias("p_at_n"), "n")
+    per = per_query(spark, d).groupBy(F.col("r").alias("k")).agg(F.avg("r_precision").alias("p_at_n"), F.count("*").alias("n"))
+    return per.select("k", r6("p_at_n").alias("p_at_n"), "n")
 
 
 @query("retrieval_summary", _PER + " SELECT round(avg(ap), 6) AS map, round(avg(ndcg), 6) AS ndcg, round(avg(rp), 6) AS r_precision, round(avg(CAST(f = 1 AS DOUBLE)), 6) AS hits_at_1, round(avg(p5), 6) AS p_at_5, round(avg(p10), 6) AS p_at_10, count(*) AS n FROM per")
 def _(spark, d):
-    out = retrieval.mean_metrics(retrieval.per_query(ranking(spark, d), (5, 10)), (5, 10))
+    out = retrieval.mean_metrics(per_query(spark, d, (5, 10)), (5, 10))
     return out.select(*[r6(c).alias(c) for c in ("map", "ndcg", "r_precision", "hits_at_1", "p_at_5", "p_at_10")], "n")
 
 
 @query("recall_at_k_medr", f"WITH {PAIRS}, f AS (SELECT q, min(CASE WHEN rel = 1 THEN rank END) - 1 AS f FROM ranked GROUP BY q) SELECT round(100 * avg(CAST(f < 1 AS DOUBLE)), 6) AS recall_at_1, round(100 * avg(CAST(f < 5 AS DOUBLE)), 6) AS recall_at_5, round(100 * avg(CAST(f < 10 AS DOUBLE)), 6) AS recall_at_10, CAST(floor(quantile_cont(f, 0.5)) + 1 AS BIGINT) AS median_rank, count(*) AS n FROM f WHERE f IS NOT NULL")
 def _(spark, d):
-    out = retrieval.recall_and_median_rank(ranking(spark, d))
+    out = retrieval.recall_of_first(first_ranks(spark, d))
     return out.select(*[r6(c).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10")], "median_rank", "n")
 
 
@@ -145,16 +156,17 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     half = e.count() // 2
     left, right = e.where(F.col("vec_id") < half), e.where(F.col("vec_id") >= half).withColumn("vec_id", F.col("vec_id") - half)
-    pairs = vectors.pair_scores(left, right, exclude_self=False).withColumn("rel", F.col("q") == F.col("c"))
-    return retrieval.ranked(pairs).where("rel = 1").select("q", "rank")
+    ranks = vectors.relevant_ranks(left, right, F.col("vec_id"), first=True, exclude_self=False)
+    return ranks.select("q", F.get("ranks", F.lit(0)).cast("int").alias("rank"))
 
 
 @query("caption_best_of_five", "WITH x AS (SELECT *, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id // 5 AS image, b.vec_id AS c, list_cosine_similarity(a.v, b.v) AS sim, a.vec_id // 5 = b.vec_id // 5 AS own FROM x a, x b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY sim DESC, c) AS k FROM p), f AS (SELECT image, min(k) - 1 AS f FROM r WHERE own GROUP BY image) SELECT round(100 * avg(CAST(f < 1 AS DOUBLE)), 6) AS recall_at_1, round(100 * avg(CAST(f < 10 AS DOUBLE)), 6) AS recall_at_10, CAST(floor(quantile_cont(f, 0.5)) + 1 AS BIGINT) AS median_rank, count(*) AS n FROM f")
 def _(spark, d):
     # of five vectors in a row the first is an image, the others are its captions; the best placed one counts
     e = table(spark, d, "embeddings")
-    pairs = vectors.pair_scores(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 > 0"), exclude_self=False)
-    out = retrieval.recall_and_median_rank(retrieval.ranked(pairs.withColumn("rel", F.floor(F.col("q") / 5) == F.floor(F.col("c") / 5))))
+    image = F.floor(F.col("vec_id") / 5)
+    ranks = vectors.relevant_ranks(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 > 0"), image, first=True, exclude_self=False)
+    out = retrieval.recall_of_first(ranks.select(F.get("ranks", F.lit(0)).alias("first")))
     return out.select(r6("recall_at_1").alias("recall_at_1"), r6("recall_at_10").alias("recall_at_10"), "median_rank", "n")
 
 
@@ -237,12 +249,7 @@ def _(spark, d):
     anchors = rows.select(F.col("i").alias("vec_id"), F.col("vi").alias("embedding"))
     good = rows.select(F.col("i").alias("vec_id"), F.when(F.col("gold"), F.col("va")).otherwise(F.col("vb")).alias("embedding"))
     bad = rows.select(F.col("i").alias("vec_id"), F.when(F.col("gold"), F.col("vb")).otherwise(F.col("va")).alias("embedding"))
-
-    def logits(side, own):
-        p = vectors.pair_scores(anchors, side, exclude_self=False)
-        return p.select(F.col("q").alias("anchor"), "sim", F.when(F.col("q") == F.col("c"), own).otherwise("other").alias("kind"))
-
-    return losses.info_nce(logits(good, "pos").unionByName(logits(bad, "hard")), 0.05, 0.01).select("anchor", F.round("loss", 5).alias("loss"))
+    return losses.in_batch_loss(anchors, good, bad, 0.05, 0.01).select("anchor", F.round("loss", 5).alias("loss"))
 
 
 @query("hinge_loss", f"WITH {VT} SELECT round(sum(greatest(0, 0.2 - CASE WHEN gold THEN sim_a - sim_b ELSE sim_b - sim_a END)), 6) AS hinge, round(avg(1 - CASE WHEN gold THEN sim_a ELSE sim_b END + greatest(0, CASE WHEN gold THEN sim_b ELSE sim_a END)), 6) AS cosine_embedding, round(avg(CASE WHEN gold THEN power(sim_a - 1, 2) ELSE 0.5 * power(sim_a, 2) END), 6) AS scaled_squares FROM vs")

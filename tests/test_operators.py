@@ -299,3 +299,67 @@ def test_encoded_triplets_are_those_of_a_plain_loop(spark):
     right = [((sa is not None and sb is not None and sa > sb + 1e-12) == gold) for sa, sb, gold in sims]
     got = catalogue.QUERIES["encoded_triplets"](spark, sf).first()
     assert got.n == len(rows) and got.accuracy == pytest.approx(sum(right) / len(right), abs=0.02)
+
+
+def test_blocks_on_a_grid_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from narrascope.operators import blocks, losses, vectors
+
+    monkeypatch.setattr(blocks, "HELD", 2)
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(150, 4))
+    x[20:30], x[40] = x[0], 0.0  # ties and a zero vector
+    label = rnd.integers(0, 12, 150)
+    rows = [(i, x[i].tolist(), int(label[i])) for i in range(150)] + [(200, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    sim = lambda i, j: float(x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])) if i != 40 and j != 40 else float("nan")
+    order = {i: sorted((j for j in range(150) if j not in (i, 40)), key=lambda j: (-round(sim(i, j), 9), j)) for i in range(150) if i != 40}
+    for first in (False, True):
+        got = {r.q: r.ranks for r in vectors.relevant_ranks(df, df, first=first, block=16).collect()}
+        for i in order:
+            want = [k + 1 for k, j in enumerate(order[i]) if label[j] == label[i]]
+            assert (got[i] or []) == (want[:1] if first else want), i
+        assert got[40] is None and got[200] is None
+    best = {}
+    for r in vectors.pair_scores(df, df, top=3, least=0.2, block=16).collect():
+        best.setdefault(r.q, []).append(r.c)
+    assert {q: sorted(c) for q, c in best.items()} == {i: sorted(j for j in order[i][:3] if sim(i, j) >= 0.2) for i in order if sim(i, order[i][0]) >= 0.2}
+    few = df.where("vec_id < 60 and vec_id <> 40")
+    loss = {r.anchor: r.loss for r in losses.in_batch_loss(few, few.withColumn("embedding", F.reverse("embedding")), few, 0.5, 0.1).collect()}
+    for i in loss:
+        z = [float(x[i] @ x[j][::-1] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])) / 0.5 for j in range(60) if j != 40]
+        h = [sim(i, j) / 0.5 + (0.1 if i == j else 0) for j in range(60) if j != 40]
+        own = float(x[i] @ x[i][::-1] / np.linalg.norm(x[i]) ** 2) / 0.5
+        assert abs(loss[i] - (np.log(np.exp(z + h).sum()) - own)) < 1e-9
+
+
+def test_narrow_blocks_are_passed_over(spark, monkeypatch):
+    import numpy as np
+
+    from narrascope.operators import blocks, vectors
+
+    monkeypatch.setattr(blocks, "MANY", 1)
+    rnd = np.random.default_rng(6)
+    middle = rnd.normal(size=(12, 16))
+    x = np.repeat(middle, 30, axis=0) + 0.02 * rnd.normal(size=(360, 16))
+    made = [blocks.Block(np.arange(30 * k, 30 * k + 30), x[30 * k : 30 * k + 30], np.zeros(30, int), {}) for k in range(12)]
+    fold = blocks.Best(5, 0.9, "cosine", True)
+    fold.start(made)
+    for b in made:
+        list(fold.add(b))
+    assert fold.skipped >= 100 and fold.made <= 44
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(360)], "vec_id long, embedding array<double>")
+    s = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(s @ s.T >= 0.9)) if i != j}
+    assert {(r.q, r.c) for r in vectors.pair_scores(df, df, least=0.9, block=32).collect()} == want
+
+
+def test_a_query_without_a_relevant_candidate_is_an_error_on_request(spark):
+    from narrascope.operators import retrieval
+
+    rows = spark.createDataFrame([(1, [1, 3]), (2, None)], "q long, ranks array<long>")
+    (r,) = retrieval.per_query_ranks(rows, (2,)).collect()
+    assert (r.q, r.ap, r.r_precision, r.first_hit, r.p_at_2) == (1, (1 + 2 / 3) / 2, 0.5, 1, 0.5)
+    with pytest.raises(Exception, match="no relevant candidate for query 2"):
+        retrieval.per_query_ranks(rows, strict=True).collect()
