@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: Keys that may name the closer text, the aspects and the reason, the default reason, and the aspects with their short names.
 CLOSER = ("closer", "chosen_story", "answer", "choice", "winner")
@@ -20,85 +25,100 @@ def strip_fences(c) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)^\s*```[A-Za-z]*\s*", ""), r"\s*```\s*$", ""))
 
 
+def _object(text: str | None) -> str | None:
+    """The first balanced ``{...}`` by the depth of braces, those in strings included."""
+    depth, begin = 0, -1
+    for m in _BRACE.finditer(text or ""):
+        if m[0] == "{":
+            begin = m.start() if begin < 0 else begin
+            depth += 1
+        elif begin >= 0:
+            depth -= 1
+            if depth == 0:
+                return text[begin : m.end()]
+    return None
+
+
+_BRACE = re.compile("[{}]")
+
+
+def _parsed(text: str | None) -> dict | None:
+    """The first object of an answer, its keys in the text's order; of repeated keys the last counts."""
+    found = _object(text)
+    try:
+        value = json.loads(found) if found else None
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+@F.arrow_udf(T.StringType())
+def _first_object(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in parts:
+        yield pa.array(map(_object, column.to_pylist()), pa.string())
+
+
+@F.arrow_udf(T.BooleanType())
+def _readable(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in parts:
+        yield pa.array([_parsed(t) is not None for t in column.to_pylist()], pa.bool_())
+
+
 def first_object(c) -> Column:
     """The first balanced ``{...}`` by the depth of braces, those in strings included; null without one."""
-    bare = strip_fences(c)
-    begin = F.instr(bare, "{")
-    chars = F.split(F.substring(bare, begin, F.length(bare)), "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    return _first_object(strip_fences(c))
+
+
+def _letter(value) -> str | None:
+    """A or B if the value is a text that holds just one of the two letters in either case."""
+    held = {x for x in "AB" if isinstance(value, str) and x in value.upper()}
+    return held.pop() if len(held) == 1 else None
 
-    def move(s, x):
-        depth = s["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
-        at = s["at"] + F.length(x)
-        end = F.when((s["end"] == 0) & (x == "}") & (depth == 0), at).otherwise(s["end"])
-        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
 
-    end = F.aggregate(chars, start, move, lambda s: s["end"])
-    return F.when((begin > 0) & (end > 0), F.substring(bare, begin, end))
+def _closer(answer: dict) -> str:
+    named = (_letter(answer.get(k)) for k in CLOSER)
+    inner = [x for x in (next(filter(None, map(_letter, v.values())), None) for v in answer.values() if isinstance(v, dict)) if x]
+    lone = set(_LONE.findall(json.dumps(answer, ensure_ascii=False)))
+    return next(filter(None, named), None) or (inner[-1] if inner else None) or (lone.pop() if len(lone) == 1 else "A")
 
 
-def _letter(c: Column) -> Column:
-    """A or B if the text holds just one of the two letters in either case."""
-    upper = F.upper(c)
-    a, b = F.contains(upper, F.lit("A")), F.contains(upper, F.lit("B"))
-    return F.when(a & ~b, "A").when(b & ~a, "B")
+_LONE = re.compile(r"\b[AB]\b")
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _read(text: str | None) -> dict:
+    answer = _parsed(text) or {}
+    given = next((answer[k] for k in GIVEN if answer.get(k)), None)
+    names = {str(x).lower() for x in given} if isinstance(given, list) else set()
+    flags = {k: bool(given.get(k)) if isinstance(given, dict) else not names.isdisjoint((k, short)) for k, short in ASPECTS.items()}
+    why = next((answer[k] for k in WHY if answer.get(k)), NO_REASON)
+    return {"closer": _closer(answer), "aspects": flags, "why": why if isinstance(why, str) else str(why)}
 
 
-def _as_text(v: Column) -> Column:
-    """The text of a variant that is one, else null."""
-    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+_ASPECTS_TYPE = pa.struct([(k, pa.bool_()) for k in ASPECTS])
+_DECISION = pa.struct([("closer", pa.string()), ("aspects", _ASPECTS_TYPE), ("why", pa.string())])
 
 
-def _holds(v: Column) -> Column:
-    """Whether a JSON value counts as true: not null, false, zero or empty."""
-    return F.coalesce(~F.to_json(v).rlike(r'^(null|false|-?0+(\.0+)?|""|\[\]|\{\})$'), F.lit(False))
+@F.arrow_udf(from_arrow_type(_DECISION))
+def _decision(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in parts:
+        yield pa.array(map(_read, column.to_pylist()), _DECISION)
 
 
 def decision(c) -> Column:
     """``(closer, aspects, why)`` of an answer, whatever its spelling.
 
     ``closer`` comes from the first of the keys ``CLOSER`` whose text holds just one of the letters; then from the last
-    nested object that has such a text, of which the first counts; then from a lone word A or B in the JSON text; else it
-    is A.  Aspects are an object of values that count as true or not, or a list of names, long or short.  The reason is the
-    first that isn't empty; one that isn't a text is written as JSON.  An answer without an object that can be read is
-    an empty object.
+    nested object that has such a text, of which the first in the answer's order counts; then from a lone word A or B in the
+    JSON text; else it is A.  Aspects are an object of values that count as true or not, or a list of names, long or short.
+    The reason is the first that isn't empty; one that isn't a text is written as Python writes it.  Of repeated keys the
+    last counts, NaN and Infinity are numbers, and an answer without an object that can be read is an empty object.
     """
-    found = first_object(c)
-    root = F.coalesce(F.try_parse_json(found), F.parse_json(F.lit("{}")))
-    whole = F.try_variant_get(root, "$", "map<string,variant>")
-    field = lambda k: F.try_element_at(whole, F.lit(k))
-    nested = F.transform(
-        F.coalesce(F.json_object_keys(found), F.array().cast("array<string>")),
-        lambda k: F.array_compact(F.transform(
-            F.coalesce(F.json_object_keys(F.to_json(F.try_element_at(whole, k))), F.array().cast("array<string>")),
-            lambda j: _letter(_as_text(F.try_element_at(F.try_variant_get(F.try_element_at(whole, k), "$", "map<string,variant>"), j))),
-        )),
-    )
-    nested = F.filter(nested, lambda x: F.size(x) > 0)
-    text = F.to_json(root)
-    a, b = text.rlike(r"(?U)\bA\b"), text.rlike(r"(?U)\bB\b")
-    lone = F.when(a & ~b, "A").when(b & ~a, "B")
-    closer = F.coalesce(*[_letter(_as_text(field(k))) for k in CLOSER], F.get(F.try_element_at(nested, F.lit(-1)), F.lit(0)), lone, F.lit("A"))
-    given = F.coalesce(*[F.when(_holds(field(k)), field(k)) for k in GIVEN])
-    listed = F.transform(F.try_variant_get(given, "$", "array<variant>"), lambda x: F.lower(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))))
-    flags = F.try_variant_get(given, "$", "map<string,variant>")
-
-    def flag(name: str, short: str) -> Column:
-        named = F.arrays_overlap(listed, F.array(F.lit(name), F.lit(short)))
-        return F.when(_kind(given).startswith("OBJECT"), _holds(F.try_element_at(flags, F.lit(name)))).when(_kind(given).startswith("ARRAY"), named).otherwise(False)
-
-    aspects = F.struct(*[F.coalesce(flag(k, short), F.lit(False)).alias(k) for k, short in ASPECTS.items()])
-    why = F.coalesce(*[F.when(_holds(field(k)), F.coalesce(_as_text(field(k)), F.to_json(field(k)))) for k in WHY], F.lit(NO_REASON))
-    return F.struct(closer.alias("closer"), aspects.alias("aspects"), why.alias("why"))
+    return _decision(strip_fences(c))
 
 
 def repaired(c, repair: Callable[[Column], Column]) -> Column:
     """The answer, or what ``repair`` makes of it where it holds no object that can be read; ``repair`` is a model's hook."""
-    return F.when(F.try_parse_json(first_object(c)).isNotNull(), c).otherwise(repair(c))
+    return F.when(_readable(strip_fences(c)), c).otherwise(repair(c))
 
 
 def weighted_decision(theme: Column, action: Column, outcome: Column) -> Column:

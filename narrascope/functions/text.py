@@ -135,24 +135,3 @@ def truncate(tokens: Column, n: int) -> Column:
 
 def file_stem(path) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-
-
-#: Blocks of a page that are kept, and what stands before them.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"))
-BLOCK = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in ("h2", "h3", "p", "dl", "dd"))
-
-
-def html_to_plain(c) -> Column:
-    """Headings of the second and third order marked by ``# `` and ``## ``, paragraphs and lists as lines; all else goes."""
-    found = F.regexp_extract_all(c, F.lit(BLOCK), F.lit(0))
-
-    def line(block):
-        bare = F.regexp_replace(block, "(?s)<[^>]*>", "")
-        plain = bare
-        for name, sign in (*ENTITIES, ("&amp;", "&")):
-            plain = F.replace(plain, F.lit(name), F.lit(sign))
-        plain = strip(plain)
-        mark = F.when(F.lower(F.substring(block, 1, 3)) == "<h2", "# ").when(F.lower(F.substring(block, 1, 3)) == "<h3", "## ").otherwise("")
-        return F.concat(mark, plain, F.lit("\n"))
-
-    return strip(F.array_join(F.transform(found, line), ""))

@@ -8,6 +8,7 @@ from narrascope.functions import parsing, similarity, text
 from narrascope.operators import clusters, corpus, stats, stories, vectors
 from narrascope.operators.ordering import numbered
 from narrascope.plans.views import Catalogue, ascii_tokens, bucket, table, word_tokens
+from narrascope.session import share_code
 
 query = Catalogue()
 
@@ -261,17 +262,39 @@ ANSWERS = [
     ('{"A": 1, "B": 2}', "A", False, False, False, parsing.NO_REASON),
     ('{"chosen_story": "Story B", "closer": null}', "B", False, False, False, parsing.NO_REASON),
     ('{"closer": "B", broken', "A", False, False, False, parsing.NO_REASON),
+    ('{"r": {"z": "B", "a": "A"}}', "B", False, False, False, parsing.NO_REASON),
+    ('{"closer": "A", "closer": "B"}', "B", False, False, False, parsing.NO_REASON),
+    ('{"x": NaN, "closer": "B"}', "B", False, False, False, parsing.NO_REASON),
+    ('{"why": ["one", 2], "winner": "b"}', "B", False, False, False, "[''one'', 2]"),
 ]
 _ANSWERS = ", ".join(f"({k}, '{c}', {t}, {a}, {o}, '{w}')" for k, (_, c, t, a, o, w) in enumerate(ANSWERS))
 
 
 @query("decision_normalize", f"SELECT vec_id, closer, abstract_theme, course_of_action, outcomes, why FROM embeddings JOIN (VALUES {_ANSWERS}) v(k, closer, abstract_theme, course_of_action, outcomes, why) ON k = vec_id % {len(ANSWERS)}")
 def _(spark, d):
+    share_code(spark)
     raw = F.get(F.array(*[F.lit(a[0]) for a in ANSWERS]), (F.col("vec_id") % len(ANSWERS)).cast("int"))
     got = parsing.decision(raw)
     return table(spark, d, "embeddings").select("vec_id", got.alias("d")).select("vec_id", "d.closer", "d.aspects.abstract_theme", "d.aspects.course_of_action", "d.aspects.outcomes", "d.why")
 
 
+_LETTER = "CASE WHEN contains(upper({0}), 'A') AND NOT contains(upper({0}), 'B') THEN 'A' WHEN contains(upper({0}), 'B') AND NOT contains(upper({0}), 'A') THEN 'B' END"
+_WORD = r"regexp_matches(t, '(^|[^\p{{L}}\p{{M}}\p{{N}}_]){0}($|[^\p{{L}}\p{{M}}\p{{N}}_])')"
+
+
+@query("decision_records", f"""
+WITH said AS (SELECT doc_id, text, {_LETTER.format("source")} AS s, {_LETTER.format("lang")} AS l, regexp_replace(text, '[\x00-\x1F]', 'n', 'g') AS t FROM documents),
+lone AS (SELECT *, {_WORD.format("A")} AS a, {_WORD.format("B")} AS b FROM said)
+SELECT doc_id, coalesce(s, l, CASE WHEN a AND NOT b THEN 'A' WHEN b AND NOT a THEN 'B' END, 'A') AS closer,
+  CASE WHEN text = '' THEN '{parsing.NO_REASON}' ELSE text END AS why FROM lone""")
+def _(spark, d):
+    # answers made of whole documents: their source and language in this order, and the text as the reason
+    share_code(spark)
+    answer = F.to_json(F.struct(F.struct(F.col("source").alias("z"), F.col("lang").alias("a")).alias("r"), F.col("text").alias("why")))
+    docs = table(spark, d, "documents").select("doc_id", parsing.decision(F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).alias("d"))
+    return docs.select("doc_id", "d.closer", "d.why")
+
+
 @query("json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events")
 def _(spark, d):
     props = F.col("props")

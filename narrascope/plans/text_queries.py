@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from narrascope.functions import parsing, similarity, text
+from narrascope.functions import html, parsing, similarity, text
 from narrascope.operators import corpus, overlap, stats, triplets
 from narrascope.plans.views import TT, Catalogue, ascii_tokens, bucket, coverage, grams, jaccard, table, text_triplets, word_tokens
+from narrascope.session import share_code
 
 query = Catalogue()
 
@@ -287,9 +288,6 @@ def _(spark, d):
     return rows.select("conv_id", joined.alias("joined"), F.size(text.split_events(joined)).cast("long").alias("n"))
 
 
-_PLAIN = "regexp_replace(x, '(?s)<[^>]*>', '', 'g')"
-for _name, _sign in (*text.ENTITIES, ("&amp;", "&")):
-    _PLAIN = f"replace({_PLAIN}, '{_name}', chr({ord(_sign)}))"
 _BLANK = r"[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{3000}]"
 
 
@@ -297,11 +295,20 @@ def _stripped(x: str) -> str:
     return f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 
 
-@query("html_to_plain", f"""WITH b AS (SELECT page_id, list_transform(regexp_extract_all(html, '{text.BLOCK}'), lambda x: CASE WHEN lower(x[1:3]) = '<h2' THEN '# ' WHEN lower(x[1:3]) = '<h3' THEN '## ' ELSE '' END
-  || {_stripped(_PLAIN)} || chr(10)) AS l FROM pages)
-SELECT page_id, {_stripped("array_to_string(l, '')")} AS plain FROM b""")
+#: The articles of the pages hold a heading and paragraphs, some without an end.
+_BARE = "regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g')"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_sign}')"
+
+
+@query("html_to_plain", f"""
+WITH articles AS (SELECT page_id, string_split(string_split(html, '<article>')[2], '</article>')[1] AS a FROM pages),
+lines AS (SELECT page_id, list_transform(string_split(a, '<p>')[2:], lambda x: {_stripped(_BARE)} || chr(10)) AS l FROM articles)
+SELECT page_id, {_stripped("array_to_string(l, '')")} AS plain FROM lines""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", text.html_to_plain(F.col("html")).alias("plain"))
+    share_code(spark)
+    article = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
+    return table(spark, d, "pages").select("page_id", html.html_to_plain(article).alias("plain"))
 
 
 @query("summary_section", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND length(text) > 100 THEN 'Plot' WHEN lang IN ('de', 'fr') AND length(source) > 100 THEN 'Synopsis' END AS name FROM documents")
