@@ -16,6 +16,7 @@ those that repeat one are rows of their own; an empty benchmark hits nothing; co
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from narrascope.llm.rows import map_texts
 from narrascope.llm.textbatch import _PLACE, ALNUM, LOWER, U, blocks, eights, mix, same_spans, span_hashes, word_spans
+from narrascope.session import Scratch
 
 LANE = 512
 #: Bits of a shift table: at least, at most, and beyond those that number the blocks of words.
@@ -184,7 +186,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``keep`` columns of each document with ``n_words``, ``hit_spans`` (word numbers, end excluded) and ``hit_items``.
 
     The benchmark is read in rounds of at most ``ROUND_BYTES`` bytes of text, so what is sent to the executors is
-    bounded; each round searches all documents and adds to the spans of the round before.
+    bounded.  Of several rounds each is a job of its own, which writes what it finds, so a worker holds the tables of one
+    round at a time; the documents are written once, numbered, and meet their findings in the end.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text).alias("text")).where("name is not null and text is not null")
@@ -192,19 +195,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     rounds = max(1, -(-size // ROUND_BYTES))
     names = keep if keep is not None else docs.columns
     carried = [c for c in names if c not in ("n_words", "hit_spans", "hit_items")]
-    out = docs
-    for k in range(rounds):
+
+    def searched(df: DataFrame, col: str, cols: list[str], k: int) -> DataFrame:
         part = items if rounds == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(rounds)) == k)
         shared = spark.sparkContext.broadcast([(r.name, r.text) for r in part.select("name", "text").toLocalIterator()])
-        last = k == rounds - 1
-        cols = carried if last or text_col in carried else [*carried, text_col]
-        if k:
-            out = out.withColumnsRenamed({"hit_spans": f"spans{k}", "hit_items": f"items{k}"})
-            cols = [*cols, f"spans{k}", f"items{k}"]
-        out = map_texts(out, text_col, cols, _FIELDS, _search(shared, window, uuid.uuid4().hex))
-        if k:
-            out = out.withColumns({"hit_spans": _united(F.concat("hit_spans", f"spans{k}")), "hit_items": F.array_union("hit_items", f"items{k}")}).drop(f"spans{k}", f"items{k}")
-    return out.select(*carried, "n_words", "hit_spans", F.array_sort("hit_items").alias("hit_items"))
+        return map_texts(df, col, cols, _FIELDS, _search(shared, window, uuid.uuid4().hex))
+
+    if rounds == 1:
+        return searched(docs, text_col, carried, 0).select(*carried, "n_words", "hit_spans", F.array_sort("hit_items").alias("hit_items"))
+    work = Scratch(spark, "rounds")
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(0)
+    base = work.save(docs.select(F.monotonically_increasing_id().alias("at"), row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), "documents")
+    found = []
+    for k in range(rounds):
+        part = searched(base.select("at", "text"), "text", ["at"], k)
+        found.append(work.save(part if k == 0 else part.where(F.size("hit_spans") > 0), f"found-{k}"))
+    counts = found[0].select("at", "n_words")
+    hits = reduce(DataFrame.unionAll, [f.where(F.size("hit_spans") > 0).select("at", "hit_spans", "hit_items") for f in found])
+    # a list for each round at most
+    hits = hits.groupBy("at").agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.flatten(F.collect_list("hit_items")).alias("items"))
+    out = base.select("at", "row").join(counts, "at").join(hits, "at", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return out.select(
+        *[F.col("row").getField(c).alias(c) for c in carried], "n_words", none(_united(F.col("spans")), _SPAN).alias("hit_spans"),
+        none(F.array_sort(F.array_distinct("items")), "array<string>").alias("hit_items"),
+    )
 
 
 def n_hit() -> F.Column:
