@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,20 +70,31 @@ def masked_mean(vectors: Column, mask: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.try_divide(F.aggregate(kept, F.lit(0.0), lambda s, v: s + F.get(v, i)), F.size(kept)))
 
 
-def pooled(layers: Column, mask: Column, mode: str, dim: int) -> Column:
+def pooled(layers: Column, mask: Column, mode: str, dim: int, dense: Callable[[Column], Column] | None = None) -> Column:
     """One vector of a model's layers (arrays of token vectors, the first layer first).
 
-    ``cls`` is the last layer's first token; ``avg`` the masked mean of the last layer, ``avg_top2`` of the mean of the
-    last two, ``avg_first_last`` of the mean of the first and the last.
+    ``cls`` is the last layer's first token, after the model's own ``dense`` layer if that is given, ``cls_before_pooler``
+    without it; ``last`` is the last token whose mask is 1.  ``avg`` is the masked mean of the last layer, ``avg_top2`` of the
+    mean of the last two, ``avg_first_last`` of the mean of the first and the last.
     """
     last = F.element_at(layers, -1)
-    if mode == "cls":
-        return F.transform(F.get(last, F.lit(0)), lambda x: x.cast("double"))
+    wide = lambda v: F.transform(v, lambda x: x.cast("double"))
+    if mode in ("cls", "cls_before_pooler"):
+        first = wide(F.get(last, F.lit(0)))
+        return dense(first) if dense is not None and mode == "cls" else first
+    if mode == "last":
+        return wide(F.get(last, (F.array_size(mask) - 1 - F.array_position(F.reverse(mask), 1) + 1).cast("int")))
     other = {"avg": last, "avg_top2": F.element_at(layers, -2), "avg_first_last": F.element_at(layers, 1)}[mode]
     a, b = masked_mean(last, mask, dim), masked_mean(other, mask, dim)
     return F.zip_with(a, b, lambda x, y: (x + y) / 2)
 
 
+def dense_tanh(weights: list[list[float]], bias: list[float]) -> Callable[[Column], Column]:
+    """A model's pooling layer: the tangent of each row of weights times the vector, plus its bias."""
+    rows = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("w"), F.lit(b).alias("b")) for w, b in zip(weights, bias)])
+    return lambda v: F.transform(rows, lambda r: F.tanh(dot(r["w"], v) + r["b"]))
+
+
 def max_pool(vectors: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.array_max(F.transform(vectors, lambda v: F.get(v, i).cast("double"))))
 

@@ -113,10 +113,14 @@ def quota(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
 
 
 def negative_pairs(stories: DataFrame, key: str, text: str, seed: int = 42) -> DataFrame:
-    """Each story's text with that of the next one in hash order: two different stories as a negative pair."""
-    order = Window.partitionBy(bucket(F.col(key), 64, seed + 1)).orderBy(bucket(F.col(key), 1 << 30, seed), key)
-    near = stories.select(F.col(key).alias("a_id"), F.col(text).alias("text_a"), F.lead(key).over(order).alias("b_id"), F.lead(text).over(order).alias("text_b"))
-    return near.where("b_id is not null").withColumn("label", F.lit(-1))
+    """Each story's text with that of the next one in hash order: two different stories as a negative pair.
+
+    Only keys are numbered; texts are met last, so none is sorted.
+    """
+    placed = numbered(stories.select(key, bucket(F.col(key), 1 << 30, seed).alias("__hash")), ["__hash", key], "__n")
+    near = placed.select(F.col(key).alias("a_id"), "__n").join(placed.select(F.col(key).alias("b_id"), (F.col("__n") - 1).alias("__n")), "__n")
+    side = lambda x: stories.select(F.col(key).alias(f"{x}_id"), F.col(text).alias(f"text_{x}"))
+    return near.join(side("a"), "a_id").join(side("b"), "b_id").select("a_id", "text_a", "b_id", "text_b", F.lit(-1).alias("label"))
 
 
 def interleaved(a: DataFrame, b: DataFrame, key: str, seed: int = 42) -> DataFrame:

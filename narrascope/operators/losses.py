@@ -35,6 +35,23 @@ def in_batch_loss(anchors: DataFrame, positives: DataFrame, hard: DataFrame | No
     return whole.select(F.col("q").alias("anchor"), (F.log(total) + F.col("top") - F.col("pos")).alias("loss"))
 
 
+def masked_cross_entropy(logits: Column, labels: Column) -> Column:
+    """Per row the summed cross-entropy and the number of the masked tokens: ``logits`` has an array over the vocabulary for
+    each token, ``labels`` the right place in it, null where a token isn't masked."""
+    def entropy(z: Column, label: Column) -> Column:
+        top = F.array_max(z).cast("double")
+        total = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+        return F.when(label.isNotNull(), F.log(total) + top - F.get(z, label).cast("double"))
+
+    each = F.array_compact(F.zip_with(logits, labels, entropy))
+    return F.struct(F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("total"), F.size(each).cast("long").alias("n"))
+
+
+def with_masked_loss(contrastive: Column, masked: Column, weight: float = 0.1) -> Column:
+    """The contrastive loss plus the weighted mean cross-entropy of all masked tokens (sums of ``masked_cross_entropy``)."""
+    return contrastive + weight * F.coalesce(F.try_divide(masked["total"], masked["n"]), F.lit(0.0))
+
+
 def scaled_squares(sim: Column, label: Column, negative_scale: Column) -> Column:
     """Mean squared error against 1 for positives and 0 for negatives, the latter scaled."""
     return F.avg(F.when(label == 1, (sim - 1) * (sim - 1)).otherwise(negative_scale * sim * sim))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import similarity, text
+from narrascope.operators.word_blocks import best_by_words
 
 METRICS = ("jaccard", "anchor_overlap", "candidate_overlap", "2gram_jaccard", "3gram_jaccard", "rouge_1_f1", "rouge_2_f1", "pos_overlap")
 
@@ -68,19 +69,16 @@ def hard_negatives(anchors: DataFrame, hypotheses: DataFrame, on: str, bonus: fl
     """The hypothesis of each anchor with the highest word Jaccard among those with the same value of ``on``.
 
     ``anchors`` has (anchor_id, anchor, on), ``hypotheses`` (pos, hypothesis, label, on).  Contradictions, in any case,
-    get a bonus, empty hypotheses are skipped, and of equals the first by ``pos`` wins.  Words are made once for each text, before the
-    join.  Only pairs that share a word are made; of those that share none only the first contradiction and the first of
-    a value of ``on`` can win, and these two stand in for all.
+    get a bonus, empty hypotheses are skipped, and of equals the first by ``pos``, a whole number, wins.  Words of different
+    values of ``on`` are different words, so texts meet in blocks (``word_blocks``) and no pair leaves them; of hypotheses
+    that share no word only the first contradiction and the first of a value of ``on`` can win, and these two stand in for all.
     """
-    words = lambda c: F.array_distinct(text.ascii_words(F.col(c)))
+    words = lambda c: F.transform(F.array_distinct(text.ascii_words(F.col(c))), lambda w: F.struct(F.col(on), w))
     kept = hypotheses.where(F.coalesce("hypothesis", F.lit("")) != "")
     extra = F.when(F.lower("label") == "contradiction", bonus).otherwise(0.0)
-    each = lambda rows, key, c, n: rows.select(key, on, words(c).alias("w")).select(key, on, F.size("w").alias(n), F.explode("w").alias("w"))
-    both = each(anchors, "anchor_id", "anchor", "na").join(each(kept, "pos", "hypothesis", "nb"), [on, "w"])
-    shared = both.groupBy("anchor_id", on, "pos").agg(similarity.share(F.count("*"), F.first("na") + F.first("nb") - F.count("*")).alias("s"))
-    scored = shared.join(kept.select("pos", on, extra.alias("extra")), ["pos", on]).select("anchor_id", on, "pos", (F.col("s") + F.col("extra")).alias("score"))
+    near = best_by_words(anchors.select(F.col("anchor_id").alias("id"), words("anchor").alias("words")), kept.select(F.col("pos").alias("id"), words("hypothesis").alias("words"), extra.alias("extra")))
     firsts = kept.groupBy(on, extra.alias("score")).agg(F.min("pos").alias("pos"))
-    scored = scored.unionByName(anchors.select("anchor_id", on).join(firsts, on))
-    best = scored.groupBy("anchor_id", on).agg(F.max_by(F.struct("pos", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b"))
-    found = best.select("anchor_id", on, "b.*").join(kept.select("pos", on, "hypothesis", "label"), ["pos", on])
+    scored = near.select(F.col("q").alias("anchor_id"), F.col("c").alias("pos"), "score").unionByName(anchors.select("anchor_id", on).join(firsts, on).select("anchor_id", "pos", "score"))
+    best = scored.groupBy("anchor_id").agg(F.max_by(F.struct("pos", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b"))
+    found = best.select("anchor_id", "b.*").join(kept.select("pos", "hypothesis", "label"), "pos")
     return found.select("anchor_id", "pos", "hypothesis", "label", "score")

@@ -55,6 +55,11 @@ def per_query_ranks(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10), strict: b
     )
 
 
+def members_only(rows: DataFrame, members: DataFrame, query: str = "q", member: str = "id") -> DataFrame:
+    """The rows of queries that are members, as of a test set; candidates stay as they are."""
+    return rows.join(members.select(F.col(member).alias(query)).distinct(), query, "left_semi")
+
+
 def mean_metrics(queries: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Means over queries: map, ndcg, r_precision, hits_at_1 and p_at_k."""
     return queries.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.operators.ordering import running_sum
+from narrascope.session import Scratch
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: Column, names: dict[str, float]) -> DataFrame:
@@ -29,6 +30,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: Column, names: dict[str
 
 
 def _with_quantiles(df: DataFrame, by: list[str], x: Column, aggs: list[Column], names: dict[str, float]) -> DataFrame:
+    """Aggregates of ``__v`` and quantiles; the values are written once, since both read them."""
+    df, x = Scratch(df.sparkSession, "stats").save(df.select(*by, x.alias("__v")), "values"), F.col("__v")
     rest = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     found = exact_quantiles(df, by, x, names)
     if not by:
@@ -40,8 +43,9 @@ def _with_quantiles(df: DataFrame, by: list[str], x: Column, aggs: list[Column],
 def summary(df: DataFrame, by: list[str], value: str, extremes: bool = False) -> DataFrame:
     """mean, median, population std, p10, p90 and n of each group; quantiles interpolate linearly."""
     x = F.col(value).cast("double")
-    more = [F.min(x).alias("min"), F.max(x).alias("max")] if extremes else []
-    aggs = [F.avg(x).alias("mean"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("std"), *more, F.count(x).alias("n")]
+    v = F.col("__v")
+    more = [F.min(v).alias("min"), F.max(v).alias("max")] if extremes else []
+    aggs = [F.avg(v).alias("mean"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("std"), *more, F.count(v).alias("n")]
     out = _with_quantiles(df, by, x, aggs, {"median": 0.5, "p10": 0.1, "p90": 0.9})
     return out.select(*by, "mean", "median", "std", "p10", "p90", *(["min", "max"] if extremes else []), "n")
 
@@ -50,7 +54,8 @@ def quantiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame
     """mean, min, max, population std and the quantiles ``q<percent>`` of a column."""
     x = F.col(value).cast("double")
     names = {f"q{round(100 * s)}": s for s in shares}
-    aggs = [F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("std")]
+    v = F.col("__v")
+    aggs = [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std")]
     return _with_quantiles(df, [], x, aggs, names).select("mean", "min", "max", "std", *names)
 
 

@@ -97,6 +97,13 @@ def triplet_tokens(s0: Column, s1: Column, hard: Column) -> Column:
     return F.array(*[F.coalesce(c, F.lit(" ")) for c in (s0, s1, hard)])
 
 
+def submission(rows: DataFrame, predicted: str, label: str = "text_a_is_closer", helpers: tuple[str, ...] = ()) -> DataFrame:
+    """The columns as they were read, with the prediction in place of the label and without helper columns; null predictions speak for B."""
+    gone = {predicted, *helpers} - {label}
+    order = [c for c in rows.columns if c not in gone] + ([] if label in rows.columns else [label])
+    return rows.withColumn(label, F.coalesce(F.col(predicted).cast("boolean"), F.lit(False))).select(*order)
+
+
 #: Splits in the order in which they are looked for.
 SPLITS = ("sample", "train", "dev", "test")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from narrascope.functions import parsing, similarity, text
 from narrascope.operators import clusters, corpus, stats, stories, vectors
 from narrascope.operators.ordering import numbered
+from narrascope.operators.word_blocks import best_by_words
 from narrascope.plans.views import Catalogue, ascii_tokens, bucket, table, word_tokens
 from narrascope.session import share_code
 
@@ -47,10 +48,9 @@ def _(spark, d):
 @query("tfidf_p1", f"WITH {_TFIDF}, s AS (SELECT a.item_id AS q, b.item_id AS c, sum(a.weight * b.weight) AS sim FROM tfidf a JOIN tfidf b ON a.word = b.word AND a.item_id <> b.item_id GROUP BY 1, 2) SELECT q, c, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, c) AS k FROM s) WHERE k = 1")
 def _(spark, d):
     w = corpus.tf_idf(item_tokens(spark, d), "item_id", "word")
-    a, b = w.select(F.col("item_id").alias("q"), "word", F.col("weight").alias("x")), w.select(F.col("item_id").alias("c"), "word", F.col("weight").alias("y"))
-    sims = a.join(b, "word").where("q <> c").groupBy("q", "c").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
-    best = F.max_by(F.struct("c", "sim"), F.struct(F.round("sim", 9), -F.col("c")))
-    return sims.groupBy("q").agg(best.alias("b")).select("q", "b.c", r6("b.sim").alias("sim"))
+    rows = w.groupBy(F.col("item_id").alias("id")).agg(F.collect_list(F.struct("word", "weight")).alias("w")).select("id", F.col("w.word").alias("words"), F.col("w.weight").alias("weights"))
+    best = best_by_words(rows, rows, "dot", digits=9, exclude_self=True)
+    return best.select("q", "c", r6("score").alias("sim"))
 
 
 def word_vectors(spark, d):

@@ -31,10 +31,14 @@ def _(spark, d):
 @query("numbered_lines", "SELECT count(*) AS n, CAST(sum(turn) AS BIGINT) AS total FROM conversations")
 def _(spark, d):
     path = Scratch(spark, "io").path + "/lines"
-    table(spark, d, "conversations").select(F.col("turn").cast("string").alias("value")).coalesce(1).write.text(path)
-    rows = readers.lines(spark, path)
-    # every number from 0 on is there once
-    return rows.groupBy("number").agg(F.sum(F.col("value").cast("long")).alias("v")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    rows = table(spark, d, "conversations").select(F.col("turn").cast("string").alias("value"))
+    rows.repartition(6, F.xxhash64("value", F.spark_partition_id())).write.text(path)
+    found = readers.lines(spark, path)
+    # every number of a file, from 0 on, is there once; files are zipped with themselves
+    top = found.groupBy("path").agg((F.max("number") + 1).alias("n"), F.countDistinct("number").alias("known"))
+    both = readers.zipped(found.withColumn("number", F.struct("path", "number")), found.withColumn("number", F.struct("path", "number")))
+    total = both.where("a = b").agg(F.sum(F.col("a").cast("long")).alias("total"))
+    return top.where("n = known").agg(F.sum("n").cast("long").alias("n")).join(F.broadcast(total))
 
 
 @query("language_folders", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")

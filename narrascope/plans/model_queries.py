@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.functions import hooks, similarity
-from narrascope.operators import annotations, projection, regression
+from narrascope.operators import annotations, losses, projection, regression
 from narrascope.plans.views import Catalogue, table
 from narrascope.session import Scratch, scratch_root, share_code
 from narrascope.sources.checkpoints import Checkpoints
@@ -91,3 +91,13 @@ def _(spark, d):
 def _(spark, d):
     out = annotations.anonymised(annotated(spark, d), persons=PERSONS)
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+@query("masked_loss", """
+WITH t AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS z, CASE WHEN vec_id % 7 = 0 THEN vec_id % 64 END AS y FROM embeddings)
+SELECT label, round(sum(ln(list_sum(list_transform(z, lambda x: exp(x)))) - z[y + 1]), 6) AS total, count(*) AS n FROM t WHERE y IS NOT NULL GROUP BY label""")
+def _(spark, d):
+    # vectors stand for the scores of a vocabulary of 64 words; every seventh token is masked
+    e = table(spark, d, "embeddings").select("label", F.array("embedding").alias("logits"), F.array(F.when(F.col("vec_id") % 7 == 0, (F.col("vec_id") % 64).cast("int"))).alias("labels"))
+    loss = e.select("label", losses.masked_cross_entropy(F.col("logits"), F.col("labels")).alias("l")).where("l.n > 0")
+    return loss.groupBy("label").agg(F.round(F.sum("l.total"), 6).alias("total"), F.sum("l.n").alias("n"))

@@ -336,6 +336,6 @@ def _(spark, d):
     return out.select("anchor_id", "pos", "hypothesis", "label", r6("score").alias("score"))
 
 
-@query("negative_pairs", f"SELECT a_id, b_id, -1 AS label FROM (SELECT doc_id AS a_id, lead(doc_id) OVER (PARTITION BY {bucket('doc_id', 64, 43)} ORDER BY {bucket('doc_id', 1 << 30)}, doc_id) AS b_id FROM documents) WHERE b_id IS NOT NULL")
+@query("negative_pairs", f"SELECT a_id, b_id, -1 AS label FROM (SELECT doc_id AS a_id, lead(doc_id) OVER (ORDER BY {bucket('doc_id', 1 << 30)}, doc_id) AS b_id FROM documents) WHERE b_id IS NOT NULL")
 def _(spark, d):
     return corpus.negative_pairs(table(spark, d, "documents"), "doc_id", "text").select("a_id", "b_id", "label")

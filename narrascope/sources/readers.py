@@ -5,6 +5,8 @@ All go through Spark's readers, so paths may be in any store that Spark reads.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,11 +105,15 @@ def tab_columns(spark: SparkSession, path: str, picks: dict[str, int], header: b
     return (rows.where("number > 0") if header else rows).select("number", *[F.get(cells, F.lit(k)).alias(n) for n, k in picks.items()])
 
 
+def latin_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines of a file in Latin-1."""
+    # Spark's text reader knows UTF-8 only; a separator that no line holds makes the CSV reader one for lines
+    return spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", "ISO-8859-1").csv(path)
+
+
 def two_classes(spark: SparkSession, positive: str, negative: str) -> DataFrame:
     """``(text, label)`` of one file of positive and one of negative lines."""
-    # Spark's text reader knows UTF-8 only; a separator that no line holds makes the CSV reader one for lines
-    reader = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", "ISO-8859-1")
-    a, b = (reader.csv(p) for p in (positive, negative))
+    a, b = (latin_lines(spark, p) for p in (positive, negative))
     return a.select(F.col("value").alias("text"), F.lit(1).alias("label")).unionByName(b.select(F.col("value").alias("text"), F.lit(0).alias("label")))
 
 
@@ -117,6 +123,14 @@ def labelled_last(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).where("value <> ''").select(F.get(cell, F.lit(0)).alias("text"), F.element_at(cell, -1).cast("int").alias("label"))
 
 
+def checked_labels(rows: DataFrame, classes: int, label: str = "label") -> DataFrame:
+    """The rows, if the largest label is that of the last class; else an error."""
+    top = rows.agg(F.max(label)).first()[0]
+    if top != classes - 1:
+        raise ValueError(f"labels reach {top}, not {classes - 1}")
+    return rows
+
+
 def labelled_first(spark: SparkSession, path: str) -> DataFrame:
     """``(text, label)`` of lines that begin with a number."""
     return lines(spark, path).where("value <> ''").select(F.regexp_extract("value", r"^\d+\s+(.*)$", 1).alias("text"), F.regexp_extract("value", r"^(\d+)", 1).cast("int").alias("label"))
@@ -125,7 +139,7 @@ def labelled_first(spark: SparkSession, path: str) -> DataFrame:
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """``(text, label)`` of ``CLASS:sub question`` lines."""
     classes = F.create_map(*[F.lit(x) for kv in TREC_CLASSES.items() for x in kv])
-    rows = lines(spark, path).where("value <> ''")
+    rows = latin_lines(spark, path).where("value <> ''")
     return rows.select(F.regexp_extract("value", r"^\S+\s+(.*)$", 1).alias("text"), F.element_at(classes, F.regexp_extract("value", r"^([A-Z]+):", 1)).alias("label"))
 
 
@@ -161,10 +175,14 @@ def entities(spark: SparkSession, pattern: str, schema: str, only: DataFrame | N
     return rows if only is None else rows.join(only.select("id"), "id", "left_semi")
 
 
-def word_vectors(spark: SparkSession, path: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(word, vec)`` of lines of a word and its numbers; ``vocabulary`` (word) restricts them."""
+def word_vectors(spark: SparkSession, path: str, vocabulary: DataFrame | None = None, first: int | None = None, specials: tuple[str, ...] = ()) -> DataFrame:
+    """``(word, vec)`` of lines of a word and its numbers.
+
+    ``vocabulary`` (word) restricts them, and ``first`` to the file's first lines and the ``specials`` wherever they stand.
+    """
     cells = F.split("value", " ")
-    rows = spark.read.text(path).select(F.get(cells, F.lit(0)).alias("word"), F.slice(cells, F.lit(2), F.size(cells)).cast("array<double>").alias("vec"))
+    rows = spark.read.text(path) if first is None else lines(spark, path).where((F.col("number") < first) | F.get(cells, F.lit(0)).isin(*specials))
+    rows = rows.select(F.get(cells, F.lit(0)).alias("word"), F.slice(cells, F.lit(2), F.size(cells)).cast("array<double>").alias("vec"))
     return rows if vocabulary is None else rows.join(vocabulary.select("word"), "word", "left_semi")
 
 
@@ -177,3 +195,31 @@ def named_ids(spark: SparkSession, path: str) -> DataFrame:
     """``(id, name)`` of a JSON object that names ids, in one or more files of one line or many."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "name"))
+
+
+def split_files(spark: SparkSession, files: dict[str, str], schema: str) -> DataFrame:
+    """The rows of CSV files with a header and declared columns, and the ``split`` of each file."""
+    parts = [csv(spark, path, schema).select("*", F.lit(split).alias("split")) for split, path in files.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Names of splits in downloaded dataset folders, and what they are called here.
+HUB_SPLITS = {"train": "train", "validation": "dev", "valid": "dev", "dev": "dev", "test": "test"}
+
+
+def hub_folder(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The rows of a downloaded dataset folder and their ``split``: Parquet or CSV files named by their split (``train-00000-of-00002.parquet``,
+    ``test.csv``) or in folders that are.  Files of other names have a null split."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    kinds = {r[0] for r in files.select(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))).distinct().collect()}  # kinds of files
+    if not kinds & {"parquet", "csv"}:
+        raise ValueError(f"no Parquet or CSV files in {path}")
+    reader = spark.read.option("recursiveFileLookup", True)
+    reader = reader.schema(schema) if schema else reader
+    if "parquet" in kinds:
+        rows = reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    else:
+        rows = reader.option("pathGlobFilter", "*.csv").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    inside = F.substring(F.col("_metadata.file_path"), F.lit(1) + F.instr(F.col("_metadata.file_path"), path.rstrip("/").split("/")[-1] + "/"), F.lit(1 << 20))
+    found = F.regexp_extract(inside, r"/(" + "|".join(HUB_SPLITS) + r")(?:[-_.][^/]*)?(?:/[^/]*)*$", 1)
+    return rows.select("*", F.create_map(*[F.lit(x) for kv in HUB_SPLITS.items() for x in kv])[found].alias("split"))

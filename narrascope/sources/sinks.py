@@ -33,9 +33,9 @@ def vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def by_language(df: DataFrame, path: str, column: str = "lang") -> None:
-    """One folder for each language."""
-    df.repartition(column).write.mode("overwrite").partitionBy(column).json(path)
+def by_language(df: DataFrame, path: str, column: str = "lang", files: int = 16) -> None:
+    """One folder for each language, of at most ``files`` files, so that a common language isn't one task's."""
+    df.repartition(column, F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("overwrite").partitionBy(column).json(path)
 
 
 def resumable(df: DataFrame, path: str, key: str, chunks: int) -> int:
