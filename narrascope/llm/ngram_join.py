@@ -3,23 +3,22 @@
 The items are the documents' sets of distinct word shingles.  All shingles stand in one global order, rare
 ones first, frequent ones last.  A document's prefix is as long as the number of shingles that a partner may lack,
 plus one, so two linked documents share an entry of the shorter prefix (by the order), which the other holds too.
-If that prefix has rare shingles only, they are single signatures.  A document without so many rare shingles
-extends its prefix over all of its frequent ones; it is indexed by its rare shingles and, for partners that are as
-dense, by combinations of k shingles (eight at 0.85): one alone or a pair would bring all such documents together.
-All combinations would be too many, so ``DRAWS`` are drawn, each shingle of a combination being the least of the set
-under one random order: sets agree in one with the probability of their similarity, in a whole combination at 0.85
-with 0.27, and miss all 64 with 2e-9.
+If that prefix has rare shingles only, they are single signatures.  Otherwise it is extended into the frequent ones, which
+are dealt into classes by hash: of a class all but the first shingle count, and the prefix ends when those and the rare ones are as many
+as before.  A partner lacks too few of them to spoil all, so two linked documents share a rare shingle or two shingles of
+one class, and pairs within classes are their signatures.  There are as many classes as an eighth of a set's size, in powers of two, so a
+class has few shingles of a prefix and a document some three pairs for ten shingles; a document signs for each power that its partners' sizes may have.
 
 Documents that share a signature are first compared with the smallest of them.  Only documents that are then
 still in different components are compared with each other, so groups of copies stay linear.  Few share a rare
 shingle; these pairs are joined, those whose set sketches show that they can't link are set aside, and all others are
-compared on their whole texts.  Dense documents come in clusters that combinations chain together.  A cluster is dealt
-into blocks of bounded size; each pair of blocks is one task, which goes through the draws, skips what is joined
-already, and hands on only links that join parts.
+compared on their whole texts.  Documents that share pairs of frequent shingles, or a single one with more than ``MANY`` others, are chained to
+clusters.  A cluster is dealt into blocks of bounded size; each pair of blocks is one task, which looks up who shares a signature with
+whom, skips what is joined already, and hands on only links that join parts.
 
-The sketch of counts has a fixed size, so its noise grows with the corpus.  Passes over all documents therefore count
+The sketch of counts has a fixed size, so its noise grows with the corpus.  A pass over all documents therefore counts
 exactly how many prefixes each single signature stands in; crowded ones become frequent, which
-changes the prefixes of the documents that hold them only.
+changes the prefixes of the documents that hold them only, so further passes read those only, until none is crowded.
 
 A signature, or a set, that a large part of the documents shares meets its smallest document by a broadcast (``hot_join``).
 
@@ -46,10 +45,11 @@ from narrascope.session import Scratch
 
 SKETCH_BITS = 20
 FINE_BITS = 22
-#: Rare shingles that stand in this many prefixes are made frequent.
+#: Rare shingles that stand in this many prefixes are made frequent; shared by more than ``MANY`` documents they chain clusters.
 CROWDED = 8
-#: Passes that look for such shingles, at most; they end when none is left.
-PASSES = 6
+MANY = 64
+#: Passes that look for such shingles end when none is left, or after so many; then those that are left chain clusters.
+PASSES = 24
 #: Bins of a set's sketch, the summed sizes beyond which the share of equal bins is looked at, and the probability with
 #: which that test may fail a pair at the threshold.
 BINS = 256
@@ -60,8 +60,9 @@ FEW = 1_000_000
 PART = 1024
 #: A shingle is frequent if it is counted this often above its cell's expected noise.
 FREQUENT = 64
-DRAWS = 64
-_FACTORS = mix(np.arange(1, DRAWS * 64 + 1, dtype=U)) | U(1)
+FREQUENT_LEVEL = 250
+#: Shingles of a set for each class of frequent ones.
+CLASS = 8
 
 
 def units(n: int, threshold: int) -> int:
@@ -86,38 +87,62 @@ class Signer:
         """The rare entries of the prefix."""
         level = self.level(u)
         order = np.argsort(level, kind="stable")
-        return u[order[: min(units(len(u), self.threshold), int(np.count_nonzero(level < 250)))]]
+        return u[order[: min(units(len(u), self.threshold), int(np.count_nonzero(level < FREQUENT_LEVEL)))]]
 
     def __call__(self, u: np.ndarray) -> list[tuple[np.ndarray, bool]]:
-        """Signatures, and whether they are drawn combinations."""
+        """Signatures, and whether they are made of frequent entries."""
         n = len(u)
         if n * 100 < self.threshold * (n + 1):  # too small to link with any other set
             return []
         single = self.singles(u)
-        if len(single) >= units(n, self.threshold):
+        need = units(n, self.threshold) - len(single)
+        if need <= 0:
             return [(single, False)]
-        return [(single, False), (combinations(u, combination_size(self.threshold)), True)]
+        frequent = u[self.level(u) == FREQUENT_LEVEL]  # in the global order, which is that of their hashes
+        low, high = -(-n * self.threshold // 100), n * 100 // self.threshold
+        own = [self.combined(frequent, need, tier) for tier in range(low.bit_length() - 1, high.bit_length())]
+        return [(single, False), (np.unique(np.concatenate(own)), True)]
+
+    def combined(self, frequent: np.ndarray, need: int, tier: int) -> np.ndarray:
+        """Pairs of one class within the prefix of ``need`` more entries; for sizes near 2^tier.
+
+        Where sets are so small that they may link by one shared entry, entries stand alone.
+        """
+        classes = class_count(tier, self.threshold)
+        if not classes:
+            return frequent[:need]
+        group = (mix(frequent ^ U(0x9E6C63D0876A9A35)) >> U(32)) % U(classes)
+        by = np.argsort(group, kind="stable")
+        new = np.ones(len(by), bool)
+        new[1:] = group[by][1:] != group[by][:-1]
+        counts = np.zeros(len(by), np.int64)
+        counts[by] = ~new  # all but a class's first
+        end = int(np.searchsorted(np.cumsum(counts), need)) + 1
+        by = by[by < end]
+        group, entries = group[by], frequent[by]
+        out = []
+        for apart in range(1, len(by)):
+            same = group[apart:] == group[:-apart]
+            if not same.any():
+                break
+            out.append(mix(entries[:-apart][same] ^ mix(entries[apart:][same] + U(0x632BE59BD9B4E019))))
+        return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def combination_size(threshold: int) -> int:
-    """Entries of a combination, so that sets at the threshold agree in one with a probability of a quarter or more."""
-    return int(min(64, max(1, np.log(0.25) // np.log(min(99, threshold) / 100))))
-
-
-def combinations(u: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of ``DRAWS`` combinations of k entries each."""
-    factors = _FACTORS[: DRAWS * k]
-    low = np.full(DRAWS * k, ~U(0))
-    for at in range(0, len(u), 2048):
-        np.minimum(low, (u[at : at + 2048, None] * factors).min(axis=0), out=low)
-    return mix((mix(low).reshape(DRAWS, k) * factors[:k]).sum(axis=1, dtype=U))
+@functools.cache
+def class_count(tier: int, threshold: int) -> int:
+    """Classes for sets of at least threshold percent of 2^tier entries, so that even the whole set of the least size has enough
+    entries beyond the first of each class; 0 if two of one class can't be asked for."""
+    least = (threshold * threshold << tier) // 10_000  # entries that two linked sets have in common, at least
+    return max(0, min(max(1, (1 << tier) // CLASS), least - 1))
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """Levels in the global order from counts: 0..249 rare by rising count, 250 frequent."""
+    """Levels in the global order from counts: rare ones by rising count, then frequent ones."""
     mean = float(counts.mean())
     most = mean + 6 * np.sqrt(mean) + FREQUENT
-    return np.where(counts < most, np.minimum(249, counts * (249 / most)), 250).astype(np.uint8)
+    top = FREQUENT_LEVEL - 1
+    return np.where(counts < most, np.minimum(top, counts * (top / most)), FREQUENT_LEVEL).astype(np.uint8)
 
 
 def _crowded_cells(crowded: DataFrame) -> np.ndarray:
@@ -131,7 +156,7 @@ def _crowded_cells(crowded: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(held, pa.binary())], ["block", "cells"])
 
     total = blocksum.summed(crowded.select("sig").coalesce(8).mapInArrow(mark, blocksum.SCHEMA), 1 << FINE_BITS, np.uint32)
-    return np.where(total > 0, 250, 0).astype(np.uint8)
+    return np.where(total > 0, FREQUENT_LEVEL, 0).astype(np.uint8)
 
 
 def _overlaps(k: int, threshold: int):
@@ -209,46 +234,60 @@ class Parts:
                 return nxt
             self.up = nxt
 
-    def join(self, i: int, j: int) -> bool:
+    def _root(self, i: int) -> int:
         while self.up[i] != i:
             i = self.up[i]
-        while self.up[j] != j:
-            j = self.up[j]
+        return i
+
+    def differ(self, i: int, j: int) -> bool:
+        return self._root(i) != self._root(j)
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self._root(i), self._root(j)
         self.up[max(i, j)] = min(i, j)
-        return i != j
 
 
-def _dense_links(k: int, threshold: int):
-    """Links that join the parts of one block pair of a cluster of dense documents; within a part none is looked for."""
+def _entries(k: int):
+    """Each row's id, block, part and so on with its sorted set in place of its text."""
+
+    def run(batches):
+        for batch in batches:
+            held = [u.tobytes() for _, u in shingle_sets(batch.column(batch.num_columns - 1), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, pa.binary())], [*batch.schema.names[:-1], "entries"])
+
+    return run
+
+
+def _dense_links(shared, threshold: int):
+    """Links that join the parts of one block pair of a cluster; within a part none is looked for."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, part = table["id"].to_numpy(), table["part"].to_numpy()
-        sets = [u for _, u in shingle_sets(table["text"], k)]
+        sets = [np.frombuffer(e.as_buffer(), U) for e in table["entries"]]
         n = np.array([len(u) for u in sets])
         bins = np.stack([sketch(u) for u in sets])
-        size = combination_size(threshold)
-        drawn = np.stack([combinations(u, size) for u in sets])
+        signer = Signer(*shared.value, threshold)
+        signed = [np.concatenate([s for s, _ in signer(u)] or [np.zeros(0, U)]) for u in sets]
+        # who holds each signature, and which signatures each row has, by number
+        first = np.append(0, np.cumsum([len(s) for s in signed]))
+        _, number, count = np.unique(np.concatenate(signed), return_inverse=True, return_counts=True)
+        holder = np.repeat(np.arange(len(sets)), np.diff(first))[np.argsort(number, kind="stable")]
+        bounds = np.append(0, np.cumsum(count))
         parts, out = Parts(part), []
-        for r in range(DRAWS):
-            order = np.argsort(drawn[:, r], kind="stable")
-            key = drawn[order, r]
-            end = np.searchsorted(key, key, side="right")
-            for lo in range(0, len(order), 256):
-                count = end[lo : lo + 256] - np.arange(lo, min(lo + 256, len(order))) - 1
-                i = np.repeat(np.arange(lo, lo + len(count)), count)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-                i, j = order[i], order[j]
-                root = parts.roots()
-                for on in (root[i] != root[j], None):
-                    if on is None:  # earlier draws have brought the pair up already
-                        on = ~(drawn[i, :r] == drawn[j, :r]).any(axis=1)
-                    i, j = i[on], j[on]
-                for at in range(0, len(i), 1 << 15):
-                    p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                    ok = may_link(bins[p], n[p], bins[q], n[q], threshold)
-                    for x, y in zip(p[ok].tolist(), q[ok].tolist()):
-                        if _linked(sets[x], sets[y], threshold) and parts.join(x, y):
-                            out.append((ids[x], ids[y]))
+        for i in range(len(sets) - 1):
+            own = number[first[i] : first[i + 1]]
+            own = own[count[own] > 1]
+            near = np.zeros(len(sets), bool)
+            at = np.repeat(bounds[own] - np.append(0, np.cumsum(count[own])[:-1]), count[own]) + np.arange(count[own].sum())
+            near[holder[at]] = True
+            near[: i + 1] = False
+            root = parts.roots()
+            j = np.flatnonzero(near & (root != root[i]))
+            j = j[may_link(bins[np.full(len(j), i)], np.full(len(j), n[i]), bins[j], n[j], threshold)]
+            for y in j.tolist():
+                if parts.differ(i, y) and _linked(sets[i], sets[y], threshold):
+                    parts.join(i, y)
+                    out.append((ids[i], ids[y]))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -322,7 +361,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     coarse = _levels(blocksum.summed(found.where("block is not null"), 1 << SKETCH_BITS, np.uint32))
     fine = np.zeros(1 << FINE_BITS, np.uint8)
 
-    def rows(only_singles: bool):
+    named_texts = texts.where("id is not null")
+
+    def rows(some: DataFrame, only_singles: bool):
         shared = spark.sparkContext.broadcast((coarse, fine))  # 5 MB, whatever the input
 
         def sign(batches):
@@ -332,9 +373,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 held: list = []
                 size = 0
                 for i, u in shingle_sets(batch.column(1), k):
-                    for s, drawn in ((signer.singles(u), False),) if only_singles else signer(u):
+                    for s, paired in ((signer.singles(u), False),) if only_singles else signer(u):
                         if len(s):
-                            held.append((ids[i], s, drawn))
+                            held.append((ids[i], s, paired))
                             size += len(s)
                     if size > 1 << 18:
                         yield _signed(held)
@@ -342,33 +383,53 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if held:
                     yield _signed(held)
 
-        return texts.where("id is not null").mapInArrow(sign, "sig long, id long, drawn boolean")
+        return some.mapInArrow(sign, "sig long, id long, paired boolean")
+
+    def holding(new: np.ndarray) -> DataFrame:
+        """The texts whose prefixes hold a shingle in the new frequent cells."""
+        shared = spark.sparkContext.broadcast((coarse, fine, new))
+
+        def keep(batches):
+            old, cells = Signer(*shared.value[:2], threshold), shared.value[2]
+            for batch in batches:
+                hit = [bool(cells[old.singles(u) >> U(64 - FINE_BITS)].any()) for _, u in shingle_sets(batch.column(1), k)]
+                yield batch.filter(pa.array(hit, pa.bool_()))
+
+        return named_texts.mapInArrow(keep, "id long, text string")
 
+    some = named_texts
     for turn in range(PASSES):
-        crowded = rows(True).groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED)
+        crowded = rows(some, True).groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED)
         crowded = work.save(crowded, f"crowded{turn}")
         if crowded.isEmpty():
             break
-        fine = np.maximum(fine, _crowded_cells(crowded))
+        new = _crowded_cells(crowded)
+        if turn == 0:
+            some = work.save(holding(new), "crowding")
+        fine = np.maximum(fine, new)
         work.release()
-    signed = work.save(rows(False), "signed")
+    work.drop("crowding")
+    signed = work.save(rows(named_texts, False), "signed")
     shared_by = signed.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
     groups = _of_groups(signed, work.save(shared_by.select("sig", "c"), "shared"), ["sig"])
     whole = stats.where("n > 0 and id is not null")
     first = whole.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
     same = _of_groups(whole.select("id", "n", "h1", "h2"), work.save(first, "first"), ["h1", "h2", "n"])
     same = work.save(same.where("id <> rep").select("id", "rep").distinct(), "same")
-    groups = groups.join(same, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"), "drawn")
+    groups = groups.join(same, "id", "left").select("sig", F.coalesce("rep", "id").alias("id"), "paired")
     groups = work.save(groups.distinct(), "groups")
     work.drop("signed")
 
     least = groups.groupBy("sig").agg(F.min("id").alias("b"), F.max("id").alias("hi"), F.count("*").alias("c")).where("b <> hi")
-    starred = work.save(_of_groups(groups, work.save(least.select("sig", "b", "c"), "least"), ["sig"]).where("id <> b"), "starred")
+    least = work.save(least.select("sig", "b", "c", (F.col("c") > MANY).alias("many")), "least")
+    sharing = work.save(_of_groups(groups, least, ["sig"]), "sharing")
+    work.drop("groups")
+    starred = sharing.where("id <> b")
     stars = verified(starred.select(F.col("id").alias("a"), "b").distinct(), stats, texts, k, threshold, work, "stars")
     parts = connected_components(stars, "a", "b")
 
     part_of = parts.withColumnRenamed("node", "id").withColumnRenamed("component", "part")
-    named = groups.where("not drawn").join(part_of, "id", "left").select("sig", "id", F.coalesce("part", "id").alias("part"))
+    named = sharing.where("not paired and not many").join(part_of, "id", "left").select("sig", "id", F.coalesce("part", "id").alias("part"))
     named = work.save(named, "named")
     mixed = named.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("sig")
     rest = named.join(mixed, "sig").join(whole.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high")), "id")
@@ -378,8 +439,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     cross = verified(cross, stats, texts, k, threshold, work, "cross")
 
-    # clusters of dense documents that drawn combinations chain together, where they still have several parts
-    chained = starred.where("drawn").select("id", "b").distinct()
+    # clusters of documents that shared pairs or crowded shingles chain together, where they still have several parts
+    chained = starred.where("paired or many").select("id", "b").distinct()
     clusters = connected_components(chained, "id", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     clusters = clusters.join(part_of, "id", "left").select("id", "cluster", F.coalesce("part", "id").alias("part"))
     clusters = work.save(clusters, "clusters")
@@ -387,9 +448,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = split.select("cluster", F.ceil(F.col("size") / PART).cast("int").alias("blocks"))
     members = work.save(clusters.join(split, "cluster"), "members")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    placed = _texts_of(texts, members).withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "id", "part", "text")
-    dense = placed.groupBy("cluster", "x", "y").applyInArrow(_dense_links(k, threshold), "a long, b long")
+    held = _texts_of(texts, members).withColumn("own", own).select("id", "cluster", "part", "blocks", "own", "text")
+    held = work.save(held.mapInArrow(_entries(k), "id long, cluster long, part long, blocks int, own int, entries binary"), "entries")
+    placed = held.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("cluster", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "id", "part", "entries")
+    shared = spark.sparkContext.broadcast((coarse, fine))
+    dense = placed.groupBy("cluster", "x", "y").applyInArrow(_dense_links(shared, threshold), "a long, b long")
     dense = work.save(dense.distinct(), "dense")
     work.release()
 
@@ -407,5 +471,5 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _signed(held: list) -> pa.RecordBatch:
     sizes = [len(s) for _, s, _ in held]
     sig = np.concatenate([s for _, s, _ in held]).view(np.int64)
-    ids, drawn = np.array([i for i, _, _ in held], np.int64), np.array([d for _, _, d in held], bool)
-    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(drawn, sizes))], ["sig", "id", "drawn"])
+    ids, paired = np.array([i for i, _, _ in held], np.int64), np.array([d for _, _, d in held], bool)
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(paired, sizes))], ["sig", "id", "paired"])

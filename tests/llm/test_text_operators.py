@@ -83,14 +83,53 @@ def test_shingle_sets_are_those_of_plain_python():
     assert got == {i: n for i, (n, _) in links(rows).items()}
 
 
-@pytest.mark.parametrize(("crowded", "few"), [(8, 1_000_000), (2, 0)])
-def test_ngram_join_finds_the_components_of_brute_force(spark, monkeypatch, crowded, few):
+def near_copies(seed: int, n: int = 70) -> list[tuple]:
+    """Texts of common passages with changes of every size, so that most of their shingles are frequent, and a very long word."""
+    rnd = random.Random(seed)
+    passages = [[f"p{k}x{i}" for i in range(40)] for k in range(4)]
+    texts = []
+    for _ in range(n):
+        words = [w for p in rnd.sample(passages, rnd.randrange(1, 4)) for w in p]
+        for _ in range(rnd.choice([0, 0, 1, 2, 3, 5, 9])):
+            words[rnd.randrange(len(words))] = f"c{rnd.randrange(9)}"
+        texts.append(" ".join(words))
+    return list(enumerate([*texts, "y" * 300_000 + " a b c d", "y" * 300_000 + " a b c d e"]))
+
+
+@pytest.mark.parametrize(("crowded", "few", "many", "passes"), [(8, 1_000_000, 64, 24), (2, 0, 64, 24), (4, 1_000_000, 2, 1)])
+@pytest.mark.parametrize(("rows", "k", "threshold"), [(sample(2), 4, 85), (near_copies(4), 5, 80)])
+def test_ngram_join_finds_the_components_of_brute_force(spark, monkeypatch, crowded, few, many, passes, rows, k, threshold):
     monkeypatch.setattr(ngram_join, "CROWDED", crowded)
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    monkeypatch.setattr(ngram_join, "PASSES", passes)
     monkeypatch.setattr(ngram_join, "PART", 16)
-    rows = sample(2)
-    out = ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == links(rows)
+    out = ngram_join.ngram_jaccard_join(frame(spark, rows), k=k, threshold=threshold).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == links(rows, k, threshold)
+
+
+@pytest.mark.parametrize("threshold", [85, 80, 50, 30])
+def test_linked_sets_share_a_signature(threshold):
+    rng = np.random.default_rng(threshold)
+    coarse, seen = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8), 0
+    for _ in range(500):
+        n = int(rng.choice([2, 3, 4, 5, 6, 8, 12, 20, 50, 120, 400, 1500]))
+        lose, more = rng.integers(0, max(1, n * (100 - threshold) // 100) + 1, 2)
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        y = np.unique(np.concatenate([x[lose:], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        x = np.unique(x)
+        both = len(np.intersect1d(x, y))
+        if np.array_equal(x, y) or not both or 100 * both < threshold * (len(x) + len(y) - both):
+            continue
+        fine = np.zeros(1 << ngram_join.FINE_BITS, np.uint8)
+        every = np.union1d(x, y)
+        rare = rng.random(len(every)) < rng.choice([0, 0.05, 0.5, 1])
+        fine[every >> np.uint64(64 - ngram_join.FINE_BITS)] = np.where(rare, rng.integers(0, 250, len(every)), ngram_join.FREQUENT_LEVEL)
+        signer = ngram_join.Signer(coarse, fine, threshold)
+        one, two = (np.concatenate([s for s, _ in signer(u)]) for u in (x, y))
+        assert len(np.intersect1d(one, two))
+        seen += 1
+    assert seen > 100
 
 
 def test_ngram_join_keeps_null_ids_and_empty_tables(spark):
@@ -100,16 +139,17 @@ def test_ngram_join_keeps_null_ids_and_empty_tables(spark):
     assert ngram_join.ngram_jaccard_join(df.limit(0)).count() == 0
 
 
-def test_may_link_never_sets_linked_pairs_aside():
+@pytest.mark.parametrize("threshold", [85, 80])
+def test_may_link_never_sets_linked_pairs_aside(threshold):
     rng = np.random.default_rng(0)
     for n in (7, 40, 300, 3000, 20000):
         for _ in range(20):
             x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-            lose = int(len(x) * 0.15 / 1.85)
+            lose = int(len(x) * (100 - threshold) / (100 + threshold))
             y = np.unique(np.concatenate([x[lose:], rng.integers(0, 1 << 63, lose).astype(np.uint64)]))
             s, t = ngram_join.sketch(x)[None], ngram_join.sketch(y)[None]
-            if ngram_join._linked(x, y, 85):
-                assert ngram_join.may_link(s, np.array([len(x)]), t, np.array([len(y)]), 85)[0]
+            if ngram_join._linked(x, y, threshold):
+                assert ngram_join.may_link(s, np.array([len(x)]), t, np.array([len(y)]), threshold)[0]
 
 
 def contamination(rows, items, window=10):
@@ -147,6 +187,20 @@ def test_decontamination_is_that_of_brute_force(spark, monkeypatch, round_bytes)
     assert got.columns == ["doc_id", "sig", "n_words", "hit_spans", "hit_items"]
 
 
+def test_rounds_are_jobs_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ROUND_BYTES", 60)
+    docs = spark.createDataFrame([(None, "sun moon tree one two"), (None, "sun moon tree"), (3, "tree cat"), (3, "tree cat dog"), (4, None)], "doc_id long, text string").withColumn("at", F.lit("clash")).withColumn("row", F.lit(1))
+    items = spark.createDataFrame([(k, w) for k, w in enumerate(["sun moon tree", "one two", "cat dog", "tree", "sun", "no such words at all", "tree", "filler words here", "and here as well"])], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, items)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and got.columns == ["doc_id", "text", "at", "row", "n_words", "hit_spans", "hit_items"]
+    rows = sorted(((r.doc_id or 0, r.n_words, [tuple(s) for s in r.hit_spans], r.hit_items, r["at"], r["row"]) for r in got.collect()), key=str)
+    assert rows == [
+        (0, 3, [(0, 3)], ["0", "3", "4", "6"], "clash", 1), (0, 5, [(0, 5)], ["0", "1", "3", "4", "6"], "clash", 1),
+        (3, 2, [(0, 1)], ["3", "6"], "clash", 1), (3, 3, [(0, 3)], ["2", "3", "6"], "clash", 1), (4, 0, [], [], "clash", 1),
+    ]
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = frame(spark, sample(3, 5))
