@@ -344,10 +344,36 @@ def _arrays(data: pa.StructArray, i: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return get("symbols", np.int32), get("per", np.int64), get("shapes", np.int8)
 
 
+#: Rows that are packed at a time.
+PACKED = 1 << 20
+
+
+def _packs(batches):
+    """One row for each block, of its places and their c and q, from many rows; several if there are more than ``PACKED`` rows."""
+
+    def packs(held):
+        block, *cols = [np.concatenate(x) for x in zip(*held)]
+        order = np.argsort(block, kind="stable")
+        block, cut = np.unique(block[order], return_index=True)
+        parts = [[x.tobytes() for x in np.split(col[order], cut[1:])] for col in cols]
+        return pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(x, pa.binary()) for x in parts)], ["block", "place", "c", "q"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(4)])
+            n += batch.num_rows
+        if n >= PACKED:
+            yield packs(held)
+            held, n = [], 0
+    if held:
+        yield packs(held)
+
+
 def _meet(coded: DataFrame, table: DataFrame) -> DataFrame:
-    """Each block behind (place, c, q) of those of its words that the table has."""
+    """Each block behind (place, c, q) of those of its words that the table has, packed by the tasks that have found them."""
     own = coded.select("block", F.posexplode("keys").alias("place", "key"))
-    found = own.join(table.select("key", "c", "q"), "key").select("block", "place", "c", "q")
+    found = own.join(table.select("key", "c", "q"), "key").select("block", "place", "c", "q").mapInArrow(_packs, "block long, place binary, c binary, q binary")
     rows = found.unionByName(coded.select("block", F.struct("ids", "per", "symbols", "shapes").alias("data")), allowMissingColumns=True)
     return rows.repartition("block").sortWithinPartitions("block", F.col("data").isNotNull())
 
@@ -357,16 +383,15 @@ def _met(batches):
     held = []
     for batch in batches:
         data = batch.column(4)
-        cols = [batch.column(1 + j).fill_null(0).to_numpy(zero_copy_only=False) for j in range(3)]
-        start = 0
-        for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
-            held.append([x[start:i] for x in cols])
-            place, *found = [np.concatenate(x) for x in zip(*held)]
+        for i in range(batch.num_rows):
+            if not data[i].is_valid:
+                held.append([np.frombuffer(batch.column(1 + j)[i].as_buffer(), np.int64) for j in range(3)])
+                continue
             c, q = np.zeros((2, len(data.field("shapes")[i].as_buffer())), np.int64)
-            c[place], q[place] = found
-            yield data, int(i), c, q
-            held, start = [], i + 1
-        held.append([x[start:] for x in cols])
+            for place, *found in held:
+                c[place], q[place] = found
+            yield data, i, c, q
+            held = []
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
