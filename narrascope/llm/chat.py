@@ -13,6 +13,7 @@ Defined cases: null texts and roles are empty ones; a message whose parent is mi
 of replies belong to no path; null tree ids are one tree; equal scores are ranked by the smaller leaf; null and NaN
 scores are 0; messages without a node take no part; of messages that repeat a node of a tree the least one by
 parent, role, text and score stands for all; further columns are left out, whatever their names.
+A path is one row in the end, of any length, since a formatted conversation is one text.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ hash of a repaired text has to see the text in order: of conversations that seve
 in one more pass, which holds no more than one batch of rows and the audit.
 
 Defined cases: rows are taken by turn, nulls first, then role and text; null roles and texts are one space, as ``damage``
-leaves them; null ids are one conversation; a role counts by its first character, an empty one by none; conversations whose
+leaves them; ids and turns are whole numbers; null ids are one conversation; a role counts by its first character, an empty one by none; conversations whose
 rows are all gone have zeros, an empty audit and the hash of an empty string; further columns, whatever their names,
 are left out.
 """

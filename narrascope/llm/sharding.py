@@ -6,7 +6,8 @@ are summed once for cells of many bits, so all splits that those bits decide are
 only rows of cells that are still too large are summed again by more bits.
 
 Defined cases: null texts count 0 bytes and are told from empty ones; a single row over the limit is a shard of its
-own; rows equal in id and text can't be told apart and stay in one shard; null ids hash as a text of their own.
+own; rows equal in id and text can't be told apart and stay in one shard; null ids hash as a text of their own; further columns
+are left out of the table of shards, whatever their names, and written by ``write_shards``, where a column named ``shard`` gives way to the shard's.
 """
 
 from __future__ import annotations
