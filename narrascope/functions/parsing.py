@@ -153,3 +153,8 @@ def entity_ids(claims: Column, prop: str) -> Column:
     snaks = F.from_json(claims, kind)[prop]
     kept = F.filter(snaks, lambda s: (s["mainsnak"]["snaktype"] != "novalue") & s["mainsnak"]["datavalue"]["value"]["id"].isNotNull())
     return F.transform(F.coalesce(kept, F.array().cast(f"array<struct<mainsnak:struct<snaktype:string,datavalue:struct<value:struct<id:string>>>>>")), lambda s: s["mainsnak"]["datavalue"]["value"]["id"])
+
+
+def has_type(claims: Column, types: tuple[str, ...], prop: str = "P31") -> Column:
+    """Whether an entity is an instance of one of several types: the union of one pattern for each."""
+    return F.arrays_overlap(entity_ids(claims, prop), F.array(*map(F.lit, types)))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.operators.ordering import numbered, numbered_within
+from narrascope.session import Scratch, share_code
 
 
 def vocabulary(tokens: DataFrame, token: str, least: int = 1, specials: tuple[str, ...] = ()) -> DataFrame:
@@ -29,16 +34,55 @@ def tf_idf(tokens: DataFrame, doc: str, token: str) -> DataFrame:
     return raw.join(size, doc).select(doc, token, (F.col("w") / F.col("size")).alias("weight"))
 
 
+#: Bytes of word vectors that are sent to all tasks; more are joined.
+MATRIX_BYTES = 64 << 20
+
+
 def mean_vectors(tokens: DataFrame, vectors: DataFrame, doc: str, token: str, dim: int) -> DataFrame:
-    """Mean vector of each document's known tokens; zeros without any."""
+    """Mean vector of each document's known tokens; zeros without any.
+
+    Documents gather the numbers of their known words; their sums are products with the matrix of vectors, if that is at
+    most ``MATRIX_BYTES``, else sums over joined vectors.
+    """
     counts = tokens.groupBy(doc, token).agg(F.count("*").alias("c"))
-    known = counts.join(vectors.select(F.col("word").alias(token), F.col("vec").cast("array<double>").alias("vec")), token)
-    # a sum for each component, so that no row is made for every component of every word
-    sums = known.groupBy(doc).agg(F.sum("c").alias("__n"), *[F.sum(F.col("c") * F.get("vec", F.lit(i))).alias(f"__{i}") for i in range(dim)])
-    rows = sums.select(doc, F.array(*[F.col(f"__{i}") / F.col("__n") for i in range(dim)]).alias("vec"))
+    held = Scratch(tokens.sparkSession, "means").save(vectors.select(F.col("word").alias(token), F.col("vec").cast("array<double>").alias("vec"), F.monotonically_increasing_id().alias("at")), "vectors")
+    if held.count() * dim * 8 <= MATRIX_BYTES:
+        known = counts.join(held.select(token, "at"), token)
+        rows = _matrix_means(known.groupBy(doc).agg(F.collect_list(F.struct("at", "c")).alias("w")), held, doc, dim)  # one text's words
+    else:
+        # a sum for each component, so that no row is made for every component of every word
+        sums = counts.join(held, token).groupBy(doc).agg(F.sum("c").alias("__n"), *[F.sum(F.col("c") * F.get("vec", F.lit(i))).alias(f"__{i}") for i in range(dim)])
+        rows = sums.select(doc, F.array(*[F.col(f"__{i}") / F.col("__n") for i in range(dim)]).alias("vec"))
     return counts.select(doc).distinct().join(rows, doc, "left").select(doc, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
+def _matrix_means(words: DataFrame, held: DataFrame, doc: str, dim: int) -> DataFrame:
+    spark = words.sparkSession
+    share_code(spark)
+    found = held.select("at", "vec").toPandas().sort_values("at")
+    matrix = np.stack(found["vec"].to_numpy()).astype(float) if len(found) else np.zeros((0, dim))
+    shared = spark.sparkContext.broadcast((found["at"].to_numpy(np.int64), matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, matrix = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            flat = lists.flatten()
+            places = np.searchsorted(at, flat.field("at").to_numpy())
+            c = flat.field("c").to_numpy()
+            first = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            out = np.empty((batch.num_rows, dim))
+            for k in range(batch.num_rows):
+                own = slice(first[k], first[k + 1])
+                out[k] = c[own] @ matrix[places[own]] / c[own].sum()
+            bounds = pa.array(np.arange(0, batch.num_rows + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))], [doc, "vec"])
+
+    return words.mapInArrow(run, f"`{doc}` {words.schema[doc].dataType.simpleString()}, vec array<double>")
+
+
 def best_match(pairs: DataFrame) -> DataFrame:
     """``(a_doc, b_doc, precision, recall, f1)`` from ``(a_doc, a_pos, b_doc, b_pos, sim)``: the best partner of every sentence on either side, averaged."""
     a = pairs.groupBy("a_doc", "b_doc", "a_pos").agg(F.max("sim").alias("m")).groupBy("a_doc", "b_doc").agg(F.avg("m").alias("precision"))

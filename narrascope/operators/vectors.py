@@ -6,27 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions.similarity import cosine
-from narrascope.operators.blocks import BLOCK, Above, Best, LabelSums, Relevant, grid
+from narrascope.operators.blocks import BLOCK, Above, Best, LabelSums, Measure, Relevant, grid
 from narrascope.session import Scratch
 
 
-def lookup_embeddings(rows: DataFrame, table: DataFrame, keys: dict[str, str], key: str = "text", vector: str = "embedding") -> DataFrame:
+def lookup_embeddings(rows: DataFrame, table: DataFrame, keys: dict[str, str], key: str = "text", vector: str = "embedding", order: str | None = None) -> DataFrame:
     """``rows`` with a vector for each key column: ``keys`` maps a key column to the name of its vector.
 
-    Left joins on a lookup that has one vector for each key, the last by order of the vectors where a key repeats.
-    The lookup may be of any size; Spark broadcasts it only if it is small.
+    Left joins on a lookup that has one vector for each key: of a key that repeats the last by the column ``order``, or without one the
+    largest.  The lookup may be of any size; Spark broadcasts it only if it is small.
     """
-    one = table.groupBy(F.col(key).alias("__key")).agg(F.max(vector).alias("__vector"))
+    last = F.max(vector) if order is None else F.max_by(vector, F.struct(F.col(order), F.col(vector)))
+    one = table.groupBy(F.col(key).alias("__key")).agg(last.alias("__vector"))
     for name, out in keys.items():
         rows = rows.join(one, F.col(name) == F.col("__key"), "left").withColumnRenamed("__vector", out).drop("__key")
     return rows
 
 
-def pair_scores(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vector: str = "embedding", top: int | None = None, least: float | None = None, exclude_self: bool = True, measure: str = "cosine", block: int = BLOCK, label: str | None = None) -> DataFrame:
+def pair_scores(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vector: str = "embedding", top: int | None = None, least: float | None = None, exclude_self: bool = True, measure: Measure = "cosine", block: int = BLOCK, label: str | None = None) -> DataFrame:
     """``(q, c, sim)`` of queries against candidates by block products, with the labels ``ql`` and ``cl`` if ``label`` names whole numbers.
 
     A cell of the grid hands on what is at least ``least``, and of that the ``top`` best for each query, so what leaves it is
-    bounded by the result and not by all pairs.  Zero vectors have no cosine and are in no pair.
+    bounded by the result and not by all pairs.  Zero vectors have no cosine and are in no pair.  ``measure`` is ``cosine``,
+    ``inner`` or a function of two arrays of vectors.
     """
     out = grid(queries, candidates, lambda: Best(top, least, measure, exclude_self), id_col, vector, label, block)
     out = out if label is not None else out.select("q", "c", "sim")

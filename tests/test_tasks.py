@@ -172,3 +172,18 @@ def test_nearest_rows_by_words(spark, block_bytes):
     hyps = spark.createDataFrame([(1, "x y", "neutral", 0), (2, "", "contradiction", 0), (3, "q", "Contradiction", 0), (4, "x y", "neutral", 1)], "pos long, hypothesis string, label string, part int")
     anchors = spark.createDataFrame([(7, "x y z", 0), (8, "none", 0), (9, "x", 1)], "anchor_id long, anchor string, part int")
     assert {(r.anchor_id, r.pos) for r in overlap.hard_negatives(anchors, hyps, "part").collect()} == {(7, 1), (8, 3), (9, 4)}
+
+
+def test_lookups_measures_and_types_of_the_callers_own(spark):
+    from narrascope.functions import parsing
+    from narrascope.operators import vectors
+
+    table = spark.createDataFrame([("a", [9.0], 1), ("a", [1.0], 2), ("b", [3.0], 1)], "text string, embedding array<double>, n int")
+    rows = spark.createDataFrame([("a",), ("c",)], "k string")
+    assert {r.k: r.v for r in vectors.lookup_embeddings(rows, table, {"k": "v"}, order="n").collect()} == {"a": [1.0], "c": None}
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(6)], "vec_id long, embedding array<double>")
+    near = vectors.search(df, df, 1, -100.0, measure=lambda x, y: -np.abs(x[:, None, 0] - y[None, :, 0] + 2))
+    assert {r.q: r.c for r in near.collect()} == {0: 2, 1: 3, 2: 4, 3: 5, 4: 5, 5: 4}
+    claim = lambda *ids: '{"P31":[' + ",".join(f'{{"mainsnak":{{"snaktype":"value","datavalue":{{"value":{{"id":"{i}"}}}}}}}}' for i in ids) + "]}"
+    got = spark.createDataFrame([(claim("Q1", "Q2"),), (claim("Q3"),), ("{}",)], "c string").select(parsing.has_type(F.col("c"), ("Q2", "Q7")).alias("t")).collect()
+    assert [r.t for r in got] == [True, False, False]
