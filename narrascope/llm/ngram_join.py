@@ -17,8 +17,9 @@ clusters.  A cluster is dealt into blocks of bounded size; each pair of blocks i
 whom, skips what is joined already, and hands on only links that join parts.
 
 The sketch of counts has a fixed size, so its noise grows with the corpus.  A pass over all documents therefore counts
-exactly how many prefixes each single signature stands in; crowded ones become frequent, which
-changes the prefixes of the documents that hold them only, so further passes read those only, until none is crowded.
+exactly how many prefixes each single signature stands in.  Crowded ones become frequent, which moves the prefixes of the documents
+that hold them on to other shingles, as crowded among copies as the first; so all rare shingles of those documents are counted, and crowded ones
+become frequent, too.
 
 A signature, or a set, that a large part of the documents shares meets its smallest document by a broadcast (``hot_join``).
 
@@ -48,8 +49,6 @@ FINE_BITS = 22
 #: Rare shingles that stand in this many prefixes are made frequent; shared by more than ``MANY`` documents they chain clusters.
 CROWDED = 8
 MANY = 64
-#: Passes that look for such shingles end when none is left, or after so many; then those that are left chain clusters.
-PASSES = 24
 #: Bins of a set's sketch, the summed sizes beyond which the share of equal bins is looked at, and the probability with
 #: which that test may fail a pair at the threshold.
 BINS = 256
@@ -89,6 +88,10 @@ class Signer:
         order = np.argsort(level, kind="stable")
         return u[order[: min(units(len(u), self.threshold), int(np.count_nonzero(level < FREQUENT_LEVEL)))]]
 
+    def rare(self, u: np.ndarray) -> np.ndarray:
+        """All rare entries."""
+        return u[self.level(u) < FREQUENT_LEVEL]
+
     def __call__(self, u: np.ndarray) -> list[tuple[np.ndarray, bool]]:
         """Signatures, and whether they are made of frequent entries."""
         n = len(u)
@@ -363,7 +366,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named_texts = texts.where("id is not null")
 
-    def rows(some: DataFrame, only_singles: bool):
+    def rows(some: DataFrame, kind: str):
+        """(sig, id, paired) of each text's signatures, its single ones (``singles``) or all its rare entries (``rare``)."""
         shared = spark.sparkContext.broadcast((coarse, fine))  # 5 MB, whatever the input
 
         def sign(batches):
@@ -373,7 +377,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 held: list = []
                 size = 0
                 for i, u in shingle_sets(batch.column(1), k):
-                    for s, paired in ((signer.singles(u), False),) if only_singles else signer(u):
+                    for s, paired in signer(u) if kind == "all" else ((getattr(signer, kind)(u), False),):
                         if len(s):
                             held.append((ids[i], s, paired))
                             size += len(s)
@@ -397,19 +401,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return named_texts.mapInArrow(keep, "id long, text string")
 
-    some = named_texts
-    for turn in range(PASSES):
-        crowded = rows(some, True).groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED)
-        crowded = work.save(crowded, f"crowded{turn}")
-        if crowded.isEmpty():
-            break
-        new = _crowded_cells(crowded)
-        if turn == 0:
-            some = work.save(holding(new), "crowding")
-        fine = np.maximum(fine, new)
-        work.release()
+    def crowded(some: DataFrame, kind: str) -> np.ndarray:
+        found = rows(some, kind).groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= CROWDED)
+        return _crowded_cells(work.save(found, f"crowded-{kind}"))
+
+    new = crowded(named_texts, "singles")
+    some = work.save(holding(new), "crowding")
+    fine = np.maximum(fine, new)
+    fine = np.maximum(fine, crowded(some, "rare"))
+    work.release()
     work.drop("crowding")
-    signed = work.save(rows(named_texts, False), "signed")
+    signed = work.save(rows(named_texts, "all"), "signed")
     shared_by = signed.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
     groups = _of_groups(signed, work.save(shared_by.select("sig", "c"), "shared"), ["sig"])
     whole = stats.where("n > 0 and id is not null")
