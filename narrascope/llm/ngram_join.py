@@ -18,8 +18,8 @@ whom, skips what is joined already, and hands on only links that join parts.
 
 The sketch of counts has a fixed size, so its noise grows with the corpus.  A pass over all documents therefore counts
 exactly how many prefixes each single signature stands in.  Crowded ones become frequent, which moves the prefixes of the documents
-that hold them on to other shingles, as crowded among copies as the first; so all rare shingles of those documents are counted, and crowded ones
-become frequent, too.
+that hold them on to other shingles, as crowded among copies as the first.  So of documents with many crowded ones all rare
+shingles are counted, and crowded ones become frequent, too.
 
 A signature, or a set, that a large part of the documents shares meets its smallest document by a broadcast (``hot_join``).
 
@@ -49,6 +49,8 @@ FINE_BITS = 22
 #: Rare shingles that stand in this many prefixes are made frequent; shared by more than ``MANY`` documents they chain clusters.
 CROWDED = 8
 MANY = 64
+#: The part of a prefix, one in so many, that is crowded where all shingles of a document are counted.
+COPIED = 4
 #: Bins of a set's sketch, the summed sizes beyond which the share of equal bins is looked at, and the probability with
 #: which that test may fail a pair at the threshold.
 BINS = 256
@@ -390,13 +392,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return some.mapInArrow(sign, "sig long, id long, paired boolean")
 
     def holding(new: np.ndarray) -> DataFrame:
-        """The texts whose prefixes hold a shingle in the new frequent cells."""
+        """The texts of whose prefixes one shingle in ``COPIED`` or more lies in the new frequent cells."""
         shared = spark.sparkContext.broadcast((coarse, fine, new))
 
         def keep(batches):
             old, cells = Signer(*shared.value[:2], threshold), shared.value[2]
             for batch in batches:
-                hit = [bool(cells[old.singles(u) >> U(64 - FINE_BITS)].any()) for _, u in shingle_sets(batch.column(1), k)]
+                prefixes = [old.singles(u) for _, u in shingle_sets(batch.column(1), k)]
+                hit = [len(x) > 0 and COPIED * np.count_nonzero(cells[x >> U(64 - FINE_BITS)]) >= len(x) for x in prefixes]
                 yield batch.filter(pa.array(hit, pa.bool_()))
 
         return named_texts.mapInArrow(keep, "id long, text string")
