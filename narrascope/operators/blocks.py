@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import io
 import math
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -32,6 +34,10 @@ HELD = 64
 #: Vectors that are drawn as pivots, and the number of vectors from which on they are.
 PIVOTS = 64
 MANY = 1 << 15
+#: Cells of a grid whose cells see all candidates, bytes of their similarities at a time, and bytes of candidates that stay out of files.
+CELLS = 48
+ROWS = 1 << 26
+SPOOL = 1 << 27
 
 
 @dataclass
@@ -49,12 +55,26 @@ class Block:
             middle = np.nansum(self.unit, axis=0)
             self.middle = middle / np.linalg.norm(middle)
         away = self.unit @ self.middle
-        self.radius = math.acos(max(-1.0, float(np.nanmin(away)))) if np.isfinite(away).any() else math.pi
+        self.radius = math.acos(min(1.0, max(-1.0, float(np.nanmin(away))))) if np.isfinite(away).any() else math.pi
+
+    @cached_property
+    def defined(self) -> np.ndarray:
+        """Rows that have a direction."""
+        return np.isfinite(self.unit).all(axis=1)
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        """Directions in single precision, zeros where there is none."""
+        return np.where(self.defined[:, None], self.unit, 0.0).astype(np.float32)
+
+    @cached_property
+    def names(self) -> np.ndarray:
+        return np.unique(self.labels)
 
     def nearest(self, other: Block) -> float:
         """No cosine between the two blocks is larger."""
         apart = math.acos(min(1.0, max(-1.0, float(self.middle @ other.middle)))) - self.radius - other.radius
-        return 1.0 if not apart > 0 else math.cos(apart) + 1e-9
+        return 1.0 if not apart > 0 else math.cos(apart) + 1e-7  # angles near 0 are exact to 1e-8 only
 
 
 #: ``cosine``, ``inner``, or a function of two arrays of vectors that gives their similarities, row by column.
@@ -72,6 +92,11 @@ def product(a: Block, b: Block, measure: Measure) -> np.ndarray:
 NEAR = 1e-12
 
 
+def coarse(a: Block, b: Block) -> tuple[np.ndarray, float]:
+    """Cosines in single precision and twice their largest error, by the rounding of a sum of that many products; 0 where not defined."""
+    return a.single @ b.single.T, (a.x.shape[1] + 4) * 2.0**-22
+
+
 def exact(a: Block, i: np.ndarray, b: Block, j: np.ndarray, measure: str = "cosine") -> np.ndarray:
     """Similarities of single pairs, which don't depend on the blocks around them."""
     return (a.unit[i] * b.unit[j]).sum(axis=1) if measure == "cosine" else (a.x[i] * b.x[j]).sum(axis=1)
@@ -98,9 +123,11 @@ class Fold:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in self.schema.split(", ")])
 
 
-def _groups(rows: DataFrame, n: int, most: int) -> tuple[DataFrame, int]:
-    """With the block ``b`` of each of ``n`` rows: of the nearest pivot, and by the hash of the id where a pivot has many rows."""
+def _groups(rows: DataFrame, n: int, most: int, by_label: bool) -> tuple[DataFrame, int]:
+    """With the block ``b`` of each of ``n`` rows: of the nearest pivot or the label, and by the hash of the id where these have many rows."""
     block = min(most, max(64, -(-n // 8)))
+    if by_label:
+        return _dealt(rows.withColumn("pivot", F.pmod(F.xxhash64("label"), F.lit(PIVOTS)).cast("int")), block)
     if n <= MANY:
         parts = max(1, -(-n // block))
         return rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts
@@ -113,22 +140,28 @@ def _groups(rows: DataFrame, n: int, most: int) -> tuple[DataFrame, int]:
         x = np.stack(v.to_numpy()).astype(float)
         return pd.Series(np.argmax(np.nan_to_num(x) @ pivots.T, axis=1).astype(np.int32))
 
-    rows = Scratch(rows.sparkSession, "grid").save(rows.withColumn("pivot", nearest("v")), "rows")
+    return _dealt(Scratch(rows.sparkSession, "grid").save(rows.withColumn("pivot", nearest("v")), "rows"), block)
+
+
+def _dealt(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """With the block ``b`` of each row of a ``pivot``."""
     sizes = {r.pivot: r["count"] for r in rows.groupBy("pivot").count().collect()}  # PIVOTS rows at most
     first, total = {}, 0
     for pivot in sorted(sizes):
         first[pivot] = (total, -(-sizes[pivot] // block))
         total += first[pivot][1]
+    if not sizes:
+        return rows.withColumn("b", F.lit(0)), 1
     at = F.create_map(*[F.lit(x) for pivot in first for x in (pivot, first[pivot][0])])
     parts = F.create_map(*[F.lit(x) for pivot in first for x in (pivot, first[pivot][1])])
     return rows.withColumn("b", at[F.col("pivot")] + F.pmod(F.xxhash64("id"), parts[F.col("pivot")]).cast("int")), total
 
 
-def packed(df: DataFrame, id_col: str, vector: str, label: str | Column | None, n: int, most: int, extra: list[str] = []) -> tuple[DataFrame, int]:  # noqa: B006
+def packed(df: DataFrame, id_col: str, vector: str, label: str | Column | None, n: int, most: int, extra: list[str] = [], by_label: bool = False) -> tuple[DataFrame, int]:  # noqa: B006
     """(b, data) of the blocks of ``n`` rows, and their number."""
     named = F.lit(0) if label is None else F.col(label) if isinstance(label, str) else label
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), named.cast("long").alias("label"), *extra)
-    rows, n = _groups(rows.where("v is not null and id is not null"), n, most)
+    rows, n = _groups(rows.where("v is not null and id is not null"), n, most, by_label)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
@@ -148,19 +181,20 @@ def _unpack(data: bytes) -> Block:
     return Block(found.pop("ids"), found.pop("x"), found.pop("labels"), found)
 
 
-def grid(queries: DataFrame, candidates: DataFrame, fold: Callable[[], Fold], id_col: str = "vec_id", vector: str = "embedding", label: str | Column | None = None, block: int = BLOCK, extra: list[str] = [], asked: int | None = None) -> DataFrame:  # noqa: B006
+def grid(queries: DataFrame, candidates: DataFrame, fold: Callable[[], Fold], id_col: str = "vec_id", vector: str = "embedding", label: str | Column | None = None, block: int = BLOCK, extra: list[str] = [], asked: int | None = None, by_label: bool = False, whole: bool = False) -> DataFrame:  # noqa: B006
     """The rows of a fold in every cell; a query has a row, or several, of each group of candidate blocks.
 
     Rows with null ids or vectors are left out; labels are whole numbers; ``extra`` are array columns of the queries,
-    and ``asked`` is their number if it is known.
+    and ``asked`` is their number if it is known.  With ``by_label`` the rows of a label share blocks.  With ``whole`` a cell
+    sees all candidates, block by block, so that a query has all its rows from one cell.
     """
     spark = queries.sparkSession
     share_code(spark)
     asked = queries.count() if asked is None else asked
-    left, n_left = packed(queries, id_col, vector, label, asked, block, extra)
-    right, n_right = packed(candidates, id_col, vector, label, asked if candidates is queries else candidates.count(), block)
-    held = min(HELD, math.ceil(math.sqrt(n_left)))
-    down, across = -(-n_left // held), min(n_right, math.ceil(math.sqrt(n_right)))
+    left, n_left = packed(queries, id_col, vector, label, asked, block, extra, by_label)
+    right, n_right = packed(candidates, id_col, vector, label, asked if candidates is queries else candidates.count(), block, [], by_label)
+    held = min(HELD, -(-n_left // CELLS) if whole else math.ceil(math.sqrt(n_left)))
+    down, across = -(-n_left // held), 1 if whole else min(n_right, math.ceil(math.sqrt(n_right)))
     row, column = F.floor(F.col("b") / held).cast("int"), F.pmod("b", F.lit(across))
     own = F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda k: row * across + k)
     others = F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda k: k * across + column)
@@ -208,17 +242,8 @@ class Best(Fold):
                 self.skipped += 1
                 continue
             self.made += 1
-            s = product(a, block, self.measure)
-            bad = np.isnan(s)
-            if self.exclude_self:
-                bad |= a.ids[:, None] == block.ids
-            margin = NEAR * max(1.0, float(np.abs(s[~bad]).max(initial=0.0)))
-            s = np.where(bad, -np.inf, s)
-            keep = (s + margin >= self.cut[k][:, None]) & ~bad
-            if self.top is not None and self.top < s.shape[1]:
-                keep &= s + 2 * margin >= -np.partition(-s, self.top - 1, axis=1)[:, self.top - 1 : self.top]
-            i, j = np.nonzero(keep)
-            s = s[i, j] if callable(self.measure) else exact(a, i, block, j, self.measure)
+            i, j = self._near(k, a, block)
+            s = product(a, block, self.measure)[i, j] if callable(self.measure) else exact(a, i, block, j, self.measure)
             if self.least is not None:
                 i, j, s = i[s >= self.least], j[s >= self.least], s[s >= self.least]
             found = (i, block.ids[j], s, block.labels[j])
@@ -230,6 +255,33 @@ class Best(Fold):
                 if self.waiting[k] > 4 * self.top * len(a.ids):
                     self._settle(k)
 
+    def _near(self, k: int, a: Block, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be among the best, by products that are made for all."""
+        if self.measure == "cosine":
+            s, margin = coarse(a, block)
+            bad = np.zeros(0, bool) if a.defined.all() and block.defined.all() else ~(a.defined[:, None] & block.defined)
+        else:
+            s = product(a, block, self.measure)
+            bad = np.isnan(s)
+            margin = 2 * NEAR * max(1.0, float(np.abs(s[~bad]).max(initial=0.0)))
+        if self.exclude_self and np.isin(a.ids, block.ids).any():
+            bad = (bad if bad.size else False) | (a.ids[:, None] == block.ids)
+        if bad.any():
+            s = np.where(bad, s.dtype.type(-np.inf), s)
+        cut = self.cut[k] - margin
+        some = np.isinf(cut) if self.least is None else self._loose(k)
+        if self.top is not None and self.top < s.shape[1] and some.any():
+            cut[some] = np.maximum(cut[some], -np.partition(-s[some], self.top - 1, axis=1)[:, self.top - 1] - 2 * margin)
+        # a bound is rounded down to the precision of the products
+        i, j = np.nonzero(s >= np.nextafter(cut.astype(s.dtype), s.dtype.type(-np.inf))[:, None])
+        if bad.any():
+            i, j = i[~bad[i, j]], j[~bad[i, j]]
+        return i, j
+
+    def _loose(self, k: int) -> np.ndarray:
+        """Queries whose bound is still the least that is asked for."""
+        return self.cut[k] <= self.least
+
     def _settle(self, k: int) -> None:
         """Keep each query's best and raise its bound to the last of them."""
         if not self.kept[k]:
@@ -283,37 +335,221 @@ class LabelSums(Fold):
                 yield self.batch(a.ids[some], a.labels[some], np.full(len(some), name, np.int64), total[some], n[some].astype(np.int64))
 
 
+class BestPairs(Fold):
+    """``(q, c, sim)``: the ``top`` best pairs of a cell with q < c, ties to the smaller ids."""
+
+    schema = "q long, c long, sim double"
+
+    def __init__(self, top: int):
+        self.top, self.cut = top, -np.inf
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, block: Block) -> Iterator[pa.RecordBatch]:
+        for a in self.held:
+            if a.ids.min() >= block.ids.max() or a.nearest(block) < self.cut:
+                continue
+            s, margin = coarse(a, block)
+            ok = a.defined[:, None] & block.defined & (a.ids[:, None] < block.ids) if a.ids.max() >= block.ids.min() or not (a.defined.all() and block.defined.all()) else None
+            if ok is not None:
+                s = np.where(ok, s, np.float32(-np.inf))
+            cut = self.cut
+            if np.isinf(cut) and self.top < s.size:
+                cut = float(-np.partition(-s, self.top - 1, axis=None)[self.top - 1]) - margin
+            i, j = np.nonzero(s >= np.nextafter(np.float32(cut - margin), np.float32(-np.inf)))
+            if ok is not None:
+                i, j = i[ok[i, j]], j[ok[i, j]]
+            for at in range(0, len(i), SPOOL >> 12):
+                self._merge(a, i[at : at + (SPOOL >> 12)], block, j[at : at + (SPOOL >> 12)])
+        yield from ()
+
+    def _merge(self, a: Block, i: np.ndarray, block: Block, j: np.ndarray) -> None:
+        q, c, s = (np.concatenate(x) for x in zip(self.found, (a.ids[i], block.ids[j], exact(a, i, block, j))))
+        order = np.lexsort((c, q, -s))[: self.top]
+        self.found = q[order], c[order], s[order]
+        if len(order) == self.top:
+            self.cut = float(self.found[2][-1])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield self.batch(*self.found)
+
+
+class BestOfLabel(Fold):
+    """``(q, c, sim)``: each query's best candidate of its own label, with ``earlier`` of those with a smaller id only."""
+
+    schema = "q long, c long, sim double"
+
+    def __init__(self, exclude_self: bool, earlier: bool = False):
+        self.exclude_self, self.earlier = exclude_self, earlier
+
+    def start(self, held: list[Block]) -> None:
+        self.held = held
+        self.best = [(np.full(len(a.ids), -np.inf), np.full(len(a.ids), -1, np.int64)) for a in held]
+
+    def add(self, block: Block) -> Iterator[pa.RecordBatch]:
+        for a, (sims, cs) in zip(self.held, self.best):
+            if not np.isin(a.names, block.names).any() or (self.earlier and a.ids.max() <= block.ids.min()):
+                continue
+            ok = a.labels[:, None] == block.labels
+            if not (a.defined.all() and block.defined.all()):
+                ok &= a.defined[:, None] & block.defined
+            if self.earlier:
+                ok &= block.ids < a.ids[:, None]
+            elif self.exclude_self and np.isin(a.ids, block.ids).any():
+                ok &= a.ids[:, None] != block.ids
+            if ok.mean() > 0.05:
+                s, margin = coarse(a, block)
+                s = np.where(ok, s, np.float32(-np.inf))
+                ok &= s >= np.nextafter((np.maximum(s.max(axis=1), sims) - 2 * margin).astype(np.float32), np.float32(-np.inf))[:, None]
+            i, j = np.nonzero(ok)
+            s, c = exact(a, i, block, j), block.ids[j]
+            order = np.lexsort((c, -s, i))
+            i, c, s = i[order], c[order], s[order]
+            head = np.diff(i, prepend=-1) > 0
+            i, c, s = i[head], c[head], s[head]
+            better = (s > sims[i]) | ((s == sims[i]) & (c < cs[i]))
+            sims[i[better]], cs[i[better]] = s[better], c[better]
+        yield from ()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for a, (sims, cs) in zip(self.held, self.best):
+            some = np.flatnonzero(sims > -np.inf)
+            yield self.batch(a.ids[some], cs[some], sims[some])
+
+
+class RankMetrics(Fold):
+    """``(q, r, ap, ndcg, within, first_hit, hits)``: what the ranks of a query's candidates of its own label come to.
+
+    ``within`` counts those among the first r, ``hits`` those among the first k for each of ``ks``.  For cells that see all candidates:
+    these wait in a file if they are many, and of the queries as many are ranked at a time as ``ROWS`` bytes of similarities allow.
+    The similarities of a query are sorted with their relevance as last bit; what is as near as products are exact is put in
+    order by exact ones.
+    """
+
+    schema = "q long, r long, ap double, ndcg double, within long, first_hit long, hits array<long>"
+
+    def __init__(self, ks: tuple[int, ...], exclude_self: bool):
+        self.ks, self.exclude_self = ks, exclude_self
+
+    def start(self, held: list[Block]) -> None:
+        self.held = held
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL)
+        self.ids, self.labels, self.starts = [], [], [0]
+
+    def add(self, block: Block) -> Iterator[pa.RecordBatch]:
+        self.file.write(np.ascontiguousarray(block.unit).tobytes())
+        self.ids.append(block.ids)
+        self.labels.append(block.labels)
+        self.starts.append(self.starts[-1] + len(block.ids))
+        yield from ()
+
+    def _unit(self, b: int, width: int) -> np.ndarray:
+        self.file.seek(self.starts[b] * width * 8)
+        n = self.starts[b + 1] - self.starts[b]
+        return np.frombuffer(self.file.read(n * width * 8)).reshape(n, width)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.ids, self.labels, self.starts = np.concatenate(self.ids), np.concatenate(self.labels), np.array(self.starts)
+        discount = 1 / np.log2(np.arange(2.0, len(self.ids) + 2))
+        ideal = np.cumsum(discount)
+        step = max(1, ROWS // (8 * len(self.ids)))
+        room = np.empty((step, len(self.ids)))
+        with self.file:
+            for a in self.held:
+                for at in range(0, len(a.ids), step):
+                    to = min(len(a.ids), at + step)
+                    yield from self._ranked(a, at, to, room[: to - at], discount, ideal)
+
+    def _ranked(self, a: Block, at: int, to: int, far: np.ndarray, discount: np.ndarray, ideal: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for b in range(len(self.starts) - 1):
+            np.matmul(-a.unit[at:to], self._unit(b, a.x.shape[1]).T, out=far[:, self.starts[b] : self.starts[b + 1]])
+        out = []
+        for i, row in zip(range(at, to), far):
+            if np.isnan(row.sum()):
+                row[np.isnan(row)] = np.inf
+            if self.exclude_self:
+                row[self.ids == a.ids[i]] = np.inf
+            rel = (self.labels == a.labels[i]) & (row < np.inf)
+            if not rel.any():
+                continue
+            bits = row.view(np.int64)
+            bits &= -2
+            bits |= rel
+            own = np.sort(row)
+            flags = (own.view(np.int64) & 1).astype(bool)
+            pos = self._settled(a, i, row, rel, own, flags)
+            r, gain = len(pos), discount[pos].sum()
+            ap = (np.arange(1.0, r + 1) / (pos + 1)).sum() / r
+            out.append((a.ids[i], r, ap, gain / ideal[r - 1], np.searchsorted(pos, r), pos[0] + 1, np.searchsorted(pos, self.ks).tolist()))
+        if out:
+            *columns, hits = zip(*out)
+            yield self.batch(*[np.array(c) for c in columns], pa.array(hits, pa.list_(pa.int64())))
+
+    def _settled(self, a: Block, i: int, row: np.ndarray, rel: np.ndarray, own: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """The places of relevant candidates, with those right that are as near to others as products are exact."""
+        pos = np.flatnonzero(flags)
+        before, after = np.maximum(pos - 1, 0), np.minimum(pos + 1, len(own) - 1)
+        mixed = pos[(~flags[before] & (own[pos] - own[before] <= 2 * NEAR)) | (~flags[after] & (own[after] - own[pos] <= 2 * NEAR))]
+        if not len(mixed):
+            return pos
+        own = np.minimum(own, 4.0)  # of those without a cosine
+        # runs of neighbours, from the first to behind the last
+        breaks = np.flatnonzero(np.diff(own) > 2 * NEAR) + 1 if len(mixed) > 8 else None
+        runs, upto = [], 0
+        for m in mixed.tolist():
+            if m < upto:
+                continue
+            if breaks is None:
+                lo = hi = m
+                while lo > 0 and own[lo] - own[lo - 1] <= 2 * NEAR:
+                    lo -= 1
+                while hi + 1 < len(own) and own[hi + 1] - own[hi] <= 2 * NEAR:
+                    hi += 1
+                hi += 1
+            else:
+                k = np.searchsorted(breaks, m, "right")
+                lo, hi = breaks[k - 1] if k else 0, breaks[k] if k < len(breaks) else len(own)
+            runs.append((int(lo), int(hi)))
+            upto = hi
+        order = np.argsort(row, kind="stable") if len(runs) > 8 else None
+        members = [np.flatnonzero((row >= own[lo]) & (row <= own[hi - 1])) if order is None else order[lo:hi] for lo, hi in runs]
+        sims = self._exact(a, i, np.concatenate(members))
+        for (lo, hi), near in zip(runs, members):
+            own_sims, sims = sims[: len(near)], sims[len(near) :]
+            flags[lo:hi] = rel[near[np.lexsort((self.ids[near], -own_sims))]]
+        return np.flatnonzero(flags)
+
+    def _exact(self, a: Block, i: int, who: np.ndarray) -> np.ndarray:
+        """Similarities of query ``i`` to single candidates."""
+        out, block = np.empty(len(who)), np.searchsorted(self.starts, who, "right") - 1
+        order = np.argsort(block, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(who))
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            b, some = block[order[lo]], order[lo:hi]
+            out[some] = (a.unit[i] * self._unit(b, a.x.shape[1])[who[some] - self.starts[b]]).sum(axis=1)
+        return out
+
+
 class Relevant(Fold):
-    """``(q, cs, sims)``: each query's candidates of its own label, or the best of them only."""
+    """``(q, cs, sims)``: each query's candidates of its own label."""
 
     schema = "q long, cs array<long>, sims array<double>"
 
-    def __init__(self, first: bool, exclude_self: bool):
-        self.first, self.exclude_self = first, exclude_self
+    def __init__(self, exclude_self: bool):
+        self.exclude_self = exclude_self
 
     def start(self, held: list[Block]) -> None:
         self.held, self.found = held, [[] for _ in held]
 
     def add(self, block: Block) -> Iterator[pa.RecordBatch]:
         for a, found in zip(self.held, self.found):
-            s = product(a, block, "cosine")
-            ok = (a.labels[:, None] == block.labels) & ~np.isnan(s)
+            ok = (a.labels[:, None] == block.labels) & a.defined[:, None] & block.defined
             if self.exclude_self:
                 ok &= a.ids[:, None] != block.ids
             i, j = np.nonzero(ok)
             if len(i):
                 found.append((i, block.ids[j], exact(a, i, block, j)))
-                if self.first:
-                    found[:] = [self._best(found)]
         yield from ()
 
-    def _best(self, found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        i, c, s = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((c, -s, i))
-        i, c, s = i[order], c[order], s[order]
-        head = np.diff(i, prepend=-1) > 0
-        return i[head], c[head], s[head]
-
     def rows(self) -> Iterator[pa.RecordBatch]:
         for a, found in zip(self.held, self.found):
             if not found:
@@ -340,6 +576,11 @@ class Above(Fold):
 
     def add(self, block: Block) -> Iterator[pa.RecordBatch]:
         for a, counts in zip(self.held, self.counts):
+            if not len(counts) or a.nearest(block) < a.extra["sims"].min():
+                continue
+            if (a.extra["cs_n"] == 1).all():
+                self._count_one(a, block, counts)
+                continue
             s = product(a, block, "cosine")
             bad = np.isnan(s)
             if self.exclude_self:
@@ -358,6 +599,23 @@ class Above(Fold):
                     counts[lo + t] += ((sims > -least[t]) | ((sims == -least[t]) & (block.ids[near] < c[t]))).sum()
         yield from ()
 
+    def _count_one(self, a: Block, block: Block, counts: np.ndarray) -> None:
+        """Of queries with one candidate each: comparisons do for those that are clearly above it or below."""
+        least, c = a.extra["sims"], a.extra["cs"]
+        s, margin = coarse(a, block)
+        if not block.defined.all():
+            s[:, ~block.defined] = -np.inf
+        if self.exclude_self and np.isin(a.ids, block.ids).any():
+            s[a.ids[:, None] == block.ids] = -np.inf
+        low, high = (least - margin).astype(np.float32)[:, None], (least + margin).astype(np.float32)[:, None]
+        above = np.count_nonzero(s > high, axis=1)
+        counts += above
+        close = np.flatnonzero(np.count_nonzero(s >= low, axis=1) > above)
+        i, j = np.nonzero((s[close] >= low[close]) & (s[close] <= high[close]))
+        i = close[i]
+        sims = exact(a, i, block, j)
+        counts += np.bincount(i[(sims > least[i]) | ((sims == least[i]) & (block.ids[j] < c[i]))], minlength=len(counts))
+
     def rows(self) -> Iterator[pa.RecordBatch]:
         for a, counts in zip(self.held, self.counts):
             ends = pa.array(np.append(0, np.cumsum(a.extra["cs_n"])).astype(np.int32))

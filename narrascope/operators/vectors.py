@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions.similarity import cosine
-from narrascope.operators.blocks import BLOCK, Above, Best, LabelSums, Measure, Relevant, grid
+from narrascope.operators.blocks import BLOCK, Above, Best, BestOfLabel, BestPairs, LabelSums, Measure, RankMetrics, Relevant, grid
 from narrascope.session import Scratch
 
 
@@ -52,16 +52,19 @@ def relevant_ranks(queries: DataFrame, candidates: DataFrame, label: str | Colum
     of the best of them only.  Queries without such a candidate have no ranks (null).
 
     Similarities of relevant candidates go to the blocks as thresholds, and a cell counts how many others are above each, so
-    what leaves it are relevant pairs.  Ties go to the smaller id.
+    what leaves it are relevant pairs.  Ties go to the smaller id.  Of many relevant candidates, where only measures of the ranks are
+    wanted, ``rank_metrics`` hands on these.
     """
     spark = queries.sparkSession
     work = Scratch(spark, "ranks")
-    known = grid(queries, candidates, lambda: Relevant(first, exclude_self), id_col, vector, label, block)
-    # of one query's relevant candidates only
-    found = known.groupBy("q").agg(F.flatten(F.collect_list(F.arrays_zip("cs", "sims"))).alias("z"))
     if first:
-        found = found.withColumn("z", F.array(F.array_min(F.transform("z", lambda x: F.struct((-x["sims"]).alias("s"), x["cs"].alias("cs"), x["sims"].alias("sims"))))))
-    found = work.save(found.select("q", F.col("z.cs").alias("cs"), F.col("z.sims").alias("sims")), "relevant")
+        best = best_of_label(queries, candidates, label, exclude_self, False, id_col, vector, block)
+        found = work.save(best.select("q", F.array("c").alias("cs"), F.array("sim").alias("sims")), "relevant")
+    else:
+        known = grid(queries, candidates, lambda: Relevant(exclude_self), id_col, vector, label, block)
+        # of one query's relevant candidates only
+        z = known.groupBy("q").agg(F.flatten(F.collect_list(F.arrays_zip("cs", "sims"))).alias("z"))
+        found = work.save(z.select("q", F.col("z.cs").alias("cs"), F.col("z.sims").alias("sims")), "relevant")
     asked = queries.select(F.col(id_col).cast("long").alias("__id"), F.col(vector).alias("__v")).join(found, F.col("__id") == F.col("q"))
     ask = asked.select(F.col("__id").alias(id_col), F.col("__v").alias(vector), F.lit(0).alias("__label"), "cs", "sims")
     above = grid(ask, candidates.select(F.col(id_col), F.col(vector), F.lit(0).alias("__label")), lambda: Above(exclude_self), id_col, vector, "__label", block, ["cs", "sims"], found.count())
@@ -73,6 +76,34 @@ def relevant_ranks(queries: DataFrame, candidates: DataFrame, label: str | Colum
     return queries.select(F.col(id_col).cast("long").alias("q")).join(ranks, "q", "left")
 
 
+def best_of_label(queries: DataFrame, candidates: DataFrame, label: str | Column = "label", exclude_self: bool = True, earlier: bool = False, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``(q, c, sim)``: each query's best candidate of its own label, with ``earlier`` of those with a smaller id; ties to the smaller id.
+
+    Rows of a label share blocks, and blocks without a label in common are not multiplied.
+    """
+    parts = grid(queries, candidates, lambda: BestOfLabel(exclude_self, earlier), id_col, vector, label, block, by_label=True)
+    best = parts.groupBy("q").agg(F.min(F.struct((-F.col("sim")).alias("s"), "c", "sim")).alias("b"))
+    return best.select("q", "b.c", "b.sim")
+
+
+def rank_metrics(queries: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = (1, 5, 10), label: str | Column = "label", exclude_self: bool = True, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """The metrics of ``retrieval.per_query_ranks`` for each query with a candidate of its label, by cosine, ties to the smaller id.
+
+    A cell sees all candidates of its queries and hands on one row for each of them, never the pairs or their ranks.
+    """
+    rows = grid(queries, candidates, lambda: RankMetrics(ks, exclude_self), id_col, vector, label, block, whole=True)
+    return rows.select(
+        "q", "ap", "ndcg", (F.col("within") / F.col("r")).alias("r_precision"), F.col("first_hit").cast("int").alias("first_hit"), "r",
+        *[(F.get("hits", F.lit(n)) / F.lit(float(k))).alias(f"p_at_{k}") for n, k in enumerate(ks)],
+    )
+
+
+def best_pairs(rows: DataFrame, top: int, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``(q, c, sim)``: the ``top`` pairs q < c of the largest cosine, ties to the smaller ids; a cell hands on as many at most."""
+    parts = grid(rows, rows, lambda: BestPairs(top), id_col, vector, None, block)
+    return parts.orderBy(F.desc("sim"), "q", "c").limit(top)
+
+
 def search(queries: DataFrame, index: DataFrame, top: int = 5, threshold: float = 0.6, **names) -> DataFrame:
     """``(q, c, sim, rank)``: the best ``top`` index entries of at least the threshold for each query."""
     found = pair_scores(queries, index, top=top, least=threshold, **names)

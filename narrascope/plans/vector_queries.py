@@ -27,7 +27,7 @@ def nearest(spark, d):
 def per_query(spark, d, ks=(1, 5, 10)):
     """Metrics of each vector as a query for those of its label."""
     e = table(spark, d, "embeddings")
-    return retrieval.per_query_ranks(vectors.relevant_ranks(e, e), ks)
+    return vectors.rank_metrics(e, e, ks)
 
 
 def first_ranks(spark, d):
@@ -187,8 +187,7 @@ def _(spark, d):
 @query("top20_pairs", f"WITH {PAIRS} SELECT q, c, round(sim, 6) AS sim FROM (SELECT q, c, sim FROM pairs WHERE q < c ORDER BY sim DESC, q, c LIMIT 20)")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    best = vectors.pair_scores(e, e, top=20).where("q < c").orderBy(F.desc("sim"), "q", "c").limit(20)
-    return best.select("q", "c", r6("sim").alias("sim"))
+    return vectors.best_pairs(e, 20).select("q", "c", r6("sim").alias("sim"))
 
 
 _STS = """sts AS (SELECT a.label AS dataset, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim,

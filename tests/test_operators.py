@@ -334,6 +334,71 @@ def test_blocks_on_a_grid_equal_all_pairs(spark, monkeypatch):
         assert abs(loss[i] - (np.log(np.exp(z + h).sum()) - own)) < 1e-9
 
 
+def tied_vectors(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(300, 4))
+    x[20:60], x[60:70], x[40] = x[0], 2 * x[1], 0.0  # ties, of one label and of several, and a zero vector
+    label = rnd.integers(0, 5, 300)
+    rows = [(i, x[i].tolist(), int(label[i])) for i in range(300)] + [(400, None, 1), (401, [1.0, 0.0, 0.0, 0.0], 77), (402, [0.0, 1.0, 0.0, 0.0], None)]
+    return x, label, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
+def test_metrics_of_ranks_leave_their_cells_as_one_row_a_query(spark, monkeypatch):
+    import numpy as np
+
+    from narrascope.operators import blocks
+
+    x, label, df = tied_vectors(spark)
+    want = {r.q: r for r in retrieval.per_query_ranks(vectors.relevant_ranks(df, df, block=32), (1, 5)).collect()}
+    got = vectors.rank_metrics(df, df, (1, 5), block=32).collect()
+    assert len(got) == len(want) == 299
+    for r in got:
+        for c in ("ap", "ndcg", "r_precision", "first_hit", "r", "p_at_1", "p_at_5"):
+            assert abs(r[c] - want[r.q][c]) < 1e-12, (r, want[r.q])
+    # candidates in a file, few queries at a time
+    monkeypatch.setattr(blocks, "SPOOL", 1 << 10)
+    monkeypatch.setattr(blocks, "ROWS", 1 << 13)
+    fold = blocks.RankMetrics((1, 5), True)
+    made = [blocks.Block(np.arange(k, k + 50), x[k : k + 50], label[k : k + 50], {}) for k in range(0, 300, 50)]
+    fold.start(made[:2])
+    for b in made:
+        list(fold.add(b))
+    rows = [r for batch in fold.rows() for r in batch.to_pylist()]
+    assert {r["q"] for r in rows} == set(range(100)) - {40}
+    assert all(r["r"] == (label == label[r["q"]]).sum() - 1 - (label[40] == label[r["q"]]) for r in rows)
+    near = {r.q: r for r in vectors.rank_metrics(df.where("vec_id < 300"), df.where("vec_id < 300"), (1, 5), block=32).collect()}
+    for r in rows:
+        assert abs(r["ap"] - near[r["q"]].ap) < 1e-12 and r["hits"] == [near[r["q"]].p_at_1, 5 * near[r["q"]].p_at_5]
+
+
+def test_blocks_of_a_label_and_best_pairs(spark):
+    import numpy as np
+
+    from narrascope.operators import blocks
+
+    x, label, df = tied_vectors(spark)
+    with np.errstate(invalid="ignore"):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = (u[:, None] * u).sum(axis=2).tolist()
+    for earlier in (False, True):
+        got = {r.q: r.c for r in vectors.best_of_label(df, df, earlier=earlier, block=16).collect()}
+        some = {i: [j for j in range(300) if label[j] == label[i] and j != i and j != 40 and (j < i or not earlier)] for i in range(300) if i != 40}
+        assert got == {i: min(c, key=lambda j: (-sim[i][j], j)) for i, c in some.items() if c}
+    order = sorted((-sim[i][j], i, j) for i in range(300) for j in range(i + 1, 300) if 40 not in (i, j))
+    for top in (20, 1000):
+        got = vectors.best_pairs(df.where("vec_id < 300"), top, block=32).collect()
+        assert [(r.q, r.c) for r in got] == [(i, j) for _, i, j in order[:top]]
+    # what a cell hands on doesn't grow with its vectors
+    made = [blocks.Block(np.arange(k, k + 50), x[k : k + 50], label[k : k + 50], {}) for k in range(100, 300, 50)]
+    fold = blocks.BestPairs(7)
+    fold.start(made)
+    for b in made:
+        list(fold.add(b))
+    assert sum(batch.num_rows for batch in fold.rows()) == 7
+
+
 def test_narrow_blocks_are_passed_over(spark, monkeypatch):
     import numpy as np
 
