@@ -127,8 +127,9 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "embeddings")
     items = e.select(F.col("label").alias("group"), F.col("vec_id").alias("item"))
-    pairs = vectors.pair_scores(e, e, least=0.3).where("q < c").join(e.select(F.col("vec_id").alias("q"), F.col("label").alias("group")), "q").join(e.select(F.col("vec_id").alias("c"), F.col("label").alias("other")), "c").where("group = other")
-    return corpus.keep_first(items, pairs.select("group", F.col("q").alias("a"), F.col("c").alias("b"), "sim"), 0.3)
+    # of each item the best of all that stand before it in its group is enough
+    best = vectors.best_of_label(e, e, "label", earlier=True).join(items, F.col("q") == F.col("item"))
+    return corpus.keep_first(items, best.select("group", F.col("c").alias("a"), F.col("q").alias("b"), "sim"), 0.3)
 
 
 @query("inverse_cdf_draw", "WITH w AS (SELECT lang AS g, source AS item, sum(n_chars) AS w FROM documents GROUP BY 1, 2), c AS (SELECT g, item, CAST(sum(w) OVER (PARTITION BY g ORDER BY item) AS DOUBLE) / sum(w) OVER (PARTITION BY g) AS f FROM w), d AS (SELECT g, draw, (draw * 2 + 1) / 40.0 AS u FROM (SELECT DISTINCT lang AS g FROM documents), range(0, 20) r(draw)) SELECT d.g, d.draw, min_by(item, f) AS item FROM d JOIN c ON c.g = d.g AND c.f >= d.u GROUP BY d.g, d.draw")
