@@ -5,23 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrascope.session import share_code
-
-
-#: Bytes of an Arrow batch between the JVM and Python.
-BATCH_BYTES = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches, which otherwise hold up to 10,000 rows or 64 MB on either side, several at a time."""
-    share_code(spark)
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+from narrascope.session import BATCH_BYTES, bound_batches  # noqa: F401
 
 
 def map_texts(df: DataFrame, text_col: str, keep: list[str] | None, fields: list[T.StructField], fn: Callable[[pa.Array], Iterator[list[pa.Array]] | list[pa.Array]]) -> DataFrame:

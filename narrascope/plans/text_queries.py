@@ -158,7 +158,7 @@ def triplet_metrics(spark, d):
     t = text_triplets(spark, d)
     gold, a, b = F.col("text_a_is_closer"), F.col("text_a"), F.col("text_b")
     rows = t.select("i", "anchor_text", F.when(gold, a).otherwise(b).alias("closer"), F.when(gold, b).otherwise(a).alias("farther"))
-    return overlap.pair_metrics(overlap.to_pairs(rows, ["i"]), ["i", "pair"])
+    return overlap.pair_metrics(overlap.to_pairs(rows, ["i"]), ["i", "pair"], unique=overlap.unrepeated(t, ["i"]))
 
 
 @query("overlap_pair_metrics", f"WITH {_METRICS} SELECT i, pair, " + ", ".join(f'round(CAST("{m}" AS DOUBLE), 6) AS "{m}"' for m in overlap.METRICS) + " FROM met")

@@ -78,6 +78,19 @@ def test_rouge_counts_multisets(spark):
     assert out[2].rouge_1_f1 == 0.0 and out[3].rouge_1_f1 == 1.0 and out[3].rouge_2_f1 == 0.0 and out[4].anchor_overlap == 0.0
 
 
+def test_pairs_are_counted_in_their_rows(spark):
+    rows = [(1, "a b a b c d", "a b c a b"), (2, None, "x"), (3, "Don't don't x", "x don't X"), (4, "a", "a")]
+    schema = "k int, anchor string, candidate string"
+    once = spark.createDataFrame(rows, schema)
+    out = overlap.pair_metrics(once, ["k"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {r.k: r for r in overlap.pair_metrics(once, ["k"], unique=False).collect()}
+    assert {r.k: r for r in out.collect()} == want and want[1].rouge_2_f1 == pytest.approx(6 / 9) and want[3].rouge_1_f1 == pytest.approx(4 / 6)
+    # pairs of one key count as one for ROUGE, as in SQL
+    twice = overlap.pair_metrics(spark.createDataFrame([*rows, (4, "b", "c")], schema), ["k"]).where("k = 4").collect()
+    assert [r.rouge_1_f1 for r in twice] == [0.5, 0.5] and sorted(r.jaccard for r in twice) == [0.0, 1.0]
+
+
 def test_first_of_equal_hard_negatives(spark):
     anchors = spark.createDataFrame([(1, "a b", 7), (2, "a b", 8)], "anchor_id int, anchor string, k int")
     rows = [(0, "", "neutral", 7), (1, "a", "neutral", 7), (2, "b", "neutral", 7), (0, "a", "neutral", 8), (1, "b", "CONTRADICTION", 8)]
