@@ -137,12 +137,12 @@ def annotate(load: Callable[[], Annotator], c: Column, batch: int = 64) -> Colum
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for column in parts:
-            texts = [t or "" for t in column.to_pylist()]
-            out = []
-            for k in range(0, len(texts), batch):
-                some = texts[k : k + batch]
-                out.extend(map(spans, some, model(some)))
-            yield pa.array(out, _SPANS)
+            # spans of a few texts at a time are Python objects
+            out = [pa.array([], _SPANS)]
+            for k in range(0, len(column), batch):
+                some = [t or "" for t in column.slice(k, batch).to_pylist()]
+                out.append(pa.array(list(map(spans, some, model(some))), _SPANS))
+            yield pa.concat_arrays(out)
 
     return run(c)
 

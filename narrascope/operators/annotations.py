@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions.text import pseudonym, replace_spans
 from narrascope.operators.stories import mention_replacements
-from narrascope.session import Scratch
+from narrascope.session import Scratch, bound_batches
 
 #: What stands for entities of each kind.
 KINDS = {"LOC": "Location", "ORG": "Organization", "MISC": "Entity"}
@@ -76,6 +76,7 @@ def anonymised(docs: DataFrame, by: str = "doc_id", text: str = "text", found: s
     Mentions come first: an entity that touches one is left out.  Of spans that overlap, the first counts.  Document ids are
     unique and not null; documents without spans keep their text.  What the annotator found is written once.
     """
+    bound_batches(docs.sparkSession)
     docs = Scratch(docs.sparkSession, "spans").save(docs.select(by, text, found), "found")
     mentions = mention_rows(docs, [by], found)
     singles = untouched(entity_rows(docs, [by], found), mentions, [by])

@@ -53,6 +53,22 @@ def test_the_regressor_equals_a_plain_loop_under_any_partitioning(spark):
     assert models[0].best > 0.8
 
 
+def test_rounds_read_packed_rows(spark):
+    x, y, score, df = graded(spark, 60)
+    packed = regression._packed(df.select("features", F.col("shares").cast("array<double>").alias("shares")).coalesce(1), 4.0).collect()
+    assert sum(len(r.x) for r in packed) == 60 * (x.shape[1] + 1) * 2 and sum(len(r.y) for r in packed) == 60 * 5 * 8
+
+
+def test_texts_reach_the_annotator_in_small_batches(spark):
+    name, df = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([(1, "Ann met Bob")], "doc_id int, text string")
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    annotations.anonymised(df.withColumn("found", hooks.annotate(hooks.capital_annotator, F.col("text"))))
+    bound = int(spark.conf.get(name))
+    spark.conf.set(name, before)
+    assert bound <= 8 << 20
+
+
 def test_training_stops_early_and_takes_odd_rows(spark):
     x, y, score, df = graded(spark, 60)
     flat = df.withColumn("score", F.lit(2.0))  # no correlation is ever better than 0 but the first
