@@ -41,19 +41,20 @@ MATRIX_BYTES = 64 << 20
 def mean_vectors(tokens: DataFrame, vectors: DataFrame, doc: str, token: str, dim: int) -> DataFrame:
     """Mean vector of each document's known tokens; zeros without any.
 
-    Documents gather the numbers of their known words; their sums are products with the matrix of vectors, if that is at
+    Words are counted once; documents gather the numbers of those that are known. Their sums are products with the matrix of vectors, if that is at
     most ``MATRIX_BYTES``, else sums over joined vectors.
     """
     counts = tokens.groupBy(doc, token).agg(F.count("*").alias("c"))
     held = Scratch(tokens.sparkSession, "means").save(vectors.select(F.col("word").alias(token), F.col("vec").cast("array<double>").alias("vec"), F.monotonically_increasing_id().alias("at")), "vectors")
     if held.count() * dim * 8 <= MATRIX_BYTES:
-        known = counts.join(held.select(token, "at"), token)
-        rows = _matrix_means(known.groupBy(doc).agg(F.collect_list(F.struct("at", "c")).alias("w")), held, doc, dim)  # one text's words
+        known = counts.join(held.select(token, "at"), token, "left")
+        rows = _matrix_means(known.groupBy(doc).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "c"))).alias("w")), held, doc, dim)  # one text's words
     else:
         # a sum for each component, so that no row is made for every component of every word
-        sums = counts.join(held, token).groupBy(doc).agg(F.sum("c").alias("__n"), *[F.sum(F.col("c") * F.get("vec", F.lit(i))).alias(f"__{i}") for i in range(dim)])
-        rows = sums.select(doc, F.array(*[F.col(f"__{i}") / F.col("__n") for i in range(dim)]).alias("vec"))
-    return counts.select(doc).distinct().join(rows, doc, "left").select(doc, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
+        sums = counts.join(held, token, "left").groupBy(doc).agg(F.sum(F.when(F.col("at").isNotNull(), F.col("c"))).alias("__n"), *[F.sum(F.col("c") * F.get("vec", F.lit(i))).alias(f"__{i}") for i in range(dim)])
+        rows = sums.select(doc, F.when(F.col("__n").isNotNull(), F.array(*[F.col(f"__{i}") / F.col("__n") for i in range(dim)])).alias("vec"))
+    # tokens without a document have no vector, either
+    return rows.select(doc, F.coalesce(F.when(F.col(doc).isNotNull(), F.col("vec")), F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
 def _matrix_means(words: DataFrame, held: DataFrame, doc: str, dim: int) -> DataFrame:
@@ -76,7 +77,7 @@ def _matrix_means(words: DataFrame, held: DataFrame, doc: str, dim: int) -> Data
             out = np.empty((batch.num_rows, dim))
             for k in range(batch.num_rows):
                 own = slice(first[k], first[k + 1])
-                out[k] = c[own] @ matrix[places[own]] / c[own].sum()
+                out[k] = c[own] @ matrix[places[own]] / max(1, c[own].sum())
             bounds = pa.array(np.arange(0, batch.num_rows + 1, dtype=np.int32) * dim)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))], [doc, "vec"])
 

@@ -347,6 +347,16 @@ def test_blocks_on_a_grid_equal_all_pairs(spark, monkeypatch):
         assert abs(loss[i] - (np.log(np.exp(z + h).sum()) - own)) < 1e-9
 
 
+def test_words_of_mean_vectors_are_counted_once(spark, monkeypatch):
+    t = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "x"), (2, "x"), (3, None), (None, "a")], "d int, w string")
+    v = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 3.0])], "word string, vec array<double>")
+    for most in (corpus.MATRIX_BYTES, 0):
+        monkeypatch.setattr(corpus, "MATRIX_BYTES", most)
+        out = corpus.mean_vectors(t, v, "d", "w", 2)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+        assert {r.d: r.vec for r in out.collect()} == {1: [2.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0], None: [0.0, 0.0]}
+
+
 def tied_vectors(spark):
     import numpy as np
 
