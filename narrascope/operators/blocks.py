@@ -5,6 +5,9 @@ blocks one after the other; with about as many groups as a group has blocks, a b
 the other side, the square root of the number of blocks, and not once for each of its partners.  What a cell makes of its
 products is a fold: it adds candidate blocks to its query blocks and hands on one result for each query.
 
+Where a cell has to see all candidates, blocks are not copied at all: they are written once, and each cell reads that table
+from one end to the other.
+
 A block knows its middle and its radius on the unit sphere, so a fold that needs similarities above a bound passes over
 candidate blocks that the triangle inequality keeps below it.  Blocks of large tables follow the nearest of some drawn
 pivots, so that vectors in clusters make narrow blocks.
@@ -25,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from narrascope.session import Scratch, share_code
 
@@ -34,10 +38,12 @@ HELD = 64
 #: Vectors that are drawn as pivots, and the number of vectors from which on they are.
 PIVOTS = 64
 MANY = 1 << 15
-#: Cells of a grid whose cells see all candidates, bytes of their similarities at a time, and bytes of candidates that stay out of files.
+#: Cells of a grid whose cells see all candidates, bytes of their similarities at a time, bytes of candidates that stay out of files,
+#: and bytes of blocks that a cell's reader takes at a time.
 CELLS = 48
 ROWS = 1 << 26
-SPOOL = 1 << 27
+SPOOL = 1 << 28
+PAGE = 1 << 24
 
 
 @dataclass
@@ -158,14 +164,16 @@ def _dealt(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
 
 
 def packed(df: DataFrame, id_col: str, vector: str, label: str | Column | None, n: int, most: int, extra: list[str] = [], by_label: bool = False) -> tuple[DataFrame, int]:  # noqa: B006
-    """(b, data) of the blocks of ``n`` rows, and their number."""
+    """(b, data) of the blocks of ``n`` rows, and their number.  Vectors of single precision stay so until they are multiplied."""
     named = F.lit(0) if label is None else F.col(label) if isinstance(label, str) else label
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), named.cast("long").alias("label"), *extra)
+    kind = df.select(vector).schema[0].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"), named.cast("long").alias("label"), *extra)
     rows, n = _groups(rows.where("v is not null and id is not null"), n, most, by_label)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        parts = {"ids": pdf["id"].to_numpy(), "x": np.stack(pdf["v"].to_numpy()).astype(float), "labels": pdf["label"].to_numpy()}
+        parts = {"ids": pdf["id"].to_numpy(), "x": np.stack(pdf["v"].to_numpy()).astype(np.float32 if single else float), "labels": pdf["label"].to_numpy()}
         for name in extra:
             own = pdf[name].tolist()
             parts |= {f"{name}_n": np.array([len(v) for v in own]), name: np.concatenate([np.asarray(v) for v in own])}
@@ -178,7 +186,7 @@ def packed(df: DataFrame, id_col: str, vector: str, label: str | Column | None,
 
 def _unpack(data: bytes) -> Block:
     found = dict(np.load(io.BytesIO(data)))
-    return Block(found.pop("ids"), found.pop("x"), found.pop("labels"), found)
+    return Block(found.pop("ids"), found.pop("x").astype(float), found.pop("labels"), found)
 
 
 def grid(queries: DataFrame, candidates: DataFrame, fold: Callable[[], Fold], id_col: str = "vec_id", vector: str = "embedding", label: str | Column | None = None, block: int = BLOCK, extra: list[str] = [], asked: int | None = None, by_label: bool = False, whole: bool = False) -> DataFrame:  # noqa: B006
@@ -186,15 +194,22 @@ def grid(queries: DataFrame, candidates: DataFrame, fold: Callable[[], Fold], id
 
     Rows with null ids or vectors are left out; labels are whole numbers; ``extra`` are array columns of the queries,
     and ``asked`` is their number if it is known.  With ``by_label`` the rows of a label share blocks.  With ``whole`` a cell
-    sees all candidates, block by block, so that a query has all its rows from one cell.
+    sees all candidates, block by block, so that a query has all its rows from one cell; its fold starts before it has its
+    query blocks, which come among the candidates.
     """
     spark = queries.sparkSession
     share_code(spark)
     asked = queries.count() if asked is None else asked
     left, n_left = packed(queries, id_col, vector, label, asked, block, extra, by_label)
+    if whole:
+        blocks = left.select("b", F.lit(True).alias("asks"), F.lit(True).alias("seen"), "data")
+        if candidates is not queries:
+            right, _ = packed(candidates, id_col, vector, label, candidates.count(), block, [], by_label)
+            blocks = blocks.withColumn("seen", F.lit(False)).unionAll(right.select("b", F.lit(False), F.lit(True), "data"))
+        return _streamed(blocks, n_left, fold)
     right, n_right = packed(candidates, id_col, vector, label, asked if candidates is queries else candidates.count(), block, [], by_label)
-    held = min(HELD, -(-n_left // CELLS) if whole else math.ceil(math.sqrt(n_left)))
-    down, across = -(-n_left // held), 1 if whole else min(n_right, math.ceil(math.sqrt(n_right)))
+    held = min(HELD, math.ceil(math.sqrt(n_left)))
+    down, across = -(-n_left // held), min(n_right, math.ceil(math.sqrt(n_right)))
     row, column = F.floor(F.col("b") / held).cast("int"), F.pmod("b", F.lit(across))
     own = F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda k: row * across + k)
     others = F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda k: k * across + column)
@@ -221,6 +236,38 @@ def grid(queries: DataFrame, candidates: DataFrame, fold: Callable[[], Fold], id
     return ordered.mapInArrow(run, fold().schema)
 
 
+def _streamed(blocks: DataFrame, n: int, fold: Callable[[], Fold]) -> DataFrame:
+    """The rows of a fold in cells that see all blocks: of ``(b, asks, seen, data)``, with ``n`` blocks that ask.
+
+    The blocks are written once.  A cell is a task that reads them one after the other and lets go of those that are not its
+    own queries; nothing is copied, exchanged or sorted for it.
+    """
+    spark = blocks.sparkSession
+    held = min(HELD, -(-n // CELLS))
+    down = -(-n // held)
+    written = Scratch(spark, "cells").save(blocks, "blocks", **{"parquet.block.size": PAGE})
+    # the side of one partition is streamed, once for each partition of the other, which is a single number
+    pairs = written.coalesce(1).hint("shuffle_replicate_nl").crossJoin(spark.range(0, down, 1, down))
+    own = F.col("asks") & (F.floor(F.col("b") / held) == F.col("id"))
+    rows = pairs.select(own.alias("own"), "seen", "data").where("own or seen")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, mine, any_seen = fold(), [], False
+        f.start(mine)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = _unpack(batch.column(2)[r].as_py())
+                if batch.column(0)[r].as_py():
+                    mine.append(block)
+                if batch.column(1)[r].as_py():
+                    any_seen = True
+                    yield from f.add(block)
+        if mine and any_seen:
+            yield from f.rows()
+
+    return rows.mapInArrow(run, fold().schema)
+
+
 class Best(Fold):
     """``(q, c, sim, ql, cl)`` of at least ``least``, and of those the ``top`` best of each query, ties to the smaller id."""
 
@@ -358,8 +405,8 @@ class BestPairs(Fold):
             i, j = np.nonzero(s >= np.nextafter(np.float32(cut - margin), np.float32(-np.inf)))
             if ok is not None:
                 i, j = i[ok[i, j]], j[ok[i, j]]
-            for at in range(0, len(i), SPOOL >> 12):
-                self._merge(a, i[at : at + (SPOOL >> 12)], block, j[at : at + (SPOOL >> 12)])
+            for at in range(0, len(i), SPOOL >> 13):
+                self._merge(a, i[at : at + (SPOOL >> 13)], block, j[at : at + (SPOOL >> 13)])
         yield from ()
 
     def _merge(self, a: Block, i: np.ndarray, block: Block, j: np.ndarray) -> None:
@@ -420,7 +467,7 @@ class RankMetrics(Fold):
     """``(q, r, ap, ndcg, within, first_hit, hits)``: what the ranks of a query's candidates of its own label come to.
 
     ``within`` counts those among the first r, ``hits`` those among the first k for each of ``ks``.  For cells that see all candidates:
-    these wait in a file if they are many, and of the queries as many are ranked at a time as ``ROWS`` bytes of similarities allow.
+    these wait in a file if they are many, in single precision where that is exact, and of the queries as many are ranked at a time as ``ROWS`` bytes of similarities allow.
     The similarities of a query are sorted with their relevance as last bit; what is as near as products are exact is put in
     order by exact ones.
     """
@@ -433,19 +480,25 @@ class RankMetrics(Fold):
     def start(self, held: list[Block]) -> None:
         self.held = held
         self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL)
-        self.ids, self.labels, self.starts = [], [], [0]
+        self.ids, self.labels, self.starts, self.kept = [], [], [0], []
 
     def add(self, block: Block) -> Iterator[pa.RecordBatch]:
-        self.file.write(np.ascontiguousarray(block.unit).tobytes())
+        with np.errstate(over="ignore"):
+            single = block.x.astype(np.float32)
+        x = single if np.array_equal(single, block.x) else block.x
+        self.kept.append((self.file.tell(), x.dtype, np.linalg.norm(block.x, axis=1, keepdims=True)))
+        self.file.write(x.tobytes())
         self.ids.append(block.ids)
         self.labels.append(block.labels)
         self.starts.append(self.starts[-1] + len(block.ids))
         yield from ()
 
     def _unit(self, b: int, width: int) -> np.ndarray:
-        self.file.seek(self.starts[b] * width * 8)
-        n = self.starts[b + 1] - self.starts[b]
-        return np.frombuffer(self.file.read(n * width * 8)).reshape(n, width)
+        at, kind, norms = self.kept[b]
+        self.file.seek(at)
+        x = np.frombuffer(self.file.read(len(norms) * width * kind.itemsize), kind).reshape(-1, width).astype(float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / norms
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.ids, self.labels, self.starts = np.concatenate(self.ids), np.concatenate(self.labels), np.array(self.starts)

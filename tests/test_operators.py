@@ -396,6 +396,26 @@ def test_metrics_of_ranks_leave_their_cells_as_one_row_a_query(spark, monkeypatc
         assert abs(r["ap"] - near[r["q"]].ap) < 1e-12 and r["hits"] == [near[r["q"]].p_at_1, 5 * near[r["q"]].p_at_5]
 
 
+def test_candidates_that_all_cells_see_are_written_once_and_not_exchanged(spark, monkeypatch):
+    from narrascope.operators import blocks
+
+    x, label, df = tied_vectors(spark)
+    single = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    want = {r.q: r for r in retrieval.per_query_ranks(vectors.relevant_ranks(single, single, block=32), (1, 5)).collect()}
+    monkeypatch.setattr(blocks, "SPOOL", 1 << 10)
+    for candidates in (single, single.select("*")):
+        out = vectors.rank_metrics(single, candidates, (1, 5), block=32)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+        assert len(got) == len(want) == 299
+        for r in got:
+            assert all(abs(r[c] - want[r.q][c]) < 1e-12 for c in ("ap", "ndcg", "r_precision", "first_hit", "r", "p_at_1", "p_at_5"))
+    assert vectors.rank_metrics(single, single.where("vec_id < 0")).count() == vectors.rank_metrics(single.where("vec_id < 0"), single).count() == 0
+    # vectors of single precision are packed so
+    size = {d: blocks.packed(d.where("vec_id < 300"), "vec_id", "embedding", "label", 300, 1024)[0].agg(F.sum(F.length("data"))).first()[0] for d in (df, single)}
+    assert size[df] - size[single] == 300 * 4 * 4
+
+
 def test_blocks_of_a_label_and_best_pairs(spark):
     import numpy as np
 
