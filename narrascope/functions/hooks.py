@@ -59,6 +59,17 @@ def encode_distinct(rows: DataFrame, columns: list[str], load: Callable[[], Enco
     return texts.select("text", encode(load, F.col("text"), **options).alias("embedding"))
 
 
+def with_vectors(rows: DataFrame, text: str, load: Callable[[], Encoder], vector: str = "embedding", **options) -> DataFrame:
+    """``rows`` with a vector in place of the text; every different text is encoded once, and null texts have none.
+
+    Texts are exchanged once, on their way to the encoder; rows meet their vectors by the SHA-256 of the texts.
+    """
+    digest = F.unhex(F.sha2(F.col("text"), 256)).alias("__digest")
+    lookup = encode_distinct(rows, [text], load, **options).select(digest, F.col("embedding").alias(vector))
+    named = rows.withColumn("__digest", F.unhex(F.sha2(F.col(text), 256))).drop(text)
+    return named.join(lookup, "__digest", "left").drop("__digest")
+
+
 def score_pairs(load: Callable[[], Callable[[list[str], list[str]], list[float]]], a: Column, b: Column) -> Column:
     """Scores of text pairs by a cross-encoder."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions import hooks
 from narrascope.operators import triplets, vectors
-from narrascope.plans.views import TT, Catalogue, table, text_triplets
+from narrascope.plans.views import TT, Catalogue, encoded_triplets, table, text_triplets
 from narrascope.session import Scratch
 from narrascope.sources import readers, sinks
 from narrascope.streaming import incremental
@@ -50,10 +50,8 @@ def _(spark, d):
 
 @query("encoded_triplets")
 def _(spark, d):
-    rows = text_triplets(spark, d)
-    lookup = hooks.encode_distinct(rows, list(triplets.TEXTS), hooks.hashing_encoder)
-    found = vectors.lookup_embeddings(rows, lookup, {"anchor_text": "x", "text_a": "y", "text_b": "z"})
-    scored = vectors.triplet_similarities(found, F.col("x"), F.col("y"), F.col("z")).withColumnRenamed("text_a_is_closer", "gold")
+    found = encoded_triplets(spark, d, hooks.hashing_encoder)
+    scored = vectors.triplet_similarities(found, F.col("x"), F.col("y"), F.col("z"))
     return vectors.triplet_accuracy(scored)
 
 

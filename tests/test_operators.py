@@ -314,6 +314,20 @@ def test_encoded_triplets_are_those_of_a_plain_loop(spark):
     assert got.n == len(rows) and got.accuracy == pytest.approx(sum(right) / len(right), abs=0.02)
 
 
+def test_encoded_triplets_join_vectors_and_not_texts(spark):
+    from narrascope.functions import hooks
+    from narrascope.plans import catalogue
+
+    plan = catalogue.QUERIES["encoded_triplets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "embedding" in plan
+    rows = [(1, "a b"), (2, "c"), (3, None), (4, ""), (5, "a b"), (5, "c"), (None, "c")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    out = hooks.with_vectors(df, "t", lambda: hooks.hashing_encoder(8), "v")
+    assert out.columns == ["id", "v"]
+    want = {t: r.embedding for t, r in ((r.text, r) for r in hooks.encode_distinct(df, ["t"], lambda: hooks.hashing_encoder(8)).collect())}
+    assert sorted(((r.id, r.v) for r in out.collect()), key=str) == sorted(((i, want.get(t)) for i, t in rows), key=str)
+
+
 def test_blocks_on_a_grid_equal_all_pairs(spark, monkeypatch):
     import numpy as np
 
