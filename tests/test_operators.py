@@ -430,6 +430,14 @@ def test_candidates_that_all_cells_see_are_written_once_and_not_exchanged(spark,
     assert size[df] - size[single] == 300 * 4 * 4
 
 
+@pytest.mark.parametrize("name", ["p_at_k_n"])
+def test_queries_on_ranks_read_written_blocks(spark, name):
+    from narrascope.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+
+
 def test_blocks_of_a_label_and_best_pairs(spark):
     import numpy as np
 
