@@ -430,7 +430,7 @@ def test_candidates_that_all_cells_see_are_written_once_and_not_exchanged(spark,
     assert size[df] - size[single] == 300 * 4 * 4
 
 
-@pytest.mark.parametrize("name", ["p_at_k_n"])
+@pytest.mark.parametrize("name", ["p_at_k_n", "r_precision", "map_score", "retrieval_summary"])
 def test_queries_on_ranks_read_written_blocks(spark, name):
     from narrascope.plans import catalogue
 
