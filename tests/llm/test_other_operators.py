@@ -168,6 +168,46 @@ def test_long_chains_are_enumerated(spark):
     assert [t.text for t in r.turns] == [f"text {k}" for k in range(500)]
 
 
+def test_long_conversations_are_formatted_and_read_back_in_pieces(spark):
+    said = [[("user" if k % 2 == 0 else "assistant", f"</s>[INST] text {k} of {c}, größe \\ \U0001d11e" * (k % 3)) for k in range(n)] for c, n in enumerate((1, 2, 300))]
+    rows = [(c if c else None, k, *t) for c, turns in enumerate(said) for k, t in enumerate(turns)]
+    messages = chat.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    pieces = chat.format_pieces(chat.path_turns(messages), 500)
+    parts = {}
+    for r in sorted(pieces.collect(), key=lambda r: r.piece):
+        parts.setdefault(r.tree, []).append(r)
+    digests = {r.tree: r for r in chat.digests(pieces).collect()}
+    for c, turns in enumerate(said):
+        got, r = parts[c if c else None], digests[c if c else None]
+        formatted, spans = chat.format_turns(turns)
+        assert "".join(p.formatted for p in got) == formatted and [tuple(s) for p in got for s in p.loss_spans] == spans
+        assert [p.last for p in got] == [False] * (len(got) - 1) + [True] and all(len(p.formatted) < 1000 for p in got)
+        assert (len(got) > 30) == (c == 2)
+        loss = "".join(t for role, t in turns if role == "assistant")
+        whole = "".join(f"{role}\n{t}\n" for role, t in turns)
+        assert (r.n_turns, r.loss_chars, r.formatted_chars) == (len(turns), len(loss), len(formatted))
+        assert (r.turns_sha256, r.loss_sha256) == tuple(hashlib.sha256(x.encode()).hexdigest() for x in (whole, loss))
+    assert chat.digests(chat.format_pieces(chat.path_turns(messages.limit(0)))).count() == 0
+
+
+def test_paths_below_missing_parents_and_other_types_of_parents(spark):
+    rows = [("t", k, 99 if k == 0 else k - 1, "user", f"m{k}", 1.0) for k in range(11)] + [("t", 20, 3, "user", "branch", 50.0), ("u", 5, None, "user", "root", 0.0), ("u", 6, 5, "user", "leaf", 0.0)]
+    m = spark.createDataFrame(rows, "tree string, node long, parent int, role string, text string, score double")
+    found = {(r.tree, r["rank"]): (r.leaf, [t.text for t in r.turns]) for r in chat.paths(m, branches=2).collect()}
+    assert found == {("t", 1): (20, ["m0", "m1", "m2", "m3", "branch"]), ("t", 2): (10, [f"m{k}" for k in range(11)]), ("u", 1): (6, ["root", "leaf"])}
+
+
+def test_chat_formatting_runs_one_python_worker_for_a_task(spark, monkeypatch):
+    from narrascope.llm import queries
+
+    saved = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **more: (saved.append(name), save(self, df, name, **more))[1])
+    plan = queries.op4_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "collect_list" not in plan and "ExistingRDD" not in plan
+    assert saved == ["nodes", *[f"up-{k}" for k in range(1, len(saved) - 1)], "formatted"] and len(saved) <= 7  # written files are few
+
+
 def test_search_finds_the_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
