@@ -25,7 +25,7 @@ def _(spark, d):
 def _(spark, d):
     path = Scratch(spark, "io").path + "/csv"
     sinks.csv(table(spark, d, "documents").select("doc_id", "text", "source"), path)
-    return readers.csv(spark, path, "doc_id long, text string, source string")
+    return readers.csv(spark, path, "doc_id long, text string, source string", quoted_empty=True)
 
 
 @query("numbered_lines", "SELECT count(*) AS n, CAST(sum(turn) AS BIGINT) AS total FROM conversations")

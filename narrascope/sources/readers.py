@@ -5,6 +5,7 @@ All go through Spark's readers, so paths may be in any store that Spark reads.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,17 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None, tab: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header; quotes are doubled inside quoted cells, which may span lines."""
+def csv(spark: SparkSession, path: str, schema: str | None = None, tab: bool = False, encoding: str = "UTF-8", quoted_empty: bool = False) -> DataFrame:
+    """CSV with a header; quotes are doubled inside quoted cells, which may span lines.
+
+    Empty cells are null; with ``quoted_empty`` only those without quotes are, as ``sinks.csv`` writes them.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).option("sep", "\t" if tab else ",")
+    # without this U+0000 is the escape of doubled quotes, and cells lose it
+    reader = reader.option("charToEscapeQuoteEscaping", '"')
+    if quoted_empty:
+        # Spark takes any cell that equals the null value for null, so it is a text that no cell holds
+        reader = reader.option("nullValue", uuid.uuid4().hex)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

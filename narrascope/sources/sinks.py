@@ -11,7 +11,12 @@ def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; spaces around texts are kept, and empty texts are quoted, unlike nulls.
+
+    Of a table of one column Spark writes no row for a null.
+    """
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").option("header", True).option("escape", '"').options(**spaces).csv(path)
 
 
 def csv_with_mark(df: DataFrame, path: str) -> None:

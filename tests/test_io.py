@@ -37,6 +37,21 @@ def test_csv_records_are_stripped(spark, tmp_path):
     assert readers.by_extension(spark, put(tmp_path / "t.tsv", "a\tb\n1\t2\n")).columns == ["a", "b"]
 
 
+def test_csv_gives_back_all_texts(spark, tmp_path):
+    marks = ['"', "\n", "\r", "\r\n", "\\", ",", " ", "\t", "\0", "\x01", "\x1f", "\x85", "\u2028", "\ufeff", "\xa0", "𝄞", "#", "x"]
+    texts = [None, "", "null", "\\N", *marks, *(a + b for a in marks for b in marks), *(f"a{a}{b}z" for a in marks for b in marks)]
+    rows = [(k, t, "web") for k, t in enumerate(texts)] + [(k, "t", t) for k, t in enumerate(texts)] + [(None, None, None), (None, "", "")]
+    schema = "doc_id long, text string, source string"
+    spark.createDataFrame(rows, schema).withColumn("lang", F.lit("en")).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    back = catalogue.QUERIES["csv_round_trip"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
+    assert back.count() == len(rows) and sorted(repr(r.source) for r in back.select("source").collect()) == sorted(repr(r[2]) for r in rows)
+    sinks.csv(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert readers.csv(spark, str(tmp_path / "none"), quoted_empty=True).columns == ["doc_id", "text", "source"]
+    other = put(tmp_path / "other.csv", 'a,b\r\n"",x\r\n')
+    assert [tuple(r) for r in readers.csv(spark, other).collect()] == [(None, "x")]
+
+
 def test_lines_are_numbered_and_zipped(spark, tmp_path):
     a = put(tmp_path / "in.txt", "".join(f"left {k}\tright {k}\n" for k in range(300)))
     b = put(tmp_path / "gs.txt", "".join("\n" if k % 3 else f"{k}\n" for k in range(300)))
